@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, sharding, toxicity
+from tessera.llm import decontamination, mixing, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
 
+def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("source", "before")
 
@@ -33,11 +42,26 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
+    "op3_simhash_anchors": op3_simhash_anchors,
+    "op4_containment_search": op4_containment_search,
     "op8_source_mixing": op8_source_mixing,
     "op10_subword_toxicity": op10_subword_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_containment_search": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from benchmark
+), ds as (
+  select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from d where len(w) >= 5
+), bs as (
+  select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from b where len(w) >= 5
+), n as (select item_id, count(*) as n_item from bs group by item_id)
+select doc_id, item_id, n_item, count(*) as n_shared, count(*) / n_item::double as containment
+from ds join bs using (s) join n using (item_id) group by doc_id, item_id, n_item having count(*) >= 0.8 * n_item
+""",
     "op8_source_mixing": r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
