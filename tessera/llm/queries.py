@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, mixing, sharding, simhash, toxicity
+from tessera.llm import classlm, decontamination, mixing, nearest, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"))
 
 
+def op2_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,6 +35,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("source", "before")
 
 
+def op9_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return classlm.score(_read(spark, sf_dir, "documents"), held_out)
+
+
 def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     s = toxicity.Settings()
@@ -42,13 +51,26 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
+    "op2_one_bit_codes": op2_one_bit_codes,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_containment_search": op4_containment_search,
     "op8_source_mixing": op8_source_mixing,
+    "op9_class_ngrams": op9_class_ngrams,
     "op10_subword_toxicity": op10_subword_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_one_bit_codes": """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p as (
+  select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from p qualify rank <= 20
+""",
     "op4_containment_search": r"""
 with d as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
