@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classlm, decontamination, mixing, nearest, sharding, simhash, toxicity
+from tessera.llm import classlm, decontamination, extraction, mixing, nearest, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("source", "before")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_one_bit_codes": op2_one_bit_codes,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_containment_search": op4_containment_search,
+    "op7_host_wrappers": op7_host_wrappers,
     "op8_source_mixing": op8_source_mixing,
     "op9_class_ngrams": op9_class_ngrams,
     "op10_subword_toxicity": op10_subword_toxicity,
