@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classlm, decontamination, extraction, mixing, nearest, sharding, simhash, toxicity
+from tessera.llm import classlm, decontamination, exactspans, extraction, mixing, nearest, passages, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op4_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(_read(spark, sf_dir, "documents"))
+
+
+def op6_column_wise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactspans.remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(_read(spark, sf_dir, "pages"))
 
@@ -58,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_one_bit_codes": op2_one_bit_codes,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_containment_search": op4_containment_search,
+    "op5_collinear_chains": op5_collinear_chains,
+    "op6_column_wise_suffixes": op6_column_wise_suffixes,
     "op7_host_wrappers": op7_host_wrappers,
     "op8_source_mixing": op8_source_mixing,
     "op9_class_ngrams": op9_class_ngrams,
