@@ -185,12 +185,12 @@ def candidate_links(fps: DataFrame, bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row: doc_id, fp (long), component_id: the smallest id among the rows that links reach."""
+    """A row for each row: doc_id, fp (long), root (a fingerprint that names the component), component_id: the smallest id among the rows that links reach."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.write(fingerprints(docs, width, id_col=id_col, text_col=text_col))
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(candidate_links(distinct.select("fp"), bits))
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = of.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_r")
-    of = of.join(names, F.col("root") == F.col("_r")).select(F.col("fp").alias("_f"), "component_id")
-    return rows.join(of, F.col("fp") == F.col("_f")).select("doc_id", "fp", "component_id")
+    of = of.join(names, F.col("root") == F.col("_r")).select(F.col("fp").alias("_f"), "root", "component_id")
+    return rows.join(of, F.col("fp") == F.col("_f")).select("doc_id", "fp", "root", "component_id")
