@@ -62,19 +62,21 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         estimate = (turned[start : start + 256] @ signs.T) * scale
         estimate[own] = -np.inf
         bound = np.full(len(q), -np.inf)
-        if n > 4 * k:
-            head = np.argpartition(-estimate, 3 * k, axis=1)[:, : 3 * k]
-            score = exact(np.repeat(q, 3 * k, axis=0), vectors[head.ravel()]).reshape(head.shape)
+        if n > 8 * k:
+            head = np.argpartition(-estimate, 5 * k, axis=1)[:, : 5 * k]
+            score = exact(np.repeat(q, 5 * k, axis=0), vectors[head.ravel()]).reshape(head.shape)
             score[np.take_along_axis(own, head, axis=1)] = -np.inf
             bound = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-        reach = (estimate + slack) * length[start : start + 256, None].astype(np.float32)
-        row, col = np.nonzero((reach >= (bound - 1e-6 * np.abs(bound))[:, None]) & ~own)
-        score = np.concatenate([np.zeros(0), *(exact(q[row[i : i + 65536]], vectors[col[i : i + 65536]]) for i in range(0, len(row), 65536))])
-        order = np.lexsort((ids[col], -score, row))
-        row, col, score = row[order], col[order], score[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = nth < k
-        found.append((query_ids[start : start + 256][row[keep]], ids[col[keep]], score[keep]))
+        reach = (estimate + slack) * length[start : start + 256, None].astype(np.float32) >= (bound - 1e-6 * np.abs(bound))[:, None].astype(np.float32)
+        reach &= ~own
+        for i in range(len(q)):
+            col = np.flatnonzero(reach[i])
+            score = vectors[col] @ q[i]
+            if len(col) > k:  # the last bits of a product depend on where its row stands: what is near the k-th is added up again
+                col = col[score >= -np.partition(-score, k - 1)[k - 1] - 1e-9 * length[start + i] * norm[col]]
+            score = exact(np.broadcast_to(q[i], (len(col), dim)), vectors[col]) if len(col) else np.zeros(0)
+            order = np.lexsort((ids[col], -score))[:k]
+            found.append((np.full(len(order), query_ids[start + i]), ids[col[order]], score[order]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
