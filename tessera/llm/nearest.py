@@ -80,7 +80,7 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def search(table: DataFrame, is_query: Column, k: int = 20, *, epsilon: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = 20, *, epsilon: float = 3.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows with the largest inner products that were found for each query."""
     scratch = Scratch(table.sparkSession, "nearest")
     v = F.col(vector_col).cast("array<double>")
