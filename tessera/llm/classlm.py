@@ -6,9 +6,9 @@ words and one end. The context is the class of the token before if that is one o
 adding one for each token type of the class and one for tokens that training never saw, which any class may emit. All of a
 context's probabilities, an unseen token's included, add up to one.
 
-Exchange: tokens begin in classes by a hash (the most frequent ones in one each). A token's counts by context decide which
-class makes the training text likelier, given the counts of the classes; all tokens move at once, for several steps. Then the
-classes become the contexts, the corpus is read again, and the same is done a second time.
+Exchange: frequent tokens begin in classes by their rank (the first ones in one each). A token's counts by context decide which
+class makes the training text likelier, given the counts of the classes; all tokens move at once, for several steps, and the new
+classes become the contexts. Then the corpus is read again, and every token of the vocabulary goes to its best class.
 
 Scale: every token of the corpus is counted by Spark, in tables keyed by token; each token has one row with its counts by context,
 summed up before and after the shuffle. Only the classes of ``frequent`` tokens and the class-by-class counts, both of fixed
@@ -22,7 +22,6 @@ all tokens are unseen and the score is the base score.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import Scratch
 
-#: Classes; tokens that serve as contexts by their class; rounds over the corpus; steps of moves in each.
-CLASSES, FREQUENT, ROUNDS, STEPS = 32, 65_536, 2, 4
-BLOCK_BYTES, HELD_WORDS = 16 << 20, 100_000
+#: Classes; tokens that serve as contexts by their class; steps of their moves; least share of all tokens that such a token has.
+CLASSES, FREQUENT, STEPS, LEAST_SHARE = 32, 16_384, 6, 1e-6
+BLOCK_BYTES, HELD_WORDS, HELD_TOKENS = 16 << 20, 100_000, 4_000_000
 #: The end token; no word has a line feed in it.
 END = b"\n"
 OTHER, START = CLASSES, CLASSES + 1
@@ -49,7 +48,7 @@ def tokens(text: bytes | None) -> list[bytes]:
     return out
 
 
-def _counts(docs: DataFrame, contexts: dict[bytes, int] | None) -> DataFrame:
+def _counts(docs: DataFrame, contexts: dict[bytes, int] | None, only_frequent: bool = False) -> DataFrame:
     """(w, c[, k0 ..]): tokens of ``docs`` (t: binary), their counts and, if classes are given, their counts by context; partial sums."""
     wide = CONTEXTS if contexts else 0
     shared = docs.sparkSession.sparkContext.broadcast(contexts)  # FREQUENT tokens at most
@@ -58,7 +57,7 @@ def _counts(docs: DataFrame, contexts: dict[bytes, int] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[bytes, int] = {}
         at: list[np.ndarray] = []
-        known = shared.value
+        known, held = shared.value, 0
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(at)
@@ -71,13 +70,20 @@ def _counts(docs: DataFrame, contexts: dict[bytes, int] | None) -> DataFrame:
         for b in batches:
             for text in b.column(0):
                 words = tokens(text.as_py())
-                own = np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int64, count=len(words))
+                if only_frequent:
+                    if not ids:
+                        ids.update((w, i) for i, w in enumerate(known))
+                    own = np.fromiter((ids.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+                else:
+                    own = np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int64, count=len(words))
                 if wide:
                     before = np.fromiter(chain((START,), (known.get(w, OTHER) for w in words[:-1])), dtype=np.int64, count=len(words))
-                    own = own * wide + before
+                    own = (own * wide + before)[own >= 0]
                 at.append(own)
-                if len(ids) >= HELD_WORDS:
+                held += len(own)
+                if len(ids) >= HELD_WORDS or held >= HELD_TOKENS:
                     yield flush()
+                    held = 0
         if at:
             yield flush()
 
@@ -106,48 +112,39 @@ def _matrix(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts, types
 
 
+def _summed(partial: DataFrame) -> DataFrame:
+    return partial.groupBy("w").agg(F.sum("c").alias("c"), *(F.sum(f"k{i}").cast("int").alias(f"k{i}") for i in range(CONTEXTS)))
+
+
 def train(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, dict[bytes, int], np.ndarray, np.ndarray]:
     """(w, c, cls) of all tokens of ``docs``; the frequent tokens' contexts; the counts of contexts and classes; types by class."""
     scratch = Scratch(docs.sparkSession, "classlm")
     texts = docs.select(F.col(text_col).cast("binary").alias("t"))
-    top = _counts(texts, None).groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(FREQUENT).collect()
-    contexts = {bytes(r["w"]): i if i < CLASSES // 2 else CLASSES // 2 + i % (CLASSES - CLASSES // 2) for i, r in enumerate(top)}
-    frequent = [bytes(r["w"]) for r in top]
-    names = [f"k{i}" for i in range(CONTEXTS)]
-    counts, types, table = np.zeros((CONTEXTS, CLASSES)), np.zeros(CLASSES), None
-    for _ in range(ROUNDS if frequent else 1):
-        sums = _counts(texts, contexts or {END: 0}).groupBy("w").agg(F.sum("c").alias("c"), *(F.sum(n).cast("int").alias(n) for n in names))
-        first = _starter(sums, contexts)
-        now = scratch.write(first)
-        if table is not None:
-            scratch.drop(table)
-        table = now
-        counts, types = _matrix(table)
-        for _ in range(STEPS):
-            counts, types = _matrix(_move(table, counts))
+    words = scratch.write(_counts(texts, None).groupBy("w").agg(F.sum("c").alias("c")))
+    total = words.agg(F.sum("c")).first()[0] or 0
+    # at most 1 / LEAST_SHARE tokens pass, and FREQUENT of them are taken
+    frequent = [bytes(r["w"]) for r in words.where(F.col("c") >= LEAST_SHARE * total).orderBy(F.desc("c"), "w").limit(FREQUENT).collect()]
+    scratch.drop(words)
+    contexts = {w: i if i < CLASSES // 2 else CLASSES // 2 + i % (CLASSES - CLASSES // 2) for i, w in enumerate(frequent)} or {END: 0}
+    table = scratch.write(_placed(_summed(_counts(texts, contexts, True)), contexts))
+    counts, _ = _matrix(table)
+    for _ in range(STEPS):  # over FREQUENT rows
         moved = scratch.write(_move(table, counts))
         scratch.drop(table)
         table = moved
-        counts, types = _matrix(table)
-        used = contexts
-        wanted = table.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in frequent], "w binary")), "w").select("w", "cls") if frequent else None
-        contexts = {bytes(r["w"]): r["cls"] for r in wanted.collect()} if frequent else {}
-    return table.select("w", "c", "cls"), used, counts, types
-
-
-def _starter(sums: DataFrame, contexts: dict[bytes, int]) -> DataFrame:
-    """Classes to begin with: a frequent token's own, the others' by a hash."""
-    shared = sums.sparkSession.sparkContext.broadcast(contexts)
-    schema = sums.withColumn("cls", F.lit(0)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for b in batches:
-            words = b.column(0).to_pylist()
-            cls = np.array([known.get(w, CLASSES // 2 + zlib.crc32(w) % (CLASSES - CLASSES // 2)) for w in words], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls)], names=[*b.schema.names, "cls"])
-
-    return sums.mapInArrow(run, schema)
+        counts, _ = _matrix(table)
+    contexts = {bytes(r["w"]): r["cls"] for r in table.select("w", "cls").collect()} or contexts
+    scratch.drop(table)
+    full = _move(_summed(_counts(texts, contexts)).withColumn("cls", F.lit(0)), counts)
+    table = scratch.write(full)
+    counts, types = _matrix(table)
+    return table.select("w", "c", "cls"), contexts, counts, types
+
+
+def _placed(sums: DataFrame, contexts: dict[bytes, int]) -> DataFrame:
+    """The frequent tokens with their first classes."""
+    first = sums.sparkSession.createDataFrame([(bytearray(w), c) for w, c in contexts.items()], "_w binary, cls int")
+    return sums.join(F.broadcast(first), F.col("w") == F.col("_w")).drop("_w").where("c > 0")
 
 
 def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
