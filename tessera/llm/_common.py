@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word: a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,8 +35,13 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read again: its lineage is cut here."""
         self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        path, conf = f"{self.base}/{self.count}", self.spark.conf
+        before = conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")  # what was shuffled for the table is of no use once it is written
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm._bytes import leftmost_minima, pieces, prefix_sums, ranges
-from tessera.llm._common import parts
+from tessera.llm._common import Scratch, parts
 
 LENGTH, K, CROWDED, HELD = 100, 20, 20_000, 20_000
 SPREAD = LENGTH - K  #: most bytes of a string before or after its anchor
@@ -78,7 +78,16 @@ def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (d, k, t, hs) to the contexts of those anchors whose hashes are in hs."""
+    """Rows (d, k, t, hs) to the contexts of those anchors whose hashes are in hs: a row for each place (x is null), and, with
+    their bytes and their first places so far, the distinct ones of up to ``HELD`` at a time."""
+    kept: dict[bytes, tuple[int, int, bytes, tuple[int, int, int]]] = {}
+    names, kinds = ["h", "c", "a", "x", "d", "k", "lo", "n"], [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def distinct() -> pa.RecordBatch:
+        rows = [(h, c, a, x, *first, len(x)) for c, (h, a, x, first) in kept.items()]
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names=names)
+
     for b in batches:
         d, k, wanted = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
         sets: dict[int, np.ndarray] = {}
@@ -101,7 +110,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ctx = [raw[x : y + LENGTH] for x, y in zip(lo[j].tolist(), hi[j].tolist(), strict=True)]
                 before = (a - lo)[j].astype(np.int32)
                 key = [hashlib.md5(bytes([n]) + c).digest() for n, c in zip(before.tolist(), ctx, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[j]), pa.array(key, pa.binary()), pa.array(before), pa.array(ctx, pa.binary()), pa.array(d[text[j]]), pa.array(k[text[j]]), pa.array((lo + shift)[j])], names=["h", "c", "a", "x", "d", "k", "lo"])
+                places = [d[text[j]], k[text[j]], (lo + shift)[j]]
+                for hh, cc, aa, xx, *at in zip(h[j].tolist(), key, before.tolist(), ctx, *(v.tolist() for v in places), strict=True):
+                    if cc not in kept or tuple(at) < kept[cc][3]:
+                        kept[cc] = (hh, aa, xx, tuple(at))
+                nulls = pa.nulls(len(j), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h[j]), pa.array(key, pa.binary()), pa.array(before), nulls, *(pa.array(v) for v in places), pa.array((hi - lo)[j] + LENGTH, pa.int32())], names=names)
+                if len(kept) >= HELD:
+                    yield distinct()
+    yield distinct()
 
 
 def repeated(contexts: list[bytes], before: np.ndarray, rank: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -142,11 +159,11 @@ RANGES = "array<struct<s: int, e: int>>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct contexts (h, c, a, x, d, k, lo), sorted by h, to (c, fd, fk, flo, ranges)."""
+    """Contexts (h, c, a, x, d, k, lo), sorted by h, c and place, to (c, fd, fk, flo, ranges); the first row of each context is the one."""
     held: list[pa.RecordBatch] = []
+    last = b""
 
     def done(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
         d, k, lo, a = (t.column(n).to_numpy() for n in ("d", "k", "lo", "a"))
         rank = np.empty(len(d), dtype=np.int64)
         rank[np.lexsort((lo + a, k, d))] = np.arange(len(d))
@@ -158,11 +175,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows = 0
     for b in batches:
+        keys = b.column("c").to_pylist()
+        b = b.filter(pa.array([x != y for x, y in zip([last, *keys[:-1]], keys, strict=True)], pa.bool_()))
+        last = keys[-1] if keys else last
         held.append(b)
         rows += b.num_rows
         if rows >= HELD:
             t = pa.Table.from_batches(held)
-            h = t.column("h").to_numpy()
+            h = t.column("h").to_numpy()  # sorted
             cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
             if cut:
                 yield done(t.slice(0, cut))
@@ -194,6 +214,19 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _crowded(distinct: DataFrame) -> DataFrame:
+    """The same as ``_compare`` for anchors of very many contexts: each string of theirs is a row, and the earliest of equal ones stays."""
+    one = distinct.groupBy("c").agg(F.min(F.struct("d", "k", "lo", "x")).alias("f")).select("c", "f.*")
+    many = one.withColumn("o", F.explode(F.sequence(F.lit(0), F.octet_length("x") - LENGTH)))
+    at = F.struct("d", "k", (F.col("lo") + F.col("o")).alias("p"))
+    many = many.select("c", "d", "k", "lo", "o", at.alias("at"), F.expr(f"substring(x, o + 1, {LENGTH})").alias("w"))
+    least = many.groupBy("w").agg(F.min("at").alias("least")).withColumnRenamed("w", "lw")
+    many = many.join(least, F.col("w") == F.col("lw")).withColumn("later", F.col("at") > F.col("least"))
+    covered = F.when(F.col("later"), F.struct(F.col("o").alias("s"), (F.col("o") + LENGTH).alias("e")))
+    many = many.groupBy("c", "d", "k", "lo").agg(F.collect_list(covered).cast(RANGES).alias("ranges"))
+    return many.select("c", F.col("d").alias("fd"), F.col("k").alias("fk"), F.col("lo").alias("flo"), "ranges")
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed ranges of bytes)."""
     rows = _rows(docs, id_col, text_col)
@@ -201,25 +234,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     twice = hashes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
     wanted = twice.groupBy("d", "k").agg(F.collect_set("h").alias("hs")).select(F.col("d").alias("wd"), F.col("k").alias("wk"), "hs")
     contexts = rows.join(wanted, (F.col("d") == F.col("wd")) & (F.col("k") == F.col("wk"))).select("d", "k", "t", "hs")
-    contexts = contexts.mapInArrow(_contexts, "h long, c binary, a int, x binary, d long, k long, lo long")
-    distinct = contexts.groupBy("h", "c", "a", "x").agg(F.min(F.struct("d", "k", "lo")).alias("f")).select("h", "c", "a", "x", "f.*")
-    crowd = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select(F.col("h").alias("ch"), F.lit(True).alias("crowded"))
-    distinct = distinct.join(crowd, F.col("h") == F.col("ch"), "left").drop("ch")
-    first = "c binary, fd long, fk long, flo long, ranges " + RANGES
+    scratch = Scratch(docs.sparkSession, "spans")
+    contexts = scratch.write(contexts.mapInArrow(_contexts, "h long, c binary, a int, x binary, d long, k long, lo long, n int"))
+    distinct = contexts.where("x is not null").drop("n")
+    crowd = scratch.write(distinct.select("h", "c").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select(F.col("h").alias("ch")))
     tasks = parts(docs.sparkSession)
-    few = distinct.where(F.col("crowded").isNull()).drop("crowded").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_compare, first)
-    many = distinct.where("crowded").withColumn("o", F.explode(F.sequence(F.lit(0), F.octet_length("x") - LENGTH)))
-    many = many.select("c", "d", "k", "lo", "o", F.expr(f"substring(x, o + 1, {LENGTH})").alias("w"))
-    least = many.groupBy("w").agg(F.min(F.struct("d", "k", (F.col("lo") + F.col("o")).alias("p"))).alias("least")).withColumnRenamed("w", "lw")
-    many = many.join(least, F.col("w") == F.col("lw")).withColumn("later", F.struct("d", "k", (F.col("lo") + F.col("o")).alias("p")) > F.col("least"))
-    many = many.groupBy("c", "d", "k", "lo").agg(F.collect_list(F.when(F.col("later"), F.struct(F.col("o").alias("s"), (F.col("o") + LENGTH).alias("e")))).alias("ranges"))
-    many = many.select("c", F.col("d").alias("fd"), F.col("k").alias("fk"), F.col("lo").alias("flo"), "ranges")
+    first = "c binary, fd long, fk long, flo long, ranges " + RANGES
+    few = distinct.join(crowd, F.col("h") == F.col("ch"), "left_anti").repartition(tasks, "h").sortWithinPartitions("h", "c", "d", "k", "lo")
+    few = scratch.write(few.select("h", "c", "a", "x", "d", "k", "lo").mapInArrow(_compare, first))
+    many = scratch.write(_crowded(distinct.join(crowd, F.col("h") == F.col("ch"), "left_semi")))
     found = few.unionByName(many).withColumnRenamed("c", "fc")
-    places = contexts.select("c", "d", "k", "lo", F.octet_length("x").alias("n"))
     own = (F.col("d") == F.col("fd")) & (F.col("k") == F.col("fk")) & (F.col("lo") == F.col("flo"))
     whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
+    places = contexts.where("x is null").select("c", "d", "k", "lo", "n")
     places = places.join(found, F.col("c") == F.col("fc")).withColumn("r", F.when(own, F.col("ranges")).otherwise(whole)).where(F.size("r") > 0)
     places = places.select("d", "k", F.transform("r", lambda x: F.struct((x["s"] + F.col("lo")).alias("s"), (x["e"] + F.col("lo")).alias("e"))).alias("r"))
-    spans = places.groupBy("d", "k").agg(F.flatten(F.collect_list("r")).alias("r")).select(F.col("d").alias("sd"), F.col("k").alias("sk"), "r")
+    spans = scratch.write(places.groupBy("d", "k").agg(F.flatten(F.collect_list("r")).alias("r")).select(F.col("d").alias("sd"), F.col("k").alias("sk"), "r"))
+    for used in (contexts, crowd, few, many):
+        scratch.drop(used)
     out = rows.join(spans, (F.col("d") == F.col("sd")) & (F.col("k") == F.col("sk")), "left").select("d", "t", "r")
     return out.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s: long, e: long>>")
