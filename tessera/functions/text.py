@@ -152,7 +152,7 @@ def strip_marks(text: Column) -> Column:
     out = text
     for m in MARKS:
         goes = F.contains(text, F.lit(m + " ")) | F.contains(text, F.lit(" " + m)) | digits
-        out = F.when(goes, F.replace(out, F.lit(m), F.lit(""))).otherwise(F.replace(out, F.lit(m), F.lit(" ")))
+        out = F.replace(out, F.lit(m), F.when(goes, "").otherwise(" "))
     parts = F.split(out, r"\.(?!\d)")
     rest = F.slice(parts, PERIODS + 2, 1 << 30)
     return F.concat(F.array_join(F.slice(parts, 1, PERIODS + 1), ""), F.when(F.size(rest) > 0, F.concat(F.lit("."), F.array_join(rest, "."))).otherwise(""))

@@ -5,6 +5,576 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import scalars, text
+from tessera.model import Field, Query, Snapshot
+from tessera.operators import joins, results, sampling, sets, vectors
+from tessera.plans import aggregate, query as plan
+from tessera.sources import files, snapshot
+from tessera.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+CATEGORY = frozenset("s")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Snapshot:
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("row_ordinal"), F.lower(F.concat_ws("\n", "o_orderpriority", "o_orderstatus")).alias("search_text"), scalars.tag_string(F.col("o_orderstatus")).alias("f_0"), F.col("o_totalprice").alias("f_1"), scalars.tag_string(F.col("o_orderpriority")).alias("f_2"), F.col("o_custkey").cast("double").alias("f_3"))
+    fields = [Field("source.status", "category", "f_0", kinds=CATEGORY), Field("source.price", "number", "f_1"), Field("source.priority", "category", "f_2", kinds=CATEGORY), Field("source.customer", "number", "f_3")]
+    return Snapshot(rows, {f.id: f for f in fields}, "orders-1")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> Snapshot:
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("row_ordinal"), "text", F.lower("text").alias("search_text"), scalars.tag_string(F.col("lang")).alias("f_0"), scalars.tag_string(F.col("source")).alias("f_1"), F.col("n_chars").cast("double").alias("f_2"))
+    fields = [Field("source.lang", "category", "f_0", kinds=CATEGORY), Field("source.source", "category", "f_1", kinds=CATEGORY), Field("source.chars", "number", "f_2")]
+    return Snapshot(rows, {f.id: f for f in fields}, "documents-1")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> Snapshot:
+    r = _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+    return joins.join_results(documents(spark, sf_dir), "labels", r, {"quality": "number", "toxic": "number"}, check=False)
+
+
+FLAGSHIP = {"and": [{"field_id": "source.status", "op": "in", "value": ["F", "O"]}, {"not": {"field_id": "source.price", "op": "lt", "value": 100000}}]}
+
+
+@register("""
+select id, price, position from (
+  select o_orderkey::varchar as id, o_totalprice as price, row_number() over (order by o_totalprice desc nulls last, o_orderkey::varchar) - 1 as position
+  from orders where o_orderstatus in ('F', 'O') and not coalesce(o_totalprice < 100000, false)
+) where position < 100
+""")
+def query_filter_sort_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("orders-1", filter=FLAGSHIP, sort=({"field_id": "source.price", "direction": "desc"},), limit=100)
+    return plan.plan(orders(spark, sf_dir), q, ["id", "f_1"]).withColumnRenamed("f_1", "price")
+
+
+@register("select count(*) as matched from orders where o_orderstatus in ('F', 'O') and not coalesce(o_totalprice < 100000, false)")
+def query_matched_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.matching(orders(spark, sf_dir), Query("orders-1", filter=FLAGSHIP)).agg(F.count(F.lit(1)).alias("matched"))
+
+
+@register("""
+select id, position from (
+  select o_orderkey::varchar as id, row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey::varchar) - 1 as position from orders
+) where position >= 500 and position < 700
+""")
+def query_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("orders-1", sort=({"field_id": "source.priority"}, {"field_id": "source.price", "direction": "desc"}), limit=200)
+    q = Query(**{**q.__dict__, "cursor": q.cursor_at(500)})
+    return plan.plan(orders(spark, sf_dir), q, ["id"])
+
+
+@register("select o_orderkey::varchar as id from orders where o_orderpriority <> '1-URGENT' and not (o_totalprice > 50000 and contains(lower(o_orderpriority), 'high')) and (o_custkey >= 10 or o_orderstatus = 'P')")
+def filter_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = {"and": [{"field_id": "source.priority", "op": "ne", "value": "1-URGENT"}, {"not": {"and": [{"field_id": "source.price", "op": "gt", "value": 50000}, {"field_id": "source.priority", "op": "contains", "value": "HIGH"}]}}, {"or": [{"field_id": "source.customer", "op": "gte", "value": 10}, {"field_id": "source.status", "op": "eq", "value": "P"}]}]}
+    return plan.matching(orders(spark, sf_dir), Query("orders-1", filter=tree)).select("id")
+
+
+@register("select d.doc_id::varchar as id from documents d left join labels l using (doc_id) where not coalesce(l.toxic = 0, false) and not coalesce(l.quality <> 1 and l.quality is not null, false)")
+def filter_two_valued_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = {"and": [{"not": {"field_id": "prediction.labels.toxic", "op": "eq", "value": 0}}, {"not": {"field_id": "prediction.labels.quality", "op": "ne", "value": 1}}]}
+    return plan.matching(labelled(spark, sf_dir), Query("documents-1", filter=tree)).select("id")
+
+
+@register("select doc_id::varchar as id, lang from documents left join labels using (doc_id) where toxic is null and contains(lower(text), 'license')")
+def filter_missing_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("documents-1", filter={"field_id": "prediction.labels.toxic", "op": "is_null", "value": True}, search="LICENSE")
+    return plan.matching(labelled(spark, sf_dir), q).select("id", scalars.payload(F.col("f_0")).alias("lang"))
+
+
+@register("select o_orderkey::varchar as id from orders where o_orderpriority > '2' and o_orderpriority <= '4-NOT SPECIFIED' and o_orderstatus in ('F')")
+def filter_category_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = {"and": [{"field_id": "source.priority", "op": "gt", "value": "2"}, {"field_id": "source.priority", "op": "lte", "value": "4-NOT SPECIFIED"}, {"field_id": "source.status", "op": "in", "value": ["F", None]}]}
+    return plan.matching(orders(spark, sf_dir), Query("orders-1", filter=tree)).select("id")
+
+
+FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint)), lambda a, b: (xor(a, b) * 16777619) % 4294967296)"
+
+
+@register(f"""
+with r as (select o_orderkey::varchar as id, {FNV.format("'-17:' || o_orderkey::varchar")} as k from orders)
+select id, row_number() over (order by k, id) - 1 as position from r qualify position < 37
+""")
+def sample_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("orders-1", sample={"method": "random", "seed": -17, "size": 37})
+    return plan.plan(orders(spark, sf_dir), q, ["id"])
+
+
+@register(f"""
+with r as (select o_orderkey::varchar as id, '"' || o_orderstatus || '"' as stratum, {FNV.format("'-17:' || o_orderkey::varchar")} as k from orders),
+t as (select id, stratum, row_number() over (partition by stratum order by k, id) as turn from r)
+select id, row_number() over (order by turn, stratum) - 1 as position from t qualify position < 37
+""")
+def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("orders-1", sample={"method": "stratified", "field_id": "source.status", "seed": -17, "size": 37})
+    return plan.plan(orders(spark, sf_dir), q, ["id"])
+
+
+@register("select o_orderkey::varchar as id, row_number() over (order by o_totalprice, o_orderkey::varchar) - 1 as position from orders qualify position < 50")
+def sample_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("orders-1", sort=({"field_id": "source.price"},), sample={"method": "source", "size": 50})
+    return plan.plan(orders(spark, sf_dir), q, ["id"])
+
+
+@register("select 'source.price' as field_id, count(*) as denominator, count(*) - count(o_totalprice) as missing, count(o_totalprice) as present, min(o_totalprice) as min, max(o_totalprice) as max, avg(o_totalprice) as mean from orders where o_orderstatus = 'F' union all select 'source.customer', count(*), count(*) - count(o_custkey), count(o_custkey), min(o_custkey)::double, max(o_custkey)::double, avg(o_custkey) from orders where o_orderstatus = 'F'")
+def aggregate_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("orders-1", filter={"field_id": "source.status", "op": "eq", "value": "F"})
+    return aggregate.numeric(orders(spark, sf_dir), q, ["source.price", "source.customer"])
+
+
+@register("""
+with v as (select unnest([{f: 'source.status', v: o_orderstatus}, {f: 'source.priority', v: o_orderpriority}]) as x from orders where o_totalprice > 1000),
+c as (select x.f as field_id, x.v as value, count(*) as count from v group by 1, 2),
+w as (select *, coalesce(sum(count) filter (value is null) over (partition by field_id), 0)::bigint as missing, (sum(count) over (partition by field_id))::bigint as denominator from c),
+n as (select *, row_number() over (partition by field_id order by count desc, value) as nth, count(*) over (partition by field_id) > 3 as truncated from w where value is not null)
+select field_id, value, count, missing, denominator, truncated from n where nth <= 3
+""")
+def aggregate_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("orders-1", filter={"field_id": "source.price", "op": "gt", "value": 1000})
+    return aggregate.categorical(orders(spark, sf_dir), q, ["source.status", "source.priority"], top=3)
+
+
+@register("select (select count(*) from documents join labels using (doc_id)) as pairs, 0::bigint as missing_left, (select count(*) from documents) - (select count(*) from labels where doc_id in (select doc_id from documents)) as missing_right, (select corr(n_chars, quality) from documents join labels using (doc_id)) as pearson")
+def compare_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = labelled(spark, sf_dir)
+    return aggregate.correlation(s.records, s.fields["source.chars"].column, s.fields["prediction.labels.quality"].column)
+
+
+@register("select 's:' || o_orderstatus as left_value, 's:' || o_orderpriority as right_value, count(*) as count from orders group by 1, 2")
+def compare_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.crosstab(orders(spark, sf_dir).records, "f_0", "f_2")
+
+
+@register("select 's:' || o_orderpriority as group_value, count(*) as count, avg(o_totalprice) as mean, quantile_cont(o_totalprice, 0.5) as median, min(o_totalprice) as min, max(o_totalprice) as max from orders group by 1")
+def compare_grouped_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.grouped_numeric(orders(spark, sf_dir).records, "f_2", "f_1")
+
+
+@register("""
+with w as (select o_orderkey as ord, case when o_orderkey % 7 = 0 then 'absent' || o_orderkey else o_orderkey::varchar end as id from orders where o_orderkey <= 500),
+v as (select w.ord, w.id, o_orderpriority as value from w left join orders on o_orderkey::varchar = w.id),
+c as (select value, row_number() over (order by count(*) desc, value) - 1 as code from v where value is not null group by value qualify code < 3)
+select ord, id, coalesce(c.code, case when v.value is not null then 3 end, -1)::int as code from v left join c on v.value = c.value
+""")
+def column_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir)
+    ids = s.records.where("row_ordinal <= 500").select(F.col("row_ordinal").alias("ord"), F.when(F.col("row_ordinal") % 7 == 0, F.concat(F.lit("absent"), "id")).otherwise(F.col("id")).alias("id"))
+    return aggregate.coded(s, ids, "source.priority", top=3)
+
+
+@register("select o_orderkey as ord, o_orderkey::varchar as id, (o_totalprice > 150000 and o_orderstatus = 'O')::int as selected from orders where o_orderkey % 3 = 0")
+def membership_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir)
+    q = Query("orders-1", filter={"and": [{"field_id": "source.price", "op": "gt", "value": 150000}, {"field_id": "source.status", "op": "eq", "value": "O"}]})
+    return sets.membership(s.records.where("row_ordinal % 3 = 0").select(F.col("row_ordinal").alias("ord"), "id"), plan.matching(s, q))
+
+
+@register(f"""
+with r as (select o_orderkey, o_orderkey::varchar as id, {FNV.format("'5:' || o_orderkey::varchar")} as k from orders where o_orderstatus = 'F'),
+s as (select id from r order by k, id limit 200)
+select o_orderkey as ord, o_orderkey::varchar as id, (o_orderkey::varchar in (select id from s))::int as selected from orders where o_orderkey % 2 = 0
+""")
+def membership_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir)
+    q = Query("orders-1", filter={"field_id": "source.status", "op": "eq", "value": "F"}, sample={"method": "random", "seed": 5, "size": 200})
+    chosen, _, _ = plan.sampled(s, q, plan.matching(s, q))
+    return sets.membership(s.records.where("row_ordinal % 2 = 0").select(F.col("row_ordinal").alias("ord"), "id"), chosen)
+
+
+@register("select d.doc_id::varchar as id, l.quality::double as quality, l.toxic::double as toxic from documents d left join labels l using (doc_id)")
+def result_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = labelled(spark, sf_dir)
+    return s.records.select("id", F.col(s.fields["prediction.labels.quality"].column).alias("quality"), F.col(s.fields["prediction.labels.toxic"].column).alias("toxic"))
+
+
+@register("select n_nationkey, n_name, n_regionkey, r_name from nation join region on n_regionkey = r_regionkey")
+def join_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.strict_join(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region"), ["n_regionkey"], ["r_regionkey"], check=False)
+
+
+@register("select o_orderkey, len(list(l_linenumber)) as n_lines, sum(l_quantity) as quantity, min(l_linenumber) as first_line from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey")
+def join_strict_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    out = joins.strict_join(_t(spark, sf_dir, "orders").select("o_orderkey"), lines, ["o_orderkey"], ["l_orderkey"], many="lines", allow_unused=True, check=False)
+    return out.select("o_orderkey", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["l_quantity"]).alias("quantity"), F.col("lines")[0]["l_linenumber"].alias("first_line"))
+
+
+@register("select d.doc_id, count(l.doc_id) as n_overlay, coalesce(sum(l.toxic), 0)::bigint as toxic from documents d left join labels l on d.doc_id::varchar = l.doc_id::varchar group by d.doc_id")
+def join_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = joins.overlay_join(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id", "doc_id")
+    return out.select("doc_id", F.size("overlay").cast("long").alias("n_overlay"), F.aggregate("overlay", F.lit(0).cast("long"), lambda a, x: a + x["toxic"]).alias("toxic"))
+
+
+@register("""
+with b as (select o_custkey::varchar as k from orders), o as (select c_custkey::varchar as k from customer), t as (select k from b group by k having count(*) > 1)
+select 'duplicate_base_keys' as "check", (select count(*) from t) as rows union all
+select 'unmatched_overlay', (select count(*) from o where k not in (select k from b)) union all
+select 'multiply_matched_overlay', (select count(*) from o where k in (select k from t)) union all
+select 'overlay_without_key', (select count(*) from o where k is null) union all
+select 'base_without_key', (select count(*) from b where k is null)
+""")
+def join_overlay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.overlay_report(_t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer"), "o_custkey", "c_custkey")
+
+
+@register("""
+select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n_orders, (select min(o_orderkey) from orders where o_custkey = c_custkey) as first_order, n_name as nation from customer join nation on c_nationkey = n_nationkey
+""")
+def join_grouped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = joins.strict_join(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), _t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["c_nationkey"], ["n_nationkey"], allow_unused=True, check=False)
+    out = joins.group_tables(base, "c_custkey", {"orders": (_t(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey", "o_totalprice"])})
+    return out.select("c_custkey", F.size("orders").cast("long").alias("n_orders"), F.get("orders", F.lit(0))["o_orderkey"].alias("first_order"), F.col("n_name").alias("nation"))
+
+
+@register("""
+with l as (select l_orderkey as k, case when max(l_linestatus) = min(l_linestatus) then max(l_linestatus) else 'P' end as status from lineitem group by 1)
+select coalesce(o_orderkey, k) as o_orderkey, o_orderkey is not null as in_left, k is not null as in_right from orders full join l on o_orderkey = k where o_orderkey is null or k is null or o_orderstatus is distinct from status
+""")
+def join_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(F.max("l_linestatus") == F.min("l_linestatus"), F.max("l_linestatus")).otherwise("P").alias("o_orderstatus"))
+    return joins.agree(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", ["o_orderstatus"])
+
+
+@register("select conv_id, count(*) as steps from conversations group by conv_id having count(*) <> count(distinct turn) or min(turn) <> 0 or max(turn) + 1 <> count(*)")
+def turns_not_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.contiguous(_t(spark, sf_dir, "conversations"), "conv_id", "turn", first=0)
+
+
+@register("select conv_id, string_agg(role || ':' || length(text), ',' order by turn) as shape, max(text) filter (turn = 0) as question from conversations group by conv_id")
+def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return c.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(":"), F.length(x["text"]))), ",").alias("shape"), F.get(F.filter("t", lambda x: x["turn"] == 0), F.lit(0))["text"].alias("question"))
+
+
+@register("select o_custkey, max(o_totalprice) filter (o_orderstatus = 'F' ) as f_price, max(o_totalprice) filter (o_orderstatus = 'O') as o_price from (select o_custkey, o_orderstatus, min(o_totalprice) as o_totalprice from orders where o_orderstatus in ('F', 'O') group by 1, 2) group by o_custkey having count(*) = 2")
+def variants_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _t(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O")).groupBy("o_custkey", "o_orderstatus").agg(F.min("o_totalprice").alias("p"))
+    out = joins.collapse_variants(one, "o_custkey", "o_orderstatus", "p", 2)
+    return out.select("o_custkey", F.col("variants")["F"].alias("f_price"), F.col("variants")["O"].alias("o_price"))
+
+
+@register("select l_orderkey, case when count(*) filter (l_linenumber = 1) = 1 then max(case when l_linenumber = 1 then l_returnflag end) end as split_1, case when count(*) filter (l_linenumber = 2) = 1 then max(case when l_linenumber = 2 then l_returnflag end) end as split_2, ((count(*) filter (l_linenumber = 1) > 1)::int + (count(*) filter (l_linenumber = 2) > 1)::int) as repeats from lineitem group by l_orderkey")
+def folds_pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.pivot_folds(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag", [1, 2])
+
+
+@register("select doc_id, lang, coalesce(case when l.doc_id is null then null else 'released' end, 'not_released') as status from documents d full join labels l using (doc_id)")
+def union_keyed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = _t(spark, sf_dir, "labels").select("doc_id", F.lit("released").alias("status"))
+    return joins.union_keyed(l, _t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "status", "not_released").select("doc_id", "lang", "status")
+
+
+@register("""
+with a as (select lower(n_name) as a, list_sort(list(distinct r_name)) as targets from nation join region on n_regionkey = r_regionkey group by 1)
+select s_suppkey, coalesce(len(targets), 0) as n_targets, case when coalesce(len(targets), 0) < 1 then 'none' when len(targets) = 1 then 'one' else 'ambiguous' end as resolution
+from supplier join nation on s_nationkey = n_nationkey left join a on a.a = lower(case when s_suppkey % 5 = 0 then 'nowhere' else n_name end)
+""")
+def aliases_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    m = _t(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "nowhere").otherwise(F.upper("n_name")).alias("mention"))
+    return joins.resolve_aliases(m, nation, "mention", "n_name", "r_name").select("s_suppkey", F.greatest(F.coalesce(F.size("targets"), F.lit(0)), F.lit(0)).cast("long").alias("n_targets"), "resolution")
+
+
+@register("select id, problem from (select doc_id as id, 'missing' as problem from documents where doc_id not in (select doc_id from labels) union all select doc_id, 'repeated' from labels where doc_id in (select doc_id from documents) group by doc_id having count(*) > 1 union all select distinct doc_id, 'unexpected' from labels where doc_id not in (select doc_id from documents))")
+def ids_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.difference(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+@register("select o_orderkey as id, 'train' as origin, o_totalprice as value, null::varchar as segment from orders where o_orderstatus = 'F' union all by name select c_custkey as id, 'test' as origin, c_acctbal as value, c_mktsegment as segment from customer")
+def concatenated_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    b = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"), F.col("c_mktsegment").alias("segment"))
+    return sets.concatenate({"train": a, "test": b}, "id").select("id", "origin", "value", "segment")
+
+
+@register("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth from orders")
+def interleaved_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.interleave(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "nth")
+
+
+@register("select p_brand, min(p_partkey) as p_partkey from part group by p_brand")
+def first_of_each_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.first_per_group(_t(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey")
+
+
+@register("""
+with x as (select l_partkey as record_id, l_suppkey as id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as nth, l_orderkey, l_linenumber from lineitem)
+select id, l_orderkey * 10 + l_linenumber as record_id from x where nth = 1
+""")
+def asset_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(F.struct(F.col("l_suppkey").alias("id"))).alias("assets"))
+    return sets.asset_units(l, order="id")
+
+
+@register("""
+with recursive e as (select distinct c_custkey as r, c_nationkey as a from customer where c_custkey <= 60 union select c_custkey, 1000 + c_custkey // 4 from customer where c_custkey <= 60),
+n as (select distinct x.r as p, y.r as q from e x join e y using (a)),
+w as (select p, q from n union select w.p, n.q from w join n on w.q = n.p)
+select p as r, min(q) as component from w group by p
+""")
+def asset_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").where("c_custkey <= 60")
+    links = c.select(F.col("c_custkey").alias("r"), F.col("c_nationkey").cast("long").alias("a")).unionByName(c.select(F.col("c_custkey").alias("r"), (F.lit(1000) + F.floor(F.col("c_custkey") / 4)).cast("long").alias("a")))
+    return sets.asset_components(links, "r", "a")
+
+
+@register("select sha256(text) as digest, count(*) as copies, min(doc_id) as first_doc from documents group by 1 having count(*) > 1")
+def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return sets.duplicate_files(d, "doc_id", "digest").select("digest", "copies", F.col("paths")[0].alias("first_doc"))
+
+
+@register("""
+with r as (select doc_id, source, sha256('9:' || source) as g, sha256('9:record:' || doc_id) as k from documents),
+o as (select * from r qualify row_number() over (partition by source order by k, doc_id) = 1)
+select source, doc_id, row_number() over (order by g, source) - 1 as rank from o qualify rank < 8
+""")
+def preview_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.bottom_k(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 8, 9)
+
+
+@register("""
+with r as (select doc_id, lang, sha256('9:' || doc_id) as k from documents where lang in ('en', 'de', 'fr')),
+n as (select *, row_number() over (partition by lang order by k, doc_id) as nth from r)
+select doc_id, lang from (select * from n where nth <= 4 order by nth, case lang when 'en' then 1 when 'de' then 2 else 3 end limit 10)
+""")
+def preview_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stratified_bottom_k(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["en", "de", "fr"], "doc_id", 10, 9)
+
+
+@register("""
+with r as (select doc_id, source, sha256('4:' || doc_id) as k from documents),
+n as (select *, source is null or row_number() over (partition by source order by k, doc_id) > 1 as again from r)
+select doc_id, source from (select * from n order by again, k, doc_id limit 60)
+""")
+def preview_asset_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.asset_first(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 60, 4)
+
+
+@register("""
+with g as (select source, row_number() over (order by sha256('3:row_group:' || source)) - 1 as i from (select distinct source from documents) qualify i < 4),
+r as (select doc_id, d.source, i, row_number() over (partition by d.source order by sha256('3:row:' || d.source || ':' || doc_id), doc_id) as nth from documents d join g on d.source = g.source)
+select doc_id, source from r where nth <= 5 + case when i < 2 then 1 else 0 end
+""")
+def sample_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fixed_groups(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 4, 22, 3)
+
+
+@register("select doc_id from (select doc_id from documents where lang = 'en' order by sha256('8:' || doc_id), doc_id limit 25)")
+def sample_filtered_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.draw_rows(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 0, 25, 8, F.col("lang") == "en").select("doc_id")
+
+
+COSINE = "greatest(1 - list_reduce(list_transform(range(1, 65), lambda i: q.e[i] * v.e[i]), lambda a, b: a + b) / (sqrt(list_reduce(list_transform(range(1, 65), lambda i: v.e[i] * v.e[i]), lambda a, b: a + b)) * sqrt(list_reduce(list_transform(range(1, 65), lambda i: q.e[i] * q.e[i]), lambda a, b: a + b))), 0)"
+
+
+@register(f"""
+with v as (select vec_id, label, embedding::double[] as e from embeddings), q as (select e from v where vec_id = 7)
+select id, round(distance, 9) as distance from (select v.vec_id as id, {COSINE} as distance from v, q where v.vec_id <> 7 and label < 5 order by distance, id limit 15)
+""")
+def similar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return vectors.similar(e, record=7, k=15, eligible=e.where("label < 5")).select("id", F.round("distance", 9).alias("distance"))
+
+
+EUCLID = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))))"
+
+
+@register(f"""
+with v as (select vec_id as id, embedding::double[] as e from embeddings where vec_id % 5 = 0)
+select id, rank, neighbour, round(distance, 6) as distance from (
+  select a.id, b.id as neighbour, {EUCLID} as distance, row_number() over (partition by a.id order by {EUCLID}, b.id)::int as rank from v a join v b on a.id <> b.id
+) where rank <= 5
+""")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.neighbours(e, 5).select("id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
+@register(f"""
+with v as (select vec_id as id, embedding::double[] as e from embeddings where vec_id % 5 = 1)
+select id, round(distance, 6) as outlier_score from (
+  select a.id, {EUCLID} as distance, row_number() over (partition by a.id order by {EUCLID}, b.id) as rank from v a join v b on a.id <> b.id
+) where rank = 5
+""")
+def outlier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").where("vec_id % 5 = 1").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.outlier_scores(e).select("id", F.round("outlier_score", 6).alias("outlier_score"))
+
+
+@register("""
+with v as (select vec_id as id, label as cluster, embedding::double[] as e from embeddings),
+c as (select cluster, i, avg(e[i]) as x from v, range(1, 65) r(i) group by 1, 2),
+g as (select v.cluster, v.id, sqrt(sum((v.e[i] - c.x) * (v.e[i] - c.x))) as gap from v join c on v.cluster = c.cluster group by 1, 2),
+n as (select *, row_number() over (partition by cluster order by gap, id) as nth from g)
+select cluster, count(*) as size, round(avg(gap), 8) as mean_distance, min(id) filter (nth = 1) as nearest from n group by cluster
+""")
+def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
+    out = vectors.cluster_summaries(e)
+    return out.select("cluster", "size", F.round("mean_distance", 8).alias("mean_distance"), F.col("exemplars")[0].alias("nearest"))
+
+
+@register("select vec_id as id, 'norm' as problem from embeddings where abs(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) - 1) > 1e-12")
+def vector_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.problems(e, dim=64, unit=True, tolerance=1e-12)
+
+
+@register()
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return results.scalar_columns(vectors.project(e, 2)[0])
+
+
+@register()
+def k_means_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.k_means(e, 10, metric="cosine").select("id", "cluster")
+
+
+@register()
+def hierarchical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.merge_clusters(vectors.k_means(e, 30), 10)
+
+
+@register()
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.density_clusters(e, 5, 1.15)
+
+
+@register("select o_orderstatus as status, count(*) as items, coalesce(sum(o_custkey), 0)::bigint as bytes from orders group by 1")
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.progress(_t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("bytes")))
+
+
+@register("select doc_id as id, case when l.doc_id is null then 'not_applicable' else 'completed' end as status, quality::double as value from documents d left join labels l using (doc_id)")
+def research_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("value"))
+    return results.import_research(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), v, "scalar")
+
+
+@register("""
+with b as (select l_orderkey, l_linenumber, l_discount * 10 as score, case when l_returnflag = 'R' then 'person' else 'other' end as class, l_linestatus from lineitem),
+i as (select l_orderkey as id, count(*) filter (score >= 0.5) as n, max(score) filter (score >= 0.5) as m, count(*) filter (score >= 0.5 and class = 'person') as p from b group by 1)
+select id, n::int as detection_count, m as max_score, p::int as person_count from i
+""")
+def detector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.struct((F.col("l_discount") * 10).alias("score"), F.when(F.col("l_returnflag") == "R", "person").otherwise("other").alias("class"))
+    items = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(box).alias("detections"))
+    asset = F.struct(F.lit("completed").alias("status"), F.lit(None).cast("string").alias("file_sha256"), F.lit("a").alias("asset_id"), F.col("detections").alias("detections"))
+    items = items.select("id", F.lit("completed").alias("status"), F.array(asset).alias("assets"))
+    return results.detector_view(items, 0.5, 0.0).select("id", "detection_count", "max_score", "person_count")
+
+
+@register("select o_orderpriority, count(*) as count, avg(o_totalprice) as mean from orders group by 1 order by 2 desc, 1 limit 3")
+def mean_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.mean_by(_t(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", top=3)
+
+
+@register("select event_id, json_extract_string(props, '$.k')::bigint as k from events where json_extract_string(props, '$.k')::bigint >= 50")
+def nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return e.where("k >= 50")
+
+
+@register("select item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, regexp_replace(regexp_replace(lower(substr(text, 1, 20)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from benchmark")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select("item_id", text.collapse(F.col("text")).alias("text"), text.slug(F.substring("text", 1, 20)).alias("slug"))
+
+
+@register("""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as own, generate_subscripts(string_split(text, chr(10)), 1) as nr from documents),
+w as (select *, coalesce(lag(own) over o, '') || chr(10) || own || chr(10) || coalesce(lead(own) over o, '') as near from l window o as (partition by doc_id order by nr)),
+m as (select doc_id as id, unnest(regexp_extract_all(own, '(?i)\\b(license|version)\\b')) as name, regexp_matches(near, '(?i)\\bapache\\b') as in_context from w)
+select lower(name) as key, count(distinct id) as documents, count(*) as mentions, count(*) filter (in_context) as in_context from m group by 1
+""")
+def mention_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = text.mentions(_t(spark, sf_dir, "documents"), "doc_id", "text", r"(?i)\b(?:license|version)\b", r"(?i)\bapache\b")
+    return m.groupBy(F.lower("name").alias("key")).agg(F.count_distinct("id").alias("documents"), F.count(F.lit(1)).alias("mentions"), F.count_if("in_context").alias("in_context"))
+
+
+@register()
+def vqa_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("answers"))
+    return n.select("n_regionkey", text.vqa_accuracy(F.col("answers")[0], F.concat("answers", "answers", "answers")).alias("accuracy"))
+
+
+@register("""
+select c.c_custkey as id, coalesce(sum(case when o_totalprice between 0 and 50000 then 1 end), 0)::bigint as low, coalesce(sum(case when o_totalprice > 50000 then 1 end), 0)::bigint as high
+from customer c left join orders on o_custkey = c_custkey group by 1
+""")
+def class_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count_if(F.col("o_totalprice").between(0, 50000)).alias("low"), F.count_if(F.col("o_totalprice") > 50000).alias("high"))
+    out = _t(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("k"), "left")
+    return out.select(F.col("c_custkey").alias("id"), F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high"))
+
+
+@register("select facet, value, count(*) as count from (select 'lang' as facet, lang as value from documents union all select 'source', source from documents) group by 1, 2")
+def facet_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select(F.array("lang").alias("lang"), F.array("source").alias("source"))
+    return aggregate.facet(d, "lang", "source")
+
+
+@register("select p_partkey from part where contains(lower(p_name), 'a') and contains(lower(p_name), '1')")
+def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").where(text.contains_all_words(F.col("p_name"), "A 1")).select("p_partkey")
+
+
+@register("""
+select 'c_custkey' as "column", count(c_custkey) as nonnull, count(distinct c_custkey) as "distinct" from customer union all
+select 'c_name', count(c_name), count(distinct c_name) from customer union all
+select 'c_nationkey', count(c_nationkey), count(distinct c_nationkey) from customer union all
+select 'c_acctbal', count(c_acctbal), count(distinct c_acctbal) from customer union all
+select 'c_mktsegment', count(c_mktsegment), count(distinct c_mktsegment) from customer
+""")
+def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.profile(_t(spark, sf_dir, "customer")).select("column", "nonnull", "distinct")
+
+
+@register("select count(*) as count from lineitem")
+def rows_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.digest(_t(spark, sf_dir, "lineitem")).select("count")
+
+
+@register("select 'nation:example:' || substr(sha256('[\"nation\",\"r1\",\"example\",\"' || n_nationkey || '\"]'), 1, 24) as id, n_name as text from nation")
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.to_records(_t(spark, sf_dir, "nation"), "nation", "r1", "example", "n_nationkey", text="n_name").select("id", "text")
+
+
+@register("""
+select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2
+""")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = incremental.windowed_counts(_t(spark, sf_dir, "events"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@register("""
+with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events),
+s as (select user_id, ts, sum(new) over (partition by user_id order by ts, new desc rows unbounded preceding) as k from g)
+select user_id, min(ts) as start, count(*) as n from s group by user_id, k
+""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = incremental.sessions(_t(spark, sf_dir, "events"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
