@@ -1,0 +1,257 @@
+"""The operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing names, against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import classlm, decontamination, exactspans, extraction, mixing, nearest, passages, sharding, simhash, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, shard int, score double, h long, w string, t string, row long"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    out = [text(rng.randint(1, 120)) for _ in range(40)]
+    passage = text(60)
+    out += [text(20) + " " + passage + "\n" + text(15) for _ in range(4)]
+    out += [out[3]] * 5 + [out[10] + " extra", out[10].upper()] + ["", " \t", "one", None, None, "é ü 漢字 " * 40, text(6000)]
+    return out, passage
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", ("a", "b", None, "c")[i % 4 if i % 5 else 0], 1, 2, 3, 4, 0.5, 6, "w", "t", 7) for i, t in enumerate(texts[0])]
+    rows += [(None, "no id here at all", "en", "b", *rows[0][4:]), rows[5], rows[5]]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def n_words(t):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+
+def test_sharding(docs, empty):
+    rows, got = docs.collect(), sharding.shard(docs).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()) + 1, None if r.text is None else zlib.crc32(r.text.encode())) for r in rows if r.text is not None) == sorted((r.doc_id if r.doc_id is not None else -1, r["size"], r.text_crc32) for r in got if r.text_crc32 is not None)
+    assert len(got) == len(rows) and {r.law for r in got} == {"bytes"}
+    for s in range(16):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard(empty).count() == 0
+
+
+def test_a_third_in_one_group_is_split(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text here")).otherwise(F.concat(F.lit("text "), F.col("id") * 7919)).alias("text"))
+    load = [r["b"] for r in sharding.shard(rows).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 16 and max(load) < 1.25 * min(load)
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[50:60] = x[40]
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(1000, None, "x"), (1001, [0.0] * 16, "x"), (1002, [float("nan")] * 16, "x"), (1003, [None, 1.0], "x"), (1004, [], "x"), (1005, [1.0, 2.0], "x"), (None, [1.0] * 16, "x"), (280, x[280].tolist(), "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string")
+    got = nearest.search(df, F.col("vec_id") % 20 == 0).collect()
+    full = x.astype(float) @ x.astype(float).T
+    for q in range(0, 300, 20):
+        order = sorted((i for i in range(300) if i != q), key=lambda i: (-full[q, i], i))
+        mine = [r for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        if q != 280 and 280 not in order[:21]:
+            assert [r["rank"] for r in mine] == list(range(1, 21))
+            assert len({r.vec_id for r in mine} & set(order[:20])) >= 19
+    assert {r.query_id for r in got} == set(range(0, 300, 20))
+    assert nearest.search(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_simhash_against_all_pairs(docs, empty):
+    rows, got = docs.collect(), {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    fp = {r.doc_id: simhash.fingerprint((r.text or "").encode(), 4) for r in rows}
+    root = {d: d for d in fp if d is not None}
+    changed = True
+    while changed:
+        changed = False
+        for a in root:
+            for b in root:
+                if bin(fp[a] ^ fp[b]).count("1") <= 4 and root[b] < root[a]:
+                    root[a], changed = root[b], True
+    for d, r in got.items():
+        assert r.fp & 0xFFFFFFFFFFFFFFFF == fp[d]
+        if d is not None:
+            assert r.component_id == root[d]
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_crowded_anchors_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    base = 0x0123456789ABCDEF
+    fps = [(base ^ (1 << i) ^ (1 << (i * 7 % 60)),) for i in range(40)] + [((base * 31 + i * 2654435761 * 65537) % (1 << 62),) for i in range(40)]
+    df = spark.createDataFrame(sorted(set(fps)), "fp long")
+    links = simhash.candidate_links(df, 4).collect()
+    v = sorted({f[0] for f in fps})
+    full = [(i, j) for i in range(len(v)) for j in range(i) if bin(v[i] ^ v[j]).count("1") <= 4]
+    from tessera.llm.components import local
+
+    at = {x: i for i, x in enumerate(v)}
+    want = local(len(v), np.array([x for x, _ in full]), np.array([y for _, y in full]))
+    got = local(len(v), np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
+    assert (want == got).all()
+
+
+def shingle_set(t, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def test_decontamination_against_all_pairs(spark, docs, empty, texts):
+    passage = texts[1].split()
+    items = [(0, " ".join(passage[:20])), (1, " ".join(passage[5:30]).upper()), (2, " ".join(passage[:12] + ["zzz"] + passage[13:58])), (3, "too short"), (4, None), (5, texts[0][0]), (6, "never seen words in any text at all"), (None, texts[0][1]), (7, texts[0][-1][:400])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shared, r.n_item) for r in decontamination.contained(docs, bench).collect()}
+    want = {}
+    for r in docs.collect():
+        for i, t in items:
+            b, d = shingle_set(t), shingle_set(r.text)
+            if r.doc_id is not None and i is not None and b and len(b & d) >= 0.8 * len(b):
+                want[(r.doc_id, i)] = (len(b & d), len(b))
+    assert got == want and len(want) >= 8
+    assert decontamination.contained(empty, bench).count() == decontamination.contained(docs, bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_large_sets(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(15, 60)))) for i in range(60)]
+    docs = [(0, " ".join(t for _, t in items)), (1, " ".join(t for _, t in items[:7])), (2, items[3][1])]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, i) for i in range(60)} | {(1, i) for i in range(7)} | {(2, 3)}
+
+
+def test_passages(docs, empty, texts):
+    got = passages.shared_passages(docs).collect()
+    same = [i for i, t in enumerate(texts[0]) if t and texts[1] in t]
+    flagged = {r.doc_id for r in got}
+    assert set(same[1:]) <= flagged
+    for r in got:
+        a, b = ((texts[0][x] or "").lower().split() for x in (r.doc_id, r.ref_doc_id))
+        assert r.identity >= 0.8 and r.end - r.start >= 30 and len(set(a[r.start : r.end]) & set(b[r.ref_start : r.ref_end])) >= 0.6 * len(set(a[r.start : r.end]))
+    assert passages.shared_passages(empty).count() == 0
+
+
+def test_exact_spans(docs, empty):
+    rows = sorted({(r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()})
+    seen, want = set(), {}
+    for d, t in rows:
+        b = t.encode()
+        goes = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                goes[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        kept = bytes(x for x, y in zip(b, goes, strict=True) if not y)
+        want[d] = (len(b), sum(goes), len(bytes(goes).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest())
+    got = exactspans.remove_repeats(docs).collect()
+    assert len(got) == docs.count()
+    assert {(r.doc_id if r.doc_id is not None else -1): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert sum(w[1] for w in want.values()) > 400
+    assert exactspans.remove_repeats(empty).count() == 0
+
+
+def test_extraction(spark):
+    page = "<body><nav>Menu</nav><article><h1>T{0}</h1><p>Text &eacute; {0}</article><div class=share>Share</div></body>"
+    rows = [(i, f"http://h{i % 3}.org/x", page.format(i), "host", "w") for i in range(12)] + [(12, None, None, "h", "w"), (13, "not a url", "", "h", "w"), (None, "http://h1.org", "x & y", "h", "w")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string")
+    got = {r.page_id: r for r in extraction.main_text(df).collect()}
+    assert all(got[i].text == f"T{i}\nText é {i}" and got[i].n_chars == len(got[i].text) for i in range(12))
+    assert got[12].text == got[13].text == "" and got[None].text == "x & y"
+    assert extraction.main_text(df.limit(0)).count() == 0
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count()
+    sizes, taken, goal = Counter(), Counter(), {}
+    for r in got:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert sum(sizes.values()) == sum(n_words(r.text) for r in docs.collect())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+        free -= over
+    assert all(math.isclose(goal[s], target[s], abs_tol=1e-6) and taken[s] == math.floor(goal[s]) for s in order)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.before)
+    assert sorted(got, key=key) == sorted(mixing.mix(docs.repartition(5)).collect(), key=key)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_language_model(docs, empty):
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    got = classlm.score(docs, held).collect()
+    rows = docs.collect()
+    out = lambda r: zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7 == 2
+    counts = Counter()
+    for r in rows:
+        if not out(r):
+            counts.update([*(r.text or "").encode().lower().split(), b"\n"])
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for r in rows:
+        toks = [*(r.text or "").encode().lower().split(), b"\n"]
+        base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in toks)
+        want[(r.doc_id, out(r), len(toks), sum(counts[t] > 0 for t in toks), n, round(base, 6))] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert classlm.score(empty, held).count() == 0
+    alone = classlm.score(docs, F.lit(True)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 for r in alone)
+
+
+def test_language_model_adds_up(docs):
+    _, _, counts, types = classlm.train(docs.where("doc_id < 30"), text_col="text")
+    by_class = counts.sum(0)
+    share = (by_class + 1) / (by_class.sum() + classlm.CLASSES)
+    move = (counts + classlm.WEIGHT * share) / (counts.sum(1)[:, None] + classlm.WEIGHT)
+    assert np.allclose(move.sum(1), 1) and by_class.sum() == counts.sum() and types.sum() > 50
+    # all seen types and one unseen type: (sum of c + 1, plus 1) / room is one in each class
+    room = by_class + types + 1
+    assert np.allclose((by_class + types) / room + 1 / room, 1)
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)) + (" awfulword" if i % 4 == 0 else "")) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 120)] + [(5, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    s = toxicity.Settings(buckets=1 << 12, max_rows=100)
+    m = toxicity.train(d, labels, F.col("doc_id") < 100, s)
+    got = {r.doc_id: r.score for r in toxicity.score(d, m, score_col="p").withColumnRenamed("p", "score").collect()}
+    assert all((got[i] > 0.5) == (i % 4 == 0) for i in range(100, 200))
+    assert toxicity.score(docs, m, score_col="_s").count() == docs.count() and toxicity.score(empty, m, score_col="_s").count() == 0
+    none = toxicity.train(d, labels.limit(0), F.lit(True), s)
+    assert {r.score for r in toxicity.score(d, none).select("score").distinct().collect()} != set()
