@@ -23,7 +23,7 @@ ids is null. Repeated rows have the same result. An empty table gives an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations, product, repeat
 
@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._bytes import mixed
 from tessera.llm._common import Scratch, parts
 from tessera.llm.components import components, local
 
@@ -42,11 +43,7 @@ SEED = 42
 
 
 def fingerprint(text: bytes, width: int) -> int:
-    words = text.lower().split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+    h = shingle_hashes(text, width)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
@@ -143,6 +140,36 @@ def links_of_sorted(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndar
     return forest()
 
 
+def _compared(placed: DataFrame, link: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): distinct links among the rows of each anchor. ``placed``: anchor, then the node's id and further columns, all long;
+    ``link`` gets sorted anchors and those columns, and returns positions."""
+    names = placed.columns[1:]
+    node = names[0]
+    crowded = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CHUNK).withColumnRenamed("anchor", "_a")
+    n = F.coalesce(F.ceil(F.col("_n") / CHUNK), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64(node), n).cast("int")
+    placed = placed.join(crowded, F.col("anchor") == F.col("_a"), "left").withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    key = F.when(F.col("_a").isNull(), F.xxhash64("anchor")).otherwise(F.xxhash64("anchor", F.least(own, "_other"), F.greatest(own, "_other")))
+    placed = placed.select(key.alias("key"), *names).repartition(parts(placed.sparkSession), "key").sortWithinPartitions("key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * (len(names) + 1)
+
+        def done(cols: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = link(cols[0], *(c.view(np.uint64) for c in cols[1:]))
+            return pa.RecordBatch.from_arrays([pa.array(cols[1][a]), pa.array(cols[1][b])], names=["a", "b"])
+
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on in the next batch
+            if cut >= 1 << 15:
+                yield done([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        yield done(held)
+
+    return placed.mapInArrow(compare, "a long, b long").distinct()
+
+
 def candidate_links(fps: DataFrame, bits: int) -> DataFrame:
     """(a, b): links between fingerprints of ``fps`` (fp: long, distinct) at ``bits`` or fewer differing bits; a spanning forest for each anchor."""
     extra = (bits // 2 + 1) // 2
@@ -156,32 +183,7 @@ def candidate_links(fps: DataFrame, bits: int) -> DataFrame:
                     at, anchor = anchors(x >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF), extra)
                     yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(side << 32)).view(np.int64)), pa.array(x[at].view(np.int64))], names=["anchor", "fp"])
 
-    placed = fps.mapInArrow(replicate, "anchor long, fp long")
-    crowded = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CHUNK).withColumnRenamed("anchor", "_a")
-    n = F.coalesce(F.ceil(F.col("_n") / CHUNK), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), n).cast("int")
-    placed = placed.join(crowded, F.col("anchor") == F.col("_a"), "left").withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
-    key = F.when(F.col("_a").isNull(), F.xxhash64("anchor")).otherwise(F.xxhash64("anchor", F.least(own, "_other"), F.greatest(own, "_other")))
-    tasks = parts(fps.sparkSession)
-    placed = placed.select(key.alias("key"), "fp").repartition(tasks, "key").sortWithinPartitions("key")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = links_of_sorted(key, fp, bits)
-            return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
-            if cut >= 1 << 15:
-                yield done(key[:cut], fp[:cut])
-                key, fp = key[cut:], fp[cut:]
-        yield done(key, fp)
-
-    return placed.mapInArrow(compare, "a long, b long").distinct()
+    return _compared(fps.mapInArrow(replicate, "anchor long, fp long"), lambda key, fp: links_of_sorted(key, fp, bits))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,3 +196,134 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, bits: int = 4, id_col: s
     names = of.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_r")
     of = of.join(names, F.col("root") == F.col("_r")).select(F.col("fp").alias("_f"), "root", "component_id")
     return rows.join(of, F.col("fp") == F.col("_f")).select("doc_id", "fp", "root", "component_id")
+
+
+# Near copies by the similarity of their shingle sets
+
+
+WIDE, VIEWS, WIDE_BITS = 4, 6, 52
+WIDE_COLUMNS = [f"f{i}" for i in range(WIDE)]
+
+
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 values of the word shingles, repeats included; under ``width`` words, of the whole sequence; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
+
+
+def wide_fingerprint(text: bytes, width: int) -> np.ndarray:
+    """WIDE words of majority bits over the distinct shingles; each word by another mixing of their hashes."""
+    h = np.unique(shingle_hashes(text, width))
+    out = np.zeros(WIDE, dtype=np.uint64)
+    for w in range(WIDE if len(h) else 0):
+        m = mixed(h + np.uint64(0x9E3779B97F4A7C15 * w % (1 << 64)))
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(m), 1 << 16):
+            ones += np.unpackbits(m[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        out[w] = np.packbits(2 * ones > len(m)).view(np.uint64)[0]
+    return out
+
+
+def closest_forest(key: np.ndarray, words: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links at ``bits`` or fewer differing bits among fingerprints of equal key (sorted): of each component, a spanning tree of least distances."""
+    a, b, d = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+
+    def tree(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(d, kind="stable")
+        a, b, d = a[order], b[order], d[order]
+        label, kept = np.arange(len(key)), np.zeros(len(a), dtype=bool)
+        while len(live := np.flatnonzero(label[a] != label[b])):
+            first = np.full(len(key), len(a))
+            np.minimum.at(first, label[a[live]], live)
+            np.minimum.at(first, label[b[live]], live)
+            chosen = np.unique(first[first < len(a)])
+            kept[chosen] = True
+            label = local(len(key), label[a[chosen]], label[b[chosen]])[label]
+        return a[kept], b[kept], d[kept]
+
+    live, shift = np.arange(len(key)), 0
+    while len(live):
+        shift += 1
+        live = live[: np.searchsorted(live, len(key) - shift)]
+        live = live[key[live] == key[live + shift]]
+        far = sum(np.bitwise_count(w[live] ^ w[live + shift]).astype(np.int32) for w in words)
+        near = far <= bits
+        a, b, d = np.concatenate([a, live[near]]), np.concatenate([b, live[near] + shift]), np.concatenate([d, far[near]])
+        if len(a) > 1 << 20:
+            a, b, d = tree(a, b, d)
+    a, b, _ = tree(a, b, d)
+    return a, b
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row: doc_id, node (equal for equal fingerprints), root (names the component).
+
+    Links are pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` or more. At 0.8 their fingerprints
+    of 256 bits differ in 39 bits on average, with a deviation of 6; ``WIDE_BITS`` are allowed, and what passes is verified by
+    the sets. Anchors are the words of the Golay code on each of ``VIEWS`` blocks of 23 bits, and a fingerprint is at all anchors
+    within the covering radius plus one. Two that differ in a block by two bits or fewer share an anchor in it, others often; by
+    simulation a pair at 0.8 is missed in all blocks once in 200 times. Each anchor yields a spanning tree of least distances, so that no group
+    of copies becomes all its pairs, and its weakest links are as strong as can be."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.array([wide_fingerprint(b.column(1)[i].as_py() or b"", width) for i in range(b.num_rows)], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(WIDE))], names=["doc_id", *WIDE_COLUMNS])
+
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("_t"))
+    rows = chosen.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS))
+    rows = scratch.write(rows.withColumn("node", F.xxhash64(*WIDE_COLUMNS)))
+    nodes = scratch.write(rows.groupBy("node", *WIDE_COLUMNS).agg(F.min("doc_id").alias("doc_id")))
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, patterns = _errors("golay", 4)
+        moves = [np.array([p for p, _ in m], dtype=np.uint64) for m in patterns]
+        count = np.array([len(m) for m in moves])
+        start, flat = np.cumsum(count) - count, np.concatenate(moves)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1 << 13):
+                part = [batch.column(j).to_numpy()[i : i + (1 << 13)] for j in range(WIDE + 1)]
+                f = [x.view(np.uint64) for x in part[1:]]
+                for view in range(VIEWS):
+                    word, bit = divmod(23 * view, 64)
+                    block = f[word] >> np.uint64(bit)
+                    if bit > 41:
+                        block = block | f[word + 1] << np.uint64(64 - bit)
+                    block = block & np.uint64((1 << 23) - 1)
+                    s = np.zeros(len(block), dtype=np.int64)
+                    for j, c in enumerate(columns):
+                        s ^= (block >> np.uint64(j) & np.uint64(1)).astype(np.int64) * int(c)
+                    at = np.repeat(np.arange(len(block)), count[s])
+                    nth = np.arange(len(at)) - np.repeat(np.cumsum(count[s]) - count[s], count[s])
+                    anchor = (block[at] ^ flat[start[s][at] + nth] | np.uint64(view << 23)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), *(pa.array(x[at]) for x in part)], names=["anchor", "node", *WIDE_COLUMNS])
+
+    placed = nodes.select("node", *WIDE_COLUMNS).mapInArrow(replicate, "anchor long, node long, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS))
+    links = scratch.write(_compared(placed, lambda key, node, *words: closest_forest(key, list(words), WIDE_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py() or b"", width)).tobytes() for t in b.column(1)], pa.binary())], names=["n", "hs"])
+
+    ends = links.select(F.col("a").alias("n")).unionByName(links.select(F.col("b").alias("n"))).distinct()
+    ends = nodes.join(ends, F.col("node") == F.col("n"), "left_semi").select("node", F.col("doc_id").alias("_d"))
+    held = scratch.write(chosen.join(ends, F.col("doc_id") == F.col("_d")).select("node", "_t").mapInArrow(sets, "n long, hs binary").dropDuplicates(["n"]))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    pairs = links.join(held.select(F.col("n").alias("_n1"), F.col("hs").alias("h1")), F.col("a") == F.col("_n1")).join(held.select(F.col("n").alias("_n2"), F.col("hs").alias("h2")), F.col("b") == F.col("_n2"))
+    roots = components(pairs.select("a", "b", "h1", "h2").mapInArrow(verify, "a long, b long"))
+    return rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
