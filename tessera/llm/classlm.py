@@ -22,8 +22,9 @@ all tokens are unseen and the score is the base score.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,8 @@ def _counts(docs: DataFrame, contexts: dict[bytes, int] | None, only_frequent: b
     schema = ", ".join(["w binary", "c long", *(f"k{i} int" for i in range(wide))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__  # a new token gets the next number
         at: list[np.ndarray] = []
         known, held = shared.value, 0
 
@@ -73,11 +75,11 @@ def _counts(docs: DataFrame, contexts: dict[bytes, int] | None, only_frequent: b
                 if only_frequent:
                     if not ids:
                         ids.update((w, i) for i, w in enumerate(known))
-                    own = np.fromiter((ids.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+                    own = np.fromiter(map(ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
                 else:
-                    own = np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int64, count=len(words))
+                    own = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
                 if wide:
-                    before = np.fromiter(chain((START,), (known.get(w, OTHER) for w in words[:-1])), dtype=np.int64, count=len(words))
+                    before = np.fromiter(chain((START,), map(known.get, words[:-1], repeat(OTHER))), dtype=np.int64, count=len(words))
                     own = (own * wide + before)[own >= 0]
                 at.append(own)
                 held += len(own)
@@ -170,7 +172,8 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
             words.update((text.as_py() or b"").lower().split())
         return pa.table({"block": pa.array(np.full(len(words), group.column("block")[0].as_py(), np.int32)), "w": pa.array(list(words), pa.binary())})
 
-    part = blocked.select("block", "t").groupBy("block").applyInArrow(used, "block int, w binary").join(table, "w").select("block", "w", "c", "cls")
+    # ``used`` reads all columns, so that both readers share one shuffle of the texts
+    part = blocked.groupBy("block").applyInArrow(used, "block int, w binary").join(table, "w").select("block", "w", "c", "cls")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(texts: pa.Table, vocab: pa.Table) -> pa.Table:
@@ -184,7 +187,7 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
         out = []
         for text in texts.column("t"):
             toks = tokens(text.as_py())
-            at = np.fromiter((ids.get(w, -1) for w in toks), dtype=np.int64, count=len(toks))
+            at = np.fromiter(map(ids.get, toks, repeat(-1)), dtype=np.int64, count=len(toks))
             before = np.empty(len(at), dtype=np.int64)
             before[0], before[1:] = START, context[at[:-1]]
             known = at >= 0
