@@ -25,6 +25,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 
 #: Pages of a host that must share a text before it is template.
 TEMPLATE_PAGES = 3
+#: Elements nested deeper than this are read as part of the one that holds them; what is left out may go a little deeper.
+DEEPEST, DEEPEST_OUT = 200, 240
 
 # HTML elements by role, and words that mark what isn't the article.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -67,6 +70,7 @@ def parse(page: str) -> Node:
     """A lenient tree: unclosed elements end with what holds them, stray ends are left out."""
     root = Node("#root")
     stack, at, end = [root], 0, len(page)
+    deeper: Counter[str] = Counter()  # open elements that are too deep for the stack
 
     def close(names: tuple[str, ...] | str, walls: tuple[str, ...] = ()) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -83,6 +87,11 @@ def parse(page: str) -> Node:
             stack[-1].children.append(html.unescape(m[4]))
         elif m[2]:
             tag = m[2].lower()
+            if len(stack) < DEEPEST:
+                deeper.clear()
+            if m[1] and deeper[tag]:
+                deeper[tag] -= 1
+                continue
             if m[1]:
                 close((tag,), () if tag in ("article", "main", "body", "html") else ("article", "main", "body") if tag not in BLOCKS else ())
                 continue
@@ -97,7 +106,10 @@ def parse(page: str) -> Node:
             node = Node(tag, m[3])
             stack[-1].children.append(node)
             if tag not in VOID and not m[3].rstrip().endswith("/"):
-                stack.append(node)
+                if len(stack) < (DEEPEST_OUT if node.out else DEEPEST):
+                    stack.append(node)
+                else:
+                    deeper[tag] += 1
     return root
 
 

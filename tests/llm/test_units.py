@@ -147,3 +147,9 @@ def test_misspellings_share_vectors():
     assert new[1] > new[0] and 0 <= new.min() and new.max() <= 1 and new[2] == new[3]
     one_class = toxicity.fit(good[:3], [0, 0, 0], s, 0.0)
     assert one_class.score(["a"])[0] < 0.01
+
+
+def test_extraction_of_deep_trees():
+    page = "<article><p>First</p>" + "<div>" * 5000 + "In the deep" + "</div>" * 5000 + "<p>Last</p></article><footer>Foot</footer>"
+    assert extraction.extract(page, extraction.slots(extraction.skeleton(extraction.parse(page)))).split("\n") == ["First", "In the deep", "Last"]
+    assert extraction.extract("<nav>" * 3000 + "Menu", None) == ""
