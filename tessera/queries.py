@@ -169,34 +169,34 @@ def compare_grouped_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-with w as (select o_orderkey as ord, case when o_orderkey % 7 = 0 then 'absent' || o_orderkey else o_orderkey::varchar end as id from orders where o_orderkey <= 500),
+with w as (select o_orderkey as ord, case when o_orderkey % 7 = 0 then 'absent' || o_orderkey else o_orderkey::varchar end as id from orders),
 v as (select w.ord, w.id, o_orderpriority as value from w left join orders on o_orderkey::varchar = w.id),
 c as (select value, row_number() over (order by count(*) desc, value) - 1 as code from v where value is not null group by value qualify code < 3)
 select ord, id, coalesce(c.code, case when v.value is not null then 3 end, -1)::int as code from v left join c on v.value = c.value
 """)
 def column_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = orders(spark, sf_dir)
-    ids = s.records.where("row_ordinal <= 500").select(F.col("row_ordinal").alias("ord"), F.when(F.col("row_ordinal") % 7 == 0, F.concat(F.lit("absent"), "id")).otherwise(F.col("id")).alias("id"))
+    ids = s.records.select(F.col("row_ordinal").alias("ord"), F.when(F.col("row_ordinal") % 7 == 0, F.concat(F.lit("absent"), "id")).otherwise(F.col("id")).alias("id"))
     return aggregate.coded(s, ids, "source.priority", top=3)
 
 
-@register("select o_orderkey as ord, o_orderkey::varchar as id, (o_totalprice > 150000 and o_orderstatus = 'O')::int as selected from orders where o_orderkey % 3 = 0")
+@register("select o_orderkey as ord, o_orderkey::varchar as id, (o_totalprice > 150000 and o_orderstatus = 'O')::int as selected from orders")
 def membership_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = orders(spark, sf_dir)
     q = Query("orders-1", filter={"and": [{"field_id": "source.price", "op": "gt", "value": 150000}, {"field_id": "source.status", "op": "eq", "value": "O"}]})
-    return sets.membership(s.records.where("row_ordinal % 3 = 0").select(F.col("row_ordinal").alias("ord"), "id"), plan.matching(s, q))
+    return sets.membership(s.records.select(F.col("row_ordinal").alias("ord"), "id"), plan.matching(s, q))
 
 
 @register(f"""
 with r as (select o_orderkey, o_orderkey::varchar as id, {FNV.format("'5:' || o_orderkey::varchar")} as k from orders where o_orderstatus = 'F'),
 s as (select id from r order by k, id limit 200)
-select o_orderkey as ord, o_orderkey::varchar as id, (o_orderkey::varchar in (select id from s))::int as selected from orders where o_orderkey % 2 = 0
+select o_orderkey as ord, o_orderkey::varchar as id, (o_orderkey::varchar in (select id from s))::int as selected from orders
 """)
 def membership_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = orders(spark, sf_dir)
     q = Query("orders-1", filter={"field_id": "source.status", "op": "eq", "value": "F"}, sample={"method": "random", "seed": 5, "size": 200})
     chosen, _, _ = plan.sampled(s, q, plan.matching(s, q))
-    return sets.membership(s.records.where("row_ordinal % 2 = 0").select(F.col("row_ordinal").alias("ord"), "id"), chosen)
+    return sets.membership(s.records.select(F.col("row_ordinal").alias("ord"), "id"), chosen)
 
 
 @register("select d.doc_id::varchar as id, l.quality::double as quality, l.toxic::double as toxic from documents d left join labels l using (doc_id)")
@@ -325,15 +325,18 @@ def asset_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-with recursive e as (select distinct c_custkey as r, c_nationkey as a from customer where c_custkey <= 60 union select c_custkey, 1000 + c_custkey // 4 from customer where c_custkey <= 60),
-n as (select distinct x.r as p, y.r as q from e x join e y using (a)),
-w as (select p, q from n union select w.p, n.q from w join n on w.q = n.p)
+with recursive e as (select c_custkey as r, c_nationkey * 3 + c_custkey % 3 as a from customer union select c_custkey, 1000000 + c_custkey // 3 from customer where c_nationkey % 8 = 0),
+h as (select a, min(r) as r from e group by a),
+n as (select distinct h.r as p, e.r as q from e join h using (a)),
+m as (select p, q from n union select q, p from n),
+w as (select p, q from m union select w.p, m.q from w join m on w.q = m.p)
 select p as r, min(q) as component from w group by p
 """)
 def asset_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").where("c_custkey <= 60")
-    links = c.select(F.col("c_custkey").alias("r"), F.col("c_nationkey").cast("long").alias("a")).unionByName(c.select(F.col("c_custkey").alias("r"), (F.lit(1000) + F.floor(F.col("c_custkey") / 4)).cast("long").alias("a")))
-    return sets.asset_components(links, "r", "a")
+    c = _t(spark, sf_dir, "customer")
+    own = c.select(F.col("c_custkey").alias("r"), (F.col("c_nationkey") * 3 + F.col("c_custkey") % 3).cast("long").alias("a"))
+    also = c.where("c_nationkey % 8 = 0").select(F.col("c_custkey").alias("r"), (F.lit(1000000) + F.floor(F.col("c_custkey") / 3)).cast("long").alias("a"))
+    return sets.asset_components(own.unionByName(also), "r", "a")
 
 
 @register("select sha256(text) as digest, count(*) as copies, min(doc_id) as first_doc from documents group by 1 having count(*) > 1")
@@ -399,24 +402,24 @@ EUCLID = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i])
 
 
 @register(f"""
-with v as (select vec_id as id, embedding::double[] as e from embeddings where vec_id % 5 = 0)
+with v as (select vec_id as id, embedding::double[] as e from embeddings)
 select id, rank, neighbour, round(distance, 6) as distance from (
   select a.id, b.id as neighbour, {EUCLID} as distance, row_number() over (partition by a.id order by {EUCLID}, b.id)::int as rank from v a join v b on a.id <> b.id
 ) where rank <= 5
 """)
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return vectors.neighbours(e, 5).select("id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
 @register(f"""
-with v as (select vec_id as id, embedding::double[] as e from embeddings where vec_id % 5 = 1)
+with v as (select vec_id as id, embedding::double[] as e from embeddings)
 select id, round(distance, 6) as outlier_score from (
   select a.id, {EUCLID} as distance, row_number() over (partition by a.id order by {EUCLID}, b.id) as rank from v a join v b on a.id <> b.id
 ) where rank = 5
 """)
 def outlier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "embeddings").where("vec_id % 5 = 1").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return vectors.outlier_scores(e).select("id", F.round("outlier_score", 6).alias("outlier_score"))
 
 
@@ -498,9 +501,9 @@ def nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("k >= 50")
 
 
-@register("select item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, regexp_replace(regexp_replace(lower(substr(text, 1, 20)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from benchmark")
+@register("select item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from benchmark")
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "benchmark").select("item_id", text.collapse(F.col("text")).alias("text"), text.slug(F.substring("text", 1, 20)).alias("slug"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", text.collapse(F.col("text")).alias("text"), text.slug(F.col("text")).alias("slug"))
 
 
 @register("""
