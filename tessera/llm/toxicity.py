@@ -135,11 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Sett
     counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    rank = F.row_number().over(Window.partitionBy("_y").orderBy("_k", "_id"))
     rare = min(min(counts.get(0, 0), counts.get(1, 0)), s.max_rows // 2)
     rare_label = 1 if counts.get(1, 0) <= counts.get(0, 0) else 0
-    some = lab.withColumn("_k", F.sha2(F.concat_ws(":", F.lit(s.seed), "_id"), 256)).withColumn("_r", rank)
-    some = some.where(F.col("_r") <= s.max_rows).where((F.col("_y") == rare_label) & (F.col("_r") <= rare) | (F.col("_y") != rare_label) & (F.col("_r") <= s.max_rows - rare))
+    keyed = lab.withColumn("_k", F.sha2(F.concat_ws(":", F.lit(s.seed), "_id"), 256))
+    first = lambda label, n: keyed.where(F.col("_y") == label).orderBy("_k", "_id").limit(n)  # noqa: E731  each task keeps n rows at most
+    some = first(rare_label, rare).unionByName(first(1 - rare_label, s.max_rows - rare))
     some = some.withColumn("_b", F.sum("_n").over(Window.orderBy("_k", "_id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_b") <= s.max_bytes)
     chosen = some.select("_id", "_y").distinct()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").collect()  # at most max_rows and max_bytes
