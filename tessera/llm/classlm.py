@@ -1,18 +1,19 @@
 """Scoring texts with a class-based bigram model whose classes come from exchange clustering.
 
 log10 P(text) is the sum over its tokens of log10 P(class | context) P(token | class); tokens are the lower-cased (A to Z)
-words and one end. The context is the class of the token before if that is one of the ``frequent`` most frequent ones, else
-"other"; a text starts in the context "start". Both factors are smoothed: transitions towards the classes' shares, emissions by
+words and one end. The context is the class of the token before, whatever its frequency; a token that training never saw is the
+context "other", and a text starts in the context "start". Both factors are smoothed: transitions towards the classes' shares, emissions by
 adding one for each token type of the class and one for tokens that training never saw, which any class may emit. All of a
 context's probabilities, an unseen token's included, add up to one.
 
-Exchange: frequent tokens begin in classes by their rank (the first ones in one each). A token's counts by context decide which
-class makes the training text likelier, given the counts of the classes; all tokens move at once, for several steps, and the new
-classes become the contexts. Then the corpus is read again, and every token of the vocabulary goes to its best class.
+Exchange: the most frequent tokens begin in one class each, all others in classes by a hash. A token's counts by the classes before
+and after it decide which class makes the training text likelier, given the counts of the classes. In each of ``STEPS`` steps over all
+pairs of tokens, half of the vocabulary (by a hash, in turn) moves at once; the classes of the likeliest step are taken.
 
-Scale: every token of the corpus is counted by Spark, in tables keyed by token; each token has one row with its counts by context,
-summed up before and after the shuffle. Only the classes of ``frequent`` tokens and the class-by-class counts, both of fixed
-size, reach the driver and the tasks whole. To score, texts are dealt over blocks of about ``BLOCK_BYTES``, and each block gets the
+Scale: the corpus is read once, into blocks of ``HELD_TOKENS`` tokens or a little more, as numbers. In each step a block gets the
+classes of its own tokens and tells each token's counts; they are summed up by token, and a token's row has a place for each block that has it.
+Only the class-by-class counts, of fixed size, reach the driver and the tasks whole. Tokens of equal 64-bit hash would
+share a class. To score, texts are dealt over blocks of about ``BLOCK_BYTES``, and each block gets the
 part of the vocabulary that it uses; no vocabulary is broadcast.
 
 Nulls: a null text is an empty one and has one token, the end. Rows with a null id have the crc32 of the empty text, and take
@@ -24,22 +25,26 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Scratch
+from tessera.llm._common import Scratch, parts
 
-#: Classes; tokens that serve as contexts by their class; steps of their moves; least share of all tokens that such a token has.
-CLASSES, FREQUENT, STEPS, LEAST_SHARE = 32, 16_384, 6, 1e-6
-BLOCK_BYTES, HELD_WORDS, HELD_TOKENS = 16 << 20, 100_000, 4_000_000
+#: Classes; steps of their tokens' moves.
+CLASSES, STEPS = 32, 6
+BLOCK_BYTES, HELD_TOKENS, PIECE = 16 << 20, 2_000_000, 1 << 16
 #: The end token; no word has a line feed in it.
 END = b"\n"
 OTHER, START = CLASSES, CLASSES + 1
 CONTEXTS = CLASSES + 2
+KINDS = 128  #: over all contexts and classes; a power of two
 WEIGHT = 5.0  #: of the classes' shares in a transition
 
 
@@ -49,110 +54,191 @@ def tokens(text: bytes | None) -> list[bytes]:
     return out
 
 
-def _counts(docs: DataFrame, contexts: dict[bytes, int] | None, only_frequent: bool = False) -> DataFrame:
-    """(w, c[, k0 ..]): tokens of ``docs`` (t: binary), their counts and, if classes are given, their counts by context; partial sums."""
-    wide = CONTEXTS if contexts else 0
-    shared = docs.sparkSession.sparkContext.broadcast(contexts)  # FREQUENT tokens at most
-    schema = ", ".join(["w binary", "c long", *(f"k{i} int" for i in range(wide))])
+def hashed(words: Iterable[bytes]) -> np.ndarray:
+    """The words' numbers: 64-bit hashes, as longs."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64).view(np.int64)
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """``docs`` (t: binary) as blocks of ``HELD_TOKENS`` tokens: (block, i, w, h, c), the block's tokens with their numbers and counts, and
+    (block, seq), parts of its texts by those numbers, int32; a text begins with -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__  # a new token gets the next number
         at: list[np.ndarray] = []
-        known, held = shared.value, 0
-
-        def flush() -> pa.RecordBatch:
-            flat = np.concatenate(at)
-            table = np.bincount(flat, minlength=len(ids) * max(wide, 1)).reshape(len(ids), -1)
-            columns = [pa.array(list(ids), pa.binary()), pa.array(table.sum(axis=1)), *(pa.array(table[:, i].astype(np.int32)) for i in range(wide))]
+        held, block, names = 0, TaskContext.get().partitionId() << 32, ["block", "i", "w", "h", "c", "seq"]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            n, flat = len(ids), np.concatenate(at).astype(np.int32)
+            c = np.bincount(flat[1:][flat[1:] >= 0], minlength=n)  # what is first is -1 or counted in the block before
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(ids), pa.binary()), pa.array(hashed(ids)), pa.array(c), pa.nulls(n, pa.binary())], names=names)
+            seq = [flat[max(i - 1, 0) : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]  # parts overlap by the token before
+            n = len(seq)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(seq, pa.binary())], names=names)
             ids.clear()
             at.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["w", "c", *(f"k{i}" for i in range(wide))])
 
         for b in batches:
             for text in b.column(0):
                 words = tokens(text.as_py())
-                if only_frequent:
-                    if not ids:
-                        ids.update((w, i) for i, w in enumerate(known))
-                    own = np.fromiter(map(ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-                else:
-                    own = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-                if wide:
-                    before = np.fromiter(chain((START,), map(known.get, words[:-1], repeat(OTHER))), dtype=np.int64, count=len(words))
-                    own = (own * wide + before)[own >= 0]
-                at.append(own)
-                held += len(own)
-                if len(ids) >= HELD_WORDS or held >= HELD_TOKENS:
-                    yield flush()
-                    held = 0
+                at.append(np.array([-1]))
+                for i in range(0, len(words), HELD_TOKENS):
+                    piece = words[i : i + HELD_TOKENS]
+                    at.append(np.fromiter(map(ids.__getitem__, piece), dtype=np.int64, count=len(piece)))
+                    held += len(piece)
+                    if held >= HELD_TOKENS:
+                        yield from flush()
+                        held, block = 0, block + 1
+                        if i + HELD_TOKENS < len(words):
+                            at.append(np.array([ids[piece[-1]]]))
         if at:
-            yield flush()
-
-    return docs.mapInArrow(run, schema)
+            yield from flush()
+
+    return docs.mapInArrow(run, "block long, i int, w binary, h long, c long, seq binary")
+
+
+def _gathered(seqs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(h, cls, m, block, i): each token's class, its counts n by kind k as n * KINDS + k, and its places. A kind is the class before, or
+    ``CONTEXTS`` and the class after. ``placed``: block, i, h, cls; both are dealt by block, so that a block's texts meet the classes of its tokens."""
+
+    def told(parts: pa.Table, vocab: pa.Table) -> pa.Table:
+        i = vocab.column("i").to_numpy()
+        order = np.empty(len(i), dtype=np.int64)
+        order[i] = np.arange(len(i))
+        vocab = vocab.take(pa.array(order))
+        cls = np.append(vocab.column("cls").to_numpy(), START).astype(np.int32)  # -1, the start, is last
+        keys = []
+        for part in parts.column("seq"):
+            seq = np.frombuffer(part.as_buffer(), dtype=np.int32)
+            a, b = seq[:-1], seq[1:]
+            a, b = a[b >= 0], b[b >= 0]
+            keys += [b * KINDS + cls[a], a[a >= 0] * KINDS + CONTEXTS + cls[b[a >= 0]]]
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(key // KINDS, minlength=len(i)))]).astype(np.int32)
+        m = pa.ListArray.from_arrays(pa.array(offsets), pa.array((n * KINDS + key % KINDS).astype(np.int32)))
+        return pa.table([vocab.column("h"), vocab.column("cls"), m, vocab.column("block"), vocab.column("i")], names=["h", "cls", "m", "block", "i"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            t = t.combine_chunks()
+            h, m = t.column("h").to_numpy(), t.column("m").combine_chunks()
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            row = np.repeat(np.cumsum(first) - 1, pc.list_value_length(m).to_numpy())
+            m = m.flatten().to_numpy().astype(np.int64)
+            key, at = np.unique(row * KINDS + m % KINDS, return_inverse=True)
+            n = np.bincount(at, weights=m // KINDS).astype(np.int64)
+            first = np.flatnonzero(first)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(key // KINDS, minlength=len(first)))]).astype(np.int32)
+            places = pa.array(np.append(first, len(h)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(n * KINDS + key % KINDS)), *(pa.ListArray.from_arrays(places, pa.array(t.column(x).to_numpy())) for x in ("block", "i"))]
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(t.column("cls").to_numpy()[first]), *lists], names=["h", "cls", "m", "block", "i"])
 
-def _move(table: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``table`` with the class of each token chosen anew. counts: contexts x classes."""
-    gain = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * CONTEXTS))
-    names = [f"k{i}" for i in range(CONTEXTS)]
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 1 << 15:
+                t = pa.Table.from_batches(held)
+                h = t.column("h").to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))  # the last token may go on in the next batch
+                if cut:
+                    yield from done(t.slice(0, cut))
+                    t = t.slice(cut).combine_chunks()
+                held, rows = t.to_batches(), t.num_rows
+        if rows:
+            yield from done(pa.Table.from_batches(held))
+
+    sent = seqs.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(told, "h long, cls int, m array<int>, block long, i int")
+    return sent.repartition(parts(seqs.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, "h long, cls int, m array<long>, block array<long>, i array<int>")
+
+
+def _dense(b: pa.RecordBatch) -> np.ndarray:
+    """A row of counts by kind for each row of ``_gathered``."""
+    row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
+    m = b.column(2).flatten().to_numpy()
+    return np.bincount(row * KINDS + m % KINDS, weights=m // KINDS, minlength=b.num_rows * KINDS).reshape(-1, KINDS)
+
+
+def _moved(gathered: DataFrame, counts: np.ndarray, turn: int) -> DataFrame:
+    """(block, i, h, cls): the places of all tokens, those of this turn in the class that is best for their counts before and after them."""
+    before = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * CONTEXTS))
+    after = np.log((counts[:CLASSES] + 0.1) / (counts[:CLASSES].sum(axis=1, keepdims=True) + 0.1 * CLASSES)).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = np.stack([b.column(n).to_numpy() for n in names], axis=1).astype(np.float64)
-            cls = (k @ gain).argmax(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cls) if n == "cls" else b.column(n) for n in b.schema.names], names=b.schema.names)
+            k, h, cls = _dense(b), b.column(0).to_numpy(), b.column(1).to_numpy()
+            best = (k[:, :CONTEXTS] @ before + k[:, CONTEXTS : CONTEXTS + CLASSES] @ after).argmax(axis=1)
+            best = np.where((h >> 7 & 1) == turn % 2, best, cls).astype(np.int32)
+            n = pc.list_value_length(b.column(3)).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(3).flatten(), b.column(4).flatten(), pa.array(np.repeat(h, n)), pa.array(np.repeat(best, n))], names=["block", "i", "h", "cls"])
 
-    return table.mapInArrow(run, table.schema)
+    return gathered.mapInArrow(run, "block long, i int, h long, cls int")
 
 
-def _matrix(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(contexts x classes counts, token types by class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, types = np.zeros((CLASSES, CONTEXTS)), np.zeros(CLASSES, np.int64)
+        for b in batches:
+            cls = b.column(1).to_numpy()
+            types += np.bincount(cls, minlength=CLASSES)
+            member = np.zeros((CLASSES, b.num_rows))
+            member[cls, np.arange(b.num_rows)] = 1
+            counts += member @ _dense(b)[:, :CONTEXTS]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(types), *(pa.array(counts[:, i].astype(np.int64)) for i in range(CONTEXTS))], names=["cls", "types", *(f"k{i}" for i in range(CONTEXTS))])
+
     counts, types = np.zeros((CONTEXTS, CLASSES)), np.zeros(CLASSES)
-    for r in table.groupBy("cls").agg(F.count(F.lit(1)), *(F.sum(f"k{i}") for i in range(CONTEXTS))).collect():  # a row for each class
+    partial = gathered.mapInArrow(run, ", ".join(["cls long, types long", *(f"k{i} long" for i in range(CONTEXTS))]))
+    for r in partial.groupBy("cls").agg(F.sum("types"), *(F.sum(f"k{i}") for i in range(CONTEXTS))).collect():  # a row for each class
         types[r[0]], counts[:, r[0]] = r[1], r[2:]
     return counts, types
 
 
-def _summed(partial: DataFrame) -> DataFrame:
-    return partial.groupBy("w").agg(F.sum("c").alias("c"), *(F.sum(f"k{i}").cast("int").alias(f"k{i}") for i in range(CONTEXTS)))
+def likelihood(counts: np.ndarray) -> float:
+    """What of the training text's log likelihood depends on the classes: the sum of n log(n / (n of the context times n of the class))."""
+    room = counts.sum(axis=1, keepdims=True) * counts.sum(axis=0)
+    seen = counts > 0
+    return float((counts[seen] * np.log(counts[seen] / room[seen])).sum())
 
 
-def train(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, dict[bytes, int], np.ndarray, np.ndarray]:
-    """(w, c, cls) of all tokens of ``docs``; the frequent tokens' contexts; the counts of contexts and classes; types by class."""
+def train(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, list[float], np.ndarray, np.ndarray]:
+    """(w, c, cls) of all tokens of ``docs``; the likelihood of each step's classes; the counts of contexts and classes; types by class."""
     scratch = Scratch(docs.sparkSession, "classlm")
-    texts = docs.select(F.col(text_col).cast("binary").alias("t"))
-    words = scratch.write(_counts(texts, None).groupBy("w").agg(F.sum("c").alias("c")))
-    total = words.agg(F.sum("c")).first()[0] or 0
-    # at most 1 / LEAST_SHARE tokens pass, and FREQUENT of them are taken
-    frequent = [bytes(r["w"]) for r in words.where(F.col("c") >= LEAST_SHARE * total).orderBy(F.desc("c"), "w").limit(FREQUENT).collect()]
-    scratch.drop(words)
-    contexts = {w: i if i < CLASSES // 2 else CLASSES // 2 + i % (CLASSES - CLASSES // 2) for i, w in enumerate(frequent)} or {END: 0}
-    table = scratch.write(_placed(_summed(_counts(texts, contexts, True)), contexts))
-    counts, _ = _matrix(table)
-    for _ in range(STEPS):  # over FREQUENT rows
-        moved = scratch.write(_move(table, counts))
-        scratch.drop(table)
-        table = moved
-        counts, _ = _matrix(table)
-    contexts = {bytes(r["w"]): r["cls"] for r in table.select("w", "cls").collect()} or contexts
-    scratch.drop(table)
-    full = _move(_summed(_counts(texts, contexts)).withColumn("cls", F.lit(0)), counts)
-    table = scratch.write(full)
-    counts, types = _matrix(table)
-    return table.select("w", "c", "cls"), contexts, counts, types
-
-
-def _placed(sums: DataFrame, contexts: dict[bytes, int]) -> DataFrame:
-    """The frequent tokens with their first classes."""
-    first = sums.sparkSession.createDataFrame([(bytearray(w), c) for w, c in contexts.items()], "_w binary, cls int")
-    return sums.join(F.broadcast(first), F.col("w") == F.col("_w")).drop("_w").where("c > 0")
+    read = scratch.write(_read(docs.select(F.col(text_col).cast("binary").alias("t"))))
+    words = scratch.write(read.where("seq is null").groupBy("w", "h").agg(F.sum("c").alias("c")))
+    top = [r["h"] for r in words.orderBy(F.desc("c"), "w").limit(CLASSES // 2).select("h").collect()]
+    first = (CLASSES // 2 + F.pmod(F.xxhash64("h"), F.lit(CLASSES - CLASSES // 2))).cast("int")
+    for i, h in enumerate(top):
+        first = F.when(F.col("h") == h, F.lit(i)).otherwise(first)
+    seqs = read.where("seq is not null").select("block", "seq")
+    placed, last, best, history = read.where("seq is null").select("block", "i", "h", first.alias("cls")), None, None, []
+    for step in range(STEPS + 1):
+        gathered = scratch.write(_gathered(seqs, placed))
+        counts, types = _matrix(gathered)
+        history.append(likelihood(counts))
+        if best is None or history[-1] > best[0]:  # tokens move at once, so that a step may be worse
+            if best is not None:
+                scratch.drop(best[1])
+            best = (history[-1], scratch.write(gathered.select("h", "cls")), counts, types)
+        if last is not None:
+            scratch.drop(last)
+        last = gathered
+        placed = _moved(gathered, counts, step)
+    scratch.drop(last)
+    scratch.drop(read)
+    _, classes, counts, types = best
+    table = words.join(classes.select(F.col("h").alias("_h"), "cls"), F.col("h") == F.col("_h")).select("w", "c", "cls")
+    return table, history, counts, types
 
 
 def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from the rows that aren't held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    table, contexts, counts, types = train(rows.where("not held_out"), text_col="t")
+    table, _, counts, types = train(rows.where("not held_out"), text_col="t")
     total, vocabulary = int(counts.sum()), int(types.sum())
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(-(-size // BLOCK_BYTES), 8)
@@ -163,7 +249,7 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     unseen = np.log10((move / room).sum(axis=1))
     go = np.log10(move)
     base_room = np.log10(total + vocabulary + 1)
-    model = docs.sparkSession.sparkContext.broadcast((contexts, go, unseen, np.log10(room)))
+    model = docs.sparkSession.sparkContext.broadcast((go, unseen, np.log10(room)))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("t")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def used(group: pa.Table) -> pa.Table:
@@ -177,12 +263,12 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(texts: pa.Table, vocab: pa.Table) -> pa.Table:
-        contexts, go, unseen, room = model.value
+        go, unseen, room = model.value
         words = vocab.column("w").to_pylist()
         ids = {w: i for i, w in enumerate(words)}
         c = np.append(vocab.column("c").to_numpy(), 0).astype(np.float64)
         cls = np.append(vocab.column("cls").to_numpy(), 0).astype(np.int64)
-        context = np.array([*(contexts.get(w, OTHER) for w in words), OTHER], dtype=np.int64)
+        context = np.append(cls[:-1], OTHER)
         emit = np.log10(c + 1)
         out = []
         for text in texts.column("t"):

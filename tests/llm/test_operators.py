@@ -243,6 +243,22 @@ def test_language_model_adds_up(docs):
     assert np.allclose((by_class + types) / room + 1 / room, 1)
 
 
+def test_language_model_contexts_are_all_tokens(spark):
+    rng = random.Random(11)
+    # two kinds of rare words in turn: every token is a context by its class, and after a word of one kind comes the other
+    rows = [(i, " ".join(f"{'xy'[j % 2]}{rng.randrange(300)}" for j in range(20))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table, history, counts, types = classlm.train(df)
+    cls, c = {bytes(r["w"]): r["cls"] for r in table.collect()}, Counter()
+    for _, t in rows:
+        at = [classlm.START, *(cls[w] for w in classlm.tokens(t.encode()))]
+        c.update(zip(at[:-1], at[1:], strict=True))
+    assert {(i, j): n for (i, j), n in np.ndenumerate(counts) if n} == c and types.sum() == len(cls)
+    assert max(history) > history[0] and math.isclose(classlm.likelihood(counts), max(history))
+    # a context that tells the kinds apart is worth log 2 for each of the 19 pairs of a text
+    assert max(history) - history[0] > 0.8 * 300 * 19 * math.log(2)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)) + (" awfulword" if i % 4 == 0 else "")) for i in range(200)]
