@@ -152,6 +152,28 @@ def test_passages(docs, empty, texts):
     assert passages.shared_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("between", [20, 60, 100, 125])
+def test_two_passages_of_one_chain(spark, between):
+    rng = random.Random(between)
+    fresh = lambda n, kind: [f"{kind}{rng.randrange(10**9)}" for _ in range(n)]
+    for first, second in ((60, 60), (200, 45)):
+        head, foot = fresh(first, "h"), fresh(second, "f")
+        docs = [[*fresh(9, f"d{i}"), *head, *fresh(between + i, f"m{i}"), *foot, *fresh(7, f"e{i}")] for i in range(2)]
+        got = passages.shared_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+        covered = {w for r in got for w in range(r.start, r.end)}
+        assert {i for i, w in enumerate(docs[1]) if w in set(docs[0])} <= covered
+        assert all(r.identity >= 0.8 and r.end - r.start >= 30 and r.agreeing == len(set(docs[1][r.start : r.end]) & set(docs[0][r.ref_start : r.ref_end])) for r in got)
+
+
+def test_pairs_kept():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (rng.integers(0, 5, rng.integers(0, 14)).astype(np.uint32) for _ in range(2))
+        got = passages.pairs_kept(a, b)
+        assert len(got) == passages.agreeing(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
 def test_exact_spans(docs, empty):
     rows = sorted({(r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()})
     seen, want = set(), {}
