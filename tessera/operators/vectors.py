@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,14 @@ def similar(vectors: DataFrame, query: list[float] | None = None, record: object
     return rows.select("id", distance(F.col("vector"), F.array(*[F.lit(float(x)) for x in query])).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+def _distances(a: pd.DataFrame, b: pd.DataFrame, metric: str) -> np.ndarray:
+    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+    if metric == "cosine":
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+    square = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)
+    return square / 2 if metric == "cosine" else np.sqrt(square)
+
+
 def neighbours(vectors: DataFrame, k: int, *, metric: str = "euclidean") -> DataFrame:
     """id, rank, neighbour, distance: the k nearest other rows of each row, exactly.
 
@@ -63,11 +71,7 @@ def neighbours(vectors: DataFrame, k: int, *, metric: str = "euclidean") -> Data
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": a["id"][:0], "neighbour": a["id"][:0], "distance": np.zeros(0)})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        if metric == "cosine":
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        square = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)
-        distance = square / 2 if metric == "cosine" else np.sqrt(square)
+        distance = _distances(a, b, metric)
         distance[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
         n = min(k, len(b))
         at = np.argsort(distance, axis=1, kind="stable")[:, :n] if len(b) <= 4 * k else np.argpartition(distance, n - 1, axis=1)[:, :n]
@@ -176,20 +180,74 @@ def silhouette(labelled: DataFrame, *, most: int = 4000, seed: int = 0) -> float
     return some.mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
 
 
-def density_clusters(vectors: DataFrame, min_points: int, radius: float, *, metric: str = "euclidean", k: int = 50) -> DataFrame:
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of links of a spanning forest of those that ``near`` has between its rows and columns."""
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    row_left, column_left = near.any(axis=1), near.any(axis=0)
+    while row_left.any():
+        todo = [(True, int(row_left.argmax()))]
+        row_left[todo[0][1]] = False
+        while todo:
+            is_row, at = todo.pop()
+            left = column_left if is_row else row_left
+            new = np.flatnonzero((near[at] if is_row else near[:, at]) & left)
+            left[new] = False
+            same = np.full(len(new), at)
+            x.append(same if is_row else new)
+            y.append(new if is_row else same)
+            todo += [(not is_row, int(n)) for n in new]
+    return np.concatenate(x), np.concatenate(y)
+
+
+def density_clusters(vectors: DataFrame, min_points: int, radius: float, *, metric: str = "euclidean") -> DataFrame:
     """id, cluster (-1: noise): connected core points, at one level of the density hierarchy.
 
-    A core point has ``min_points`` rows (itself included) within the radius. Core points within it of each other are one cluster, as far as
-    they are among the k nearest; other points take the cluster of their nearest core point in reach."""
+    A core point has ``min_points`` rows (itself included) within the radius. Core points within it of each other are one cluster;
+    other points take the cluster of their nearest core point in reach. Equal vectors are one point of their number. All points in reach are
+    counted, block pair by block pair; a block pair hands on a spanning forest of its links, and each point's nearest core point."""
     from tessera.operators.sets import asset_components
 
-    near = neighbours(vectors, max(k, min_points), metric=metric).where(F.col("distance") <= radius)
-    core = near.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_points).select("id")
-    inner = near.join(core, "id", "left_semi").join(core.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
-    links = inner.select("id", F.concat_ws("~", F.least("id", "neighbour").cast("string"), F.greatest("id", "neighbour").cast("string")).alias("pair"))
-    links = links.unionByName(inner.select(F.col("neighbour").alias("id"), F.concat_ws("~", F.least("id", "neighbour").cast("string"), F.greatest("id", "neighbour").cast("string")).alias("pair")))
-    links = links.unionByName(core.select("id", F.col("id").cast("string").alias("pair")))
+    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("v"))
+    points = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    blocks = max(-(-points.count() // BLOCK), 1)
+    points = points.select("id", "v", "n", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    kind = dict(points.dtypes)["id"]
+
+    def compared(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, *, once: bool = False) -> DataFrame:
+        every = F.explode(F.sequence(F.col("b") if once else F.lit(0), F.lit(blocks - 1)))
+        others = F.explode(F.sequence(F.lit(0), F.col("b") if once else F.lit(blocks - 1)))
+        left, right = left.select("id", "v", F.col("b").alias("i"), every.alias("j")), right.select("id", "v", "n", F.col("b").alias("j"), others.alias("i"))
+        names = [x.split()[0] for x in schema.split(", ")]
+        left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+        return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda a, b: pd.DataFrame({n: [] for n in names}) if a.empty or b.empty else compare(a, b), schema)
+
+    def reach(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        distance = _distances(a, b, metric)
+        distance[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0
+        return distance
+
+    def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": a["id"], "n": (reach(a, b) <= radius) @ b["n"].to_numpy()})
+
+    def linked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = _forest(reach(a, b) <= radius)
+        return pd.DataFrame({"id": a["id"].to_numpy()[x], "neighbour": b["id"].to_numpy()[y]})
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id")  # the first of equal distances has the smallest id
+        distance = reach(a, b)
+        at = distance.argmin(axis=1)
+        out = pd.DataFrame({"id": a["id"], "neighbour": b["id"].to_numpy()[at], "distance": distance[np.arange(len(a)), at]})
+        return out[out["distance"] <= radius]
+
+    dense = compared(points, points, counted, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id")
+    core, edge = points.join(dense, "id", "left_semi"), points.join(dense, "id", "left_anti")
+    inner = compared(core, core, linked, f"id {kind}, neighbour {kind}", once=True)
+    pair = F.concat_ws("~", F.least("id", "neighbour").cast("string"), F.greatest("id", "neighbour").cast("string")).alias("pair")
+    links = inner.select("id", pair).unionByName(inner.select(F.col("neighbour").alias("id"), pair))
+    links = links.unionByName(dense.select("id", F.col("id").cast("string").alias("pair")))
     of_core = asset_components(links, "id", "pair").withColumnRenamed("component", "cluster")
-    edge = near.join(of_core.select(F.col("id").alias("neighbour"), "cluster"), "neighbour").groupBy("id").agg(F.min_by("cluster", F.struct("distance", "neighbour")).alias("near_cluster"))
-    out = vectors.select("id").join(of_core, "id", "left").join(edge, "id", "left")
-    return out.select("id", F.coalesce("cluster", "near_cluster", F.lit(-1)).alias("cluster"))
+    near = compared(edge, core, nearest, f"id {kind}, neighbour {kind}, distance double").groupBy("id").agg(F.min_by("neighbour", F.struct("distance", "neighbour")).alias("neighbour"))
+    near = near.join(of_core.withColumnRenamed("id", "neighbour"), "neighbour").select("id", F.col("cluster").alias("near_cluster"))
+    found = points.select("id", "v").join(of_core, "id", "left").join(near, "id", "left").select(F.col("v").alias("_v"), F.coalesce("cluster", "near_cluster").alias("cluster"))
+    return rows.join(found, F.col("v") == F.col("_v"), "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

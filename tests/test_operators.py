@@ -143,3 +143,23 @@ def test_stream_counts_like_a_table(spark, tmp_path):
     q.stop()
     key = lambda r: (r.start, r.event_type)
     assert sorted(spark.table("counts").collect(), key=key) == sorted(incremental.windowed_counts(rows).collect(), key=key)
+
+
+def test_density_clusters_link_all_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    near = np.concatenate([rng.normal(scale=1e-3, size=(60, 2)), rng.normal(scale=1e-3, size=(60, 2)) + [0.9, 0]])  # more than 50 on each side
+    x = np.concatenate([near, np.repeat([[5.0, 5.0]], 60, axis=0), np.repeat([[5.9, 5.0]], 60, axis=0), rng.uniform(-10, 10, size=(150, 2))])
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = (gap <= 1).sum(1) >= 5
+    label = np.where(core, np.arange(len(x)), -1)
+    for _ in range(len(x)):
+        label = np.where(core, np.where((gap <= 1) & core, label, len(x)).min(1), -1)
+    far = np.where(core, gap, np.inf)
+    want = np.where(core, label, np.where(far.min(1) <= 1, label[far.argmin(1)], -1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    for block in (4096, 64):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        got = {r["id"]: r["cluster"] for r in vectors.density_clusters(df, 5, 1.0).collect()}
+        groups = lambda of: {frozenset(i for i in range(len(x)) if of[i] == c) for c in {of[i] for i in range(len(x))} - {-1}}
+        assert groups(got) == groups(want) and len(got) == len(x)
+        assert got[0] == got[119] and got[120] == got[239]
