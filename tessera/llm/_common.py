@@ -69,3 +69,13 @@ def ascii_lower(text: Column) -> Column:
 def parts(spark: SparkSession) -> int:
     """Tasks for a repartition by hand: as many as the session's shuffles have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def attached(rows: DataFrame, counts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``counts`` (key, n: its number of rows, and more) by ``key``, without a task for the rows of a very common key.
+
+    Keys with over 1 / (4 x tasks) of all ``total`` rows, of which there are fewer than 4 x tasks, are broadcast; the others are shuffled."""
+    most = 4 * parts(rows.sparkSession)
+    hot, cold = counts.where(F.col("n") * most > total), counts.where(F.col("n") * most <= total)
+    there = rows.join(F.broadcast(hot), key)
+    return there.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

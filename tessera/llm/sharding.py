@@ -6,11 +6,12 @@ share of the total, with the shard's residual capacity is highest; larger groups
 Scale: one pass reduces each text to a digest and three numbers, one shuffle adds them up by digest. Groups are dealt by
 digest over up to 4096 tiles, and each tile packs its own against its part of the capacity; groups too heavy for a tile, of
 which there are at most 3 x shards x tiles by pigeonhole, are packed before, against the whole capacity. A group of more
-than a shard's whole capacity in any measure can stay whole in no even layout; it is cut into pieces by id. Slots are
-counted by (shard, id hash) and added up, so that no shard is sorted in one task.
+than a shard's whole capacity in any measure can stay whole in no even layout; it is cut into pieces of equal numbers of rows, dealt by
+a row's place in its group (counts by the task that read it, added up), whatever its id. Slots are counted by (shard, row hash) and
+added up, so that neither a group nor a shard is sorted in one task.
 
-Nulls: a null text has no bytes (size 1), no tokens, and no digest; all null texts are a group of their own. Repeated rows
-are rows of their own. An empty table gives an empty table.
+Nulls: a null text has no bytes (size 1), no tokens, and no digest; all null texts are a group of their own. Rows of a null or repeated
+id are rows of their own, as are repeated rows. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     """A row for each row: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null)."""
     scratch = Scratch(docs.sparkSession, "shard")
     text = F.col(text_col)
-    rows = scratch.write(docs.select(F.col(id_col).alias("doc_id"), (n_bytes(text) + 1).alias("size"), F.crc32(text).alias("text_crc32"), n_words(text).alias("_tokens"), F.unhex(F.md5(text)).alias("_key")))
+    rows = scratch.write(docs.select(F.col(id_col).alias("doc_id"), (n_bytes(text) + 1).alias("size"), F.crc32(text).alias("text_crc32"), n_words(text).alias("_tokens"), F.unhex(F.md5(text)).alias("_key"), F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_row")))
     groups = rows.groupBy("_key").agg(F.sum("size").alias("_b"), F.sum("_tokens").alias("_t"), F.count(F.lit(1)).alias("_r"))
     total = groups.agg(F.sum("_b"), F.sum("_t"), F.sum("_r"), F.count(F.lit(1))).first()
     whole, n = np.array([x or 0 for x in total[:3]], dtype=float), total[3]
@@ -77,12 +78,21 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     light = groups.where("_tile >= 0").groupBy("_tile").applyInPandas(_packer(residual, whole - sum((np.array(r[1:], dtype=float) for r in load), np.zeros(3))), schema)
     placed = light.unionByName(heavy).groupBy("_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_piece", "shard"))), lambda x: x["shard"]).alias("_shards")).withColumnRenamed("_key", "_k")
     placed = scratch.write(placed)  # at most 4 x shards pieces of a group
-    at = F.pmod(F.xxhash64("doc_id"), F.size("_shards")).cast("int")
-    joined = rows.join(placed, F.col("_key").eqNullSafe(F.col("_k"))).select("doc_id", "size", "text_crc32", F.get("_shards", at).alias("shard"))
+    joined = rows.join(placed, F.col("_key").eqNullSafe(F.col("_k"))).drop("_k")
+    whole_group, cut = joined.where(F.size("_shards") == 1).withColumn("_nth", F.lit(0)), joined.where(F.size("_shards") > 1)
+    reads = cut.groupBy("_key", "_task").agg(F.count(F.lit(1)).alias("_c"))  # of at most 3 x shards groups
+    ahead = F.coalesce(F.sum("_c").over(Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reads = reads.select(F.col("_key").alias("_k"), F.col("_task").alias("_p"), ahead.alias("_ahead"))
+    cut = cut.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_task").orderBy("_row")))
+    cut = cut.join(reads, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_task") == F.col("_p"))).withColumn("_nth", F.col("_ahead") + F.col("_nth")).select(*whole_group.columns)
+    at = (F.col("_nth") % F.size("_shards")).cast("int")
+    joined = whole_group.unionByName(cut).select("doc_id", "size", "text_crc32", "_row", F.get("_shards", at).alias("shard"))
     ranges = min(max(int(whole[2]) // (shards * SLOT_ROWS), 1), 1 << 16)
-    joined = scratch.write(joined.withColumn("_range", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(ranges)).cast("int")))
+    joined = scratch.write(joined.withColumn("_range", F.pmod(F.xxhash64(F.lit(11), "_row"), F.lit(ranges)).cast("int")))
+    for used in (rows, groups, heavy, placed):
+        scratch.drop(used)
     counts = joined.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.select(F.col("shard").alias("_s"), F.col("_range").alias("_g"), F.coalesce(F.sum("_c").over(Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    place = F.row_number().over(Window.partitionBy("shard", "_range").orderBy(F.asc_nulls_last("doc_id"), "size", "text_crc32"))
+    place = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_row"))
     out = joined.withColumn("_place", place).join(counts, (F.col("shard") == F.col("_s")) & (F.col("_range") == F.col("_g")))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_ahead") + F.col("_place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

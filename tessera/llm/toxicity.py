@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -129,22 +129,34 @@ def fit(texts: list[str | None], labels: list[int], s: Settings, prior: float) -
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits the model on the labelled rows of ``docs`` for which ``usable`` (a condition on the id column) holds."""
+    """Fits the model on the labelled rows of ``docs`` for which ``usable`` (a condition on the id column) holds.
+
+    The driver gets ``max_rows`` rows and ``max_bytes`` of text at most, however often an id or a row repeats: rows are drawn by keys of
+    their own (id, text and place among equal ones), and those that would pass the bytes are passed over, not what comes after them."""
     lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
-    lab = lab.join(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_n")).where(usable), "_id")
-    counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_n"), F.xxhash64(id_col, text_col).alias("_h"))
+    # equal rows with an equal label are one with a number of times, so that a repeated row is one key
+    lab = own.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")).join(lab.groupBy("_id", "_y").agg(F.count(F.lit(1)).alias("_l")), "_id")
+    lab = lab.select("_id", "_h", "_y", "_n", (F.col("_c") * F.col("_l")).alias("_c"))
+    counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.sum("_c").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    rare = min(min(counts.get(0, 0), counts.get(1, 0)), s.max_rows // 2)
-    rare_label = 1 if counts.get(1, 0) <= counts.get(0, 0) else 0
-    keyed = lab.withColumn("_k", F.sha2(F.concat_ws(":", F.lit(s.seed), "_id"), 256))
-    first = lambda label, n: keyed.where(F.col("_y") == label).orderBy("_k", "_id").limit(n)  # noqa: E731  each task keeps n rows at most
-    some = first(rare_label, rare).unionByName(first(1 - rare_label, s.max_rows - rare))
-    some = some.withColumn("_b", F.sum("_n").over(Window.orderBy("_k", "_id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_b") <= s.max_bytes)
-    chosen = some.select("_id", "_y").distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").collect()  # at most max_rows and max_bytes
-    rows.sort(key=lambda r: (r["_id"], r["_t"] or "", r["_y"]))
-    return fit([r["_t"] for r in rows], [r["_y"] for r in rows], s, prior)
+    keyed = lab.withColumn("_k", F.sha2(F.concat_ws(":", F.lit(s.seed), "_id", "_h"), 256))
+    first = lambda label: keyed.where(F.col("_y") == label).orderBy("_k", "_id", "_h").limit(s.max_rows).collect()  # noqa: E731  each task keeps max_rows at most; keys, no texts
+    drawn = {y: [(r["_k"], r["_id"], r["_h"], r["_n"], i) for r in first(y) for i in range(min(r["_c"], s.max_rows))][: s.max_rows] for y in (0, 1)}
+    rare = 1 if len(drawn[1]) <= len(drawn[0]) else 0
+    half = drawn[rare][: s.max_rows // 2]
+    some = sorted([(*k, rare) for k in half] + [(*k, 1 - rare) for k in drawn[1 - rare][: s.max_rows - len(half)]])
+    left, times = s.max_bytes, Counter()
+    for _, i, h, n, _, y in some:
+        if n <= left:
+            left -= n
+            times[i, h, y] += 1
+    chosen = docs.sparkSession.createDataFrame([(i, h) for i, h, _ in times] or [], T.StructType([T.StructField("_id", own.schema["_id"].dataType), T.StructField("_h", T.LongType())])).distinct()
+    found = own.join(F.broadcast(chosen), ["_id", "_h"]).groupBy("_id", "_h").agg(F.min("_t").alias("_t")).collect()  # a row for each key of max_rows, max_bytes in all
+    text = {(r["_id"], r["_h"]): r["_t"] for r in found}
+    rows = sorted(((i, text[i, h] or "", y) for (i, h, y), n in times.items() for _ in range(n)))
+    return fit([t for _, t, _ in rows], [y for _, _, y in rows], s, prior)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -54,6 +54,26 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_against_its_laws(spark):
+    rng = random.Random(9)
+    rows = [(i, f"text {rng.randrange(150)} " * rng.randint(1, 9)) for i in range(1200)] + [(None, "a copy without an id")] * 1500 + [(7, "one id")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sharding.shard(df).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    size, count, places = Counter(), Counter(), {}
+    for r in got:
+        size[r.shard] += r["size"]
+        count[r.shard] += 1
+        places.setdefault(r.text_crc32, set()).add(r.shard)
+        assert r.slot >= 0
+    assert len({(r.shard, r.slot) for r in got}) == len(got) and all(max(r.slot for r in got if r.shard == s) + 1 == count[s] for s in range(16))
+    assert len(size) == 16 and max(size.values()) <= 1.1 * min(size.values()) and max(count.values()) <= 1.3 * min(count.values())
+    whole = Counter(t for _, t in rows)
+    for t, n in whole.items():  # equal texts stay together unless they are over a shard's whole share
+        if n * 16 <= len(rows) and n * (len(t) + 1) * 16 <= sum(size.values()) and n * n_words(t) * 16 <= sum(n_words(x) for _, x in rows):
+            assert len(places[zlib.crc32(t.encode())]) == 1
+
+
 def test_a_third_in_one_group_is_split(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text here")).otherwise(F.concat(F.lit("text "), F.col("id") * 7919)).alias("text"))
     load = [r["b"] for r in sharding.shard(rows).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
@@ -165,6 +185,93 @@ def test_two_passages_of_one_chain(spark, between):
         assert all(r.identity >= 0.8 and r.end - r.start >= 30 and r.agreeing == len(set(docs[1][r.start : r.end]) & set(docs[0][r.ref_start : r.ref_end])) for r in got)
 
 
+def local_alignments(a, b):
+    """Brute force: the best local alignments (agreeing words 1, edits -2) of the words of two texts, with 24 or more: [(start, end) in b]."""
+    score = np.zeros((len(a) + 1, len(b) + 1))
+    back = np.zeros(score.shape, dtype=np.int64)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            ways = (0, score[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -2), score[i - 1, j] - 2, score[i, j - 1] - 2)
+            back[i, j] = int(np.argmax(ways))
+            score[i, j] = ways[back[i, j]]
+    i, j = (int(v) for v in np.unravel_index(score.argmax(), score.shape))
+    if score[i, j] < 24:
+        return []
+    end = j
+    while back[i, j]:
+        i, j = i - (back[i, j] in (1, 2)), j - (back[i, j] in (1, 3))
+    return [(j, end)]
+
+
+def covered_share(rows, texts_of, pairs):
+    """Of the passages that brute force finds, the share whose words the rows cover to 0.8 in the second text."""
+    spans = {}
+    for r in rows:
+        spans.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        spans.setdefault(r.ref_doc_id, set()).update(range(r.ref_start, r.ref_end))
+    hits = all_of = 0
+    for i, j in pairs:
+        for s, e in local_alignments(texts_of[i], texts_of[j]):
+            if e - s >= 36:
+                all_of += 1
+                hits += len(set(range(s, e)) & spans.get(j, set())) >= 0.8 * (e - s)
+    return hits, all_of
+
+
+def test_edited_passages_against_brute_force(spark):
+    rng = random.Random(21)
+    common = ["the", "of", "and", "to", "in"]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else f"w{rng.randrange(5000)}"
+
+    def edited(passage, share):
+        out = []
+        for w in passage:
+            x = rng.random()
+            out += [] if x < share / 3 else [word()] if x < 2 * share / 3 else [w, word()] if x < share else [w]
+        return out
+
+    docs, pairs = [], []
+    for g in range(40):
+        passage = [word() for _ in range(rng.randint(45, 90))]
+        for _ in range(2):
+            docs.append([word() for _ in range(rng.randint(0, 50))] + edited(passage, (0, 0.03, 0.06, 0.1)[g % 4] / 2) + [word() for _ in range(rng.randint(0, 50))])
+        pairs.append((len(docs) - 2, len(docs) - 1))
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    hits, all_of = covered_share(got, docs, pairs)
+    assert all_of >= 30 and hits >= 0.9 * all_of
+    assert {(r.ref_doc_id, r.doc_id) for r in got} <= set(pairs)  # nothing that isn't planted
+
+
+def test_a_passage_whose_pieces_are_elsewhere_too(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    for others in (3, 30):  # pieces that are rare, and pieces that are common
+        passage, docs = fresh(60), []
+        for at in (0, 20, 40):
+            docs += [[*fresh(20), *passage[at : at + 20], *fresh(20)] for _ in range(others)]
+        docs += [[*fresh(30), *passage, *fresh(25)] for _ in range(2)]
+        got = passages.shared_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+        n = len(docs)
+        mine = [r for r in got if r.doc_id == n - 1 and r.ref_doc_id == n - 2]
+        assert mine and max(r.end - r.start for r in mine) == 60 and all((r.start, r.end) == (30, 90) for r in mine)
+
+
+def test_many_documents_share_passages(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"y{rng.randrange(10**9)}" for _ in range(n)]
+    head, foot = fresh(45), fresh(50)
+    docs = [[*(head if i % 3 else fresh(5)), *fresh(40 + i % 7), *(foot if i % 2 else [])] for i in range(60)] + [[*head, *fresh(9)]] * 3
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        spans.setdefault(r.ref_doc_id, set()).update(range(r.ref_start, r.ref_end))
+    for i, d in enumerate(docs[:60]):
+        want = (set(range(45)) if i % 3 else set()) | (set(range(len(d) - 50, len(d))) if i % 2 else set())
+        assert spans.get(i, set()) == want
+    assert {(r.doc_id, r.ref_doc_id) for r in got if r.ref_doc_id == 60} == {(61, 60), (62, 60)} and spans[60] >= set(range(54))
+
+
 def test_pairs_kept():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -293,3 +400,21 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, m, score_col="_s").count() == docs.count() and toxicity.score(empty, m, score_col="_s").count() == 0
     none = toxicity.train(d, labels.limit(0), F.lit(True), s)
     assert {r.score for r in toxicity.score(d, none).select("score").distinct().collect()} != set()
+
+
+def test_the_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, s, prior: seen.append((texts, labels, prior)) or toxicity.Model(np.zeros((8, 2)), np.zeros((2, 2)), np.zeros(2), s))
+    rows = [(1, "the same row")] * 3000 + [(2, f"text {i}") for i in range(3000)] + [(i, "x" * 100) for i in range(3, 40)] + [(40, "y" * 5000), (41, None), (None, "no id")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(1, 42)] + [(2, 0), (None, 1)], "doc_id long, toxic int")
+    s = toxicity.Settings(max_rows=100, max_bytes=4000)
+    toxicity.train(d, labels, F.lit(True), s)
+    texts, y, prior = seen[-1]
+    assert 50 <= len(texts) <= 100 and sum(len(t) for t in texts) <= 4000 and {0, 1} == set(y) and "y" * 5000 not in texts
+    want = sum(1 for i, _ in rows if i is not None and i % 4 == 1), sum(2 if i == 2 else 1 for i, _ in rows if i is not None)
+    assert math.isclose(prior, want[0] / want[1])
+    toxicity.train(d.repartition(3), labels, F.lit(True), s)
+    assert seen[-1] == seen[-2]
+    toxicity.train(d, labels.where("toxic = 0"), F.lit(True), s)
+    assert set(seen[-1][1]) == {0} and seen[-1][2] == 0.0

@@ -102,8 +102,8 @@ def test_chain_is_collinear_and_scored():
 def test_alignment_bridges_an_edit():
     a = np.arange(60, dtype=np.uint32)
     b = np.concatenate([a[:30], np.array([999], np.uint32), a[31:]])
-    s, e, t, f, same = passages.aligned(np.array([2, 40]), np.array([2, 40]), a, b)
-    assert (s, e, t, f, same) == (0, 60, 0, 60, 59)
+    assert passages.aligned(np.array([2, 40]), np.array([2, 40]), a, b) == [(0, 60, 0, 60, 59)]
+    assert passages.aligned(np.array([40]), np.array([40]), a, b) == [(0, 60, 0, 60, 59)]
 
 
 ARTICLE = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home<li>About</ul></nav><div class='cookie-notice'>We use cookies</div><article><h1>Ti&amp;tle</h1><p>One <b>bold\n word</b>.<br>Two<p>Three<div class=ad>Buy</div><p>{}</article><div id='comments'><p>First!</p></div><aside>Side</aside><form><input>Go</form><script>var a='</p>'</script><footer>Foot</footer></body></html>"
