@@ -310,6 +310,22 @@ def test_extraction(spark):
     assert extraction.main_text(df.limit(0)).count() == 0
 
 
+def test_extraction_of_the_tables_against_their_articles(spark):
+    """The pages of the smallest tables are plain: the article element's blocks, read by a regular expression."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").union(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("page_id", F.col("page_id") + 10**6))
+    import html as h
+
+    got, n = {r.page_id: r for r in extraction.main_text(pages.repartition(5)).collect()}, 0
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*)</article>", r.html or "", re.S)
+        if inner:
+            blocks = re.split(r"</?(?:p|h1|h2|ul|li|div|blockquote)(?:\s[^>]*)?>", inner[1])
+            want = [t for t in (" ".join(h.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks) if t]
+            assert got[r.page_id].text.split("\n") == want and got[r.page_id].n_chars == len(got[r.page_id].text)
+            n += 1
+    assert n > 200
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()

@@ -109,15 +109,21 @@ def test_alignment_bridges_an_edit():
 ARTICLE = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home<li>About</ul></nav><div class='cookie-notice'>We use cookies</div><article><h1>Ti&amp;tle</h1><p>One <b>bold\n word</b>.<br>Two<p>Three<div class=ad>Buy</div><p>{}</article><div id='comments'><p>First!</p></div><aside>Side</aside><form><input>Go</form><script>var a='</p>'</script><footer>Foot</footer></body></html>"
 
 
-def test_extraction_leaves_the_article():
-    pages = [ARTICLE.replace("{}", f"Last {i}") for i in range(4)]
+def wrapper_of(pages):
     w = None
     for p in pages:
-        s = extraction.skeleton(extraction.parse(p))
+        s = extraction.plain(extraction.skeleton(extraction.parse(p), p))
         w = extraction.merged(w, s, True) if w else s
-    slots = extraction.slots(w)
+    return extraction.Wrapper(w)
+
+
+def test_extraction_leaves_the_article():
+    pages = [ARTICLE.replace("{}", f"Last {i}") for i in range(4)]
+    w = wrapper_of(pages)
     assert extraction.extract(pages[0], None) == "Ti&tle\nOne bold word. Two\nThree\nLast 0"
-    assert extraction.extract(pages[2], slots).endswith("Last 2")
+    # on four pages the title is the same: a template of the host; the paragraphs are one repeated node, a slot
+    assert extraction.extract(pages[2], w) == "One bold word. Two\nThree\nLast 2"
+    assert extraction.extract(pages[2], wrapper_of(pages[:2])).split("\n")[0] == "Ti&tle"
 
 
 def test_extraction_without_article_goes_by_mass():
@@ -128,12 +134,52 @@ def test_extraction_without_article_goes_by_mass():
     assert extraction.extract("<p>a<p>b <", None) == "a\nb <"
 
 
-def test_wrapper_has_optional_and_repeated_parts():
-    one, two = (extraction.skeleton(extraction.parse(x)) for x in ("<ul><li>a<li>b</ul><p>x", "<ul><li>c</ul><table></table><p>y"))
-    w = extraction.merged(one, two, True)
-    kids = {k[extraction.SIG]: k for k in w[extraction.CHILDREN]}
-    assert kids["table"][extraction.OPTIONAL] and not kids["p"][extraction.OPTIONAL]
-    assert kids["ul"][extraction.CHILDREN][0][extraction.REPEATED] and kids["p"][extraction.TEXT] == -1
+def test_marks_never_empty_a_page():
+    text = "The article has a good number of words."
+    for tag in ("<body class='nav-open home sidebar-right'><article>", "<body><article class=promotion>", "<body><main id=popup-root>", "<body><div class='modal overlay'><article>", "<body><form id=aspnetForm><div>", "<body><div class='has-sidebar with-comments'>", "<body><div class='share widget'>"):
+        page = f"<html>{tag}<p>{text}</p><p>Second.</p></html>"
+        assert extraction.extract(page, None) == f"{text}\nSecond."
+        assert extraction.extract(page, wrapper_of([page, page.replace("Second", "Third")])) == f"{text}\nSecond."
+    # comments are left out however long they are, and teasers beside the article
+    page = f"<body><div class=post><p>{text}</p></div><section class=comments><article class=comment><p>{'So true. ' * 90}</p></article></section>"
+    assert extraction.extract(page, None) == text
+    page = f"<body><article><p>{text}</p></article><article class='related card'><p>{'Read on. ' * 90}</p></article>"
+    assert extraction.extract(page, None) == text
+
+
+def test_nothing_of_an_article_is_dropped():
+    page = "<article><p>Let <math><mi>x</mi></math> be <label>a name</label>.</p><object>Fallback</object><svg/><p>After</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></article>"
+    assert extraction.extract(page, None).split("\n") == ["Let x be a name.", "Fallback", "After", "One", "Two", "Three"]
+    lead = "<body><div class=intro><p>" + "Lead text. " * 10 + "</p></div><div class=rest><p>" + "Rest of it. " * 40 + "</p></div></body>"
+    assert extraction.extract(lead, None).startswith("Lead text.") and extraction.extract(lead, None).endswith("Rest of it.")
+    menu = "<body><div><ul><li><a>Home</a><li><a>News</a><li><a>Sport</a></ul></div><div><p>Story.</p></div></body>"
+    assert extraction.extract(menu, None) == "Story."
+
+
+def test_copies_make_no_template():
+    quoted = "<article><h1>T</h1><blockquote class=rare>Quoted words.</blockquote><p>Body of it.</p></article>"
+    others = [f"<article><h1>Title {i}</h1><p>Body {i}.</p></article>" for i in range(3)]
+    w = wrapper_of([quoted, quoted, quoted, *others])
+    assert extraction.extract(quoted, w) == "T\nQuoted words.\nBody of it."
+    w = wrapper_of([f"<article><p>Body {i}.</p><blockquote>All rights.</blockquote></article>" for i in range(12)])
+    assert extraction.extract("<article><p>Body 99.</p><blockquote>All rights.</blockquote></article>", w) == "Body 99."
+    assert extraction.distinct(sorted(range(0, 1 << 32, 1 << 26))[:8]) > 50
+
+
+def test_pages_are_matched_with_the_expression():
+    """Optional nodes, repeated nodes and repeated groups: each element takes the part of the node that it aligns with."""
+    item = lambda n, extra="": f"<h2>Head {n}</h2><p>Par {n} a</p><p>Par {n} b</p>{extra}"
+    page = lambda i, k, extra="": f"<article><div>Issue of today</div>{''.join(item(f'{i}.{j}') for j in range(k))}{extra}<div>The end</div></article>"
+    pages = [page(0, 1), page(1, 3), page(2, 2, "<table><tr><td>Cell 2</table>"), page(3, 1), page(4, 4)]
+    w = wrapper_of(pages)
+    assert extraction.extract(pages[1], w).split("\n") == [x for j in range(3) for x in (f"Head 1.{j}", f"Par 1.{j} a", f"Par 1.{j} b")]
+    assert extraction.extract(pages[2], w).split("\n")[-1] == "Cell 2"
+    assert extraction.extract(page(9, 6), w).split("\n")[:2] == ["Head 9.0", "Par 9.0 a"]
+    article = w.root[extraction.CHILDREN][0]
+    sigs = [n[extraction.SIG] for n in article[extraction.CHILDREN]]
+    assert sigs == ["div", "(h2 p)", "table", "div"]
+    group, table = article[extraction.CHILDREN][1:3]
+    assert group[extraction.REPEATED] and group[extraction.CHILDREN][1][extraction.REPEATED] and table[extraction.OPTIONAL] and not article[extraction.CHILDREN][0][extraction.OPTIONAL]
 
 
 def test_misspellings_share_vectors():
@@ -150,6 +196,7 @@ def test_misspellings_share_vectors():
 
 
 def test_extraction_of_deep_trees():
-    page = "<article><p>First</p>" + "<div>" * 5000 + "In the deep" + "</div>" * 5000 + "<p>Last</p></article><footer>Foot</footer>"
-    assert extraction.extract(page, extraction.slots(extraction.skeleton(extraction.parse(page)))).split("\n") == ["First", "In the deep", "Last"]
+    page = "<article><p>First</p>" + "<div>" * 5000 + "In the deep<div>and deeper</div>again<nav>no<div>no</div>no</nav><b>bold</b>" + "</div>" * 5000 + "<p>Last</p></article><footer>Foot</footer>"
+    assert extraction.extract(page, wrapper_of([page])).split("\n") == ["First", "In the deep", "and deeper", "again", "bold", "Last"]
     assert extraction.extract("<nav>" * 3000 + "Menu", None) == ""
+    assert extraction.extract("<b>" * 3000 + "Bold", None) == "Bold"
