@@ -23,12 +23,14 @@ ids is null. Repeated rows have the same result. An empty table gives an empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations, product, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,7 +203,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, bits: int = 4, id_col: s
 # Near copies by the similarity of their shingle sets
 
 
-WIDE, VIEWS, WIDE_BITS = 4, 6, 52
+WIDE, VIEWS, WIDE_BITS = 4, 11, 64
+#: Sets of up to this many shingles are found by their shingles, and their fingerprints may differ in ``SHORT_BITS``; sets that are verified in one piece.
+SHORT, SHORT_BITS, SETS = 24, 96, 256
 WIDE_COLUMNS = [f"f{i}" for i in range(WIDE)]
 
 
@@ -214,9 +218,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64)
 
 
-def wide_fingerprint(text: bytes, width: int) -> np.ndarray:
-    """WIDE words of majority bits over the distinct shingles; each word by another mixing of their hashes."""
-    h = np.unique(shingle_hashes(text, width))
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WIDE words of majority bits over the distinct shingles' hashes; each word by another mixing of them."""
     out = np.zeros(WIDE, dtype=np.uint64)
     for w in range(WIDE if len(h) else 0):
         m = mixed(h + np.uint64(0x9E3779B97F4A7C15 * w % (1 << 64)))
@@ -227,65 +230,91 @@ def wide_fingerprint(text: bytes, width: int) -> np.ndarray:
     return out
 
 
-def closest_forest(key: np.ndarray, words: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links at ``bits`` or fewer differing bits among fingerprints of equal key (sorted): of each component, a spanning tree of least distances."""
-    a, b, d = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+def wide_forest(key: np.ndarray, most: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest among fingerprints of equal key (sorted) that differ in ``most`` bits or fewer."""
+    a, b, held = [np.zeros(0, int)], [np.zeros(0, int)], 0
 
-    def tree(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(d, kind="stable")
-        a, b, d = a[order], b[order], d[order]
-        label, kept = np.arange(len(key)), np.zeros(len(a), dtype=bool)
-        while len(live := np.flatnonzero(label[a] != label[b])):
-            first = np.full(len(key), len(a))
-            np.minimum.at(first, label[a[live]], live)
-            np.minimum.at(first, label[b[live]], live)
-            chosen = np.unique(first[first < len(a)])
-            kept[chosen] = True
-            label = local(len(key), label[a[chosen]], label[b[chosen]])[label]
-        return a[kept], b[kept], d[kept]
+    def forest() -> tuple[np.ndarray, np.ndarray]:
+        label = local(len(key), np.concatenate(a), np.concatenate(b))
+        member = np.flatnonzero(label != np.arange(len(key)))
+        return label[member], member
 
     live, shift = np.arange(len(key)), 0
     while len(live):
         shift += 1
         live = live[: np.searchsorted(live, len(key) - shift)]
         live = live[key[live] == key[live + shift]]
-        far = sum(np.bitwise_count(w[live] ^ w[live + shift]).astype(np.int32) for w in words)
-        near = far <= bits
-        a, b, d = np.concatenate([a, live[near]]), np.concatenate([b, live[near] + shift]), np.concatenate([d, far[near]])
-        if len(a) > 1 << 20:
-            a, b, d = tree(a, b, d)
-    a, b, _ = tree(a, b, d)
-    return a, b
+        near = live[sum(np.bitwise_count(w[live] ^ w[live + shift]).astype(np.int64) for w in words) <= most[live]]
+        a.append(near)
+        b.append(near + shift)
+        held += len(near)
+        if held > 1 << 20:
+            x, y = forest()
+            a[:], b[:], held = [x], [y], 0
+    return forest()
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest among sets of hashes with a Jaccard similarity of ``similarity`` or more; each set is compared with all others."""
+    size = np.array([len(x) for x in sets])
+    flat, start = np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size) - size
+    seen = np.zeros(len(flat) + 1, dtype=np.int64)
+    label = np.arange(len(sets))
+    for i in range(len(sets)):
+        own = flat[start[i] : start[i] + size[i]]
+        seen[own] = 1
+        both = np.add.reduceat(seen[flat], start)
+        seen[own] = 0
+        for old in np.unique(label[both >= similarity * (size + size[i] - both)]):
+            if old != label[i]:
+                low, high = min(old, label[i]), max(old, label[i])
+                label[label == high] = low
+    member = np.flatnonzero(label != np.arange(len(sets)))
+    return label[member], member
 
 
 def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row: doc_id, node (equal for equal fingerprints), root (names the component).
 
-    Links are pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` or more. At 0.8 their fingerprints
-    of 256 bits differ in 39 bits on average, with a deviation of 6; ``WIDE_BITS`` are allowed, and what passes is verified by
-    the sets. Anchors are the words of the Golay code on each of ``VIEWS`` blocks of 23 bits, and a fingerprint is at all anchors
-    within the covering radius plus one. Two that differ in a block by two bits or fewer share an anchor in it, others often; by
-    simulation a pair at 0.8 is missed in all blocks once in 200 times. Each anchor yields a spanning tree of least distances, so that no group
-    of copies becomes all its pairs, and its weakest links are as strong as can be."""
+    Links are pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` or more. Candidates come from anchors: at 0.8 two fingerprints
+    of 256 bits differ in 39 bits on average, with a deviation of 6; ``WIDE_BITS`` are allowed, 4 deviations more. Anchors are the words of
+    the Golay code on each of ``VIEWS`` blocks of 23 bits, and a fingerprint is at all anchors within the covering radius plus one. Two
+    that differ in a block by two bits or fewer share an anchor in it, others often. Sets of up to ``SHORT`` shingles deviate more, and those
+    that they can be like are besides at anchors of their own, the least of their hashes, of which two sets that are alike share one. Each
+    anchor yields the links of a spanning forest. What candidates link makes up a group, and within it every two sets are compared, in
+    pieces of ``SETS``: a link is never judged by its fingerprints, nor left out for another that fails.
+
+    Nulls: null texts are empty ones; texts without words are one group. Equal ids are told apart by their texts; rows with a null id take part. An
+    empty table gives an empty table."""
     scratch = Scratch(docs.sparkSession, "copies")
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    most_short = int(SHORT / similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([wide_fingerprint(b.column(1)[i].as_py() or b"", width) for i in range(b.num_rows)], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(WIDE))], names=["doc_id", *WIDE_COLUMNS])
+            sets = [np.unique(shingle_hashes(b.column(1)[i].as_py() or b"", width)) for i in range(b.num_rows)]
+            f = np.array([wide_fingerprint(h) for h in sets], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            # two sets that are alike share one of this many of their least hashes
+            first = [h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64) if len(h) <= most_short else h[:0] for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(WIDE)), pa.array(first, pa.list_(pa.int64())), b.column(2)], names=["doc_id", *WIDE_COLUMNS, "first", "th"])
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("_t"))
-    rows = chosen.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS))
-    rows = scratch.write(rows.withColumn("node", F.xxhash64(*WIDE_COLUMNS)))
-    nodes = scratch.write(rows.groupBy("node", *WIDE_COLUMNS).agg(F.min("doc_id").alias("doc_id")))
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("_t"), F.xxhash64(F.col(text_col).cast("binary")).alias("th"))
+    rows = chosen.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS) + ", first array<long>, th long")
+    rows = scratch.write(rows.withColumn("node", F.xxhash64(*WIDE_COLUMNS, "first")))
+    nodes = scratch.write(rows.groupBy("node", *WIDE_COLUMNS, "first").agg(F.min(F.struct("doc_id", "th")).alias("of")))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, patterns = _errors("golay", 4)
         moves = [np.array([p for p, _ in m], dtype=np.uint64) for m in patterns]
         count = np.array([len(m) for m in moves])
         start, flat = np.cumsum(count) - count, np.concatenate(moves)
+        names = ["anchor", "node", "most", *WIDE_COLUMNS]
         for batch in batches:
+            first = batch.column(WIDE + 1)
+            at = np.repeat(np.arange(batch.num_rows), pc.list_value_length(first).to_numpy())
+            cols = [batch.column(j).to_numpy()[at] for j in range(WIDE + 1)]
+            short = mixed(first.flatten().to_numpy().view(np.uint64)) | np.uint64(1 << 63)  # apart from those of the views
+            yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(cols[0]), pa.array(np.full(len(at), SHORT_BITS)), *(pa.array(x) for x in cols[1:])], names=names)
             for i in range(0, batch.num_rows, 1 << 13):
                 part = [batch.column(j).to_numpy()[i : i + (1 << 13)] for j in range(WIDE + 1)]
                 f = [x.view(np.uint64) for x in part[1:]]
@@ -301,29 +330,43 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
                     at = np.repeat(np.arange(len(block)), count[s])
                     nth = np.arange(len(at)) - np.repeat(np.cumsum(count[s]) - count[s], count[s])
                     anchor = (block[at] ^ flat[start[s][at] + nth] | np.uint64(view << 23)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), *(pa.array(x[at]) for x in part)], names=["anchor", "node", *WIDE_COLUMNS])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[0][at]), pa.array(np.full(len(at), WIDE_BITS)), *(pa.array(x[at]) for x in part[1:])], names=names)
 
-    placed = nodes.select("node", *WIDE_COLUMNS).mapInArrow(replicate, "anchor long, node long, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS))
-    links = scratch.write(_compared(placed, lambda key, node, *words: closest_forest(key, list(words), WIDE_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    placed = nodes.select("node", *WIDE_COLUMNS, "first").mapInArrow(replicate, "anchor long, node long, most long, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS))
+    links = _compared(placed, lambda key, node, most, *words: wide_forest(key, most.view(np.int64), list(words)))
+    groups = scratch.write(components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    counts = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SETS).cast("int").alias("pieces"))
+    members = groups.join(counts, "root").join(nodes.select("node", F.col("of.doc_id").alias("_d"), F.col("of.th").alias("_th")), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py() or b"", width)).tobytes() for t in b.column(1)], pa.binary())], names=["n", "hs"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([np.unique(shingle_hashes(t.as_py() or b"", width)).tobytes() for t in b.column(3)], pa.binary())], names=["node", "root", "pieces", "hs"])
 
-    ends = links.select(F.col("a").alias("n")).unionByName(links.select(F.col("b").alias("n"))).distinct()
-    ends = nodes.join(ends, F.col("node") == F.col("n"), "left_semi").select("node", F.col("doc_id").alias("_d"))
-    held = scratch.write(chosen.join(ends, F.col("doc_id") == F.col("_d")).select("node", "_t").mapInArrow(sets, "n long, hs binary").dropDuplicates(["n"]))
+    held = chosen.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("node", "root", "pieces", "_t").mapInArrow(sets, "node long, root long, pieces int, hs binary").dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    dealt = scratch.write(held).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.select(F.xxhash64("root", F.least(own, "_other"), F.greatest(own, "_other")).alias("key"), "node", "hs").repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes_of: list[int] = []
+        hs: list[np.ndarray] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            a, b = similar(hs, similarity) if len(hs) > 1 else (np.zeros(0, int), np.zeros(0, int))
+            n = np.array(nodes_of, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(n[a]), pa.array(n[b])], names=["a", "b"])
+
         for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
-
-    pairs = links.join(held.select(F.col("n").alias("_n1"), F.col("hs").alias("h1")), F.col("a") == F.col("_n1")).join(held.select(F.col("n").alias("_n2"), F.col("hs").alias("h2")), F.col("b") == F.col("_n2"))
-    roots = components(pairs.select("a", "b", "h1", "h2").mapInArrow(verify, "a long, b long"))
+            for key, node, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if key != last:
+                    yield done()
+                    nodes_of, hs, last = [], [], key
+                if h.as_py():  # an empty set is like no other
+                    nodes_of.append(node)
+                    hs.append(np.frombuffer(h.as_py(), dtype=np.uint64))
+        yield done()
+
+    roots = components(dealt.mapInArrow(verify, "a long, b long"))
     return rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -77,6 +77,49 @@ def test_near_copies_against_all_pairs(corpus):
     assert sorted(map(sorted, of.values())) == sorted(map(sorted, want.values()))
 
 
+def roots_of(sets, similarity=0.8):
+    at = list(range(len(sets)))
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= similarity * len(sets[i] | sets[j]):
+                at[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+def test_near_copies_right_at_the_threshold(spark, monkeypatch):
+    """Families of variants around 0.8, and very short texts, where 0.8 is a word more or less; groups in several pieces."""
+    monkeypatch.setattr(simhash, "SETS", 16)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(12):  # a base of 100 words; each variant has 1 or 2 words changed, so that two have a similarity of 0.81 or less
+        base = [word() for _ in range(100)]
+        for n in range(25):
+            v = list(base)
+            for at in rng.sample(range(100), 1 + n % 2):
+                v[at] = word()
+            texts.append(v)
+    for n in range(5, 34):  # one word more
+        base = [word() for _ in range(n)]
+        texts += [base, [*base, word()], [word(), *base]]
+    texts += [[], ["one"], ["one"], ["two"], ["a", "b"], ["a", "b", "c"]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want, got = {}, {}
+    for i, r in enumerate(roots_of([shingle_set(" ".join(t)) for t in texts])):
+        want.setdefault(r, set()).add(i)
+    for r in simhash.near_copies(df).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert len(want) < len(texts) - 100
+
+
 def test_stages(spark, corpus, monkeypatch):
     d, docs, items = corpus
     monkeypatch.setattr(toxicity.Settings, "epochs", 30, raising=False)
