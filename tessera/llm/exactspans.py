@@ -8,21 +8,23 @@ in the same document.
 2. The strings of an anchor's occurrence make up a context of at most 2 LENGTH - K bytes. Equal contexts are one, with their
    first place; later places of a context go as a whole.
 3. The distinct contexts of a task, aligned at their anchors, are a collection of short documents. Column-wise construction:
-   from the last column to the first, one symbol of each context is inserted; the order of the suffixes follows from that of the
-   round before and the new symbols by a stable counting sort, and the symbols before them are the collection's
-   Burrows-Wheeler column. Neighbours in this order whose common prefix reaches LENGTH are the repeated strings; of each run,
-   the earliest stays.
+   from the last column to the first, one symbol of each context is inserted. The symbols that stand before the suffixes sorted so far
+   are the collection's Burrows-Wheeler column; a stable counting sort by them gives the order of the longer suffixes, and the
+   common prefix of two that are neighbours now is one more than the least common prefix between their places in the round before. Runs of
+   neighbours whose common prefixes reach LENGTH are the repeated strings; of each run, the earliest stays.
 4. Ranges of each document are joined with its text, which loses them.
 
-What differs from a construction over whole documents: that takes as many rounds as the longest text has bytes, each of which
-reads and writes the whole transform; here the rounds are the columns of a context, the state of a round is kept for bounded
-parts of the collection, and common prefixes are tested at LENGTH by hashes of the columns.
+What differs from a construction over whole documents: that takes as many rounds as the longest text has bytes, and each of them
+reads and writes the transform and the common prefixes of all documents as external files. Here the collection is first cut down to contexts of
+at most 180 columns, and dealt by anchors, so that the state of a round (one order and one list of common prefixes, for ``HELD`` contexts or
+those of one anchor) is held in memory; the sequential files are the written tables before and after. The README has figures.
 
-Scale: texts travel once, hashes of about one in 41 positions once, and only contexts of anchors that repeat. An anchor with over
-``CROWDED`` distinct contexts isn't gathered: its strings are compared by a shuffle on themselves.
+Scale: texts travel once, hashes of about one in 41 positions once, and only contexts of anchors that repeat. An anchor's places are
+counted before they are joined, so that a very common one isn't gathered; nor is one with over ``CROWDED`` distinct contexts, whose
+strings are compared by a shuffle on themselves.
 
-Nulls: a null text is empty. A null id is before all others. Rows of equal id are ordered by a hash of their text; rows that are
-equal in both are one document, and have the same result. Texts under LENGTH bytes stay. An empty table gives an empty table.
+Nulls: a null text is empty. A null id has the place of the smallest long. Rows of equal id are ordered by a hash of their text; rows that
+are equal in both are one document, and have the same result. Texts under LENGTH bytes stay. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,10 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm._bytes import leftmost_minima, pieces, prefix_sums, ranges
-from tessera.llm._common import Scratch, parts
+from tessera.llm._common import Scratch, attached, parts
 
 LENGTH, K, CROWDED, HELD = 100, 20, 20_000, 20_000
 SPREAD = LENGTH - K  #: most bytes of a string before or after its anchor
@@ -66,7 +67,7 @@ def anchored(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("d"), F.xxhash64(text).alias("k"), text.alias("t"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("d"), F.xxhash64(text).alias("k"), text.alias("t"), F.col(id_col).cast("long").alias("id"))
 
 
 def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,32 +122,46 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield distinct()
 
 
+def inserted(symbols: np.ndarray, order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round: the order of the suffixes that are longer by ``symbols``, and the common prefixes of neighbours."""
+    n = len(order)
+    before = symbols[order]  # the Burrows-Wheeler column
+    place = np.argsort(before, kind="stable")
+    least = [common]  # least[k][i]: the least of 2^k common prefixes from i on
+    while 2 << (len(least) - 1) <= n:
+        step = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-step], least[-1][step:]))
+    x, y = place[:-1] + 1, place[1:]
+    now = np.zeros(n, dtype=np.int16)
+    same = np.flatnonzero((before[place[1:]] == before[place[:-1]]) & (before[place[1:]] > 0))
+    x, y = x[same], y[same]  # the least of common[x .. y]
+    level = np.frexp((y - x + 1).astype(np.float64))[1] - 1
+    found = np.empty(len(same), dtype=np.int16)
+    for k in np.unique(level):
+        at = np.flatnonzero(level == k)
+        found[at] = np.minimum(least[k][x[at]], least[k][y[at] - (1 << k) + 1])
+    now[same + 1] = np.minimum(found + 1, LENGTH)
+    return order[place], now
+
+
 def repeated(contexts: list[bytes], before: np.ndarray, rank: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each context, the ranges of its bytes that strings cover which occur in a context of smaller rank. before: bytes ahead of the anchor."""
     n, width = len(contexts), 2 * SPREAD + K
-    symbols = np.zeros((n, width), dtype=np.uint8)
+    columns = np.zeros((width, n), dtype=np.uint16)  # symbols are bytes plus one; 0 is none, and is like nothing
     length = np.array([len(c) for c in contexts])
     start = SPREAD - before
     flat = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     row = np.repeat(np.arange(n), length)
-    symbols[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length) + start[row]] = flat
-    columns = np.ascontiguousarray(symbols.T)
-    sums = np.zeros((width + 1, n), dtype=np.uint64)
-    weight = np.uint64(1)
-    for c in range(width):
-        sums[c + 1] = sums[c] + (columns[c].astype(np.uint64) + np.uint64(1)) * weight
-        weight = np.uint64(int(weight) * 0x5851F42D4C957F2D % (1 << 64))
-    order = np.arange(n)
+    columns[np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length) + start[row], row] = flat.astype(np.uint16) + 1
+    order, common = np.arange(n), np.zeros(n, dtype=np.int16)  # common[i]: the common prefix, up to LENGTH, of the suffixes at i - 1 and i
     goes = np.zeros((SPREAD + 1, n), dtype=bool)
-    for c in range(width - 1, -1, -1):  # insert column c: stable counting sort by its symbols
-        order = order[np.argsort(columns[c][order], kind="stable")]
+    for c in range(width - 1, -1, -1):  # insert column c
+        order, common = inserted(columns[c], order, common)
         if c <= SPREAD:
-            o = order[(start[order] <= c) & (c + LENGTH <= (start + length)[order])]
-            if len(o) > 1:
-                h = (sums[c + LENGTH] - sums[c])[o]
-                runs = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                least = np.repeat(np.minimum.reduceat(rank[o], runs), np.diff(np.append(runs, len(o))))
-                goes[c, o] = rank[o] > least
+            runs = np.flatnonzero(common < LENGTH)
+            if len(runs) < n:
+                least = np.repeat(np.minimum.reduceat(rank[order], runs), np.diff(np.append(runs, n)))
+                goes[c, order] = rank[order] > least
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     edges = np.diff(np.pad(goes.astype(np.int8), ((1, 1), (0, 0))), axis=0)
     starts, ends = np.nonzero(edges.T == 1), np.nonzero(edges.T == -1)
@@ -208,7 +223,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.update(data[at:s])
                 at = e
             kept.update(data[at:])
-            out.append((None if d == FIRST_ID else d, len(data), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), [{"s": s, "e": e} for s, e in spans]))
+            out.append((d, len(data), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), [{"s": s, "e": e} for s, e in spans]))
         cols = [*zip(*out, strict=True)] if out else [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
@@ -230,12 +245,15 @@ def _crowded(distinct: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed ranges of bytes)."""
     rows = _rows(docs, id_col, text_col)
-    hashes = rows.mapInArrow(_anchor_hashes, "h long, d long, k long")
-    twice = hashes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
+    scratch = Scratch(docs.sparkSession, "spans")
+    hashes = scratch.write(rows.select("d", "k", "t").mapInArrow(_anchor_hashes, "h long, d long, k long"))
+    counts = scratch.write(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    twice = attached(hashes, counts, "h", hashes.count())
     wanted = twice.groupBy("d", "k").agg(F.collect_set("h").alias("hs")).select(F.col("d").alias("wd"), F.col("k").alias("wk"), "hs")
     contexts = rows.join(wanted, (F.col("d") == F.col("wd")) & (F.col("k") == F.col("wk"))).select("d", "k", "t", "hs")
-    scratch = Scratch(docs.sparkSession, "spans")
     contexts = scratch.write(contexts.mapInArrow(_contexts, "h long, c binary, a int, x binary, d long, k long, lo long, n int"))
+    scratch.drop(hashes)
+    scratch.drop(counts)
     distinct = contexts.where("x is not null").drop("n")
     crowd = scratch.write(distinct.select("h", "c").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select(F.col("h").alias("ch")))
     tasks = parts(docs.sparkSession)
@@ -252,5 +270,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = scratch.write(places.groupBy("d", "k").agg(F.flatten(F.collect_list("r")).alias("r")).select(F.col("d").alias("sd"), F.col("k").alias("sk"), "r"))
     for used in (contexts, crowd, few, many):
         scratch.drop(used)
-    out = rows.join(spans, (F.col("d") == F.col("sd")) & (F.col("k") == F.col("sk")), "left").select("d", "t", "r")
+    out = rows.join(spans, (F.col("d") == F.col("sd")) & (F.col("k") == F.col("sk")), "left").select("id", "t", "r")
     return out.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s: long, e: long>>")

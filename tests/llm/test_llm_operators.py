@@ -281,8 +281,7 @@ def test_pairs_kept():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
 
 
-def test_exact_spans(docs, empty):
-    rows = sorted({(r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()})
+def spans_by_force(rows):
     seen, want = set(), {}
     for d, t in rows:
         b = t.encode()
@@ -293,6 +292,11 @@ def test_exact_spans(docs, empty):
             seen.add(b[i : i + 100])
         kept = bytes(x for x, y in zip(b, goes, strict=True) if not y)
         want[d] = (len(b), sum(goes), len(bytes(goes).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest())
+    return want
+
+
+def test_exact_spans(docs, empty):
+    want = spans_by_force(sorted({(r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()}))
     got = exactspans.remove_repeats(docs).collect()
     assert len(got) == docs.count()
     assert {(r.doc_id if r.doc_id is not None else -1): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
@@ -300,6 +304,19 @@ def test_exact_spans(docs, empty):
     assert exactspans.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [2, 20_000])
+def test_exact_spans_of_crowded_anchors(spark, monkeypatch, crowded):
+    """Strings that stand in many different surroundings, compared in their collection and by a shuffle."""
+    monkeypatch.setattr(exactspans, "CROWDED", crowded)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij \n") for _ in range(n))
+    lines = [noise(n) for n in (70, 99, 100, 101, 150, 400)]
+    rows = [(i, "".join(x for _ in range(rng.randint(0, 5)) for x in (noise(rng.randint(0, 90)), rng.choice(lines)))) for i in range(60)]
+    rows += [(-(1 << 63), lines[-1] + "x"), (100, "a" * 700), (101, "a" * 350 + "b" + "a" * 350), (102, ("ab" * 300)), (103, "é" * 120 + lines[3])]
+    got = exactspans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == spans_by_force(sorted(rows))
+
+
 def test_extraction(spark):
     page = "<body><nav>Menu</nav><article><h1>T{0}</h1><p>Text &eacute; {0}</article><div class=share>Share</div></body>"
     rows = [(i, f"http://h{i % 3}.org/x", page.format(i), "host", "w") for i in range(12)] + [(12, None, None, "h", "w"), (13, "not a url", "", "h", "w"), (None, "http://h1.org", "x & y", "h", "w")]

@@ -1,6 +1,7 @@
 """The operators' parts, against plain Python, without Spark."""
 
 import hashlib
+import os
 
 import numpy as np
 import xxhash
@@ -93,6 +94,21 @@ def test_repeated_spans_of_contexts():
     assert found == [[], [(10, 130)]]
 
 
+def test_columns_give_suffix_order_and_common_prefixes():
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, rng.integers(0, 30)).astype(np.uint8)) for _ in range(80)]
+    columns = np.zeros((30, 80), dtype=np.uint16)
+    for i, t in enumerate(texts):
+        columns[: len(t), i] = np.frombuffer(t, np.uint8).astype(np.uint16) + 1
+    order, common = np.arange(80), np.zeros(80, dtype=np.int16)
+    for c in range(29, -1, -1):
+        order, common = exactspans.inserted(columns[c], order, common)
+        suffix = [texts[i][c:] for i in order]
+        assert suffix == sorted(suffix)
+        want = [0] + [len(os.path.commonprefix([x, y])) for x, y in zip(suffix, suffix[1:], strict=False)]
+        assert common.tolist() == want
+
+
 def test_chain_is_collinear_and_scored():
     x, y = [0, 5, 10, 12, 200, 205], [100, 105, 110, 3, 300, 305]
     out = passages.chains(x, y)
