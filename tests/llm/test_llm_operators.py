@@ -405,6 +405,52 @@ def test_language_model_adds_up(docs):
     assert np.allclose((by_class + types) / room + 1 / room, 1)
 
 
+@pytest.mark.parametrize(("held_tokens", "often"), [(2_000_000, 256), (500, 3), (90, 40)])
+def test_language_model_scores_against_brute_force(docs, monkeypatch, held_tokens, often):
+    """The scores from the classes and counts, in plain Python; blocks of any size, and texts over several of them, give the same."""
+    monkeypatch.setattr(classlm, "HELD_TOKENS", held_tokens)
+    monkeypatch.setattr(classlm, "OFTEN", often)
+    held = F.coalesce(F.col("doc_id") % 5 == 2, F.lit(False))
+    rows = [(r.doc_id, r.doc_id is not None and r.doc_id % 5 == 2, classlm.tokens((r.text or "").encode())) for r in docs.collect()]
+    table, _, counts, types = classlm.train(docs.where(~held))
+    cls, c, pairs = {}, Counter(), Counter()
+    for r in table.collect():
+        cls[bytes(r.w)], c[bytes(r.w)] = r.cls, r.c
+    train = [t for _, out, t in rows if not out]
+    assert c == Counter(w for t in train for w in t)
+    for t in train:
+        pairs.update(zip([classlm.START, *(cls[w] for w in t)], [cls[w] for w in t], strict=False))
+    assert {(i, j): n for (i, j), n in np.ndenumerate(counts) if n} == pairs
+    n, k = sum(c.values()), classlm.CLASSES
+    of_class = Counter(cls[w] for t in train for w in t)
+    of_context = Counter()
+    for (i, _), x in pairs.items():
+        of_context[i] += x
+    share = [(of_class[j] + 1) / (n + k) for j in range(k)]
+    move = lambda i, j: (pairs[i, j] + classlm.WEIGHT * share[j]) / (of_context[i] + classlm.WEIGHT)
+    want = Counter()
+    for doc_id, out, t in rows:
+        total, before = 0.0, classlm.START
+        for w in t:
+            if w in c:
+                total += math.log10(move(before, cls[w]) * (c[w] + 1) / (of_class[cls[w]] + types[cls[w]] + 1))
+                before = cls[w]
+            else:
+                total += math.log10(sum(move(before, j) / (of_class[j] + types[j] + 1) for j in range(k)))
+                before = classlm.OTHER
+        want[doc_id, out, len(t), sum(w in c for w in t), n, round(total, 5)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.score, 5)) for r in classlm.score(docs, held).collect()) == want
+
+
+def test_language_model_is_better_than_its_base_on_held_out_texts(spark):
+    rng = random.Random(2)
+    nouns, verbs = [f"n{i}" for i in range(150)], [f"v{i}" for i in range(150)]
+    text = lambda: " ".join(w for _ in range(rng.randint(3, 9)) for w in ("the", rng.choice(nouns), rng.choice(verbs), "a", rng.choice(nouns)))
+    df = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string")
+    got = classlm.score(df, F.col("doc_id") % 4 == 0).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert got.s > got.b + 0.4 * got.n  # over a factor of 2.5 in perplexity
+
+
 def test_language_model_contexts_are_all_tokens(spark):
     rng = random.Random(11)
     # two kinds of rare words in turn: every token is a context by its class, and after a word of one kind comes the other
