@@ -48,6 +48,20 @@ def tag(value: Any) -> str:
     return f"n:{number(value)!r}"
 
 
+def json_field(source_json: Column, path: list[str], prediction_json: Column | None = None) -> Column:
+    """A field of a record as a variant. A prediction that is there overrides the source's value, even if it is an explicit null; one that is absent doesn't.
+
+    An explicit JSON null is a variant that isn't SQL NULL (``F.is_variant_null``), and so differs from an absent field."""
+    at = "$" + "".join(f"[{json.dumps(p, ensure_ascii=False)}]" for p in path)
+    get = lambda c: F.try_variant_get(F.try_parse_json(c), at, "variant")
+    return get(source_json) if prediction_json is None else F.coalesce(get(prediction_json), get(source_json))
+
+
+def json_stratum(field: Column) -> Column:
+    """A variant as a stratum: JSON text; an explicit null is ``null``, an absent field is missing."""
+    return F.when(F.is_variant_null(field), F.lit("null")).otherwise(F.to_json(field))
+
+
 def number(value: Any) -> float:
     """A finite number that a double holds exactly enough; booleans aren't numbers."""
     if isinstance(value, bool) or not isinstance(value, (int, float)):

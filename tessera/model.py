@@ -64,6 +64,7 @@ class Snapshot:
     unit: str = "example"
     population_scope: str = "complete"
     count: int | None = None
+    max_record_bytes: int = 0  #: of the records as JSON; 0 if nobody measured it
 
     @property
     def columns(self) -> dict[str, Field]:

@@ -38,17 +38,34 @@ def strict_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
         raise ValueError(f"the join would overwrite {sorted(clash)}")
     on = _matches(left_keys, right_keys, as_text)
     if check:
-        _refuse(left.alias("l").join(right.alias("r"), on, "left_anti").select(*left_keys), "no match for")
-        if not many:
-            _refuse(duplicates(right, *right_keys), "the lookup key repeats")
-        if not allow_unused:
-            _refuse(right.alias("r").join(left.alias("l"), on, "left_anti").select(*right_keys), "unused lookup row")
+        _check_strict(left, right, left_keys, right_keys, many is None, not allow_unused, as_text)
     if many:
         packed = right.groupBy(*right_keys).agg(F.sort_array(F.collect_list(F.struct(*extra))).alias(many))
         return left.alias("l").join(packed.alias("r"), on).select("l.*", f"r.{many}")
     return left.alias("l").join(right.alias("r"), on).select("l.*", *[f"r.{c}" for c in extra])
 
 
+def _check_strict(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], unique: bool, all_used: bool, as_text: bool) -> None:
+    """One job for all refusals: both sides' keys are counted before they meet, so that a common key is one row."""
+    def keys(df: DataFrame, names: list[str], side: str) -> DataFrame:
+        as_ = [(F.col(f"`{c}`").cast("string") if as_text else F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(names)]
+        return df.select(*as_).groupBy(*[f"k{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias(side))
+
+    names = [f"k{i}" for i in range(len(left_keys))]
+    l, r = keys(left, left_keys, "left"), keys(right, right_keys, "right")
+    both = l.join(r, names, "full")  # null keys match nothing
+    row = F.struct(*names)
+    checks = {"no match for": F.col("right").isNull()}
+    if unique:
+        checks["the lookup key repeats"] = F.col("right") > 1
+    if all_used:
+        checks["unused lookup row"] = F.col("left").isNull()
+    got = both.agg(*[F.min(F.when(c, row)).alias(f"c{i}") for i, c in enumerate(checks.values())]).first()
+    for message, found in zip(checks, got, strict=True):
+        if found is not None:
+            raise ValueError(f"{message}: {tuple(found)}")
+
+
 def overlay_join(base: DataFrame, overlay: DataFrame, base_key: str, overlay_key: str, name: str = "overlay") -> DataFrame:
     """All rows of ``base``, with the list of the overlay rows of their key (compared as text); an empty list without any."""
     packed = overlay.groupBy(F.col(overlay_key).cast("string").alias("_k")).agg(F.sort_array(F.collect_list(F.struct(*overlay.columns))).alias(name))
@@ -83,6 +100,66 @@ def join_results(snapshot: Snapshot, artifact: str, results: DataFrame, fields:
     return snapshot.with_fields(rows, {names[k]: Field(names[k], dtype, columns[k]) for k, dtype in fields.items()})
 
 
+def attach_results(records: DataFrame, artifact: str, results: DataFrame, columns: list[str], *, asset_records: DataFrame | None = None) -> DataFrame:
+    """All records with ``prediction.<artifact>.<column>`` of the results of their id; a value that is there gives way to a result, not to a missing one.
+
+    ``asset_records``: the records of the asset unit, which join the population if results are of assets and aren't in it. ``unjoined`` counts what no record takes."""
+    if asset_records is not None:
+        records = records.unionByName(asset_records.join(records.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    own = results.select(F.col("id").alias("_id"), F.lit(True).alias("_has"), *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(columns)])
+    out = records.join(own, F.col("id") == F.col("_id"), "left")
+    for i, c in enumerate(columns):
+        name = f"prediction.{artifact}.{c}"
+        before = F.col(f"`{name}`") if name in records.columns else F.lit(None)
+        out = out.withColumn(name, F.when(F.col("_has"), F.col(f"_r{i}")).otherwise(before))
+    return out.drop("_id", "_has", *[f"_r{i}" for i in range(len(columns))])
+
+
+def unjoined(records: DataFrame, results: DataFrame) -> DataFrame:
+    """items_unjoined: results whose id isn't a record's, or is null. They are counted, never lost silently."""
+    return results.join(records.select("id").distinct(), "id", "left_anti").agg(F.count(F.lit(1)).alias("items_unjoined"))
+
+
+def column_of_ids(ids: DataFrame, records: DataFrame, column: str, results: DataFrame | None = None) -> DataFrame:
+    """ord, id, value for each of the ids (ord, id), in their order: the record's value, or its result's where ``results`` is given.
+
+    An id that isn't a record's has no value, even if there is a result of it; an id that is asked for twice is there twice."""
+    source = records.select(F.col("id").alias("_s"), *([F.col(f"`{column}`").alias("value")] if results is None else []))
+    out = ids.join(source, F.col("id") == F.col("_s"), "left")
+    if results is not None:
+        own = results.select(F.col("id").alias("_r"), F.col(f"`{column}`").alias("value"))
+        out = out.join(own, F.col("_s") == F.col("_r"), "left")
+    return out.select("ord", "id", "value").orderBy("ord")
+
+
+def assemble_graph(images: DataFrame, single: dict[str, DataFrame], multiple: dict[str, tuple[DataFrame, str]], qas: DataFrame, regions: DataFrame, links: DataFrame, *, check: bool = True) -> DataFrame:
+    """One row for each image, with what other tables say of it, and one for each link whose ends aren't there.
+
+    images: image_id and columns. single: tables with one row for an image at most; multiple: tables with a list for each image, with the
+    column that orders it. qas (qa_id, image_id) and regions (region_id, image_id) tell whose they are; links (qa_id, region_id) belong to the
+    image of their qa, or else of their region. A link whose qa and region are unknown is an orphan: ``orphan_qa`` and ``orphan_region`` name it.
+    Refused: rows of images that aren't there, repeated images, regions and qas, and links whose qa and region are of different images."""
+    whose = links.join(qas.select("qa_id", F.col("image_id").alias("_q")), "qa_id", "left").join(regions.select("region_id", F.col("image_id").alias("_g")), "region_id", "left")
+    if check:
+        for name, (table, key) in {"image": (images, "image_id"), "qa": (qas, "qa_id"), "region": (regions, "region_id")}.items():
+            _refuse(duplicates(table, key), f"the {name} repeats")
+        for name, table in {**single, **{n: t for n, (t, _) in multiple.items()}, "qas": qas, "regions": regions}.items():
+            _refuse(table.join(images.select("image_id"), "image_id", "left_anti").select("image_id"), f"{name} has an unknown image")
+        for name, table in single.items():
+            _refuse(duplicates(table, "image_id"), f"{name} repeats an image")
+        _refuse(whose.where(F.col("_q") != F.col("_g")).select("qa_id", "region_id"), "the qa and the region are of different images")
+    out = images
+    for name, table in single.items():
+        out = out.join(table.select("image_id", F.struct(*[c for c in table.columns if c != "image_id"]).alias(name)), "image_id", "left")
+    for name, (table, order) in multiple.items():
+        packed = table.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in table.columns if c not in ("image_id", order)]))).alias(name))
+        out = out.join(packed, "image_id", "left").withColumn(name, F.coalesce(name, F.array().cast(dict(packed.dtypes)[name])))
+    of_image = whose.withColumn("image_id", F.coalesce("_q", "_g"))
+    mapped = of_image.where("image_id is not null").groupBy("image_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("qa_id", "region_id")))).alias("qa_to_region"))
+    orphans = of_image.where("image_id is null").select(F.col("qa_id").alias("orphan_qa"), F.col("region_id").alias("orphan_region"))
+    return out.join(mapped, "image_id", "left").unionByName(orphans, allowMissingColumns=True)
+
+
 def records_by_id(records: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of the ids (ord, id), each id once, at its first place; ids without a row are refused by ``missing_ids``."""
     wanted = ids.groupBy("id").agg(F.min("ord").alias("ord"))

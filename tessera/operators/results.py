@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 STATUSES = ("completed", "failed", "not_applicable", "skipped", "not_scheduled")
 
@@ -53,13 +54,24 @@ def run_summary(items: DataFrame, top: int = 10) -> DataFrame:
     return reasons.unionByName(totals).unionByName(verdicts)
 
 
+def tag_spread(items: DataFrame, columns: list[str], top: int = 12) -> DataFrame:
+    """column, value, count: the most frequent values of each of the tag columns of completed items; texts and booleans, missing ones left out."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    counts = items.where("status = 'completed'").select(F.explode(pairs).alias("x")).where("x.value is not null").groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("count"))
+    nth = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
+    return counts.withColumn("_nth", nth).where(F.col("_nth") <= top).drop("_nth")
+
+
 def mean_by(rows: DataFrame, field: str, score: str, top: int = 50) -> DataFrame:
     """The most frequent values of a field with count and mean score."""
     return rows.groupBy(field).agg(F.count(F.lit(1)).alias("count"), F.avg(score).alias("mean")).orderBy(F.desc("count"), field).limit(top)
 
 
 def import_research(selection: DataFrame, values: DataFrame, kind: str, *, bounds: tuple[float, float] | None = None, allowed: list[str] | None = None) -> DataFrame:
-    """id, status, value of an outside result over a selection; ids it lacks are not_applicable. ``invalid`` lists what is refused before."""
+    """id, status, value of an outside result over a selection; ids it lacks are not_applicable. What ``invalid`` finds is refused."""
+    bad = invalid(selection, values, kind, bounds=bounds, allowed=allowed).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['problem']}: {bad[0]['id']}")
     return selection.join(values.select("id", "value"), "id", "left").select("id", F.when(F.col("value").isNotNull(), "completed").otherwise("not_applicable").alias("status"), "value")
 
 
@@ -75,6 +87,11 @@ def invalid(selection: DataFrame, values: DataFrame, kind: str, *, bounds: tuple
         bad = ~v.isin(allowed or []) if allowed else F.lit(False)
     elif kind == "region":
         bad = ~((v["x2"] > v["x1"]) & (v["y2"] > v["y1"]))
+    elif kind == "vector":  # of finite numbers, and of one length
+        size = values.where(v.isNotNull()).agg(F.min(F.size("value"))).first()[0]
+        bad = (F.size(v) == 0) | (F.size(v) != F.lit(size)) | F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    elif kind == "response":
+        bad = F.trim(v.cast("string")) == ""
     else:
         raise ValueError(f"unknown kind {kind}")
     return unknown.unionByName(twice).unionByName(values.where(v.isNotNull() & bad).select("id", F.lit("invalid value").alias("problem")))

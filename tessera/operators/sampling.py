@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,10 +43,17 @@ def undeclared(rows: DataFrame, stratum: str, values: list) -> DataFrame:
 
 
 def interleave(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    """``turn`` from 0: the first row of each group in turn, then the second ones. A group's rows are numbered among themselves;
-    the turns are numbered by (number in group, group)."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("nth", nth)
+    """``turn`` from 0: the first row of each group in turn, then the second ones; ``nth`` from 1 is a row's number in its group. Groups take turns by name.
+
+    A turn is the number of rows of smaller ``nth``, from counts, and its group's place among the groups that have as many rows: a window holds the rows of a
+    group, or one row of each group."""
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    rounds = numbered.groupBy("nth").agg(F.count(F.lit(1)).alias("_n"))  # a row for each length of a group
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rounds = rounds.select(F.col("nth").alias("_r"), ahead.alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("nth").orderBy(F.asc_nulls_first(group))) - 1
+    out = numbered.withColumn("_place", place).join(rounds, F.col("nth") == F.col("_r"))
+    return out.withColumn("turn", F.col("_ahead") + F.col("_place")).drop("_r", "_ahead", "_place")
 
 
 def asset_first(rows: DataFrame, asset: str, id_column: str, size: int, seed: int) -> DataFrame:
@@ -67,17 +75,53 @@ def fixed_groups(rows: DataFrame, group: str, row: str, groups: int, size: int,
     return picked.withColumn("_nth", nth).where(F.col("_nth") <= quota).drop("_name", "_i", "_nth")
 
 
+def parquet_row_groups(spark: SparkSession, path: str) -> list[tuple[str, int, int, int]]:
+    """(file, row group, its first row in the file, rows) of the Parquet files at a path, from their footers; no data is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().endswith(".parquet")), key=lambda p: p.getName())
+    out = []
+    for f in files:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(f, conf))
+        try:
+            first = 0
+            for i, block in enumerate(reader.getFooter().getBlocks()):
+                out.append((f.getName(), i, first, block.getRowCount()))
+                first += block.getRowCount()
+        finally:
+            reader.close()
+    return out
+
+
+def fixed_row_groups(spark: SparkSession, path: str, groups: int, size: int, seed: int, *, most_per_group: int | None = None) -> DataFrame:
+    """Rows from ``groups`` of the row groups at a path, with origin_file, origin_group and origin_row: groups by hash, and from each its quota (the first ones
+    give one more) by hash of the row. The rows are named by the footers alone, and the scan reads the row groups that hold them."""
+    known = parquet_row_groups(spark, path)
+    base, extra = divmod(size, groups)
+    if not 1 <= groups <= len(known):
+        raise ValueError(f"there are {len(known)} row groups")
+    if most_per_group is not None and base + (extra > 0) > most_per_group:
+        raise ValueError(f"a row group would give over {most_per_group} rows")
+    rank = lambda *parts: hashlib.sha256(":".join(map(str, (seed, *parts))).encode()).hexdigest()
+    wanted = []
+    for place, (name, group, first, rows) in enumerate(sorted(known, key=lambda g: (rank("row_group", g[0], g[1]), g[0], g[1]))[:groups]):
+        quota = base + (place < extra)
+        if rows < quota:
+            raise ValueError(f"row group {group} of {name} has {rows} rows, and {quota} are taken from each")
+        wanted += [(name, group, first + r, r) for r in sorted(range(rows), key=lambda r: rank("row", name, group, r))[:quota]]
+    asked = spark.createDataFrame(wanted, "_file string, origin_group int, _at long, origin_row long")  # ``size`` rows
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("origin_file"), F.col("_metadata.row_index").alias("_index"))
+    return rows.join(F.broadcast(asked), (F.col("origin_file") == F.col("_file")) & (F.col("_index") == F.col("_at"))).drop("_file", "_at", "_index")
+
+
 def shards(names: list[str], count: int, seed: int) -> list[str]:
     """``count`` of the shard names, by hash."""
-    import hashlib
-
     return sorted(names, key=lambda n: hashlib.sha256(f"{seed}:{n}".encode()).hexdigest())[:count]
 
 
 def drawn_positions(total: int, count: int, seed: int) -> list[int]:
     """``count`` different positions below ``total``, in the order in which hashes of 0, 1, ... name them."""
-    import hashlib
-
     out: dict[int, None] = {}
     i = 0
     while len(out) < min(count, total):
@@ -89,7 +133,8 @@ def drawn_positions(total: int, count: int, seed: int) -> list[int]:
 def draw_rows(rows: DataFrame, ordinal: str, total: int, count: int, seed: int, condition: Column | None = None) -> DataFrame:
     """The rows at ``drawn_positions`` of those for which ``condition`` holds; positions are numbers that a filter leaves as they are."""
     if condition is None:
-        return rows.where(F.col(ordinal).isin(drawn_positions(total, count, seed)))
+        drawn = rows.sparkSession.createDataFrame([(p,) for p in drawn_positions(total, count, seed)], "_p long")
+        return rows.join(drawn, F.col(ordinal) == F.col("_p"), "left_semi")
     kept = rows.where(condition)
     return kept.withColumn("_r", sha_rank(seed, F.col(ordinal))).orderBy("_r", ordinal).limit(count).drop("_r")
 

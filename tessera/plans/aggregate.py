@@ -23,7 +23,9 @@ def _fields(snapshot: Snapshot, field_ids: list[str]) -> list[Field]:
 
 def numeric(snapshot: Snapshot, query: Query, field_ids: list[str]) -> DataFrame:
     """field_id, denominator, missing, present, min, max, mean of number fields; one pass for all. The query's sample doesn't apply."""
-    fields = [f for f in _fields(snapshot, field_ids) if f.dtype == "number"]
+    fields = _fields(snapshot, field_ids)
+    if other := [f.id for f in fields if f.dtype != "number"]:
+        raise ValueError(f"not numbers: {other}")
     rows = matching(snapshot, query)
     aggs = [F.count(F.lit(1)).alias("denominator")]
     for i, f in enumerate(fields):
@@ -53,6 +55,57 @@ def categorical(snapshot: Snapshot, query: Query, field_ids: list[str], top: int
     return out.where(F.col("_nth") <= top).select("field_id", "value", "count", "missing", "denominator", "truncated")
 
 
+def envelope(snapshot: Snapshot, query: Query, field_ids: list[str], top: int = 24) -> DataFrame:
+    """field_id, kind (numeric, categorical or unsupported), denominator, missing, present, min, max, mean, counts (value, count; most frequent first), truncated.
+
+    All fields that are asked for have a row, in their order. Structured fields are unsupported. ``warnings`` says what the counts aren't."""
+    fields = _fields(snapshot, field_ids)
+    kind = {f.id: "numeric" if f.dtype == "number" else "unsupported" if f.dtype in ("array", "object") else "categorical" for f in fields}
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f.id).alias("field_id"), F.lit(kind[f.id]).alias("kind")) for i, f in enumerate(fields)])).alias("x")
+    out = matching(snapshot, query).agg(F.count(F.lit(1)).alias("denominator")).select("denominator", wanted).select("x.*", "denominator")
+    parts = []
+    if numbers := [f for f in field_ids if kind[f] == "numeric"]:
+        n = numeric(snapshot, query, numbers)
+        parts.append(n.select("field_id", "missing", "present", "min", "max", "mean", F.lit(None).cast("array<struct<value: string, count: bigint>>").alias("counts"), F.lit(None).cast("boolean").alias("truncated")))
+    if values := [f for f in field_ids if kind[f] == "categorical"]:
+        c = categorical(snapshot, query, values, top)
+        listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "value"))), lambda x: F.struct(x["value"].alias("value"), (-x["o"]).alias("count")))
+        c = c.groupBy("field_id").agg(F.max("missing").alias("missing"), F.max("denominator").alias("_d"), listed.alias("counts"), F.bool_or("truncated").alias("truncated"))  # ``top`` values a field
+        none = F.lit(None).cast("double")
+        parts.append(c.select("field_id", "missing", (F.col("_d") - F.col("missing")).alias("present"), none.alias("min"), none.alias("max"), none.alias("mean"), "counts", "truncated"))
+    if parts:
+        out = out.join(F.broadcast(reduce(DataFrame.unionByName, parts)), "field_id", "left")  # a row for each field
+    else:
+        out = out.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("missing", "long"), ("present", "long"), ("min", "double"), ("max", "double"), ("mean", "double"), ("counts", "array<struct<value: string, count: bigint>>"), ("truncated", "boolean"))])
+    # a field without any value has no row among the categories
+    out = out.withColumn("missing", F.when(F.col("kind") == "categorical", F.coalesce("missing", "denominator")).otherwise(F.col("missing")))
+    out = out.withColumn("present", F.when(F.col("kind") == "categorical", F.coalesce("present", F.lit(0))).otherwise(F.col("present")))
+    return out.select("ord", "field_id", "kind", "denominator", "missing", "present", "min", "max", "mean", "counts", "truncated").orderBy("ord")
+
+
+def warnings(snapshot: Snapshot, query: Query) -> list[str]:
+    """What a reader of ``envelope`` must know."""
+    out = ["the query's sample doesn't apply: counts are of all that the filter matches"] if query.sample else []
+    return out + ([] if snapshot.population_scope == "complete" else [f"counts are of a {snapshot.population_scope} snapshot, not of the whole population"])
+
+
+def tool(rows: DataFrame, column: str, scope: DataFrame | None = None, top: int = 50) -> DataFrame:
+    """denominator, missing, mean, min, max, counts of a column over the records (id) of ``scope``: numbers have a mean and bounds, other values the most frequent
+    of them as texts. Numbers that aren't finite make a column one of texts."""
+    if scope is not None:
+        rows = rows.join(scope.select("id").distinct(), "id", "left_semi")
+    is_number = dict(rows.dtypes)[column] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    v = F.col(f"`{column}`")
+    x = v.cast("double")
+    finite = F.lit(is_number) & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) if is_number else F.lit(False)
+    counts = rows.groupBy(v.cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"), F.count_if(finite).alias("f"), F.sum(F.when(finite, x)).alias("s"), F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi"))
+    first = counts.where("value is not null").orderBy(F.desc("count"), "value").limit(top).agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "value"))).alias("t"))
+    one = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("denominator"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("missing"), F.sum("f").alias("f"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    numbers = (F.col("f") > 0) & (F.col("f") == F.col("denominator") - F.col("missing"))
+    listed = F.transform("t", lambda p: F.struct(p["value"].alias("value"), (-p["o"]).alias("count")))
+    return one.withColumn("_k", F.lit(1)).join(first.withColumn("_k", F.lit(1)), "_k").select("denominator", "missing", F.when(numbers, F.col("s") / F.col("f")).alias("mean"), F.when(numbers, F.col("lo")).alias("min"), F.when(numbers, F.col("hi")).alias("max"), F.when(~F.coalesce(numbers, F.lit(False)), listed).alias("counts"))  # one row each
+
+
 def coded(snapshot: Snapshot, ids: DataFrame, field_id: str, top: int = 24) -> DataFrame:
     """ord, id, code for (ord, id): codes of the most frequent values from 0, the others get ``top``, missing values and unknown ids -1."""
     field = snapshot.columns[field_id]

@@ -10,8 +10,8 @@ from tessera.functions.scalars import seeded_rank, stratum
 from tessera.model import Page, Query, Snapshot
 from tessera.plans.predicate import compile_filter, orderable
 
-#: Bytes of a page, and rows of a sample, at most.
-PAGE_BYTES, MAX_SAMPLE = 32_000_000, 10_000
+#: Bytes of a page, and rows of a sample, at most; bytes of whole records that a task may hold to sort them.
+PAGE_BYTES, MAX_SAMPLE, SORT_BYTES = 32_000_000, 10_000, 256_000_000
 
 
 def check(snapshot: Snapshot, query: Query) -> None:
@@ -66,17 +66,23 @@ def sampled(snapshot: Snapshot, query: Query, rows: DataFrame) -> tuple[DataFram
     return rows.orderBy(*by).limit(size), by, size
 
 
-def plan(snapshot: Snapshot, query: Query, columns: list[str] | None = None) -> DataFrame:
+def plan(snapshot: Snapshot, query: Query, columns: list[str] | None = None, *, late: bool | None = None) -> DataFrame:
     """The page's rows as a lazy plan, in order, with ``position`` from 0 in the (sampled) population's order.
 
-    The order and limit are one top-k: each task keeps a page at most."""
+    The order and limit are one top-k: each task keeps a page at most. ``late``: only ids and what decides the order take part in it, and whole rows are
+    fetched for the page's ids (a broadcast of at most 1000), for one more scan. By default so if the records are large enough for it."""
     rows, by, size = sampled(snapshot, query, matching(snapshot, query))
     offset = query.offset()
     if size is not None and offset > size:
         raise ValueError("the cursor is beyond the sample")
+    if late is None:
+        late = (offset + query.limit) * snapshot.max_record_bytes * 4 > SORT_BYTES
     page = rows.orderBy(*by).offset(offset).limit(query.limit)
     page = page.withColumn("position", F.row_number().over(Window.orderBy(*by)) - 1 + offset)  # a page of at most 1000 rows
     names = columns or [c for c in snapshot.records.columns if c not in ("search_text", "row_ordinal")]
+    if late:
+        keys = page.select(F.col("id").alias("_key"), "position")  # the scan below it reads no other columns
+        page = snapshot.records.join(F.broadcast(keys), F.col("id") == F.col("_key")).orderBy("position")
     return page.select(*[F.col(f"`{c}`") for c in names], "position")
 
 
@@ -89,12 +95,21 @@ def run(snapshot: Snapshot, query: Query) -> Page:
     if offset > in_sample:
         raise ValueError("the cursor is beyond the sample")
     rows = plan(snapshot, query)
-    bytes_so_far = F.sum(F.octet_length(F.to_json(F.struct("*")))).over(Window.orderBy("position"))
-    rows = rows.withColumn("_bytes", bytes_so_far).where((F.col("_bytes") <= PAGE_BYTES) | (F.col("position") == offset)).drop("_bytes")
-    returned = rows.count()
+    rows = rows.withColumn("_size", F.octet_length(F.to_json(F.struct("*")))).withColumn("_bytes", F.sum("_size").over(Window.orderBy("position")))
+    fits = F.col("_bytes") <= PAGE_BYTES
+    got = rows.agg(F.count(F.lit(1)).alias("asked"), F.count_if(fits).alias("fit"), F.max(F.when(F.col("position") == offset, F.col("_size"))).alias("first")).first()
+    if (got["first"] or 0) > PAGE_BYTES:
+        raise ValueError(f"the record at {offset} is over the {PAGE_BYTES} bytes of a page")
+    rows, returned = rows.where(fits).drop("_bytes", "_size"), got["fit"]
     end = offset + returned
-    warnings = ("a preview's counts aren't the population's",) if snapshot.population_scope == "preview" else ()
-    return Page(rows, matched, in_sample, offset, returned, query.cursor_at(end) if end < in_sample else None, warnings)
+    warnings = []
+    if returned < got["asked"]:
+        warnings.append("the page is shorter, as its bytes are bounded; go on with its cursor")
+    if query.sample and query.sample.get("method") == "stratified":
+        warnings.append("a stratified sample doesn't tell how frequent values are")
+    if snapshot.population_scope != "complete":
+        warnings.append(f"counts are of a {snapshot.population_scope} snapshot, not of the whole population")
+    return Page(rows, matched, in_sample, offset, returned, query.cursor_at(end) if end < in_sample else None, tuple(warnings))
 
 
 def ids(snapshot: Snapshot, query: Query, most: int) -> DataFrame:

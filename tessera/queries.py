@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import scalars, text
 from tessera.model import Field, Query, Snapshot
-from tessera.operators import joins, results, sampling, sets, vectors
+from tessera.operators import catalogue, joins, results, sampling, selections, sets, subsets, vectors
 from tessera.plans import aggregate, query as plan
-from tessera.sources import files, snapshot
+from tessera.sources import files, mapping, snapshot
 from tessera.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ def documents(spark: SparkSession, sf_dir: str) -> Snapshot:
 
 def labelled(spark: SparkSession, sf_dir: str) -> Snapshot:
     r = _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
-    return joins.join_results(documents(spark, sf_dir), "labels", r, {"quality": "number", "toxic": "number"}, check=False)
+    return joins.join_results(documents(spark, sf_dir), "labels", r, {"quality": "number", "toxic": "number"})
 
 
 FLAGSHIP = {"and": [{"field_id": "source.status", "op": "in", "value": ["F", "O"]}, {"not": {"field_id": "source.price", "op": "lt", "value": 100000}}]}
@@ -207,13 +208,13 @@ def result_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("select n_nationkey, n_name, n_regionkey, r_name from nation join region on n_regionkey = r_regionkey")
 def join_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.strict_join(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region"), ["n_regionkey"], ["r_regionkey"], check=False)
+    return joins.strict_join(_t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region"), ["n_regionkey"], ["r_regionkey"])
 
 
 @register("select o_orderkey, len(list(l_linenumber)) as n_lines, sum(l_quantity) as quantity, min(l_linenumber) as first_line from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey")
 def join_strict_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    out = joins.strict_join(_t(spark, sf_dir, "orders").select("o_orderkey"), lines, ["o_orderkey"], ["l_orderkey"], many="lines", allow_unused=True, check=False)
+    out = joins.strict_join(_t(spark, sf_dir, "orders").select("o_orderkey"), lines, ["o_orderkey"], ["l_orderkey"], many="lines", allow_unused=True)
     return out.select("o_orderkey", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["l_quantity"]).alias("quantity"), F.col("lines")[0]["l_linenumber"].alias("first_line"))
 
 
@@ -239,7 +240,7 @@ def join_overlay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n_orders, (select min(o_orderkey) from orders where o_custkey = c_custkey) as first_order, n_name as nation from customer join nation on c_nationkey = n_nationkey
 """)
 def join_grouped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = joins.strict_join(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), _t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["c_nationkey"], ["n_nationkey"], allow_unused=True, check=False)
+    base = joins.strict_join(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), _t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["c_nationkey"], ["n_nationkey"], allow_unused=True)
     out = joins.group_tables(base, "c_custkey", {"orders": (_t(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey", "o_totalprice"])})
     return out.select("c_custkey", F.size("orders").cast("long").alias("n_orders"), F.get("orders", F.lit(0))["o_orderkey"].alias("first_order"), F.col("n_name").alias("nation"))
 
@@ -253,9 +254,10 @@ def join_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.agree(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", ["o_orderstatus"])
 
 
-@register("select conv_id, count(*) as steps from conversations group by conv_id having count(*) <> count(distinct turn) or min(turn) <> 0 or max(turn) + 1 <> count(*)")
+@register("select o_custkey, count(*) as steps from (select o_custkey, month(o_orderdate) as m from orders) group by 1 having count(*) <> count(distinct m) or min(m) <> 1 or max(m) <> count(*)")
 def turns_not_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.contiguous(_t(spark, sf_dir, "conversations"), "conv_id", "turn", first=0)
+    o = _t(spark, sf_dir, "orders").select("o_custkey", F.month("o_orderdate").alias("m"))
+    return joins.contiguous(o, "o_custkey", "m")
 
 
 @register("select conv_id, string_agg(role || ':' || length(text), ',' order by turn) as shape, max(text) filter (turn = 0) as question from conversations group by conv_id")
@@ -305,9 +307,12 @@ def concatenated_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.concatenate({"train": a, "test": b}, "id").select("id", "origin", "value", "segment")
 
 
-@register("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth from orders")
+@register("""
+with n as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth from orders)
+select *, row_number() over (order by nth, o_custkey) - 1 as turn from n
+""")
 def interleaved_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.interleave(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "nth")
+    return sampling.interleave(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "nth", "turn")
 
 
 @register("select p_brand, min(p_partkey) as p_partkey from part group by p_brand")
@@ -316,12 +321,13 @@ def first_of_each_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-with x as (select l_partkey as record_id, l_suppkey as id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as nth, l_orderkey, l_linenumber from lineitem)
-select id, l_orderkey * 10 + l_linenumber as record_id from x where nth = 1
+with a as (select o_orderkey as record_id, l_suppkey as id, l_linenumber, row_number() over (partition by o_orderkey order by l_linenumber) as p from orders join lineitem on l_orderkey = o_orderkey)
+select id, record_id, l_linenumber as line from a qualify row_number() over (partition by id order by record_id, p) = 1
 """)
 def asset_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(F.struct(F.col("l_suppkey").alias("id"))).alias("assets"))
-    return sets.asset_units(l, order="id")
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("a"))
+    records = lines.select("id", F.transform("a", lambda x: F.struct(x["l_suppkey"].alias("id"), x["l_linenumber"].alias("line"))).alias("assets"))
+    return sets.asset_units(records, order="id").select("id", "record_id", "line")
 
 
 @register("""
@@ -436,10 +442,15 @@ def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cluster", "size", F.round("mean_distance", 8).alias("mean_distance"), F.col("exemplars")[0].alias("nearest"))
 
 
-@register("select vec_id as id, 'norm' as problem from embeddings where abs(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) - 1) > 1e-12")
+@register("""
+with v as (select vec_id as id, case when vec_id % 10 = 3 then list_concat(embedding[:1]::double[] * 0, embedding[2:]::double[]) when vec_id % 10 = 4 then embedding[:63]::double[] else embedding::double[] end as e from embeddings)
+select id, 'norm' as problem from v where len(e) = 64 and abs(sqrt(list_sum(list_transform(e, lambda x: x * x))) - 1) > 0.001
+union all select id, 'length' from v where len(e) <> 64
+""".replace("embedding[:1]::double[] * 0", "[0.0::double]"))
 def vector_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vectors.problems(e, dim=64, unit=True, tolerance=1e-12)
+    v = F.col("embedding").cast("array<double>")
+    broken = F.when(F.col("vec_id") % 10 == 3, F.concat(F.array(F.lit(0.0)), F.slice(v, 2, 63))).when(F.col("vec_id") % 10 == 4, F.slice(v, 1, 63)).otherwise(v)
+    return vectors.problems(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), broken.alias("vector")), dim=64, unit=True, tolerance=0.001)
 
 
 @register()
@@ -478,16 +489,21 @@ def research_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-with b as (select l_orderkey, l_linenumber, l_discount * 10 as score, case when l_returnflag = 'R' then 'person' else 'other' end as class, l_linestatus from lineitem),
-i as (select l_orderkey as id, count(*) filter (score >= 0.5) as n, max(score) filter (score >= 0.5) as m, count(*) filter (score >= 0.5 and class = 'person') as p from b group by 1)
-select id, n::int as detection_count, m as max_score, p::int as person_count from i
+with b as (select l_orderkey as id, l_linenumber % 3 as asset, l_partkey % 4 as file, l_linenumber as n, l_discount * 10 as score, case when l_returnflag = 'R' then 'person' else 'other' end as class, l_linestatus from lineitem),
+a as (select id, asset, min(file) as file, min(case when l_linestatus = 'F' or id % 5 > 0 then 'completed' else 'failed' end) as status from b group by 1, 2),
+k as (select *, status = 'completed' and asset = min(asset) filter (status = 'completed') over (partition by id, file) as original from a),
+d as (select b.* from b join k on b.id = k.id and b.asset = k.asset where k.original and score >= 0.5),
+i as (select id, bool_and(status = 'completed') as complete from a group by 1)
+select i.id, complete, case when complete then (select count(*) from d where d.id = i.id)::int end as detection_count, (select max(score) from d where d.id = i.id) as max_score,
+       case when complete then (select count(*) from d where d.id = i.id and class = 'person')::int end as person_count from i
 """)
 def detector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.struct((F.col("l_discount") * 10).alias("score"), F.when(F.col("l_returnflag") == "R", "person").otherwise("other").alias("class"))
-    items = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(box).alias("detections"))
-    asset = F.struct(F.lit("completed").alias("status"), F.lit(None).cast("string").alias("file_sha256"), F.lit("a").alias("asset_id"), F.col("detections").alias("detections"))
-    items = items.select("id", F.lit("completed").alias("status"), F.array(asset).alias("assets"))
-    return results.detector_view(items, 0.5, 0.0).select("id", "detection_count", "max_score", "person_count")
+    done = F.when((F.col("l_linestatus") == "F") | (F.col("l_orderkey") % 5 > 0), "completed").otherwise("failed")
+    assets = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 3).alias("asset")).agg(F.min(done).alias("status"), F.min(F.col("l_partkey") % 4).cast("string").alias("file_sha256"), F.collect_list(box).alias("detections"))
+    asset = F.struct(F.col("asset").alias("order"), "status", "file_sha256", F.col("asset").cast("string").alias("asset_id"), "detections")
+    items = assets.groupBy("id").agg(F.sort_array(F.collect_list(asset)).alias("assets")).withColumn("status", F.lit("completed"))
+    return results.detector_view(items, 0.5, 0.0).select("id", "complete", "detection_count", "max_score", "person_count")
 
 
 @register("select o_orderpriority, count(*) as count, avg(o_totalprice) as mean from orders group by 1 order by 2 desc, 1 limit 3")
@@ -517,20 +533,223 @@ def mention_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy(F.lower("name").alias("key")).agg(F.count_distinct("id").alias("documents"), F.count(F.lit(1)).alias("mentions"), F.count_if("in_context").alias("in_context"))
 
 
-@register()
+@register("""
+with n as (select n_regionkey, lower(n_name) as a, row_number() over (partition by n_regionkey order by n_name) as i from nation),
+t as (select n_regionkey, max(a) filter (i = 1) as first from n group by 1)
+select n.n_regionkey, avg(least(1.0, (case when a = first then m - 1 else m end) / 3.0))::double as accuracy from n join t using (n_regionkey) join (select n_regionkey, 3 * count(*) filter (a = first) as m from n join t using (n_regionkey) group by 1) c using (n_regionkey) group by 1
+""")
 def vqa_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("answers"))
     return n.select("n_regionkey", text.vqa_accuracy(F.col("answers")[0], F.concat("answers", "answers", "answers")).alias("accuracy"))
 
 
+GROUPS = [subsets.ClassGroup("low", 0, 9), subsets.ClassGroup("middle", 10, 29), subsets.ClassGroup("top", 41, 50)]
+
+
 @register("""
-select c.c_custkey as id, coalesce(sum(case when o_totalprice between 0 and 50000 then 1 end), 0)::bigint as low, coalesce(sum(case when o_totalprice > 50000 then 1 end), 0)::bigint as high
-from customer c left join orders on o_custkey = c_custkey group by 1
+select p_partkey, case when p_size <= 9 then 0 when p_size <= 29 then 1 else 2 end as group_id, case when p_size <= 9 then 'low' when p_size <= 29 then 'middle' else 'top' end as group_name, p_size::bigint as native_label
+from part where p_size between 0 and 29 or p_size between 41 and 50
 """)
-def class_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count_if(F.col("o_totalprice").between(0, 50000)).alias("low"), F.count_if(F.col("o_totalprice") > 50000).alias("high"))
-    out = _t(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("k"), "left")
-    return out.select(F.col("c_custkey").alias("id"), F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high"))
+def class_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.col("class_group")
+    return subsets.with_class_groups(_t(spark, sf_dir, "part"), "p_size", GROUPS).select("p_partkey", g["id"].alias("group_id"), g["name"].alias("group_name"), g["native_label"].alias("native_label"))
+
+
+@register("select l_orderkey as id, count(*)::int as assets from lineitem group by 1 having count(*) filter (l_returnflag = 'R') > 0")
+def asset_modality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "R", "video").when(F.col("l_returnflag") == "A", "audio").otherwise("image")
+    records = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(kind.alias("modality"))).alias("assets"))
+    return subsets.with_modality(records, "video").select("id", F.size("assets").alias("assets"))
+
+
+@register("select 'F' as stratum, count(*) filter (o_orderstatus = 'F') as population from orders union all select 'X', 0 from (select 1) union all select null, count(*) filter (o_orderstatus is distinct from 'F') from orders")
+def strata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subsets.strata(_t(spark, sf_dir, "orders"), "o_orderstatus", ["F", "X"])
+
+
+@register("""
+select id, text, position from (select doc_id::varchar as id, text, row_number() over (order by n_chars desc nulls last, doc_id::varchar) - 1 as position from documents where lang = 'en') where position >= 20 and position < 60
+""")
+def query_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Query("documents-1", filter={"field_id": "source.lang", "op": "eq", "value": "en"}, sort=({"field_id": "source.chars", "direction": "desc"},), limit=40)
+    return plan.plan(documents(spark, sf_dir), Query(**{**q.__dict__, "cursor": q.cursor_at(20)}), ["id", "text"], late=True)
+
+
+@register("select (select count(*) from labels where doc_id % 3 = 0) + (select count(*) from customer where c_custkey + 1000000 not in (select doc_id from documents)) as items_unjoined".replace("(select count(*) from labels where doc_id % 3 = 0) + ", ""))
+def results_unjoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.unjoined(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), _t(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000000).alias("id")))
+
+
+@register("select d.doc_id as id, case when l.doc_id is not null then l.toxic else d.n_chars % 7 end::bigint as toxic, l.quality::bigint as quality from documents d left join labels l using (doc_id)")
+def results_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 7).alias("prediction.run.toxic"))
+    r = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").cast("long").alias("toxic"), F.col("quality").cast("long").alias("quality"))
+    out = joins.attach_results(records, "run", r, ["toxic", "quality"])
+    return out.select("id", F.col("`prediction.run.toxic`").alias("toxic"), F.col("`prediction.run.quality`").alias("quality"))
+
+
+@register("""
+with i as (select o_orderkey as ord, o_custkey * 7 as id from orders)
+select i.ord, i.id, case when d.doc_id is not null then l.quality end as value from i left join documents d on d.doc_id = i.id left join labels l on l.doc_id = i.id
+""")
+def column_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), (F.col("o_custkey") * 7).alias("id"))
+    records, r = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("value"))
+    return joins.column_of_ids(ids, records, "value", r)
+
+
+@register("""
+with images as (select c_custkey as image_id, c_name from customer), lists as (select o_custkey, count(*) as n, min(o_orderkey) as least from orders group by 1),
+links as (select s_suppkey * 40 as qa_id, s_suppkey * 30 + 1 as region_id from supplier),
+q as (select o_orderkey as qa_id, o_custkey as image_id from orders), g as (select c_custkey as region_id, c_custkey as image_id from customer),
+w as (select links.*, coalesce(q.image_id, g.image_id) as image_id from links left join q using (qa_id) left join g using (region_id) where q.image_id is null or g.image_id is null or q.image_id = g.image_id)
+select i.image_id, i.c_name, n_name as nation, coalesce(n, 0)::int as orders, least as first_order, nullif((select count(*) from w where w.image_id = i.image_id), 0)::int as links, null::bigint as orphan_qa, null::bigint as orphan_region
+from images i join customer c on c.c_custkey = i.image_id join nation on n_nationkey = c.c_nationkey left join lists on o_custkey = i.image_id
+union all select null, null, null, null, null, null, qa_id, region_id from w where image_id is null
+""")
+def graph_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o, s = (_t(spark, sf_dir, n) for n in ("customer", "orders", "supplier"))
+    qas, regions = o.select(F.col("o_orderkey").alias("qa_id"), F.col("o_custkey").alias("image_id")), c.select(F.col("c_custkey").alias("region_id"), F.col("c_custkey").alias("image_id"))
+    links = s.select((F.col("s_suppkey") * 40).alias("qa_id"), (F.col("s_suppkey") * 30 + 1).alias("region_id"))
+    wrong = links.join(qas.withColumnRenamed("image_id", "a"), "qa_id").join(regions.withColumnRenamed("image_id", "b"), "region_id").where("a <> b")
+    links = links.join(wrong.select("qa_id"), "qa_id", "left_anti")  # the tables are made up: ends of different images are left out here, and refused otherwise
+    nation = c.join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("image_id"), "n_name")
+    lists = o.select(F.col("o_custkey").alias("image_id"), "o_orderkey", "o_totalprice")
+    out = joins.assemble_graph(c.select(F.col("c_custkey").alias("image_id"), "c_name"), {"nation": nation}, {"orders": (lists, "o_orderkey")}, qas, regions, links)
+    return out.select("image_id", "c_name", F.col("nation.n_name").alias("nation"), F.size("orders").alias("n"), F.col("orders")[0]["o_orderkey"].alias("first_order"), F.size("qa_to_region").alias("l"), "orphan_qa", "orphan_region").select("image_id", "c_name", "nation", F.when(F.col("image_id").isNotNull(), F.col("n")).alias("orders"), "first_order", F.when(F.col("l") > 0, F.col("l")).alias("links"), "orphan_qa", "orphan_region")
+
+
+@register("""
+with m as (select * from orders where o_totalprice >= 50000), c as (select o_orderstatus as value, count(*) as n from m group by 1)
+select 0 as ord, 'source.price' as field_id, 'numeric' as kind, (select count(*) from m) as denominator, count(*) - count(o_totalprice) as missing, count(o_totalprice) as present, min(o_totalprice) as min, max(o_totalprice) as max, avg(o_totalprice) as mean, null::varchar as counts, null::boolean as truncated from m
+union all select 1, 'source.lines', 'unsupported', (select count(*) from m), null, null, null, null, null, null, null
+union all select 2, 'source.status', 'categorical', (select count(*) from m), (select count(*) from m where o_orderstatus is null), (select count(*) from m where o_orderstatus is not null), null, null, null, (select string_agg(value || '=' || n, ',' order by n desc, value) from (select * from c order by n desc, value limit 2)), (select count(*) > 2 from c)
+""")
+def aggregate_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = orders(spark, sf_dir)
+    s = s.with_fields(s.records.withColumn("f_9", F.array("f_1")), {"source.lines": Field("source.lines", "array", "f_9")})
+    q = Query("orders-1", filter={"field_id": "source.price", "op": "gte", "value": 50000}, sample={"method": "random", "size": 3})
+    out = aggregate.envelope(s, q, ["source.price", "source.lines", "source.status"], top=2)
+    return out.withColumn("counts", F.array_join(F.transform("counts", lambda x: F.concat_ws("=", x["value"], x["count"])), ","))
+
+
+@register("""
+select 'price' as name, count(*) as denominator, 0::bigint as missing, avg(o_totalprice) as mean, min(o_totalprice) as min, max(o_totalprice) as max, null::varchar as counts from orders where o_custkey in (select c_custkey from customer where c_nationkey < 5)
+union all select 'status', count(*), count(*) - count(o_orderstatus), null, null, null, (select string_agg(s || '=' || n, ',' order by n desc, s) from (select o_orderstatus as s, count(*) as n from orders where o_custkey in (select c_custkey from customer where c_nationkey < 5) group by 1)) from orders where o_custkey in (select c_custkey from customer where c_nationkey < 5)
+""")
+def tool_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_totalprice", "o_orderstatus")
+    scope = _t(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("id"))
+    each = [aggregate.tool(o, c, scope).withColumn("name", F.lit(n)) for n, c in (("price", "o_totalprice"), ("status", "o_orderstatus"))]
+    return each[0].unionByName(each[1]).withColumn("counts", F.array_join(F.transform("counts", lambda x: F.concat_ws("=", x["value"], x["count"])), ",")).select("name", "denominator", "missing", "mean", "min", "max", "counts")
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a catalogue: a brand is a dataset, its parts are releases."""
+    kinds = F.split("p_type", " ")
+    return _t(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset_id"), F.format_string("r%06d", "p_partkey").alias("release_id"), F.concat(F.lit("s"), "p_partkey").alias("snapshot_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.col("p_type").alias("description"), kinds.alias("tasks"), F.when(F.col("p_size") > 25, F.array(F.col("p_size").cast("string"))).otherwise(F.array().cast("array<string>")).alias("labels"), kinds.alias("modalities"), F.when(F.col("p_size") % 3 > 0, F.when(F.col("p_size") % 3 == 1, "open").otherwise("gated")).alias("access"), F.when(F.col("p_size") % 2 == 0, "preview").when(F.col("p_size") % 5 == 0, "full").otherwise("metadata").alias("coverage"), F.col("p_size").alias("released"))
+
+
+@register("select 'r' || lpad(p_partkey::varchar, 6, '0') as release_id from part where contains(lower(concat_ws(' ', p_name, p_brand, p_brand, p_type, p_type, case when p_size > 25 then p_size::varchar else '' end)), '1') and contains(lower(concat_ws(' ', p_name, p_brand, p_brand, p_type, p_type)), 'brand')")
+def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.search(_catalogue(spark, sf_dir), " 1  BRAND ").select("release_id")
+
+
+@register("""
+with p as (select *, string_split(p_type, ' ') as k, case when p_size % 3 = 0 then 'unverified' when p_size % 3 = 1 then 'open' else 'gated' end as access from part)
+select 'r' || lpad(p_partkey::varchar, 6, '0') as release_id from p
+where list_has_any(k, (select list(distinct w order by w)[:2] from (select unnest(k) as w from p))) and access in ('unverified', 'gated') and (p_size % 2 = 0 or p_size % 5 = 0) and p_size > 25
+""")
+def catalogue_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _catalogue(spark, sf_dir)
+    words = [r[0] for r in entries.select(F.explode("tasks").alias("w")).distinct().orderBy("w").limit(2).collect()]
+    return catalogue.with_facets(entries, task=words, access=["unverified", "gated"], coverage=["full", "preview"], annotations=True).select("release_id")
+
+
+@register("""
+select release_id, row_number() over (order by place, lower(p_name), p_name, p_brand, release_id) as nth from (
+  select 'r' || lpad(p_partkey::varchar, 6, '0') as release_id, p_name, p_brand, case when p_size % 2 = 0 then 2 when p_size % 5 = 0 then 1 else 5 end as place, row_number() over (partition by p_brand order by p_size desc, p_partkey desc) as v from part
+) where v = 1
+""")
+def catalogue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = catalogue.versions(_catalogue(spark, sf_dir)).where("active")
+    first = catalogue.ordered(active, "coverage").limit(1000)  # of the 25 brands
+    return first.select("release_id", F.monotonically_increasing_id().alias("_i")).select("release_id", F.row_number().over(Window.orderBy("_i")).alias("nth"))
+
+
+@register("select p_brand as dataset_id, 's' || p_partkey as snapshot_id from part where p_partkey = 7")
+def catalogue_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _catalogue(spark, sf_dir)
+    brand = _t(spark, sf_dir, "part").where("p_partkey = 7").first()["p_brand"]
+    return catalogue.version(entries, brand, snapshot="s7").select("dataset_id", "snapshot_id")
+
+
+@register("""
+with e as (select event_id, event_id % 4 as m, json_extract_string(props, '$.k') as k from events)
+select event_id, case m when 0 then 'null' when 1 then '"p"' else k end as stratum, m = 0 as is_null from e
+""")
+def prediction_overrides_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prediction = F.when(F.col("event_id") % 4 == 0, '{"k": null}').when(F.col("event_id") % 4 == 1, '{"k": "p"}').when(F.col("event_id") % 4 == 2, '{"other": 1}')
+    field = scalars.json_field(F.col("props"), ["k"], prediction)
+    return _t(spark, sf_dir, "events").select("event_id", scalars.json_stratum(field).alias("stratum"), F.coalesce(F.is_variant_null(field), F.lit(False)).alias("is_null"))
+
+
+@register("""
+select s_suppkey, 'zip/' || lpad(split_part(substr(s_name, 1, 4) || '_x', '_', 1), 6, '0') || '/' || s_nationkey || '.jpg' as ref, case when s_nationkey in (1, 2) then 'blurred' end as absent, case when s_nationkey in (1, 2) then 1 else 2 end as variants,
+       substr(s_name, 3) as path, s_name || ' - ' || s_nationkey || ' - end' as joined, s_name as first_choice, 1 as correct from supplier
+""")
+def fields_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _t(spark, sf_dir, "supplier")
+    values = {"stem": mapping.stem(F.concat(F.substring("s_name", 1, 4), F.lit("_x")), "_", 6), "n": F.col("s_nationkey")}
+    there, gone = mapping.media_variants([{"condition": "plain", "template": "{n}.jpg"}, {"condition": "blurred", "template": "b/{n}.jpg", "absent_when": {"field": "n", "values": [1, 2]}}], values)
+    options, correct = mapping.choices(["s_name", "s_nationkey"], correct=1)
+    return s.select("s_suppkey", mapping.templated("zip/{stem}/{n}.jpg", values).alias("ref"), F.get(gone, F.lit(0)).alias("absent"), F.size(there).alias("variants"), mapping.without_prefix(F.concat(F.lit("a/"), F.substring("s_name", 3, 100)), "a/").alias("path"), mapping.joined_parts(F.array("s_name", F.col("s_nationkey").cast("string"), F.lit("end")), " - ").alias("joined"), options[0].alias("first_choice"), correct.alias("correct"))
+
+
+@register("select doc_id, text, source as question from documents")
+def columns_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("Question"))
+    return mapping.mapped(d).select("doc_id", "text", "question")
+
+
+@register("""
+with s as (select doc_id as id, row_number() over (order by quality, doc_id) - 1 as ord from labels)
+select ord, id, text, null::varchar as uri, 'image' as kind from s join documents on doc_id = id
+""")
+def selection_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selection = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.row_number().over(Window.orderBy("quality", "doc_id")) - 1).alias("ord"))
+    asset = F.struct(F.lit("secret/place").alias("uri"), F.lit("image").alias("kind"))
+    records = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.array(asset).alias("assets"), F.lit("private").alias("human"))
+    out = selections.public(selection, records)
+    return out.select("ord", "id", "text", F.col("assets")[0]["uri"].alias("uri"), F.col("assets")[0]["kind"].alias("kind"))
+
+
+@register("""
+with s as (select doc_id as id, row_number() over (order by doc_id) - 1 + case when doc_id > 100 then 1 else 0 end as ord from labels union all select min(doc_id), 999999 from labels union all select -5, 999998 from (select 1))
+select 'repeated ids' as "check", 1 as rows union all select 'places that aren''t 0 to n - 1', (count(*) - count(distinct ord)) + min(ord) + (max(ord) + 1 - count(distinct ord)) from s union all select 'unknown ids', count(*) from s where id not in (select doc_id from documents)
+""")
+def selection_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    s = l.select("id", (F.row_number().over(Window.orderBy("id")) - 1 + F.when(F.col("id") > 100, 1).otherwise(0)).alias("ord"))
+    s = s.unionByName(l.agg(F.min("id").alias("id")).withColumn("ord", F.lit(999999))).unionByName(spark.range(1).select(F.lit(-5).alias("id"), F.lit(999998).alias("ord")))
+    return selections.checked(s, _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+
+
+@register("""
+with c as (select 'status' as "column", o_orderstatus as value, count(*) as count from orders where o_custkey % 2 = 0 group by 2 union all select 'priority', o_orderpriority, count(*) from orders where o_custkey % 2 = 0 group by 2)
+select * from c qualify row_number() over (partition by "column" order by count desc, value) <= 3
+""")
+def tag_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 2 == 0, "completed").otherwise("failed").alias("status_"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("priority"))
+    items = items.withColumnRenamed("status_", "status")
+    return results.tag_spread(items, ["st", "priority"], top=3).withColumn("column", F.when(F.col("column") == "st", "status").otherwise(F.col("column")))
+
+
+@register()
+def sample_parquet_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the row groups of the orders' file; which ones, the footers tell: tests hold it against them."""
+    known = len(sampling.parquet_row_groups(spark, f"{sf_dir}/orders.parquet"))
+    return sampling.fixed_row_groups(spark, f"{sf_dir}/orders.parquet", min(known, 4), 22, 3).select("o_orderkey", "origin_file", "origin_group", "origin_row")
 
 
 @register("select facet, value, count(*) as count from (select 'lang' as facet, lang as value from documents union all select 'source', source from documents) group by 1, 2")
@@ -539,11 +758,6 @@ def facet_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.facet(d, "lang", "source")
 
 
-@register("select p_partkey from part where contains(lower(p_name), 'a') and contains(lower(p_name), '1')")
-def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "part").where(text.contains_all_words(F.col("p_name"), "A 1")).select("p_partkey")
-
-
 @register("""
 select 'c_custkey' as "column", count(c_custkey) as nonnull, count(distinct c_custkey) as "distinct" from customer union all
 select 'c_name', count(c_name), count(distinct c_name) from customer union all

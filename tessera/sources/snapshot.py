@@ -31,7 +31,7 @@ def problems(records: DataFrame, fields: dict[str, Field], max_record_bytes: int
     return single.unionByName(twice)
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)
@@ -65,7 +65,7 @@ def build(records: DataFrame, fields: dict[str, Field], path: str, *, snapshot_i
     out.sortWithinPartitions("row_ordinal").write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/data")
     d = digest(spark.read.parquet(f"{path}/data")).first()
     manifest = {"snapshot_id": snapshot_id, "unit": unit, "count": total, "digest": d["digest"], "fields": [{"id": f.id, "dtype": f.dtype, "column": f.column, "ops": list(f.ops), "kinds": sorted(f.kinds)} for f in fields.values()]}
-    _write_text(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
     staged = spark._jvm.org.apache.hadoop.fs.Path(staging)
     staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
     return open_snapshot(spark, path)

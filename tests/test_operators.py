@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.model import Field
-from tessera.operators import joins, results, sampling, sets, vectors
-from tessera.sources import binary, files, snapshot
+from tessera.operators import catalogue, joins, results, sampling, selections, sets, subsets, vectors
+from tessera.registry import CONVERTERS, PROCESSORS, Registry
+from tessera.sources import binary, files, mapping, snapshot
 from tessera.streaming import incremental
 
 
@@ -40,15 +41,14 @@ def test_samples_do_not_depend_on_order(spark):
 
 
 def test_components(spark):
-    links = spark.createDataFrame([(i, i // 2) for i in range(12)] + [(i + 1, 100 + i) for i in (1, 3)] + [(i + 2, 100 + i) for i in (0, 1, 3)], "r long, a long")
+    rows = [(i, i // 2) for i in range(12)] + [(i + 1, 100 + i) for i in (1, 3)] + [(i + 2, 100 + i) for i in (0, 1, 3)]
     want = {i: i for i in range(12)}
     for _ in range(20):
-        for a in {x[1] for x in links.collect()}:
-            group = [x[0] for x in links.collect() if x[1] == a]
-            low = min(want[g] for g in group)
-            for g in group:
-                want[g] = low
-    assert {r.r: r.component for r in sets.asset_components(links, "r", "a").collect()} == want
+        for a in {x[1] for x in rows}:
+            group = [x[0] for x in rows if x[1] == a]
+            want |= dict.fromkeys(group, min(want[g] for g in group))
+    got = sets.asset_components(spark.createDataFrame(rows, "r long, a long"), "r", "a").collect()
+    assert {r.r: r.component for r in got} == want
 
 
 def test_vectors_against_numpy(spark):
@@ -163,3 +163,127 @@ def test_density_clusters_link_all_in_reach(spark, monkeypatch):
         groups = lambda of: {frozenset(i for i in range(len(x)) if of[i] == c) for c in {of[i] for i in range(len(x))} - {-1}}
         assert groups(got) == groups(want) and len(got) == len(x)
         assert got[0] == got[119] and got[120] == got[239]
+
+
+def test_class_groups_are_checked(spark):
+    rows = spark.createDataFrame([(i, i % 5) for i in range(20)] + [(20, None)], "id int, label int")
+    G = subsets.ClassGroup
+    for bad in ([], [G("a", 2, 1)], [G("a", 0, 3), G("b", 3, 4)], [G("", 0, 1)], [G("a", -1, 1)], [G(str(i), i, i) for i in range(33)]):
+        with pytest.raises(ValueError):
+            subsets.with_class_groups(rows, "label", bad)
+    groups = [G("b", 3, 4), G("a", 0, 1)]
+    got = {r.id: r.class_group for r in subsets.with_class_groups(rows, "label", groups, provenance="p").collect()}
+    assert set(got) == {i for i in range(20) if i % 5 != 2} and got[3].id == 0 and got[5]["name"] == "a" and got[5].native_label == 0
+    assert subsets.population(rows, subsets.in_any_group("label", groups), 21, 16) == 16
+    for counts in ((21, 15), (20, 16), (16, 21)):
+        with pytest.raises(ValueError):
+            subsets.population(rows, subsets.in_any_group("label", groups), *counts)
+    with pytest.raises(ValueError):
+        subsets.with_class_groups(rows.withColumn("class_group", F.lit(1)), "label", groups)
+
+
+def test_attached_results_give_way_to_nothing(spark):
+    records = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, `prediction.x.score` int")
+    got = joins.attach_results(records, "x", spark.createDataFrame([("a", 9), ("b", None), ("z", 5)], "id string, score int"), ["score"], asset_records=spark.createDataFrame([("asset-1",), ("a",)], "id string"))
+    assert {r[0]: r[1] for r in got.collect()} == {"a": 9, "b": None, "c": 3, "asset-1": None}
+    ids = spark.createDataFrame([(0, "b"), (1, "q"), (2, "a"), (3, "b")], "ord int, id string")
+    assert [tuple(r) for r in joins.column_of_ids(ids, records, "prediction.x.score").collect()] == [(0, "b", 2), (1, "q", None), (2, "a", 1), (3, "b", 2)]
+
+
+def test_graph_refuses_what_does_not_fit(spark):
+    images = spark.createDataFrame([(1,), (2,)], "image_id int")
+    qas, regions = spark.createDataFrame([(10, 1), (11, 2)], "qa_id int, image_id int"), spark.createDataFrame([(20, 1), (21, 2)], "region_id int, image_id int")
+    links = spark.createDataFrame([(10, 20), (77, 21), (11, 88), (99, 98)], "qa_id int, region_id int")
+    got = joins.assemble_graph(images, {}, {}, qas, regions, links).collect()
+    assert {(r.image_id, tuple(sorted((r.qa_to_region or {}).items())), r.orphan_qa, r.orphan_region) for r in got} == {(1, ((10, 20),), None, None), (2, ((11, 88), (77, 21)), None, None), (None, (), 99, 98)}
+    for bad in ((images, {}, {}, qas, regions, spark.createDataFrame([(10, 21)], links.schema)), (images, {}, {}, qas.union(qas), regions, links), (images.where("image_id = 1"), {}, {}, qas, regions, links), (images, {"t": qas.union(spark.createDataFrame([(5, 1)], qas.schema))}, {}, qas, regions, links)):
+        with pytest.raises(ValueError):
+            joins.assemble_graph(*bad)
+
+
+def test_selections_are_frozen_and_exported(spark, tmp_path):
+    folder = str(tmp_path)
+    ids = spark.createDataFrame([(0, "b"), (1, "a")], "ord long, id string")
+    assert selections.freeze(ids, folder, "one").count() == selections.freeze(ids.orderBy("id"), folder, "one").count() == 2
+    for other, name in ((ids.where("ord = 0"), "one"), (ids, "a/b")):
+        with pytest.raises(ValueError):
+            selections.freeze(other, folder, name)
+    asset = [("where", {"k": "v"}, "image")]
+    records = spark.createDataFrame([("a", asset, "h", [("human", 1), ("source", 2)]), ("b", asset, None, []), ("c", [], None, [])], "id string, assets array<struct<uri: string, metadata: map<string, string>, kind: string>>, human string, annotations array<struct<namespace: string, n: int>>")
+    selections.export(ids, records, f"{folder}/out")
+    got_ids, got = selections.load(spark, f"{folder}/out")
+    assert got_ids.count() == 2 and "human" not in got.columns
+    rows = {r.id: r for r in got.collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].assets[0].uri is None and rows["a"].assets[0].metadata is None and rows["a"].assets[0].kind == "image" and [x.n for x in rows["a"].annotations] == [2]
+    with pytest.raises(ValueError):
+        selections.export(ids, records, f"{folder}/out")
+    with pytest.raises(ValueError):
+        selections.export(ids.union(spark.createDataFrame([(2, "unknown")], ids.schema)), records, f"{folder}/other")
+    records.write.parquet(f"{folder}/out/stray")
+    with pytest.raises(ValueError):
+        selections.load(spark, f"{folder}/out")
+
+
+def test_row_groups_are_those_of_the_footers(spark, tmp_path):
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for f, n in (("x.parquet", 100), ("y.parquet", 35)):
+        pq.write_table(pa.table({"v": range(n)}), tmp_path / f, row_group_size=10)
+    known = sampling.parquet_row_groups(spark, str(tmp_path))
+    assert [(n, g) for n, g, _, _ in known] == [("x.parquet", i) for i in range(10)] + [("y.parquet", i) for i in range(4)] and known[-1][2:] == (30, 5)
+    rank = lambda *p: hashlib.sha256(":".join(map(str, (7, *p))).encode()).hexdigest()
+    want = set()
+    for i, (name, g, first, rows) in enumerate(sorted(known, key=lambda k: rank("row_group", k[0], k[1]))[:4]):
+        want |= {(name, g, r, first + r) for r in sorted(range(rows), key=lambda r: rank("row", name, g, r))[: 2 + (i < 2)]}
+    got = sampling.fixed_row_groups(spark, str(tmp_path), 4, 10, 7).collect()
+    assert {(r.origin_file, r.origin_group, r.origin_row, r.v) for r in got} == want and len(got) == 10
+    for args in ((15, 20, 7), (4, 40, 7)):
+        with pytest.raises(ValueError):
+            sampling.fixed_row_groups(spark, str(tmp_path), *args)
+    with pytest.raises(ValueError):
+        sampling.fixed_row_groups(spark, str(tmp_path), 4, 10, 7, most_per_group=2)
+
+
+def test_fields_from_templates(spark):
+    rows = spark.createDataFrame([("7_x", {"b": {"c": "deep"}}, "pre/a"), (None, {}, None)], "s string, m map<string, map<string, string>>, p string")
+    got = rows.select(mapping.stem(F.col("s"), "_", 3), mapping.nested(rows.schema, "m.b.c"), mapping.nested(rows.schema, "s.b"), mapping.without_prefix(F.col("p"), "pre/"), mapping.templated("a{s}", {"s": F.col("s")})).collect()
+    assert [tuple(r) for r in got] == [("007", "deep", None, "a", "a7_x"), (None, None, None, None, None)]
+    assert mapping.roles(["caption", "Options", "x"], {"question": "x"}) == {"text": "caption", "question": "x", "choices": "Options"}
+    with pytest.raises(ValueError):
+        mapping.templated("{no}", {})
+    for bad in (mapping.without_prefix(F.col("p"), "other/"), mapping.joined_parts(F.array("s", F.lit(None).cast("string"))), mapping.choices(F.array("s"), correct=1)[1]):
+        with pytest.raises(Exception, match="prefix|missing|isn't in"):
+            rows.where("s is not null").select(bad).collect()
+
+
+def test_registries(spark):
+    own = Registry("converter")
+
+    @own.register("double")
+    def double(rows, *, column):
+        return rows.withColumn(column, F.col(column) * 2)
+
+    assert own.call("double", spark.range(3), column="id").agg(F.sum("id")).first()[0] == 6 and own.options("double") == {"column": None}
+    for call in (lambda: own.call("other", spark.range(1)), lambda: own.call("double", spark.range(1)), lambda: own.call("double", spark.range(1), column="id", more=1), lambda: own.register("double")(double)):
+        with pytest.raises(ValueError):
+            call()
+    assert "k_means" in PROCESSORS.known and CONVERTERS.options("records")["text"] is None
+
+
+def test_research_kinds(spark):
+    chosen = spark.createDataFrame([("a",), ("b",)], "id string")
+    vectors_of = lambda rows: spark.createDataFrame(rows, "id string, value array<double>")
+    assert {r.id: r.status for r in results.import_research(chosen, vectors_of([("a", [1.0, 2.0])]), "vector").collect()} == {"a": "completed", "b": "not_applicable"}
+    for kind, bad in (("vector", vectors_of([("a", [1.0]), ("b", [1.0, 2.0])])), ("vector", vectors_of([("a", [float("nan")])])), ("vector", vectors_of([("q", [1.0])])), ("response", spark.createDataFrame([("a", "  ")], "id string, value string")), ("scalar", spark.createDataFrame([("a", 1.0), ("a", 2.0)], "id string, value double"))):
+        with pytest.raises(ValueError):
+            results.import_research(chosen, bad, kind)
+
+
+def test_catalogue_versions(spark):
+    rows = [("d", "1", "s1", 1), ("d", "2", "s2", 2), ("e", "1", "t1", None)]
+    entries = spark.createDataFrame(rows, "dataset_id string, release_id string, snapshot_id string, released int")
+    assert {r.snapshot_id for r in catalogue.versions(entries).where("active").collect()} == {"s2", "t1"}
+    assert catalogue.version(entries, "d", release="1").first().snapshot_id == "s1" and catalogue.version(entries, "d").first().snapshot_id == "s2"
