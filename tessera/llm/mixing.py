@@ -10,7 +10,7 @@ common level times the weight, cut at the caps; the level is the largest of thos
 by one by growing cap per weight.
 
 Scale: two shuffles of (id, source, size, key), none of texts. A source of any share is dealt over 4096 key ranges, and only
-sums of sources and ranges meet in one task.
+sums of sources and ranges meet in one task. The key is of the id and the text, so that rows without an id, or of one id, are spread too.
 
 Nulls: a null text has no words; a null source is a source of its own; a null id has a key too. Repeated rows are rows of
 their own. Rows without words take nothing. An empty table gives an empty table.
@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs:
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 42) -> DataFrame:
     """A row for each row: doc_id, source, size, source_size, target, taken (words, repeats counted), before (words of the source's rows ahead of it)."""
     scratch = Scratch(docs.sparkSession, "mix")
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.md5(text_col), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
     base = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("_key")))
     base = base.withColumn("_range", F.shiftright("_key", KEY_BITS - RANGE_BITS).cast("int"))
     ranges = base.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))

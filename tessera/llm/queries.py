@@ -102,7 +102,7 @@ from ds join bs using (s) join n using (item_id) group by doc_id, item_id, n_ite
     "op8_source_mixing": r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as k
+         ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '') || ':' || coalesce(md5(text), '')), 1, 15))::bigint as k
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source

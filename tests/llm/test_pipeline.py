@@ -159,6 +159,19 @@ def test_stages(spark, corpus, monkeypatch):
         assert slots == list(range(len(slots)))
 
 
+def test_stages_survive_nulls_and_clashing_names(spark, corpus):
+    d, docs, _ = corpus
+    names = ["row", "doc", "id", "_id", "_n", "_m", "times", "kept", "leak", "score", "shard", "slot", "taken", "size", "node", "root"]
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (1, None, None, "a", None), (1, None, None, "a", None), (2, "some words here", None, None, 3)], SCHEMA)
+    wide = docs.limit(30).unionByName(odd).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, d)
+        assert set(out.columns) == set(wide.columns) and out.count() > 0, name
+        if name != "sharding":
+            assert out.columns == wide.columns and not set(counted(out)) - set(counted(wide))
+    assert counted(corpus_pipeline.pack_shards(spark, odd, d).select(*odd.columns)) == counted(odd)
+
+
 def test_run_is_its_stages_and_survives_an_empty_table(spark, corpus, tmp_path):
     d, docs, _ = corpus
     out = corpus_pipeline.run(spark, d)
