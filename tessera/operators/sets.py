@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.sampling import first_per_group
+from tessera.session import checkpoint_dir
 
 
 def concatenate(parts: dict[str, DataFrame], ordinal: str) -> DataFrame:
@@ -43,11 +44,8 @@ def asset_components(links: DataFrame, record: str, asset: str) -> DataFrame:
     Smallest labels travel record to asset to record, and jump over labels, until none changes; each round is a pair of
     aggregations. The number of rounds is logarithmic in the length of a chain of records."""
     spark = links.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    edges = links.select(F.col(record).alias("r"), F.col(asset).alias("a")).distinct()
+    checkpoint_dir(spark)
+    edges = links.select(F.col(record).alias("r"), F.col(asset).alias("a")).distinct().checkpoint()
     labels = edges.select("r").distinct().withColumn("c", F.col("r"))
     while True:
         by_asset = edges.join(labels, "r").groupBy("a").agg(F.min("c").alias("m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +20,15 @@ def session(app: str = "tessera", **settings: str) -> SparkSession:
     for k, v in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sees to it that checkpoints have a folder: the one that ``spark.checkpoint.dir`` names, or, on one machine only, a new one."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    spark.sparkContext.setCheckpointDir(named)
