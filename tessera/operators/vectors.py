@@ -123,20 +123,35 @@ def merge_clusters(labelled: DataFrame, clusters: int, linkage: str = "average")
     found = stats.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"), F.max("n").alias("n")).orderBy("cluster").limit(2001).collect()
     if len(found) > 2000:
         raise ValueError("at most 2,000 clusters to merge")
-    centre, size, of = {r["cluster"]: np.array(r["c"]) for r in found}, {r["cluster"]: r["n"] for r in found}, {r["cluster"]: {r["cluster"]} for r in found}
-    pair = lambda a, b: [np.linalg.norm(centre0[x] - centre0[y]) for x in of[a] for y in of[b]]
-    centre0 = dict(centre)
-    gap = {"average": lambda a, b: float(np.mean(pair(a, b))), "complete": lambda a, b: max(pair(a, b)), "single": lambda a, b: min(pair(a, b)), "ward": lambda a, b: float(size[a] * size[b] / (size[a] + size[b]) * ((centre[a] - centre[b]) ** 2).sum())}[linkage]
-    while len(centre) > clusters:
-        keys = sorted(centre)
-        a, b = min(((x, y) for i, x in enumerate(keys) for y in keys[i + 1 :]), key=lambda p: (gap(*p), p))
-        centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
-        size[a] += size.pop(b)
-        of[a] |= of.pop(b)
-        del centre[b]
-    names = {x: i for i, k in enumerate(sorted(of)) for x in of[k]}
-    mapping = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
-    return labelled.select("id", mapping[F.col("cluster")].alias("cluster"))
+    of = _merged(np.array([r["c"] for r in found]).reshape(len(found), -1), np.array([r["n"] for r in found], dtype=float), clusters, linkage)
+    names = labelled.sparkSession.createDataFrame([(r["cluster"], int(c)) for r, c in zip(found, of, strict=True)], "_c int, _to int")  # at most 2,000 rows
+    return labelled.join(F.broadcast(names), F.col("cluster") == F.col("_c")).select("id", F.col("_to").alias("cluster"))
+
+
+def _merged(centres: np.ndarray, sizes: np.ndarray, clusters: int, linkage: str) -> np.ndarray:
+    """The merged cluster of each small one, numbered by its first. The gaps to a merged pair follow from those to its parts, so that a merge costs one row."""
+    n = len(centres)
+    square = ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2) if n * n * centres.shape[1] <= 1 << 27 else np.stack([((centres - c) ** 2).sum(axis=1) for c in centres])
+    gap = square * sizes[:, None] * sizes / (sizes[:, None] + sizes) if linkage == "ward" else np.sqrt(square)
+    np.fill_diagonal(gap, np.inf)
+    weight, parts, label = sizes.copy(), np.ones(n), np.arange(n)
+    for _ in range(n - clusters):
+        a, b = sorted(divmod(int(gap.argmin()), n))
+        x, y = gap[a].copy(), gap[b].copy()
+        if linkage == "ward":
+            w = weight
+            new = ((w + w[a]) * x + (w + w[b]) * y - w * gap[a, b]) / (w + w[a] + w[b])
+        elif linkage == "average":
+            new = (parts[a] * x + parts[b] * y) / (parts[a] + parts[b])
+        else:
+            new = {"complete": np.maximum, "single": np.minimum}[linkage](x, y)
+        new[[a, b]] = np.inf
+        gap[a], gap[:, a] = new, new
+        gap[b], gap[:, b] = np.inf, np.inf
+        weight[a] += weight[b]
+        parts[a] += parts[b]
+        label[label == b] = a
+    return np.unique(label, return_inverse=True)[1]
 
 
 def cluster_summaries(labelled: DataFrame, exemplars: int = 5) -> DataFrame:

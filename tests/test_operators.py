@@ -287,3 +287,22 @@ def test_catalogue_versions(spark):
     entries = spark.createDataFrame(rows, "dataset_id string, release_id string, snapshot_id string, released int")
     assert {r.snapshot_id for r in catalogue.versions(entries).where("active").collect()} == {"s2", "t1"}
     assert catalogue.version(entries, "d", release="1").first().snapshot_id == "s1" and catalogue.version(entries, "d").first().snapshot_id == "s2"
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete", "single", "ward"])
+def test_merged_clusters_against_brute_force(linkage):
+    rng = np.random.default_rng(0)
+    c, n = rng.normal(size=(25, 3)), rng.integers(1, 9, 25).astype(float)
+
+    def gap(a, b):
+        if linkage == "ward":
+            x, y = ((c[s] * n[s][:, None]).sum(0) / n[s].sum() for s in (a, b))
+            return n[a].sum() * n[b].sum() / (n[a].sum() + n[b].sum()) * ((x - y) ** 2).sum()
+        return {"average": np.mean, "complete": max, "single": min}[linkage]([np.linalg.norm(c[i] - c[j]) for i in a for j in b])
+
+    parts = [[i] for i in range(25)]
+    while len(parts) > 6:
+        i, j = min(((i, j) for i in range(len(parts)) for j in range(i + 1, len(parts))), key=lambda p: gap(parts[p[0]], parts[p[1]]))
+        parts[i] += parts.pop(j)
+    got = vectors._merged(c, n, 6, linkage)
+    assert {frozenset(np.flatnonzero(got == k).tolist()) for k in got} == {frozenset(p) for p in parts}
