@@ -48,7 +48,18 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def write_dealt(self, df: DataFrame, by: str, *apart: str) -> DataFrame:
+        """As ``write``, dealt by a column over as many buckets as shuffles have tasks, so that grouping by it shuffles nothing; ``apart``: columns whose values have files of their own."""
+        self.count += 1
+        path, name = f"{self.base}/{self.count}", f"tessera_{uuid.uuid4().hex}"
+        df.write.bucketBy(parts(self.spark), by).partitionBy(*apart).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_table = path, name  # type: ignore[attr-defined]
+        return out
+
     def drop(self, df: DataFrame) -> None:
+        if hasattr(df, "_scratch_table"):
+            self.spark.sql(f"drop table if exists {df._scratch_table}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)  # type: ignore[attr-defined]
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

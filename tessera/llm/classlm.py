@@ -10,7 +10,7 @@ Exchange: the most frequent tokens begin in one class each, all others in classe
 and after it decide which class makes the training text likelier, given the counts of the classes. In each of ``STEPS`` steps over all
 pairs of tokens, half of the vocabulary (by a hash, in turn) moves at once; the classes of the likeliest step are taken.
 
-Scale: texts are read once, into blocks of ``HELD_TOKENS`` tokens or a little more, as numbers; they don't travel. The vocabulary is dealt by hash
+Scale: texts are read once, into blocks of ``HELD_TOKENS`` tokens or a little more, as numbers; these are dealt as they are written, and don't travel. The vocabulary is dealt by hash
 over buckets of about ``BUCKET_BYTES`` of text. A block sends each bucket one message a step: for each of the bucket's tokens the classes before and
 after its places, one byte each, or, for ``OFTEN`` places or more, their counts by class. A bucket adds them up, moves its tokens, and sends each
 block the classes of the block's tokens, one byte each. So a token of any frequency costs a block a bounded message, no task
@@ -38,7 +38,7 @@ from tessera.llm._common import Scratch, parts
 
 #: Classes; steps of their tokens' moves.
 CLASSES, STEPS = 32, 6
-HELD_TOKENS, BUCKET_BYTES, OFTEN = 2_000_000, 8 << 20, 256
+HELD_TOKENS, BUCKET_BYTES, OFTEN = 1_000_000, 16 << 20, 256
 #: The end token; no word has a line feed in it.
 END = b"\n"
 OTHER, START = CLASSES, CLASSES + 1
@@ -67,10 +67,10 @@ def _ints(value: pa.Scalar, kind: type = np.int32) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=kind)
 
 
-# What a block is written as; ``kind`` tells: PAIRS (a: numbers of the tokens before the places of all tokens, in order of the tokens, b: those after, c: how
-# many each has of both, d: first token of each bucket), WORDS (bucket, a: its words here, b and c: how many places they have), TEXT (doc_id, held_out, row, start, n: where it is
-# in the sequence, split), SEQUENCE (a: numbers of all tokens; -1 before each text). The block's tokens are numbered by bucket, and in it those under OFTEN come first.
-PAIRS, WORDS, TEXT, SEQUENCE = range(4)
+# What a block is written as; ``kind`` tells: SEQUENCE (a: numbers of all tokens, -1 before each text, b: places in it that train, in order of their tokens, c: how many
+# each token has, as itself and as the one before, d: first token of each bucket), WORDS (bucket, a: its words here, b and c: how many places they have), TEXT (doc_id, held_out,
+# row, start, n: where it is in the sequence, split). The block's tokens are numbered by bucket, and in it those under OFTEN come first.
+SEQUENCE, WORDS, TEXT = range(3)
 
 
 def _read(docs: DataFrame, buckets: int) -> DataFrame:
@@ -103,14 +103,14 @@ def _read(docs: DataFrame, buckets: int) -> DataFrame:
             number = np.empty(n + 1, dtype=np.int32)
             number[order], number[n] = np.arange(n), -1
             flat = number[flat]  # -1 stays
-            places = pos[np.argsort(flat[pos], kind="stable")]
-            follow = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0) & counted[1:])
-            follow = follow[np.argsort(flat[follow], kind="stable")]
-            before, after = flat[places - 1], flat[follow + 1]
-            had = [np.bincount(flat[x], minlength=n).astype(np.int32) for x in (places, follow)]
+            if flat[0] >= 0 and counted[1]:
+                pos = np.append(0, pos)  # the token before, of a text that goes on: it has no place here, but what follows it has
+            places = pos[np.argsort(flat[pos], kind="stable")].astype(np.int32)
+            follow = places[np.append(flat, -1)[places + 1] >= 0]
+            had = [np.bincount(flat[x], minlength=n).astype(np.int32) for x in (places[places > 0], follow)]
             first = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int32)
-            empty = {"kind": PAIRS, "block": block}
-            rows = [empty | {"a": before.tobytes(), "b": after.tobytes(), "c": np.concatenate(had).tobytes(), "d": first.tobytes()}, empty | {"kind": SEQUENCE, "a": flat.tobytes()}]
+            empty = {"kind": SEQUENCE, "block": block}
+            rows = [empty | {"a": flat.tobytes(), "b": places.tobytes(), "c": np.concatenate(had).tobytes(), "d": first.tobytes()}]
             for u in np.flatnonzero(np.diff(first)).tolist():
                 lo, hi = first[u], first[u + 1]
                 said = b"\n".join(b"" if words[i] == END else words[i] for i in order[lo:hi].tolist())
@@ -219,7 +219,9 @@ def _told(blocks: DataFrame, placed: DataFrame) -> DataFrame:
     def tell(pairs: pa.Table, vocab: pa.Table) -> pa.Table:
         if not pairs.num_rows or not vocab.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), **{x: pa.array([], pa.binary()) for x in "abc"}})
-        before, after, had, first = (_ints(pairs.column(x)[0]) for x in "abcd")
+        seq, places, had, first = (_ints(pairs.column(x)[0]) for x in "abcd")
+        before, after = seq[places[places > 0] - 1], np.append(seq, -1)[places + 1]
+        after = after[after >= 0]
         n = len(had) // 2
         cls = np.full(n + 1, START, dtype=np.uint8)  # -1, the start, is last
         for u, c in zip(vocab.column("bucket").to_pylist(), vocab.column("cls"), strict=True):
@@ -238,7 +240,7 @@ def _told(blocks: DataFrame, placed: DataFrame) -> DataFrame:
         bucket, a, b, c = zip(*out, strict=True)
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([pairs.column("block")[0].as_py()] * len(out), pa.int64()), **{x: pa.array(v, pa.binary()) for x, v in zip("abc", (a, b, c), strict=True)}})
 
-    pairs = blocks.where(F.col("kind") == PAIRS).select("block", "a", "b", "c", "d")
+    pairs = blocks.where(F.col("kind") == SEQUENCE).select("block", "a", "b", "c", "d")
     return pairs.groupBy("block").cogroup(placed.where("block >= 0").groupBy("block")).applyInArrow(tell, "bucket int, block long, a binary, b binary, c binary")
 
 
@@ -307,7 +309,7 @@ def likelihood(counts: np.ndarray) -> float:
 def _learned(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, list[float], np.ndarray]:
     """(blocks, vocabulary, the classes of the likeliest step as ``PLACED``, the likelihood of each step's classes, the counts of the likeliest)."""
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = scratch.write(_read(docs, max(-(-size // BUCKET_BYTES), parts(docs.sparkSession))))
+    blocks = scratch.write_dealt(_read(docs, max(-(-size // BUCKET_BYTES), parts(docs.sparkSession))), "block", "kind")
     vocabulary = scratch.write(_vocabulary(blocks))
     placed, best, history = scratch.write(_first(vocabulary)), None, []
     for step in range(STEPS + 1):

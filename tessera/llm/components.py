@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Scratch
+from tessera.llm._common import Scratch, parts
 
 
 def local(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -25,12 +28,40 @@ def local(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """One phase over rows (a, b), dealt by a: links to the smallest neighbour m of a, in one pass over sorted rows. Large: of the neighbours that are larger
+    than a; small: of all those that are smaller, and of a."""
+    if large:
+        links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = least = before = None  # of the row before
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(a):
+                continue
+            first = np.append(node is None or a[0] != node, a[1:] != a[:-1])
+            again = np.append(not first[0] and b[0] == before, ~first[1:] & (b[1:] == b[:-1]))
+            at = np.maximum.accumulate(np.where(first, np.arange(len(a)), -1))
+            m = np.where(at >= 0, b[np.maximum(at, 0)], 0 if least is None else least)
+            node, least, before = a[-1], m[-1], b[-1]
+            if large:
+                keep = ~again & (b > a)
+                x, y = b[keep], np.minimum(m, a)[keep]
+            else:
+                keep = ~again & (b != m)
+                x, y = np.concatenate([b[keep], a[first]]), np.concatenate([m[keep], m[first]])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return links.repartition(parts(links.sparkSession), "a").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (a, b: long) that isn't the smallest of its component; root is that smallest node.
 
     Each round is written to the shared folder. In a large star a node links its larger neighbours to its smallest one, in a
-    small star the smaller ones; the links end as stars after a logarithmic number of rounds in practice. Neighbours of a
-    node of any degree are joined, never listed in a row."""
+    small star the smaller ones; the links end as stars after a logarithmic number of rounds in practice. A node's
+    neighbours pass by in sorted order, and are never held or listed in a row."""
     scratch = Scratch(links.sparkSession, "components")
 
     def state(df: DataFrame) -> tuple:
@@ -39,14 +70,8 @@ def components(links: DataFrame) -> DataFrame:
     at = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(at)
     while seen[0]:
-        both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "n")
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.write(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(least, F.col("a") == F.col("n"))
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
-        small = scratch.write(small)
+        large = scratch.write(_star(at, True))
+        small = scratch.write(_star(large, False).distinct())
         scratch.drop(large)
         scratch.drop(at)
         at, last = small, seen

@@ -346,7 +346,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     held = chosen.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("node", "root", "pieces", "_t").mapInArrow(sets, "node long, root long, pieces int, hs binary").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     dealt = scratch.write(held).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = dealt.select(F.xxhash64("root", F.least(own, "_other"), F.greatest(own, "_other")).alias("key"), "node", "hs").repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key")
+    dealt = dealt.select(F.xxhash64("root", F.least(own, "_other"), F.greatest(own, "_other")).alias("key"), "node", "hs", (F.col("pieces") == 1).alias("whole")).repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes_of: list[int] = []
@@ -356,17 +356,20 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
         def done() -> pa.RecordBatch:
             a, b = similar(hs, similarity) if len(hs) > 1 else (np.zeros(0, int), np.zeros(0, int))
             n = np.array(nodes_of, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(n[a]), pa.array(n[b])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(n[a]), pa.array(n[b]), pa.array(np.full(len(a), whole))], names=["a", "b", "whole"])
 
+        whole = True
         for b in batches:
-            for key, node, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for key, node, h, one in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 if key != last:
                     yield done()
-                    nodes_of, hs, last = [], [], key
+                    nodes_of, hs, last, whole = [], [], key, one
                 if h.as_py():  # an empty set is like no other
                     nodes_of.append(node)
                     hs.append(np.frombuffer(h.as_py(), dtype=np.uint64))
         yield done()
 
-    roots = components(dealt.mapInArrow(verify, "a long, b long"))
+    verified = scratch.write(dealt.mapInArrow(verify, "a long, b long, whole boolean"))
+    # a group in one piece has its stars; those of several pieces are put together
+    roots = verified.where("whole").select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(components(verified.where("not whole").select("a", "b")))
     return rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
