@@ -6,7 +6,7 @@ import json
 import math
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # FNV-1a with 32 bits.
@@ -132,5 +132,12 @@ def inside_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) ->
     return F.coalesce(x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & odd, F.lit(False))
 
 
+def nearest_point(points: DataFrame, x: float, y: float, radius: float, id_column: str = "id") -> DataFrame:
+    """The point (id, x, y) nearest to a place, within the radius; equal distances go to the smaller id. Each task keeps one."""
+    gap = F.hypot(F.col("x") - x, F.col("y") - y)
+    near = points.where(F.col("x").between(x - radius, x + radius) & F.col("y").between(y - radius, y + radius)).withColumn("distance", gap)
+    return near.where(F.col("distance") <= radius).orderBy("distance", id_column).limit(1)
+
+
 def json_literal(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)

@@ -239,8 +239,14 @@ def mentions(documents: DataFrame, id_column: str, text_column: str, names: str,
 
 
 def group_mentions(found: DataFrame) -> DataFrame:
-    """key (lower-cased name), aliases, documents, mentions."""
-    return found.groupBy(F.lower("name").alias("key")).agg(F.sort_array(F.collect_set("name")).alias("aliases"), F.count_distinct("id").alias("documents"), F.count(F.lit(1)).alias("mentions"))
+    """key (lower-cased name), aliases, papers (ids), mention_ids (id:line:place in the line's mentions), documents, mentions; lists are sorted.
+
+    Names are grouped within their document first, so that a common name gathers a row a document."""
+    place = F.row_number().over(Window.partitionBy("id", "line").orderBy("name"))
+    each = found.withColumn("_m", F.concat_ws(":", "id", "line", place)).groupBy(F.lower("name").alias("key"), "id")
+    each = each.agg(F.collect_set("name").alias("_a"), F.collect_list("_m").alias("_m"))
+    listed = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return each.groupBy("key").agg(listed("_a").alias("aliases"), F.array_sort(F.collect_list("id")).alias("papers"), listed("_m").alias("mention_ids"), F.count(F.lit(1)).alias("documents"), F.sum(F.size("_m")).alias("mentions"))
 
 
 def sections(lines: DataFrame, group: str, order: str, heading: Column) -> DataFrame:

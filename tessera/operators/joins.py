@@ -181,6 +181,17 @@ def group_tables(base: DataFrame, key: str, tables: dict[str, tuple[DataFrame, s
     return out
 
 
+def with_objects(captions: DataFrame, images: DataFrame, objects: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row for each caption (caption_id, image_id, text), with its image's columns and the list of its objects (object_id, image_id, class_id, and
+    more) by id, each with its class's name. Captions and objects of unknown images, objects of unknown classes and repeated ids are refused."""
+    for name, (table, key) in {"caption": (captions, "caption_id"), "object": (objects, "object_id")}.items():
+        _refuse(duplicates(table, key), f"the {name} repeats")
+    named = strict_join(objects, classes.select("class_id", F.col("name").alias("class_name")), ["class_id"], ["class_id"], allow_unused=True)
+    _refuse(objects.join(images.select("image_id"), "image_id", "left_anti").select("object_id"), "the object has an unknown image")
+    with_images = strict_join(captions, images, ["image_id"], ["image_id"], allow_unused=True)
+    return group_tables(with_images, "image_id", {"objects": (named, "image_id", ["object_id", *[c for c in named.columns if c not in ("object_id", "image_id")]])})
+
+
 def agree(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The keys at which two tables that describe the same things differ: missing on one side, or unequal in a column."""
     l, r = left.select(key, *[F.col(c).alias(f"l_{c}") for c in columns]).withColumn("in_left", F.lit(True)), right.select(F.col(key).alias("_k"), *[F.col(c).alias(f"r_{c}") for c in columns]).withColumn("in_right", F.lit(True))

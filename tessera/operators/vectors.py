@@ -154,15 +154,22 @@ def _merged(centres: np.ndarray, sizes: np.ndarray, clusters: int, linkage: str)
     return np.unique(label, return_inverse=True)[1]
 
 
-def cluster_summaries(labelled: DataFrame, exemplars: int = 5) -> DataFrame:
-    """cluster, size, mean_distance, exemplars (ids nearest to the centroid); noise (-1) isn't summed up."""
-    rows = labelled.where("cluster >= 0")
+def cluster_summaries(labelled: DataFrame, exemplars: int = 5, *, metric: str = "euclidean") -> DataFrame:
+    """cluster, size, mean_distance, exemplars (ids nearest to the centroid), centre. Noise (-1) is a row of its size alone.
+
+    For cosine, vectors and centroids are of unit norm, and distances are euclidean between them; a centroid of norm zero stays as it is."""
+    unit = lambda c: F.when(norm(c) > 0, F.transform(c, lambda x: x / norm(c))).otherwise(c)
+    noise = labelled.where("cluster < 0").agg(F.count(F.lit(1)).alias("size")).where("size > 0")
+    rows = labelled.where("cluster >= 0").withColumn("vector", F.col("vector").cast("array<double>"))
+    rows = rows.withColumn("vector", unit(F.col("vector"))) if metric == "cosine" else rows
     parts = rows.select("cluster", F.posexplode("vector").alias("i", "x")).groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centres = parts.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre")).withColumnRenamed("cluster", "_c")
+    centres = centres.withColumn("centre", unit(F.col("centre"))) if metric == "cosine" else centres
     gap = rows.join(centres, F.col("cluster") == F.col("_c")).select("cluster", "id", euclidean_distance(F.col("vector"), F.col("centre")).alias("gap"))
     nth = F.row_number().over(Window.partitionBy("cluster").orderBy("gap", "id"))
     near = gap.withColumn("nth", nth).where(F.col("nth") <= exemplars).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "id"))), lambda s: s["id"]).alias("exemplars"))
-    return gap.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("gap").alias("mean_distance")).join(near, "cluster")
+    out = gap.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("gap").alias("mean_distance")).join(near, "cluster").join(centres.withColumnRenamed("_c", "cluster"), "cluster")
+    return out.unionByName(noise.withColumn("cluster", F.lit(-1)), allowMissingColumns=True)
 
 
 def silhouette(labelled: DataFrame, *, most: int = 4000, seed: int = 0) -> float | None:

@@ -214,7 +214,8 @@ def join_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("select o_orderkey, len(list(l_linenumber)) as n_lines, sum(l_quantity) as quantity, min(l_linenumber) as first_line from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey")
 def join_strict_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    out = joins.strict_join(_t(spark, sf_dir, "orders").select("o_orderkey"), lines, ["o_orderkey"], ["l_orderkey"], many="lines", allow_unused=True)
+    filled = _t(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")  # the others have no lines, and would be refused
+    out = joins.strict_join(filled, lines, ["o_orderkey"], ["l_orderkey"], many="lines", allow_unused=True)
     return out.select("o_orderkey", F.size("lines").cast("long").alias("n_lines"), F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["l_quantity"]).alias("quantity"), F.col("lines")[0]["l_linenumber"].alias("first_line"))
 
 
@@ -435,9 +436,10 @@ c as (select cluster, i, avg(e[i]) as x from v, range(1, 65) r(i) group by 1, 2)
 g as (select v.cluster, v.id, sqrt(sum((v.e[i] - c.x) * (v.e[i] - c.x))) as gap from v join c on v.cluster = c.cluster group by 1, 2),
 n as (select *, row_number() over (partition by cluster order by gap, id) as nth from g)
 select cluster, count(*) as size, round(avg(gap), 8) as mean_distance, min(id) filter (nth = 1) as nearest from n group by cluster
-""")
+union all select -1, count(*), null, null from embeddings where vec_id % 50 = 0
+""".replace("embedding::double[] as e from embeddings)", "embedding::double[] as e from embeddings where vec_id % 50 <> 0)"))
 def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 50 == 0, -1).otherwise(F.col("label")).alias("cluster"), F.col("embedding").alias("vector"))
     out = vectors.cluster_summaries(e)
     return out.select("cluster", "size", F.round("mean_distance", 8).alias("mean_distance"), F.col("exemplars")[0].alias("nearest"))
 
@@ -526,11 +528,12 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 with l as (select doc_id, unnest(string_split(text, chr(10))) as own, generate_subscripts(string_split(text, chr(10)), 1) as nr from documents),
 w as (select *, coalesce(lag(own) over o, '') || chr(10) || own || chr(10) || coalesce(lead(own) over o, '') as near from l window o as (partition by doc_id order by nr)),
 m as (select doc_id as id, unnest(regexp_extract_all(own, '(?i)\\b(license|version)\\b')) as name, regexp_matches(near, '(?i)\\bapache\\b') as in_context from w)
-select lower(name) as key, count(distinct id) as documents, count(*) as mentions, count(*) filter (in_context) as in_context from m group by 1
+select lower(name) as key, count(distinct id) as documents, count(*) as mentions, count(*) filter (in_context) as in_context, count(distinct id)::int as papers, count(*)::int as mention_ids, string_agg(distinct name, ',' order by name) as aliases from m group by 1
 """)
 def mention_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = text.mentions(_t(spark, sf_dir, "documents"), "doc_id", "text", r"(?i)\b(?:license|version)\b", r"(?i)\bapache\b")
-    return m.groupBy(F.lower("name").alias("key")).agg(F.count_distinct("id").alias("documents"), F.count(F.lit(1)).alias("mentions"), F.count_if("in_context").alias("in_context"))
+    context = m.groupBy(F.lower("name").alias("key")).agg(F.count_if("in_context").alias("in_context"))
+    return text.group_mentions(m).join(context, "key").select("key", "documents", "mentions", "in_context", F.size("papers").alias("papers"), F.size("mention_ids").alias("mention_ids"), F.array_join("aliases", ",").alias("aliases"))
 
 
 @register("""
@@ -745,6 +748,43 @@ def tag_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.tag_spread(items, ["st", "priority"], top=3).withColumn("column", F.when(F.col("column") == "st", "status").otherwise(F.col("column")))
 
 
+@register("select event_id as id, x, y, sqrt((x - 50) * (x - 50) + (y - 12) * (y - 12)) as distance from (select event_id, value as x, (event_id % 24)::double as y from events) where sqrt((x - 50) * (x - 50) + (y - 12) * (y - 12)) <= 30 order by distance, id limit 1")
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x"), (F.col("event_id") % 24).cast("double").alias("y"))
+    return scalars.nearest_point(points, 50.0, 12.0, 30.0)
+
+
+@register("""
+select o_orderkey as caption_id, c_custkey as image_id, c_name, (select count(*) from supplier where s_nationkey = c_nationkey)::int as n, (select string_agg(s_suppkey || ':' || n_name, ',' order by s_suppkey) from supplier join nation on n_nationkey = s_nationkey where s_nationkey = c_nationkey) as objects
+from orders join customer on c_custkey = o_custkey where c_custkey % 25 = c_nationkey
+""")
+def captions_with_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").where("c_custkey % 25 = c_nationkey")
+    images = c.select(F.col("c_custkey").alias("image_id"), "c_name", "c_nationkey")
+    captions = _t(spark, sf_dir, "orders").join(images, F.col("o_custkey") == F.col("image_id"), "left_semi").select(F.col("o_orderkey").alias("caption_id"), F.col("o_custkey").alias("image_id"), F.col("o_orderpriority").alias("text"))
+    s = _t(spark, sf_dir, "supplier").join(images, F.col("s_nationkey") == F.col("c_nationkey"))
+    objects = s.select(F.concat_ws("-", "s_suppkey", "image_id").alias("object_id"), "image_id", F.col("s_nationkey").alias("class_id"), "s_suppkey")
+    out = joins.with_objects(captions, images, objects, _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("class_id"), F.col("n_name").alias("name")))
+    listed = F.array_join(F.transform(F.array_sort(F.transform("objects", lambda o: F.struct(o["s_suppkey"].alias("k"), o["class_name"].alias("n")))), lambda o: F.concat_ws(":", o["k"], o["n"])), ",")
+    return out.select("caption_id", "image_id", "c_name", F.size("objects").alias("n"), F.when(F.size("objects") > 0, listed).alias("objects"))
+
+
+@register("""
+with s as (select r_regionkey as id, length('{"id":' || r_regionkey || ',"name":"' || r_name || '"}') as size from region)
+select id from s qualify sum(size) over (order by id) <= 90
+""")
+def records_within_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return snapshot.within_bytes(r, "id", 90).select("id")
+
+
+@register("select 'not finite' as \"check\", 0::bigint as rows union all select 'lengths differ', 0 union all select 'repeated ids', 1 union all select 'repeated vectors', 0 union all select 'ids without a vector', count(*) from documents where doc_id not in (select vec_id from embeddings)")
+def bundle_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    repeated = ids.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id").agg(F.min("id").alias("id"))
+    return snapshot.bundle_problems(ids.unionByName(repeated), _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+
+
 @register()
 def sample_parquet_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the row groups of the orders' file; which ones, the footers tell: tests hold it against them."""

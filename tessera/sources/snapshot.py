@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.model import Field, Snapshot
 
@@ -102,7 +103,34 @@ def write_rows(rows: DataFrame, path: str, fmt: str) -> tuple[int, str]:
     return d["count"], d["digest"]
 
 
-def bundle(ids: DataFrame, vectors: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
-    """ord, id, vector and scalar columns of a selection, in one table."""
+def within_bytes(records: DataFrame, order: str, max_bytes: int) -> DataFrame:
+    """The first records in order whose JSON is of ``max_bytes`` together at most.
+
+    Sizes are added up by range partitions first, and within those that the bound falls in by a window each; no task sorts all records."""
+    sized = records.withColumn("_size", F.octet_length(F.to_json(F.struct(*records.columns)))).repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    sums = sized.groupBy("_part").agg(F.sum("_size").alias("_sum"))  # a row for each partition
+    ahead = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("_part").alias("_p"), ahead.alias("_ahead")).where(F.col("_ahead") < max_bytes)
+    rows = sized.join(F.broadcast(sums), F.col("_part") == F.col("_p"))
+    upto = F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_upto", F.col("_ahead") + upto).where(F.col("_upto") <= max_bytes).select(*records.columns)
+
+
+def bundle_problems(ids: DataFrame, vectors: DataFrame) -> DataFrame:
+    """check, rows: repeated ids on either side, ids without a vector, vectors of another length than the first's, and vectors that aren't finite."""
+    size = F.size("vector")
+    finite = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+    one = vectors.agg(F.count_if(~finite).alias("not finite"), F.max(size).alias("hi"), F.min(size).alias("lo")).select(F.explode(F.array(F.struct(F.lit("not finite").alias("check"), F.col("not finite").alias("rows")), F.struct(F.lit("lengths differ").alias("check"), F.when(F.col("hi") != F.col("lo"), 1).otherwise(0).cast("long").alias("rows")))).alias("x")).select("x.*")
+    twice = lambda df, name: df.groupBy("id").count().where("count > 1").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("check"), "rows")
+    missing = ids.join(vectors.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("ids without a vector").alias("check"), "rows")
+    return one.unionByName(twice(ids, "repeated ids")).unionByName(twice(vectors, "repeated vectors")).unionByName(missing)
+
+
+def bundle(ids: DataFrame, vectors: DataFrame, scalars: DataFrame | None = None, *, check: bool = True) -> DataFrame:
+    """ord, id, vector and scalar columns of a selection, in one table. What ``bundle_problems`` finds is refused; ``check=False`` only builds the plan."""
+    if check:
+        bad = {r["check"]: r["rows"] for r in bundle_problems(ids, vectors).collect() if r["rows"]}
+        if bad:
+            raise ValueError(f"invalid bundle: {bad}")
     out = ids.join(vectors, "id", "left")
     return out.join(scalars, "id", "left") if scalars is not None else out
