@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm._common import Scratch
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -137,13 +139,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Sett
     own = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_n"), F.xxhash64(id_col, text_col).alias("_h"))
     # equal rows with an equal label are one with a number of times, so that a repeated row is one key
     lab = own.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")).join(lab.groupBy("_id", "_y").agg(F.count(F.lit(1)).alias("_l")), "_id")
-    lab = lab.select("_id", "_h", "_y", "_n", (F.col("_c") * F.col("_l")).alias("_c"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    lab = scratch.write(lab.select("_id", "_h", "_y", "_n", (F.col("_c") * F.col("_l")).alias("_c")))
     counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.sum("_c").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     keyed = lab.withColumn("_k", F.sha2(F.concat_ws(":", F.lit(s.seed), "_id", "_h"), 256))
     first = lambda label: keyed.where(F.col("_y") == label).orderBy("_k", "_id", "_h").limit(s.max_rows).collect()  # noqa: E731  each task keeps max_rows at most; keys, no texts
     drawn = {y: [(r["_k"], r["_id"], r["_h"], r["_n"], i) for r in first(y) for i in range(min(r["_c"], s.max_rows))][: s.max_rows] for y in (0, 1)}
+    scratch.drop(lab)
     rare = 1 if len(drawn[1]) <= len(drawn[0]) else 0
     half = drawn[rare][: s.max_rows // 2]
     some = sorted([(*k, rare) for k in half] + [(*k, 1 - rare) for k in drawn[1 - rare][: s.max_rows - len(half)]])
