@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classlm, decontamination, exactspans, extraction, mixing, nearest, passages, sharding, simhash, toxicity
+from tessera.llm import classlm, decontamination, divergence, exactspans, extraction, mixing, nearest, passages, projections, sharding, simhash, spellings, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= s.threshold, 1).otherwise(0).alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.group(_read(spark, sf_dir, "documents"))
+
+
+def op13_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_one_bit_codes": op2_one_bit_codes,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_class_ngrams": op9_class_ngrams,
     "op10_subword_toxicity": op10_subword_toxicity,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_sorted_projections": op13_sorted_projections,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,5 +142,50 @@ with d as (
 select doc_id, size, source_size, target,
        (size * epochs + greatest(0, least(size, budget - epochs * source_size - ahead)))::bigint as taken
 from e
+""",
+    "op11_source_divergence": r"""
+with d as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), t as (select doc, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*)::hugeint as n from t group by lang, term having count(distinct doc) >= 10),
+c as (select lang, source, term, count(*)::hugeint as n from t join k using (lang, term) group by lang, source, term),
+l as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from k group by lang),
+g as (
+  select d.lang, d.source, coalesce(max(l.v), 0)::hugeint as v, coalesce(max(l.total), 0)::hugeint as lang_total,
+         coalesce((select sum(c.n) from c where c.lang = d.lang and c.source = d.source), 0)::hugeint as total
+  from d left join l using (lang) group by d.lang, d.source
+),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) as p,
+         1 + (1000000000::hugeint * (k.n + 2)) // (g.lang_total + 2 * g.v) as q
+  from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+),
+s as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::bigint as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+),
+r as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from p where n > 0 and p > q
+)
+select lang, source, part, item, value, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+from r qualify part = 'pair' or rank <= 10
+""",
+    "op13_sorted_projections": """
+with recursive v as (
+  select row_number() over () as i, vec_id, embedding::double[] as e from embeddings
+), u as (
+  select * from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), l as (
+  select a.i, b.i as j, b.vec_id from u a join u b on a.i <> b.i and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95
+), c as (
+  select i, i as j, vec_id from u union select c.i, l.j, l.vec_id from c join l on c.j = l.i
+), m as (select i, min(vec_id) as component_id from c group by i), n as (select i, count(*) as n from l group by i)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept
+from v left join m using (i) left join n using (i)
 """,
 }
