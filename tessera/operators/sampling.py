@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,8 +78,8 @@ def fixed_groups(rows: DataFrame, group: str, row: str, groups: int, size: int,
     return picked.withColumn("_nth", nth).where(F.col("_nth") <= quota).drop("_name", "_i", "_nth")
 
 
-def parquet_row_groups(spark: SparkSession, path: str) -> list[tuple[str, int, int, int]]:
-    """(file, row group, its first row in the file, rows) of the Parquet files at a path, from their footers; no data is read."""
+def parquet_row_groups(spark: SparkSession, path: str, *, sizes: bool = False) -> list[tuple[str, int, int, int]]:
+    """(file, row group, its first row in the file, rows) of the Parquet files at a path, from their footers; no data is read. ``sizes``: compressed bytes in place of the first row."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(conf)
@@ -87,7 +90,7 @@ def parquet_row_groups(spark: SparkSession, path: str) -> list[tuple[str, int, i
         try:
             first = 0
             for i, block in enumerate(reader.getFooter().getBlocks()):
-                out.append((f.getName(), i, first, block.getRowCount()))
+                out.append((f.getName(), i, block.getCompressedSize() if sizes else first, block.getRowCount()))
                 first += block.getRowCount()
         finally:
             reader.close()
@@ -104,15 +107,69 @@ def fixed_row_groups(spark: SparkSession, path: str, groups: int, size: int, see
     if most_per_group is not None and base + (extra > 0) > most_per_group:
         raise ValueError(f"a row group would give over {most_per_group} rows")
     rank = lambda *parts: hashlib.sha256(":".join(map(str, (seed, *parts))).encode()).hexdigest()
-    wanted = []
+    chosen = []
     for place, (name, group, first, rows) in enumerate(sorted(known, key=lambda g: (rank("row_group", g[0], g[1]), g[0], g[1]))[:groups]):
         quota = base + (place < extra)
         if rows < quota:
             raise ValueError(f"row group {group} of {name} has {rows} rows, and {quota} are taken from each")
-        wanted += [(name, group, first + r, r) for r in sorted(range(rows), key=lambda r: rank("row", name, group, r))[:quota]]
-    asked = spark.createDataFrame(wanted, "_file string, origin_group int, _at long, origin_row long")  # ``size`` rows
+        chosen.append((name, group, first, first + rows - 1, quota))
+    asked = spark.createDataFrame(chosen, "_file string, origin_group int, _first long, _last long, _quota long")  # a row for each of ``groups``
     rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("origin_file"), F.col("_metadata.row_index").alias("_index"))
-    return rows.join(F.broadcast(asked), (F.col("origin_file") == F.col("_file")) & (F.col("_index") == F.col("_at"))).drop("_file", "_at", "_index")
+    inside = rows.join(F.broadcast(asked), (F.col("origin_file") == F.col("_file")) & F.col("_index").between(F.col("_first"), F.col("_last"))).withColumn("origin_row", F.col("_index") - F.col("_first"))
+    ranked = sha_rank(seed, "row", F.col("origin_file"), F.col("origin_group"), F.col("origin_row"))
+    nth = F.row_number().over(Window.partitionBy("origin_file", "origin_group").orderBy(ranked, "origin_row"))
+    return inside.withColumn("_nth", nth).where(F.col("_nth") <= F.col("_quota")).drop("_file", "_first", "_last", "_quota", "_index", "_nth")
+
+
+def budgeted_draw(spark: SparkSession, groups: list[tuple[str, int, int, int]], count: int, seed: int, byte_budget: int, *, max_draws: int = 20_000_000) -> DataFrame:
+    """nth, origin_file, origin_group, origin_row of ``count`` rows drawn without replacement from row groups (file, group, bytes, rows).
+
+    Draw i names the position sha256("seed:i") modulo all rows. A row group comes in with the first draw that names it if its bytes still fit into the budget, and stays out else, as
+    what is left of the budget never grows; a position that came already is passed over. Draws are made in Spark, of which the driver sees the first of each row group; more are made until
+    there are enough rows, or all rows that the budget lets in, or ``max_draws``."""
+    if seed < 0 or byte_budget < 1 or count < 1:
+        raise ValueError("the seed is zero or more, the budget and the count are one or more")
+    starts = np.concatenate([[0], np.cumsum([g[3] for g in groups])]).astype(np.int64)
+    total = int(starts[-1])
+    if total < 1 or any(g[2] < 0 or g[3] < 0 for g in groups):
+        raise ValueError("there are no rows to draw from")
+
+    def drawn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            at = np.array([int(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest(), 16) % total for i in pdf["id"]], dtype=np.int64)
+            group = np.searchsorted(starts, at, side="right") - 1
+            yield pd.DataFrame({"i": pdf["id"], "g": group, "row": at - starts[group]})
+
+    draws = min(max(4 * count, 1000), max_draws)
+    while True:
+        made = spark.range(draws).mapInPandas(drawn, "i long, g int, row long")
+        left, admitted = byte_budget, []
+        for r in made.groupBy("g").agg(F.min("i").alias("i")).orderBy("i").collect():  # a row for each row group
+            if groups[r["g"]][2] <= left:
+                left -= groups[r["g"]][2]
+                admitted.append(r["g"])
+        names = spark.createDataFrame([(g, groups[g][0], groups[g][1]) for g in admitted], "g int, origin_file string, origin_group int")
+        rows = made.join(F.broadcast(names), "g").groupBy("origin_file", "origin_group", F.col("row").alias("origin_row")).agg(F.min("i").alias("i"))
+        found = rows.count()
+        if found >= count or draws >= max_draws or len(admitted) == len(groups) and found == total:
+            break
+        if admitted and found == sum(groups[g][3] for g in admitted) and min((g[2] for i, g in enumerate(groups) if i not in set(admitted)), default=left + 1) > left:
+            break  # the budget lets nothing more in
+        draws = min(4 * draws, max_draws)
+    nth = F.row_number().over(Window.orderBy("i"))  # of ``count`` rows
+    return rows.orderBy("i").limit(count).select(nth.alias("nth"), "origin_file", "origin_group", "origin_row")
+
+
+def draw_row_groups(spark: SparkSession, path: str, count: int, seed: int, byte_budget: int) -> DataFrame:
+    """The rows that ``budgeted_draw`` names from the Parquet files at a path, with nth, origin_file, origin_group and origin_row."""
+    known = parquet_row_groups(spark, path)
+    sizes = parquet_row_groups(spark, path, sizes=True)
+    named = budgeted_draw(spark, sizes, count, seed, byte_budget)
+    starts = spark.createDataFrame([(f, g, first) for f, g, first, _ in known], "_file string, _group int, _first long")  # a row for each row group
+    named = named.join(F.broadcast(starts), (F.col("origin_file") == F.col("_file")) & (F.col("origin_group") == F.col("_group")))
+    named = named.select("nth", "origin_file", "origin_group", "origin_row", (F.col("_first") + F.col("origin_row")).alias("_index"))
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_at"))
+    return rows.join(named, (F.col("_name") == F.col("origin_file")) & (F.col("_at") == F.col("_index"))).drop("_name", "_at", "_index")
 
 
 def shards(names: list[str], count: int, seed: int) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.scalars import cosine_distance, euclidean_distance, finite, norm
+from tessera.operators import metric as metric_space
+from tessera.session import Tables
 
-MAX_DIM, BLOCK = 4096, 4096
+MAX_DIM = 4096
 
 
 def problems(vectors: DataFrame, *, dim: int, unit: bool = False, nonzero: bool = True, tolerance: float = 1e-5) -> DataFrame:
@@ -51,37 +53,27 @@ def similar(vectors: DataFrame, query: list[float] | None = None, record: object
     return rows.select("id", distance(F.col("vector"), F.array(*[F.lit(float(x)) for x in query])).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def _distances(a: pd.DataFrame, b: pd.DataFrame, metric: str) -> np.ndarray:
-    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-    if metric == "cosine":
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-    square = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)
-    return square / 2 if metric == "cosine" else np.sqrt(square)
-
-
 def neighbours(vectors: DataFrame, k: int, *, metric: str = "euclidean") -> DataFrame:
-    """id, rank, neighbour, distance: the k nearest other rows of each row, exactly.
-
-    Rows are dealt over blocks; each pair of blocks is compared in one group as a matrix product, and gives k rows a row."""
-    blocks = max(-(-vectors.count() // BLOCK), 1)
-    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = rows.select("id", "v", F.col("b").alias("i"), every.alias("j")), rows.select("id", "v", F.col("b").alias("j"), every.alias("i"))
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": a["id"][:0], "neighbour": a["id"][:0], "distance": np.zeros(0)})
-        distance = _distances(a, b, metric)
-        distance[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
-        n = min(k, len(b))
-        at = np.argsort(distance, axis=1, kind="stable")[:, :n] if len(b) <= 4 * k else np.argpartition(distance, n - 1, axis=1)[:, :n]
-        out = pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), n), "neighbour": b["id"].to_numpy()[at.ravel()], "distance": np.take_along_axis(distance, at, axis=1).ravel()})
-        return out[np.isfinite(out["distance"])]
-
-    kind = dict(rows.dtypes)["id"]
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, f"id {kind}, neighbour {kind}, distance double")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return near.withColumn("rank", nth).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+    """id, rank, neighbour, distance: the k nearest other rows of each row, exactly; ties go to the smaller id. Null vectors take no part.
+
+    Equal vectors are compared once. Of the blocks of a metric partition only those are compared that can hold a row's nearest."""
+    tables = Tables(vectors.sparkSession, "neighbours")
+    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("v")).where("v is not null")
+    rows = tables.write(rows)
+    classes = tables.write(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    near = metric_space.nearest(metric_space.partition(classes.select("id", "v"), tables, unit=metric == "cosine"), k, tables)
+    order = Window.partitionBy("id").orderBy("distance", "neighbour")
+    nth = F.row_number().over(order)
+    if classes.where("n > 1").head(1):
+        # of a class as many members count as can be among the nearest; a row takes its class's list without itself
+        named = rows.join(classes.select(F.col("v").alias("_v"), F.col("id").alias("class")), F.col("v") == F.col("_v")).select("id", "class")
+        members = named.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("nth") <= k + 1)
+        lists = near.select("id", F.col("neighbour").alias("class"), "distance").unionByName(classes.select("id", F.col("id").alias("class"), F.lit(0.0).alias("distance")))
+        lists = lists.join(members.select("class", F.col("id").alias("neighbour")), "class").withColumn("rank", nth).where(F.col("rank") <= k + 1)
+        near = named.join(lists.select(F.col("id").alias("class"), "neighbour", "distance"), "class").where("id <> neighbour").select("id", "neighbour", "distance")
+        near = near.withColumn("rank", nth).where(F.col("rank") <= k)
+    distance = F.col("distance") * F.col("distance") / 2 if metric == "cosine" else F.col("distance")
+    return near.select("id", "rank", "neighbour", distance.alias("distance"))
 
 
 def outlier_scores(vectors: DataFrame, k: int = 5, *, metric: str = "euclidean") -> DataFrame:
@@ -222,37 +214,32 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def density_clusters(vectors: DataFrame, min_points: int, radius: float, *, metric: str = "euclidean") -> DataFrame:
-    """id, cluster (-1: noise): connected core points, at one level of the density hierarchy.
+    """id, cluster (-1: noise): connected core points, at one level of the density hierarchy (``density.hierarchy`` has all of them).
 
     A core point has ``min_points`` rows (itself included) within the radius. Core points within it of each other are one cluster;
     other points take the cluster of their nearest core point in reach. Equal vectors are one point of their number. All points in reach are
-    counted, block pair by block pair; a block pair hands on a spanning forest of its links, and each point's nearest core point."""
+    counted, by pairs of blocks that can hold some; such a pair hands on a spanning forest of its links, and each point's nearest core point."""
     from tessera.operators.sets import asset_components
 
-    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("v"))
+    tables = Tables(vectors.sparkSession, "density")
+    rows = tables.write(vectors.select("id", F.col("vector").cast("array<double>").alias("v")))
     points = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    blocks = max(-(-points.count() // BLOCK), 1)
-    points = points.select("id", "v", "n", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    kind = dict(points.dtypes)["id"]
-
-    def compared(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, *, once: bool = False) -> DataFrame:
-        every = F.explode(F.sequence(F.col("b") if once else F.lit(0), F.lit(blocks - 1)))
-        others = F.explode(F.sequence(F.lit(0), F.col("b") if once else F.lit(blocks - 1)))
-        left, right = left.select("id", "v", F.col("b").alias("i"), every.alias("j")), right.select("id", "v", "n", F.col("b").alias("j"), others.alias("i"))
-        names = [x.split()[0] for x in schema.split(", ")]
-        left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-        return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda a, b: pd.DataFrame({n: [] for n in names}) if a.empty or b.empty else compare(a, b), schema)
+    within = np.sqrt(2 * radius) if metric == "cosine" else radius
+    part = metric_space.partition(points.select("id", "v", "n"), tables, unit=metric == "cosine")
+    points, kind = part.rows, dict(part.rows.dtypes)["id"]
+    reach_of = np.full(part.blocks, within)
+    pairs, ahead = tables.write(part.pairs(reach_of)), part.pairs(reach_of, once=True)
 
     def reach(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        distance = _distances(a, b, metric)
+        distance = metric_space.products(metric_space.stacked(a["v"]), metric_space.stacked(b["v"]))
         distance[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0
         return distance
 
     def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": a["id"], "n": (reach(a, b) <= radius) @ b["n"].to_numpy()})
+        return pd.DataFrame({"id": a["id"], "n": (reach(a, b) <= within) @ b["n"].to_numpy()})
 
     def linked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = _forest(reach(a, b) <= radius)
+        x, y = _forest(reach(a, b) <= within)
         return pd.DataFrame({"id": a["id"].to_numpy()[x], "neighbour": b["id"].to_numpy()[y]})
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -260,16 +247,17 @@ def density_clusters(vectors: DataFrame, min_points: int, radius: float, *, metr
         distance = reach(a, b)
         at = distance.argmin(axis=1)
         out = pd.DataFrame({"id": a["id"], "neighbour": b["id"].to_numpy()[at], "distance": distance[np.arange(len(a)), at]})
-        return out[out["distance"] <= radius]
+        return out[out["distance"] <= within]
 
-    dense = compared(points, points, counted, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id")
+    dense = tables.write(part.compared(points, points, pairs, counted, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id"))
     core, edge = points.join(dense, "id", "left_semi"), points.join(dense, "id", "left_anti")
-    inner = compared(core, core, linked, f"id {kind}, neighbour {kind}", once=True)
+    inner = part.compared(core, core, ahead, linked, f"id {kind}, neighbour {kind}")
     pair = F.concat_ws("~", F.least("id", "neighbour").cast("string"), F.greatest("id", "neighbour").cast("string")).alias("pair")
     links = inner.select("id", pair).unionByName(inner.select(F.col("neighbour").alias("id"), pair))
     links = links.unionByName(dense.select("id", F.col("id").cast("string").alias("pair")))
     of_core = asset_components(links, "id", "pair").withColumnRenamed("component", "cluster")
-    near = compared(edge, core, nearest, f"id {kind}, neighbour {kind}, distance double").groupBy("id").agg(F.min_by("neighbour", F.struct("distance", "neighbour")).alias("neighbour"))
+    near = part.compared(edge, core, pairs, nearest, f"id {kind}, neighbour {kind}, distance double").groupBy("id").agg(F.min_by("neighbour", F.struct("distance", "neighbour")).alias("neighbour"))
     near = near.join(of_core.withColumnRenamed("id", "neighbour"), "neighbour").select("id", F.col("cluster").alias("near_cluster"))
-    found = points.select("id", "v").join(of_core, "id", "left").join(near, "id", "left").select(F.col("v").alias("_v"), F.coalesce("cluster", "near_cluster").alias("cluster"))
+    named = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id")).withColumnRenamed("id", "class")
+    found = named.join(of_core.withColumnRenamed("id", "class"), "class", "left").join(near.withColumnRenamed("id", "class"), "class", "left").select(F.col("v").alias("_v"), F.coalesce("cluster", "near_cluster").alias("cluster"))
     return rows.join(found, F.col("v") == F.col("_v"), "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

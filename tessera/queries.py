@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars, text
 from tessera.model import Field, Query, Snapshot
-from tessera.operators import catalogue, joins, results, sampling, selections, sets, subsets, vectors
+from tessera.operators import catalogue, density, joins, results, sampling, selections, sets, subsets, trees, vectors
 from tessera.plans import aggregate, query as plan
-from tessera.sources import files, mapping, snapshot
-from tessera.streaming import incremental
+from tessera.session import Tables
+from tessera.sources import arrow_shards as arrow
+from tessera.sources import digest, files, mapping, snapshot
+from tessera.streaming import incremental, resumable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -479,6 +482,18 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.density_clusters(e, 5, 1.15)
 
 
+@register()
+def density_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return density.hierarchy(e, min_cluster_size=5, min_samples=3)
+
+
+@register()
+def hierarchical_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return trees.hierarchical_clusters(e, 10)
+
+
 @register("select o_orderstatus as status, count(*) as items, coalesce(sum(o_custkey), 0)::bigint as bytes from orders group by 1")
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.progress(_t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("bytes")))
@@ -809,9 +824,42 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.profile(_t(spark, sf_dir, "customer")).select("column", "nonnull", "distinct")
 
 
-@register("select count(*) as count from lineitem")
+@register("""
+with l as (select * replace (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate) from lineitem),
+h as (select l_orderkey, l_linenumber, sha256(to_json({'l_discount': l_discount, 'l_extendedprice': l_extendedprice, 'l_linenumber': l_linenumber, 'l_linestatus': l_linestatus, 'l_orderkey': l_orderkey, 'l_partkey': l_partkey,
+      'l_quantity': l_quantity, 'l_returnflag': l_returnflag, 'l_shipdate': l_shipdate, 'l_suppkey': l_suppkey, 'l_tax': l_tax})::varchar) as h from l),
+p as (select h, row_number() over (order by l_orderkey, l_linenumber, h) - 1 as p from h),
+one as (select p // 1024 as p, sha256(string_agg(h, '' order by p)) as h from p group by 1),
+two as (select p // 1024 as p, sha256(string_agg(h, '' order by p)) as h from one group by 1)
+select (select count(*) from p) as count, h as digest from two
+""")
 def rows_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.digest(_t(spark, sf_dir, "lineitem")).select("count")
+    rows = _t(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    return digest.ordered_digest(rows, "l_orderkey", "l_linenumber")
+
+
+@register("select o_orderkey, o_orderstatus, o_totalprice, row_number() over (order by o_orderkey) - 1 as ordinal, 'train' as split from orders")
+def arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    shards = arrow.write_arrow_shards(rows, f"{Tables(spark, 'arrow').base}/orders", split="train")
+    return arrow.read_arrow_shards(spark, shards).select("o_orderkey", "o_orderstatus", "o_totalprice", "ordinal", "origin.split")
+
+
+@register("""
+with n as (select o_custkey, count(*) as n from orders group by 1)
+select 'tags' as run_id, c_custkey::varchar as record_id, case when n is null then 'failed' else 'completed' end as status, n as orders from customer left join n on c_custkey = o_custkey
+""")
+def resumable_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.count(F.lit(1)).alias("orders"))
+    tables = Tables(spark, "run")
+    tables.write(_t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id")).repartition(3))
+    run = resumable.ResumableRun(spark, "tags", f"{tables.base}/1", T.StructType([T.StructField("id", T.StringType())]), lambda items: items.join(orders, "id"), f"{tables.base}/runs")
+    return run.complete().select("run_id", "record_id", "status", "result.orders")
+
+
+@register()
+def draw_under_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.draw_row_groups(spark, f"{sf_dir}/lineitem.parquet", 200, 11, 1 << 30).select("nth", "l_orderkey", "l_linenumber", "origin_file", "origin_group", "origin_row")
 
 
 @register("select 'nation:example:' || substr(sha256('[\"nation\",\"r1\",\"example\",\"' || n_nationkey || '\"]'), 1, 24) as id, n_name as text from nation")

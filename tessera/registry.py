@@ -45,7 +45,7 @@ class Registry:
 
 
 def _filled() -> tuple[Registry, Registry, Registry]:
-    from tessera.operators import joins, results, sampling, sets, vectors
+    from tessera.operators import density, joins, results, sampling, sets, trees, vectors
     from tessera.sources import files, mapping
 
     sources, converters, processors = Registry("source"), Registry("converter"), Registry("processor")
@@ -53,7 +53,7 @@ def _filled() -> tuple[Registry, Registry, Registry]:
         sources.register(name)(f)
     for name, f in {"keyed_rows": files.keyed_rows, "named_arrays": files.named_arrays, "records": files.to_records, "mapped": mapping.mapped, "grouped": joins.group_tables, "pivot_folds": joins.pivot_folds, "collapse_variants": joins.collapse_variants, "interleave": sampling.interleave, "asset_units": sets.asset_units}.items():
         converters.register(name)(f)
-    for name, f in {"k_means": vectors.k_means, "neighbours": vectors.neighbours, "outlier_scores": vectors.outlier_scores, "density_clusters": vectors.density_clusters, "cluster_summaries": vectors.cluster_summaries, "research_import": results.import_research, "detector_view": results.detector_view}.items():
+    for name, f in {"k_means": vectors.k_means, "neighbours": vectors.neighbours, "outlier_scores": vectors.outlier_scores, "density_clusters": vectors.density_clusters, "density_hierarchy": density.hierarchy, "hierarchical_clusters": trees.hierarchical_clusters, "cluster_summaries": vectors.cluster_summaries, "research_import": results.import_research, "detector_view": results.detector_view}.items():
         processors.register(name)(f)
     return sources, converters, processors
 
