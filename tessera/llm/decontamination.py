@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, with DataFrame operations only.
 
 An item is in a document if the document has at least ``threshold`` of the item's distinct word shingles. Texts are
-lower-cased (A to Z), words are runs without ASCII white space; shingles are compared by 64-bit hashes of their words.
+lower-cased (A to Z), words are runs without ASCII white space; shingles are compared by 64-bit hashes of their words. An item of fewer words than a
+shingle is a shingle of its own, and is in a document that has its words one after the other; documents have shingles of the lengths that such items have.
 
 1. Each document's set is restricted to shingles that the benchmark has. That leaves every containment as it is, and makes
    a long document as small as what it shares with the benchmark. Documents with equal sets are one from here on.
@@ -14,8 +15,8 @@ lower-cased (A to Z), words are runs without ASCII white space; shingles are com
 Scale: one pass makes the shingles of a document in its row. The benchmark's shingles are broadcast if they are counted to be
 ``BROADCAST_ROWS`` or fewer, and joined by a shuffle beyond that; what is left of the documents is small.
 
-Nulls: null texts have no words; texts under ``width`` words have no shingles, and never match. Rows with a null id take no
-part; rows of one id are one document, or one item. Empty tables give an empty table.
+Nulls: null texts have no words; an item without words is in nothing. Items under ``shortest`` words, if that is asked for, take no part. Rows with a null id take no
+part; rows of one id are one document, or one item. A text is held as a whole in its row. Empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -30,24 +31,28 @@ from tessera.llm._common import ascii_lower
 HASHES, BROADCAST_ROWS = 128, 2_000_000
 
 
-def shingles(text: Column, width: int) -> Column:
-    """Hashes of the word shingles of ``text``, repeats included."""
-    words = F.array_remove(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), "")
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])))
+def shingles(words: Column, width: int) -> Column:
+    """Hashes of the shingles of an array of words, repeats included; none if there are fewer words."""
+    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))).otherwise(F.array().cast("array<long>"))
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, width: int, name: str) -> DataFrame:
-    words = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(name), F.array_remove(F.split(ascii_lower(F.col(text_col)), r"[\x20\x09-\x0D]+"), "").alias("_w")).where(F.size("_w") >= width)
-    return words.select(name, F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - width), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(width)]))).alias("h"))
+def _words(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(name), F.array_remove(F.split(ascii_lower(F.col(text_col)), r"[\x20\x09-\x0D]+"), "").alias("w"))
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-9, shortest: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item that it contains: doc_id, item_id, n_item (the item's distinct shingles), n_shared, containment."""
-    items = _sets(benchmark, item_col, item_text_col, width, "item_id").groupBy("item_id").agg(F.collect_set("h").alias("hs")).withColumn("q", F.size("hs"))
+    of_item = _words(benchmark, item_col, item_text_col, "item_id").where(F.size("w") >= shortest)
+    short = sorted(r[0] for r in of_item.where(F.size("w").between(1, width - 1)).select(F.size("w")).distinct().collect())  # under ``width`` lengths
+    hashes = F.when(F.size("w") >= width, shingles(F.col("w"), width))
+    for m in short:
+        hashes = hashes.when(F.size("w") == m, shingles(F.col("w"), m))
+    items = of_item.where(F.size("w") > 0).select("item_id", F.explode(hashes).alias("h")).groupBy("item_id").agg(F.collect_set("h").alias("hs")).withColumn("q", F.size("hs"))
     vocabulary = items.select(F.explode("hs").alias("h")).distinct()
     if vocabulary.count() <= BROADCAST_ROWS:
         vocabulary = F.broadcast(vocabulary)
-    found = _sets(docs, id_col, text_col, width, "doc_id").join(vocabulary, "h", "left_semi")
+    all_widths = [shingles(F.col("w"), m) for m in (*short, width)]
+    found = _words(docs, id_col, text_col, "doc_id").where(F.size("w") >= min([*short, width])).select("doc_id", F.explode(F.concat(*all_widths) if short else all_widths[0]).alias("h")).join(vocabulary, "h", "left_semi")
     of_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     of_doc = of_doc.withColumn("set", F.sha2(F.array_join(F.transform("hs", lambda h: F.hex(h)), ","), 256))
     sets = of_doc.groupBy("set").agg(F.first("hs").alias("hs")).withColumn("part", F.ceil(F.log2(F.size("hs"))).cast("int"))

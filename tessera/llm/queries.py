@@ -106,10 +106,12 @@ with d as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
 ), b as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from benchmark
+), k as (
+  select 5 as k union select len(w) from b where len(w) between 1 and 4
 ), ds as (
-  select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from d where len(w) >= 5
+  select distinct doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as s from d join k on len(w) >= k
 ), bs as (
-  select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from b where len(w) >= 5
+  select distinct item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) as s from b where len(w) > 0
 ), n as (select item_id, count(*) as n_item from bs group by item_id)
 select doc_id, item_id, n_item, count(*) as n_shared, count(*) / n_item::double as containment
 from ds join bs using (s) join n using (item_id) group by doc_id, item_id, n_item having count(*) >= 0.8 * n_item

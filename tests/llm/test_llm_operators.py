@@ -139,16 +139,20 @@ def shingle_set(t, k=5):
 
 def test_decontamination_against_all_pairs(spark, docs, empty, texts):
     passage = texts[1].split()
-    items = [(0, " ".join(passage[:20])), (1, " ".join(passage[5:30]).upper()), (2, " ".join(passage[:12] + ["zzz"] + passage[13:58])), (3, "too short"), (4, None), (5, texts[0][0]), (6, "never seen words in any text at all"), (None, texts[0][1]), (7, texts[0][-1][:400])]
+    shorter = [(20, "one"), (21, " ".join(passage[7:10])), (22, "ONE\n"), (23, " ".join(passage[2:6])), (24, "  "), (25, passage[30])]
+    items = [*shorter, (0, " ".join(passage[:20])), (1, " ".join(passage[5:30]).upper()), (2, " ".join(passage[:12] + ["zzz"] + passage[13:58])), (3, "too short"), (4, None), (5, texts[0][0]), (6, "never seen words in any text at all"), (None, texts[0][1]), (7, texts[0][-1][:400])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_shared, r.n_item) for r in decontamination.contained(docs, bench).collect()}
     want = {}
     for r in docs.collect():
         for i, t in items:
-            b, d = shingle_set(t), shingle_set(r.text)
+            k = min(5, max(n_words(t), 1))
+            b, d = shingle_set(t, k), shingle_set(r.text, k)
             if r.doc_id is not None and i is not None and b and len(b & d) >= 0.8 * len(b):
                 want[(r.doc_id, i)] = (len(b & d), len(b))
-    assert got == want and len(want) >= 8
+    assert got == want and len(want) >= 20 and {i for _, i in want} >= {20, 21, 22, 23, 25}
+    long = {(r.doc_id, r.item_id) for r in decontamination.contained(docs, bench, shortest=5).collect()}
+    assert long == {(d, i) for d, i in want if n_words(dict(items)[i]) >= 5}
     assert decontamination.contained(empty, bench).count() == decontamination.contained(docs, bench.limit(0)).count() == 0
 
 
