@@ -45,9 +45,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that contain a benchmark item."""
+    """Rejects documents that contain a benchmark item of five words or more: shorter ones are in clean documents too."""
     rows = _identified(docs)
-    found = decontamination.contained(rows.select("row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    found = decontamination.contained(rows.select("row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=5, id_col="row")
     leaks = found.select(F.col("doc_id").alias("leak")).distinct()
     return rows.join(leaks, F.col("row") == F.col("leak"), "left_anti").select("doc.*")
 
