@@ -9,9 +9,10 @@ To extract, a page's own expression is aligned with its host's wrapper in the sa
 the wrapper's node has: template (a fixed text on ``TEMPLATE_PAGES`` different pages or more, and on half of the host's different pages
 or more, while other texts vary), left out, or a slot. What aligns with nothing is a slot. The main region is the topmost article or main
 element; a host without them has the narrowest element outside of which all text is template or left out, and lists of links there
-are menus. A page that lacks its host's region goes by its own expression.
+are menus if they are template, or if their links are of ``MENU_WORDS`` words or fewer on average. Headings of the main region are never template. A page that lacks its host's region goes by its own expression.
 
-Menus, headers, footers, sidebars, notices, adverts, forms and comments go by their tag or by words of their class, id or role. Such words
+Outside of article and main elements, menus, headers, footers, sidebars, notices, adverts, forms and comments go by their tag or by words of their class, id or role. Inside of them
+headers and menu elements stay, and a class, id or role counts only if all its words are such words, or the first is one for comments; headings stay whatever their class. Such words
 never leave out html or body, nor do they or a form leave out an element that holds the page's only article, or, other than those for comments, one that holds half of the page's
 text or more where no article is elsewhere. Text of the rest is decoded, blocks are trimmed with white space made one space, and
 joined by a line feed. Line breaks (br) are white space. Drawings (svg) and what shows only without scripts have no text.
@@ -19,10 +20,11 @@ joined by a line feed. Line breaks (br) are white space. Drawings (svg) and what
 Scale: tasks merge the pages that they read into one wrapper a host, so that a host of any size sends one small tree from each
 task; those are merged by host. A node counts its different pages by the ``SKETCH`` least hashes of their markup. Pages are then joined with
 their host's wrapper, those of very common hosts without a shuffle, and are read a second time. No host's pages meet in one
-task. A wrapper grows with the variety of its host's markup, not with its pages.
+task. Of the children of a node, those of one tag that are on under a quarter of its pages each are one node, without their classes, once there are over ``KINDS``; so a wrapper is
+bounded by what a page holds, however many classes its host has.
 
 Nulls: null html is empty; a page without markup is its text. Null urls, and urls without a host, share the empty host.
-Repeated rows are pages of their own, but pages that are all equal make no template. An empty table gives an empty table.
+Repeated rows are pages of their own, but pages that are all equal make no template. Of alignments that are as long, the one that takes the wrapper's node first is taken. A page is held as a whole, with its tree. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ from tessera.llm._common import Scratch, attached
 
 #: Different pages of a host that must share a text before it is template; least hashes that a node keeps to count its pages.
 TEMPLATE_PAGES, SKETCH = 3, 8
+#: Rare children of one tag that a wrapper tells apart by their classes; words of a menu's link, on average.
+KINDS, MENU_WORDS = 8, 3
 #: Elements nested deeper than this are read as breaks between blocks in the one that holds them: the text is the same.
 DEEPEST = 200
 
@@ -56,6 +60,8 @@ SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr":
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social comment comments disqus respond reply replies footer header masthead topbar toolbar pagination pager search complementary contentinfo".split())
 #: Marks that stand however much text they hold; words that begin a class which says something of the whole page, not what it is.
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 caption dt legend summary th".split())
+STAYS_INSIDE = frozenset("header menu".split())
 STATES = frozenset("has with without no not is js".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
@@ -64,12 +70,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element. ``out``: left out; ``marked``: only by words or as a form, which ``settle`` may overrule."""
+    """An element. ``out``: left out; ``marked``: only by words or as a form, which ``settle`` may overrule; ``inside``: of an article or main element, or one itself."""
 
-    __slots__ = ("tag", "sig", "out", "marked", "comments", "main", "children")
+    __slots__ = ("tag", "sig", "out", "marked", "comments", "main", "inside", "children")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.out, self.main, self.sig, self.marked, self.comments = tag, [], tag in LEFT_OUT, tag in ("article", "main"), tag, tag == "form", False
+    def __init__(self, tag: str, attributes: str = "", inside: bool = False):
+        self.tag, self.children, self.out, self.main, self.sig, self.marked, self.comments = tag, [], tag in LEFT_OUT and not (inside and tag in STAYS_INSIDE), tag in ("article", "main"), tag, tag == "form", False
         if attributes:
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
             self.main |= found.get("role") == "main" or found.get("itemprop") == "articleBody"
@@ -78,13 +84,15 @@ class Node:
                 for k in ("class", "id", "role"):
                     for token in found.get(k, "").split():
                         parts = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w]
-                        words.update(parts if not parts or parts[0] not in STATES else ())
+                        if parts and parts[0] not in STATES and (not inside or tag not in HEADINGS and (parts[0] in COMMENTS or MARKS.issuperset(parts))):
+                            words.update(parts)
                 self.marked, self.comments = self.marked or not MARKS.isdisjoint(words), not COMMENTS.isdisjoint(words)
                 hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or re.search(r"\shidden(\s|$|=)", attributes) is not None
                 self.out = self.marked or hidden
                 self.marked &= not hidden
             if found.get("class"):
                 self.sig += "." + ".".join(sorted(re.sub(r"\d+", "0", found["class"]).split()))
+        self.inside = inside or self.main
 
 
 def parse(page: str) -> Node:
@@ -127,7 +135,7 @@ def parse(page: str) -> Node:
                     stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
                     at = stop.end() if stop else end
                 continue
-            node = Node(tag, m[3])
+            node = Node(tag, m[3], stack[-1].inside)
             if len(stack) < DEEPEST or node.out and len(stack) == DEEPEST:
                 stack[-1].children.append(node)
                 if tag not in VOID and not empty:
@@ -233,9 +241,9 @@ def skeleton(root: Node, page: str) -> list:
     pages = [zlib.crc32(page.encode("utf-8", "replace"))]
 
     def of(node: Node) -> list:
-        text = _text(node)
+        text = _text(node) or ("\n".join(_links(node)) if node.tag in ("ul", "ol", "div", "menu") and not node.inside and _is_menu(node) else "")
         children = [of(c) for c in blocks_of(node)] if not node.out else []
-        return [node.sig, pages, False, False, zlib.crc32(text.encode("utf-8", "replace")) + 1 if text else 0, len(text), fold(children), node.out, node.main, [node]]
+        return [node.sig, pages, False, False, zlib.crc32(text.encode("utf-8", "replace")) + 1 if text else 0, len(_text(node)), fold(children), node.out, node.main, [node]]
 
     return of(root)
 
@@ -244,7 +252,28 @@ def merged(a: list, b: list, pages: bool) -> list:
     """``pages``: the two are of different pages, and not repetitions on one."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else -1
     seen = a[PAGES] if a[PAGES] == b[PAGES] else sorted({*a[PAGES], *b[PAGES]})[:SKETCH]
-    return [a[SIG], seen, a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or not pages, text, a[CHARS] + b[CHARS], align(a[CHILDREN], b[CHILDREN], pages), a[OUT] and b[OUT], a[MAIN] or b[MAIN], a[REFS] + b[REFS]]
+    return [a[SIG], seen, a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or not pages, text, a[CHARS] + b[CHARS], compact(align(a[CHILDREN], b[CHILDREN], pages), seen), a[OUT] and b[OUT], a[MAIN] or b[MAIN], a[REFS] + b[REFS]]
+
+
+def compact(nodes: list, pages: list[int]) -> list:
+    """Children of a node on ``pages``: of each tag the rare ones are one node once they are over ``KINDS``."""
+    if len(nodes) <= KINDS:
+        return nodes
+    total = distinct(pages)
+    rare: dict[tuple, list[int]] = {}
+    for i, n in enumerate(nodes):
+        if n[SIG][0] != "(" and (n[SIG][-1] == "*" or n[OPTIONAL] and 4 * distinct(n[PAGES]) < total):
+            rare.setdefault((n[SIG].split(".")[0].rstrip("*"), n[OUT], n[MAIN]), []).append(i)
+    gone: set[int] = set()
+    out = list(nodes)
+    for (tag, _, _), places in rare.items():
+        if len(places) > KINDS or len(places) > 1 and any(nodes[i][SIG][-1] == "*" for i in places):
+            one = [f"{tag}*", *nodes[places[0]][PAGES:]]
+            for i in places[1:]:
+                one = merged(one, nodes[i], True)
+            out[places[0]] = [one[SIG], one[PAGES], True, True, *one[TEXT:]]
+            gone.update(places[1:])
+    return fold([n for i, n in enumerate(out) if i not in gone]) if gone else nodes
 
 
 def group(nodes: list) -> list:
@@ -273,6 +302,10 @@ def grouped(nodes: list, like: list) -> list:
 def paired(a: list, b: list) -> list[tuple[list | None, list | None]]:
     """The longest common sequence of the two in pairs; the others alone, in order."""
     a, b = grouped(a, b), grouped(b, a)
+    common = {n[SIG]: n for n in a if n[SIG][-1] == "*"}
+    if common:  # a node that no class of the wrapper has is one of its tag's
+        known = {n[SIG] for n in a}
+        b = [n if n[SIG] in known or f"{n[SIG].split('.')[0]}*" not in common else [f"{n[SIG].split('.')[0]}*", *n[PAGES:]] for n in b]
     start = 0
     while start < min(len(a), len(b)) and a[start][SIG] == b[start][SIG]:
         start += 1
@@ -351,6 +384,15 @@ class Wrapper:
         walk(root, False)
         self.by_mark = bool(top)
         self.main = {id(n) for n in top} or {id(self.narrow())}
+
+        def keep_headings(n: list, inside: bool) -> None:
+            inside |= id(n) in self.main
+            if inside and n[SIG].split(".")[0] in HEADINGS:
+                self.fixed.discard(id(n))
+            for c in n[CHILDREN]:
+                keep_headings(c, inside)
+
+        keep_headings(root, False)
         self.varies = False
 
         def vary(n: list, inside: bool) -> None:
@@ -399,22 +441,45 @@ def matched(wrapper: list, own: list) -> dict[int, list]:
     return out
 
 
+def _links(node: Node) -> list[str]:
+    """The texts of all links of an element."""
+    out: list[str] = []
+
+    def walk(n: Node, at: list[str] | None) -> None:
+        for c in n.children:
+            if isinstance(c, str):
+                if at is not None:
+                    at.append(c)
+            elif c.tag == "a" and at is None:
+                walk(c, one := [])
+                out.append(SPACE.sub(" ", "".join(one)).strip())
+            else:
+                walk(c, at)
+
+    walk(node, None)
+    return out
+
+
 def _is_menu(node: Node) -> bool:
     """All text or nearly all is of links, of which there are three or more."""
-    chars = links = linked = 0
+    chars = 0
 
-    def walk(n: Node, inside: bool) -> None:
-        nonlocal chars, links, linked
+    def walk(n: Node) -> None:
+        nonlocal chars
         for c in n.children:
             if isinstance(c, str):
                 chars += len(c.strip())
-                linked += len(c.strip()) if inside else 0
             else:
-                links += c.tag == "a"
-                walk(c, inside or c.tag == "a")
+                walk(c)
+
+    walk(node)
+    links = _links(node)
+    return len(links) >= 3 and sum(map(len, links)) >= 0.8 * chars > 0
+
 
-    walk(node, False)
-    return links >= 3 and linked >= 0.8 * chars > 0
+def _short_links(node: Node) -> bool:
+    links = [x for x in _links(node) if x]
+    return sum(len(x.split()) for x in links) <= MENU_WORDS * len(links)
 
 
 def extract(page: str, wrapper: Wrapper | None) -> str:
@@ -449,7 +514,7 @@ def extract(page: str, wrapper: Wrapper | None) -> str:
                     flush()
                     at = id(part.get(id(c)))
                     starts = at in w.main
-                    if not c.out and (starts or w.by_mark or not _is_menu(c)):
+                    if not c.out and (starts or w.by_mark or not _is_menu(c) or not (at in w.fixed or _short_links(c))):
                         emit(c, inside or starts)
                 else:
                     inner(c)

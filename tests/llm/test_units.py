@@ -1,5 +1,6 @@
 """The operators' parts, against plain Python, without Spark."""
 
+import json
 import hashlib
 import os
 
@@ -137,8 +138,8 @@ def test_extraction_leaves_the_article():
     pages = [ARTICLE.replace("{}", f"Last {i}") for i in range(4)]
     w = wrapper_of(pages)
     assert extraction.extract(pages[0], None) == "Ti&tle\nOne bold word. Two\nThree\nLast 0"
-    # on four pages the title is the same: a template of the host; the paragraphs are one repeated node, a slot
-    assert extraction.extract(pages[2], w) == "One bold word. Two\nThree\nLast 2"
+    # on four pages the title is the same, but headings of an article stay; the paragraphs are one repeated node, a slot
+    assert extraction.extract(pages[2], w) == "Ti&tle\nOne bold word. Two\nThree\nLast 2"
     assert extraction.extract(pages[2], wrapper_of(pages[:2])).split("\n")[0] == "Ti&tle"
 
 
@@ -172,6 +173,47 @@ def test_nothing_of_an_article_is_dropped():
     assert extraction.extract(menu, None) == "Story."
 
 
+def test_words_of_classes_leave_nothing_out_inside_an_article():
+    kept = "<header><p>Standfirst {0}.</p></header><h2 class=section-header>Part {0}</h2><section class=related-work><p>Others {0}.</p></section><div class=ad-hoc-analysis><p>We looked {0}.</p></div><table class=share-prices><tr><td>9.5 {0}</table><div id=menu-of-the-day><p>Soup {0}.</p></div><menu><li>Step {0}</menu>"
+    left = "<div class=ad>Buy {0}</div><div class='cookie-notice'>Notice {0}</div><div class=comment-list><p>First {0}!</p></div><nav>Top</nav><aside>Aside {0}</aside><form>Sign</form>"
+    page = lambda i: f"<body><div class=section-header>Site</div><article>{kept.format(i)}{left.format(i)}<p>End {i}.</p></article></body>"
+    pages = [page(i) for i in range(6)]
+    want = lambda i: f"Standfirst {i}.\nPart {i}\nOthers {i}.\nWe looked {i}.\n9.5 {i}\nSoup {i}.\nStep {i}\nEnd {i}."
+    w = wrapper_of(pages)
+    assert [extraction.extract(p, x) for p in pages for x in (w, None)] == [want(i) for i in range(6) for _ in range(2)]
+
+
+def test_headings_that_all_articles_have_stay():
+    page = lambda i, tag: f"<body><div class=top>Site of news</div><{tag}><h2>Abstract</h2><p>What {i}.</p><h2>Methods</h2><p>How {i}.</p><table><tr><th>Year<td>{i}</table></{tag}></body>"
+    for tag in ("article", "section"):
+        w = wrapper_of([page(i, tag) for i in range(6)])
+        assert extraction.extract(page(9, tag), w) == "Abstract\nWhat 9.\nMethods\nHow 9.\nYear\n9"
+
+
+def test_lists_of_links_without_an_article():
+    book = lambda i, j: f"<li><a>{j}. A long title of the book number {i}, by someone</a>"
+    page = lambda i: f"<body><div><ul><li><a>Home</a><li><a>All of our latest news</a><li><a>A page about all of us</a></ul></div><div><p>Text {i}.</p><ol>{''.join(book(i, j) for j in range(4))}</ol></div></body>"
+    w = wrapper_of([page(i) for i in range(6)])
+    got = extraction.extract(page(3), w).split("\n")
+    assert got == ["Text 3.", *[f"{j}. A long title of the book number 3, by someone" for j in range(4)]]
+
+
+def test_a_class_for_each_page_is_no_more_markup():
+    import time
+
+    page = lambda i: f"<body><div class='tag-{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}'><p>Lead {i}.</p></div><article class='post'><h1>T {i}</h1><div class='x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}'><p>Body {i}.</p></div><p>Share this on all networks.</p><p class=last>Last {i}.</p></article></body>"
+    took, size = {}, {}
+    for n in (500, 2500, 5000):
+        began = time.process_time()
+        w = None
+        for i in range(n):
+            one = extraction.plain(extraction.skeleton(extraction.parse(page(i)), page(i)))
+            w = extraction.merged(w, one, True) if w else one
+        took[n], size[n] = time.process_time() - began, len(json.dumps(w))
+    assert size[5000] < 1.5 * size[500] < 20_000 and took[5000] < 15 * took[500]
+    assert extraction.extract(page(77), extraction.Wrapper(w)) == "T 77\nBody 77.\nLast 77."
+
+
 def test_copies_make_no_template():
     quoted = "<article><h1>T</h1><blockquote class=rare>Quoted words.</blockquote><p>Body of it.</p></article>"
     others = [f"<article><h1>Title {i}</h1><p>Body {i}.</p></article>" for i in range(3)]
