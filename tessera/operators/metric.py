@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 
 from tessera.session import Tables
 
-BLOCK, PIVOTS, RINGS, MOST_BLOCKS = 1024, 64, 256, 16_384
+BLOCK, PIVOTS, RINGS, MOST_BLOCKS = 4096, 64, 256, 16_384
+STRIP = 1024  # rows that are compared with a block at once
 
 
 def stacked(column: pd.Series) -> np.ndarray:
@@ -70,7 +71,8 @@ class Partition:
         there = right.join(pairs.withColumnRenamed("j", "block"), "block").withColumnRenamed("block", "j")
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({n: [] for n in names}) if a.empty or b.empty else compare(a, b)
+            out = [compare(a.iloc[at : at + STRIP].reset_index(drop=True), b) for at in range(0, len(a), STRIP)] if len(b) else []
+            return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
 
         here, there = here.toDF(*here.columns), there.toDF(*there.columns)
         return here.groupBy("i", "j").cogroup(there.groupBy("i", "j")).applyInPandas(run, schema)
@@ -88,7 +90,7 @@ def partition(vectors: DataFrame, tables: Tables, *, unit: bool = False) -> Part
     total = vectors.count()
     size = max(BLOCK, -(-total // MOST_BLOCKS))
     wanted = max(-(-total // size), 1)
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, 2 * wanted - 1)).select("v").collect()
+    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, wanted)).select("v").collect()
     if not chosen:
         return Partition(vectors.withColumn("block", F.lit(0).cast("long")), np.zeros((1, 1)), np.zeros((1, 1)), 0.0)
     pivots = scaled(np.array([r["v"] for r in chosen], dtype=np.float64))
@@ -144,10 +146,14 @@ def nearest(part: Partition, k: int, tables: Tables) -> DataFrame:
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
         gap, n = products(x, y), min(k, len(b))
         gap[ids[:, None] == others[None, :]] = np.inf
-        reach = np.partition(gap, n - 1, axis=1)[:, n - 1] + slack(x, y)
-        if "reach" in a:
-            reach = np.minimum(reach, a["reach"].to_numpy() + slack(x, y))
-        row, column = np.nonzero((gap <= reach[:, None]) & np.isfinite(gap))
+        reach = a["reach"].to_numpy() + slack(x, y) if "reach" in a else np.full(len(a), np.inf)
+        near = gap <= reach[:, None]
+        crowded = np.flatnonzero(near.sum(axis=1) > 4 * n)  # the others have few candidates as it is
+        if len(crowded):
+            limit = np.partition(gap[crowded], n - 1, axis=1)[:, n - 1] + slack(x, y)
+            near[crowded] &= gap[crowded] <= limit[:, None]
+        near &= np.isfinite(gap)
+        row, column = np.nonzero(near)
         out = pd.DataFrame({"row": row, "id": ids[row], "neighbour": others[column], "distance": apart(x[row], y[column])}).sort_values(["row", "distance", "neighbour"])
         return out[out.groupby("row").cumcount() < k][["id", "neighbour", "distance"]]
 
