@@ -260,6 +260,25 @@ def test_a_passage_whose_pieces_are_elsewhere_too(spark):
         assert mine and max(r.end - r.start for r in mine) == 60 and all((r.start, r.end) == (30, 90) for r in mine)
 
 
+def test_a_passage_whose_pieces_stand_apart_in_the_same_documents(spark):
+    """Eight documents have three pieces of 20 words far from each other, two have them in a row: in all of 12 draws the two meet, or meet one that has all 60 words."""
+    rows, n = [], 0
+    for draw in range(12):
+        rng = random.Random(draw)
+        word = lambda: f"{draw}w{rng.randrange(10**6)}"  # noqa: E731, B023
+        text = lambda k: [word() for _ in range(k)]  # noqa: E731, B023
+        pieces = [text(20) for _ in range(3)]
+        for _ in range(8):
+            rows.append((draw * 1000 + n % 8, " ".join([*text(10), *pieces[0], *text(80), *pieces[1], *text(80), *pieces[2], *text(10)])))
+            n += 1
+        edit = text(1) if draw % 3 == 0 else []
+        rows += [(draw * 1000 + 100, " ".join([*text(40), *sum(pieces, []), *text(40)])), (draw * 1000 + 101, " ".join([*text(30), *pieces[0], *edit, *pieces[1], *pieces[2], *text(50)]))]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for draw in range(12):
+        mine = [r for r in got if (r.doc_id, r.ref_doc_id) == (draw * 1000 + 101, draw * 1000 + 100)]
+        assert mine and max(r.agreeing for r in mine) >= 58, draw
+
+
 def test_many_documents_share_passages(spark):
     rng = random.Random(5)
     fresh = lambda n: [f"y{rng.randrange(10**9)}" for _ in range(n)]
