@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 from tessera.session import Tables
 
 BLOCK, PIVOTS, RINGS, MOST_BLOCKS = 4096, 64, 256, 16_384
-STRIP = 1024  # rows that are compared with a block at once
+#: Rows that are compared with others at once; blocks on the right of a group, and numbers that they hold together, at most.
+STRIP, WIDE, HELD = 256, 8, 4 << 20
 
 
 def stacked(column: pd.Series) -> np.ndarray:
@@ -45,8 +46,8 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Partition:
     """``rows``: the given columns and ``block``; ``low`` and ``high``: a row for each block, a column for each pivot."""
 
-    def __init__(self, rows: DataFrame, low: np.ndarray, high: np.ndarray, margin: float):
-        self.rows, self.low, self.high, self.margin, self.blocks = rows, low, high, margin, len(low)
+    def __init__(self, rows: DataFrame, low: np.ndarray, high: np.ndarray, margin: float, wide: int = 1):
+        self.rows, self.low, self.high, self.margin, self.blocks, self.wide = rows, low, high, margin, len(low), wide
 
     def pairs(self, reach: np.ndarray, *, once: bool = False, apart_from: DataFrame | None = None) -> DataFrame:
         """i, j: the blocks j that can have a row within ``reach[i]`` of one of block i. ``once``: only j >= i, by the greater reach."""
@@ -65,17 +66,18 @@ class Partition:
         return out if apart_from is None else out.join(apart_from, ["i", "j"], "left_anti")
 
     def compared(self, left: DataFrame, right: DataFrame, pairs: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """What ``compare`` gives for the rows of each pair of blocks; both sides have a column ``block``."""
+        """What ``compare`` gives for strips of the rows of each block and those of the blocks that it is paired with, in groups; both sides have a column ``block``."""
         names = [x.split()[0] for x in schema.split(", ")]
-        here = left.join(pairs.withColumnRenamed("i", "block"), "block").withColumnRenamed("block", "i")
-        there = right.join(pairs.withColumnRenamed("j", "block"), "block").withColumnRenamed("block", "j")
+        pairs = pairs.select("i", "j", F.floor(F.col("j") / self.wide).alias("g"))  # several blocks on the right are one group, which hands on fewer rows
+        here = left.join(pairs.select(F.col("i").alias("block"), "g").distinct(), "block").withColumnRenamed("block", "i")
+        there = right.join(pairs.withColumnRenamed("j", "block"), "block").drop("block")
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             out = [compare(a.iloc[at : at + STRIP].reset_index(drop=True), b) for at in range(0, len(a), STRIP)] if len(b) else []
             return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
 
         here, there = here.toDF(*here.columns), there.toDF(*there.columns)
-        return here.groupBy("i", "j").cogroup(there.groupBy("i", "j")).applyInPandas(run, schema)
+        return here.groupBy("i", "g").cogroup(there.groupBy("i", "g")).applyInPandas(run, schema)
 
 
 def partition(vectors: DataFrame, tables: Tables, *, unit: bool = False) -> Partition:
@@ -133,7 +135,7 @@ def partition(vectors: DataFrame, tables: Tables, *, unit: bool = False) -> Part
     low, high = np.full((base, len(pivots)), np.inf), np.full((base, len(pivots)), -np.inf)
     for r in stats:
         low[r["block"]], high[r["block"]] = r["low"], r["high"]
-    return Partition(rows, low, high, 4e-6 * max(r["norm"] for r in stats))
+    return Partition(rows, low, high, 4e-6 * max(r["norm"] for r in stats), max(1, min(WIDE, HELD // (size * pivots.shape[1]))))
 
 
 def nearest(part: Partition, k: int, tables: Tables) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.model import Field
-from tessera.operators import catalogue, joins, results, sampling, selections, sets, subsets, vectors
+from tessera.operators import catalogue, joins, metric, results, sampling, selections, sets, subsets, vectors
 from tessera.registry import CONVERTERS, PROCESSORS, Registry
 from tessera.sources import binary, files, mapping, snapshot
 from tessera.streaming import incremental
@@ -158,7 +158,7 @@ def test_density_clusters_link_all_in_reach(spark, monkeypatch):
     want = np.where(core, label, np.where(far.min(1) <= 1, label[far.argmin(1)], -1))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
     for block in (4096, 64):
-        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(metric, "BLOCK", block)
         got = {r["id"]: r["cluster"] for r in vectors.density_clusters(df, 5, 1.0).collect()}
         groups = lambda of: {frozenset(i for i in range(len(x)) if of[i] == c) for c in {of[i] for i in range(len(x))} - {-1}}
         assert groups(got) == groups(want) and len(got) == len(x)
