@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators.sampling import first_per_group
-from tessera.session import checkpoint_dir
+from tessera.session import Tables, checkpoint_dir
+from tessera.sources.digest import numbered
 
 
 def concatenate(parts: dict[str, DataFrame], ordinal: str) -> DataFrame:
@@ -60,6 +62,31 @@ def asset_components(links: DataFrame, record: str, asset: str) -> DataFrame:
             return labels.select(F.col("r").alias(record), F.col("c").alias("component"))
 
 
+def component_batches(labelled: DataFrame, component: str, order: str, *, most: int = 16) -> DataFrame:
+    """The rows with ``batch`` (from 0): components one after the other, in the order of their first rows, each batch as many as fit into ``most`` rows; a component is never split, and a larger one is a batch by itself.
+
+    Where a batch ends follows from where it begins, and at most ``most`` components are in one. So each place gets a pointer to the next batch's beginning, if one began there; the beginnings are
+    those that the pointers reach from the first place, which doubling them marks. Nothing passes through one task."""
+    tables = Tables(labelled.sparkSession, "batches")
+    sizes = labelled.groupBy(component).agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("first"))
+    at = tables.write(numbered(sizes, tables, "first", component, name="at").select(F.col(component).alias("_c"), "size", "at"))
+    ahead = at.select("at", "size", F.explode(F.sequence(F.greatest(F.col("at") - most, F.lit(0)), "at")).alias("begin"))
+    upto = F.sum("size").over(Window.partitionBy("begin").orderBy("at"))
+    fits = ahead.withColumn("upto", upto).where((F.col("upto") <= most) | (F.col("at") == F.col("begin")))
+    jumps = tables.write(fits.groupBy("begin").agg((F.max("at") + 1).alias("next")))
+    begins = tables.write(at.where("at = 0").select(F.col("at").alias("begin")))
+    while True:
+        reached = begins.join(jumps, "begin").select(F.col("next").alias("begin")).join(at.select(F.col("at").alias("begin")), "begin", "left_semi")
+        if not reached.join(begins, "begin", "left_anti").head(1):
+            break
+        begins = tables.write(begins.unionByName(reached).distinct())
+        jumps = tables.write(jumps.join(jumps.select(F.col("begin").alias("next"), F.col("next").alias("later")), "next").select("begin", F.col("later").alias("next")))
+    named = tables.write(numbered(begins, tables, "begin", name="batch"))
+    near = at.select("_c", "at", F.explode(F.sequence(F.greatest(F.col("at") - most, F.lit(0)), "at")).alias("begin")).join(named, "begin")
+    of = near.groupBy("_c").agg(F.max("batch").alias("batch"))
+    return labelled.join(of, F.col(component).eqNullSafe(F.col("_c"))).drop("_c")
+
+
 def duplicate_files(files: DataFrame, path: str, digest: str) -> DataFrame:
     """digest, paths (sorted), copies: files of equal content."""
     return files.groupBy(digest).agg(F.sort_array(F.collect_list(path)).alias("paths"), F.count(F.lit(1)).alias("copies")).where("copies > 1")

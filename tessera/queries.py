@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.functions import scalars, text
+from tessera.functions import mentions, scalars, text
 from tessera.model import Field, Query, Snapshot
 from tessera.operators import catalogue, density, joins, results, sampling, selections, sets, subsets, trees, vectors
 from tessera.plans import aggregate, query as plan
 from tessera.session import Tables
 from tessera.sources import arrow_shards as arrow
-from tessera.sources import digest, files, mapping, snapshot
+from tessera.sources import corpus, digest, files, mapping, snapshot
 from tessera.streaming import incremental, resumable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -883,3 +883,48 @@ select user_id, min(ts) as start, count(*) as n from s group by user_id, k
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = incremental.sessions(_t(spark, sf_dir, "events"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+FRAMES = r"""
+with l as (select doc_id as id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) as own, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) as line from documents),
+w as (
+  select *, last_value(case when regexp_matches(trim(own, ' '), '^(?i)(?:released|this work)\b') then substr(trim(own, ' '), 1, 100) end ignore nulls) over (partition by id order by line rows between 35 preceding and current row) as section,
+         concat_ws(' ', lag(own) over o, own, lead(own) over o) as near from l window o as (partition by id order by line)
+),
+m as (select id, line, section, near, unnest(regexp_extract_all(own, '(?i)\b(?:license|version)\b')) as name from w),
+u as (select *, row_number() over (partition by id, line, lower(name)) as nth from (select distinct * from m))
+select id, line::int as line, lower(name) as name, section, case when regexp_matches(near, '(?i)\bapache\b') and regexp_matches(near, '2\.0') then 'apache' when regexp_matches(near, 'MIT|GNU') then 'other' else 'unclassified' end as role,
+       substr(trim(regexp_replace(near, '\s+', ' ', 'g'), ' '), 1, 500) as excerpt
+from u where nth = 1
+"""
+
+
+@register(FRAMES)
+def framed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = (("apache", (r"(?i)\bapache\b", r"2\.0")), ("other", (r"MIT|GNU",)))
+    found = mentions.framed_mentions(_t(spark, sf_dir, "documents"), "doc_id", "text", r"(?i)\b(?:license|version)\b", headings=r"(?i)^(?:released|this work)\b", roles=roles)
+    return found.withColumn("name", F.lower("name"))
+
+
+@register("""
+select o_custkey as ris_file, row_number() over (partition by o_custkey order by o_orderkey)::int as ris_index, 'paper-' || substr(sha256('10.1/' || o_orderkey), 1, 16) as paper_id, 'Order ' || o_orderkey as title,
+       o_orderpriority || '; ' || o_orderstatus as authors, year(o_orderdate)::varchar as year from orders
+""")
+def ris_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    lines = F.concat_ws("\n", F.lit("TY  - JOUR"), F.concat(F.lit("TI  - Order "), "o_orderkey"), F.concat(F.lit("AU  - "), "o_orderpriority"), F.concat(F.lit("AU  - "), "o_orderstatus"), F.lit("N1  - a note"), F.lit("  of two lines"), F.concat(F.lit("PY  - "), F.year("o_orderdate")), F.concat(F.lit("DO  - 10.1/"), "o_orderkey"), F.lit("ER  - "))
+    texts = o.select("o_custkey", F.struct("o_orderkey", lines.alias("x")).alias("r")).groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["x"]), "\n").alias("text"))
+    found = corpus.ris_records(texts, path="o_custkey")
+    return found.select("ris_file", "ris_index", "paper_id", "title", F.array_join("authors", "; ").alias("authors"), "year")
+
+
+@register("select o_orderkey as id, min(o_orderkey) over (partition by o_custkey) as target from orders")
+def follow_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return files.follow_references(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), before.alias("to")), "id", "to")
+
+
+@register()
+def component_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("component"))
+    return sets.component_batches(o, "component", "ord")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import Tables
+
 IMAGES = r"(?i)\.(png|jpe?g|gif|webp|bmp|tiff?)$"
 
 
@@ -107,17 +109,19 @@ def named_arrays(rows: DataFrame, array: str, names: list[str]) -> DataFrame:
     return rows.select("*", *[F.get(array, F.lit(i)).alias(n) for i, n in enumerate(names)]).drop(array)
 
 
-def follow_references(rows: DataFrame, id_column: str, pointer: str, depth: int = 8) -> DataFrame:
-    """id and ``target``: where the chain of pointers from each row ends; null if it doesn't within 2^depth steps (a cycle).
+def follow_references(rows: DataFrame, id_column: str, pointer: str) -> DataFrame:
+    """id and ``target``: where the chain of pointers from each row ends; null if it ends nowhere, in a cycle or at an id that isn't there.
 
-    Pointers double in each round."""
-    at = rows.select(F.col(id_column).alias("id"), F.col(pointer).alias("to"))
-    ends = rows.where(F.col(pointer).isNull()).select(F.col(id_column).alias("end"))
-    at = at.select("id", F.coalesce("to", "id").alias("to"))
-    for _ in range(depth):
-        hop = at.select(F.col("id").alias("h"), F.col("to").alias("next"))
-        at = at.join(hop, F.col("to") == F.col("h"), "left").select("id", F.coalesce("next", "to").alias("to"))
-    return at.join(ends, F.col("to") == F.col("end"), "left").select("id", F.col("end").alias("target"))
+    Pointers double in each round, and each round is a written table. Rows that have come to an end rest; rounds go on until none are left, or the others have gone further than there are rows, as only cycles do."""
+    tables = Tables(rows.sparkSession, "references")
+    at = tables.write(rows.select(F.col(id_column).alias("id"), F.coalesce(pointer, id_column).alias("to"), F.col(pointer).isNull().alias("ended")))
+    steps, total = 1, at.count()
+    while steps <= total and at.where(~F.col("ended") & F.col("to").isNotNull()).head(1):
+        hop = at.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("ended").alias("there"))
+        new = tables.write(at.join(hop, "to", "left").select("id", F.when(F.col("ended"), F.col("to")).otherwise(F.col("next")).alias("to"), (F.col("ended") | F.coalesce("there", F.lit(False))).alias("ended")))
+        tables.drop(at)
+        at, steps = new, 2 * steps
+    return at.select("id", F.when(F.col("ended"), F.col("to")).alias("target"))
 
 
 def to_records(rows: DataFrame, dataset: str, release: str, unit: str, source_id: str, *, text: str | None = None, question: str | None = None, choices: str | None = None, media: list[str] | None = None) -> DataFrame:
