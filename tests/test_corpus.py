@@ -95,3 +95,55 @@ def test_references_however_long_the_chain(spark):
     rows = [(f"n{i}", f"n{i + 1}" if i < n else None) for i in range(n + 1)] + [("x", "y"), ("y", "z"), ("z", "y"), ("lost", "nowhere"), ("self", "self")]
     got = {r.id: r.target for r in files.follow_references(spark.createDataFrame(rows, "id string, to string"), "id", "to").collect()}
     assert got == {f"n{i}": f"n{n}" for i in range(n + 1)} | dict.fromkeys(("x", "y", "z", "lost", "self"))
+
+
+def test_collections(spark, tmp_path):
+    import zipfile
+
+    import pytest
+
+    from tessera.sources.collection import Entry, Lookup, read_collection
+
+    (tmp_path / "a.json").write_text('{"data": {"items": [{"id": "x", "n": 1, "p": {"q": "é"}}, {"id": "y", "n": null, "p": {"q": "2"}}]}}', encoding="utf-8")
+    (tmp_path / "b.jsonl").write_text("\n".join(f'{{"id": "l{i}", "n": {i}}}' for i in range(500)) + "\n\n")
+    (tmp_path / "t.txt").write_text("one\n\n  \ntwo\nthree")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in/keyed.json", '{"k1": {"n": 5}, "k2": {"n": 6}}')
+        z.writestr("arrays.json", '[["a", 1], ["b", 2]]')
+        z.writestr("c.csv", 'id,n\n"q ""x""\nz",7\n')
+        z.writestr("lines.txt", "﻿é\n\nü\n")
+    P = lambda n: str(tmp_path / n)
+    record = "id string, n long"
+    found = read_collection(spark, [
+        Entry(P("a.json"), "train", schema="id string, n long, p struct<q: string>", records_key="data.items"), Entry(P("b.jsonl"), "test", "jsonl", record),
+        Entry(P("z.zip"), "keyed", schema=record, member="in/keyed.json", key_field="id"), Entry(P("z.zip"), "arr", schema=record, member="arrays.json", columns=["id", "n"], identity_prefix="g"),
+        Entry(P("z.zip"), "csv", "csv", "id string, n string", member="c.csv"),
+    ][:4], id_path="id").collect()
+    by = {r.origin.identity: r for r in found}
+    assert len(by) == 2 + 500 + 2 + 2 and by["train:x"].p.q == "é" and by["train:y"].n is None and by["train:y"].origin.row == 1
+    assert [by[f"test:l{i}"].origin.row for i in range(500)] == list(range(500))
+    assert (by["keyed:k2"].n, by["g:b"].n, by["g:b"].origin.split, by["g:b"].origin.file) == (6, 2, "arr", "arrays.json")
+    row = read_collection(spark, [Entry(P("z.zip"), "csv", "csv", "id string, n string", member="c.csv")], identity_fields=["n", "id"]).first()
+    assert row.id == 'q "x"\nz' and row.origin.identity == 'csv:["7","q \\"x\\"\\nz"]'
+    lines = read_collection(spark, [Entry(P("t.txt"), "s", "text_lines"), Entry(P("z.zip"), "z", "text_lines", member="lines.txt")]).collect()
+    assert {(r.line, r.text, r.origin.identity) for r in lines} == {(1, "one", "s:0"), (4, "two", "s:1"), (5, "three", "s:2"), (1, "é", "z:0"), (3, "ü", "z:1")}
+    assert read_collection(spark, [Entry(P("t.txt"), "s", "text")]).first().text == "one\n\n  \ntwo\nthree"
+
+    table = spark.createDataFrame([("x", "cat"), ("y", "dog"), ("w", "cow")], "key string, name string")
+    first = Entry(P("a.json"), "train", schema="id string, n long", records_key="data.items")
+    joined = lambda **o: Entry(first.path, "train", schema=first.schema, records_key=first.records_key, lookups=[Lookup(**{"table": table, "on": "id", "key": "key", "name": "animal", **o})])
+    got = {r.id: r.animal.name for r in read_collection(spark, [joined(unused=True)]).collect()}
+    assert got == {"x": "cat", "y": "dog"}
+    many = {r.id: sorted(a.name for a in r.animal) for r in read_collection(spark, [joined(table=table.where("key <> 'w'").union(spark.createDataFrame([("x", "cub")], table.schema)), many=True)]).collect()}
+    assert many == {"x": ["cat", "cub"], "y": ["dog"]}
+    bad = [joined(), joined(table=table.where("key = 'x'")), joined(table=table.union(table), unused=True), joined(name="n", unused=True), Entry(P("a.json"), "s", "xml"), Entry(P("a.json"), "s", schema=None)]
+    for e in bad:
+        with pytest.raises(ValueError):
+            read_collection(spark, [e])
+    for e in (Entry(P("z.zip"), "s", schema=record, member="none.json"), Entry(P("z.zip"), "s", schema=record, member="in/keyed.json"), Entry(P("z.zip"), "s", schema=record, member="arrays.json", columns=["id"])):
+        with pytest.raises(Exception, match="no member|list of objects|arrays of"):
+            read_collection(spark, [e])
+    with pytest.raises(ValueError, match="is there 2 times"):
+        read_collection(spark, [first, first], id_path="id")
+    with pytest.raises(Exception, match="missing"):
+        read_collection(spark, [first], identity_fields=["id", "n"])
