@@ -23,6 +23,14 @@ def _refuse(found: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {tuple(row[0])}")
 
 
+def _refuse_any(checks: list[tuple[DataFrame, str]]) -> None:
+    """One job for several refusals: a row of each, the first of which is told."""
+    each = [df.limit(1).select(F.lit(i).alias("i"), F.concat_ws(", ", *[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("row")) for i, (df, _) in enumerate(checks)]
+    found = sorted(reduce(DataFrame.unionByName, each).collect())
+    if found:
+        raise ValueError(f"{checks[found[0]['i']][1]}: {found[0]['row']}")
+
+
 def _matches(left: list[str], right: list[str], as_text: bool) -> Column:
     cast = lambda c: F.col(c).cast("string") if as_text else F.col(c)
     return reduce(lambda a, b: a & b, [cast(f"l.{x}") == cast(f"r.{y}") for x, y in zip(left, right, strict=True)])
@@ -91,8 +99,7 @@ def join_results(snapshot: Snapshot, artifact: str, results: DataFrame, fields:
     if len({f.split(".")[1] for f in [*snapshot.fields, *names.values()] if f.startswith("prediction.")}) > MAX_RESULTS:
         raise ValueError(f"at most {MAX_RESULTS} artifacts")
     if check:
-        _refuse(duplicates(results, "id"), "the result repeats an id")
-        _refuse(results.join(snapshot.records, "id", "left_anti").select("id"), "the result has an unknown id")
+        _refuse_any([(duplicates(results, "id"), "the result repeats an id"), (results.select("id").join(snapshot.records.select("id"), "id", "left_anti"), "the result has an unknown id")])
     start = len(snapshot.records.columns)
     columns = {k: f"f_{start + i}" for i, k in enumerate(fields)}
     own = results.select(F.col("id").alias("_result_id"), *[F.col(k).alias(c) for k, c in columns.items()])
@@ -141,13 +148,10 @@ def assemble_graph(images: DataFrame, single: dict[str, DataFrame], multiple: di
     Refused: rows of images that aren't there, repeated images, regions and qas, and links whose qa and region are of different images."""
     whose = links.join(qas.select("qa_id", F.col("image_id").alias("_q")), "qa_id", "left").join(regions.select("region_id", F.col("image_id").alias("_g")), "region_id", "left")
     if check:
-        for name, (table, key) in {"image": (images, "image_id"), "qa": (qas, "qa_id"), "region": (regions, "region_id")}.items():
-            _refuse(duplicates(table, key), f"the {name} repeats")
-        for name, table in {**single, **{n: t for n, (t, _) in multiple.items()}, "qas": qas, "regions": regions}.items():
-            _refuse(table.join(images.select("image_id"), "image_id", "left_anti").select("image_id"), f"{name} has an unknown image")
-        for name, table in single.items():
-            _refuse(duplicates(table, "image_id"), f"{name} repeats an image")
-        _refuse(whose.where(F.col("_q") != F.col("_g")).select("qa_id", "region_id"), "the qa and the region are of different images")
+        checks = [(duplicates(table, key), f"the {name} repeats") for name, (table, key) in {"image": (images, "image_id"), "qa": (qas, "qa_id"), "region": (regions, "region_id")}.items()]
+        checks += [(table.select("image_id").join(images.select("image_id"), "image_id", "left_anti"), f"{name} has an unknown image") for name, table in {**single, **{n: t for n, (t, _) in multiple.items()}, "qas": qas, "regions": regions}.items()]
+        checks += [(duplicates(table, "image_id"), f"{name} repeats an image") for name, table in single.items()]
+        _refuse_any([*checks, (whose.where(F.col("_q") != F.col("_g")).select("qa_id", "region_id"), "the qa and the region are of different images")])
     out = images
     for name, table in single.items():
         out = out.join(table.select("image_id", F.struct(*[c for c in table.columns if c != "image_id"]).alias(name)), "image_id", "left")

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import Tables
+from tessera.sources.digest import numbered
+
 
 def sha_rank(seed: int | str, *parts: str | Column) -> Column:
     """sha256 of ``seed:part:part``; its hex digits sort as the number does."""
@@ -46,17 +49,11 @@ def undeclared(rows: DataFrame, stratum: str, values: list) -> DataFrame:
 
 
 def interleave(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    """``turn`` from 0: the first row of each group in turn, then the second ones; ``nth`` from 1 is a row's number in its group. Groups take turns by name.
-
-    A turn is the number of rows of smaller ``nth``, from counts, and its group's place among the groups that have as many rows: a window holds the rows of a
-    group, or one row of each group."""
-    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    rounds = numbered.groupBy("nth").agg(F.count(F.lit(1)).alias("_n"))  # a row for each length of a group
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rounds = rounds.select(F.col("nth").alias("_r"), ahead.alias("_ahead"))
-    place = F.row_number().over(Window.partitionBy("nth").orderBy(F.asc_nulls_first(group))) - 1
-    out = numbered.withColumn("_place", place).join(rounds, F.col("nth") == F.col("_r"))
-    return out.withColumn("turn", F.col("_ahead") + F.col("_place")).drop("_r", "_ahead", "_place")
+    """``turn`` from 0: the first row of each group in turn, then the second ones; ``nth`` from 1 is a row's number in its group. Groups take turns by name, a null one first.
+
+    A turn is the row's place in the order of ``nth`` and group, which ranges number; a window holds the rows of a group alone."""
+    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return numbered(nth, Tables(rows.sparkSession, "interleave"), "nth", F.asc_nulls_first(group), name="turn")
 
 
 def asset_first(rows: DataFrame, asset: str, id_column: str, size: int, seed: int) -> DataFrame:
