@@ -15,7 +15,8 @@ from tessera.operators import catalogue, density, joins, results, sampling, sele
 from tessera.plans import aggregate, query as plan
 from tessera.session import Tables
 from tessera.sources import arrow_shards as arrow
-from tessera.sources import corpus, digest, files, mapping, snapshot
+from tessera.sources import arrays, corpus, digest, files, mapping, snapshot
+from tessera.sources.digest import numbered
 from tessera.streaming import incremental, resumable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -954,3 +955,12 @@ def follow_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("component"))
     return sets.component_batches(o, "component", "ord")
+
+
+@register("select row_number() over (order by vec_id) - 1 as ord, vec_id::varchar as id, len(embedding) as dim, round(embedding[1]::double, 6) as first, round(embedding[64]::double, 6) as last from embeddings")
+def array_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(_t(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector")), Tables(spark, "bundle"), "vec_id", name="ord")
+    path = f"{Tables(spark, 'bundle').base}/vectors"
+    arrays.write_bundle(rows, path)
+    out = arrays.read_bundle(spark, path)
+    return out.select("ord", "id", F.size("vector").cast("long").alias("dim"), F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
