@@ -34,9 +34,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm._bytes import mixed
-from tessera.llm._common import Scratch, parts
+from tessera.llm._common import Scratch, attached, parts
 from tessera.llm.components import components, local
 
 #: Fingerprints of one anchor that are compared in one piece, at most.
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, bits: int = 4, id_col: s
 
 WIDE, VIEWS, WIDE_BITS = 4, 11, 64
 #: Sets of up to this many shingles are found by their shingles, and their fingerprints may differ in ``SHORT_BITS``; sets that are verified in one piece.
-SHORT, SHORT_BITS, SETS = 24, 96, 256
+SHORT, SHORT_BITS, SETS, LEADERS = 24, 96, 256, 3
 WIDE_COLUMNS = [f"f{i}" for i in range(WIDE)]
 
 
@@ -254,13 +255,13 @@ def wide_forest(key: np.ndarray, most: np.ndarray, words: list[np.ndarray]) -> t
     return forest()
 
 
-def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest among sets of hashes with a Jaccard similarity of ``similarity`` or more; each set is compared with all others."""
+def similar(sets: list[np.ndarray], similarity: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest among sets of hashes with a Jaccard similarity of ``similarity`` or more; each set, or each of the ``first`` ones, is compared with all others."""
     size = np.array([len(x) for x in sets])
     flat, start = np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size) - size
     seen = np.zeros(len(flat) + 1, dtype=np.int64)
     label = np.arange(len(sets))
-    for i in range(len(sets)):
+    for i in range(len(sets) if first is None else first):
         own = flat[start[i] : start[i] + size[i]]
         seen[own] = 1
         both = np.add.reduceat(seen[flat], start)
@@ -281,8 +282,9 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     the Golay code on each of ``VIEWS`` blocks of 23 bits, and a fingerprint is at all anchors within the covering radius plus one. Two
     that differ in a block by two bits or fewer share an anchor in it, others often. Sets of up to ``SHORT`` shingles deviate more, and those
     that they can be like are besides at anchors of their own, the least of their hashes, of which two sets that are alike share one. Each
-    anchor yields the links of a spanning forest. What candidates link makes up a group, and within it every two sets are compared, in
-    pieces of ``SETS``: a link is never judged by its fingerprints, nor left out for another that fails.
+    anchor yields the links of a spanning forest. What candidates link makes up a group. In a group of up to ``SETS`` sets every two are compared. In a larger one all are
+    compared with ``LEADERS`` of them; those that are like the one with most links are its star, and need no comparison with each other. The rest, few in a family of one
+    template, is compared with all, in pieces of ``SETS``. So a link is never judged by its fingerprints, nor left out for another that fails, but between two that hang together already.
 
     Nulls: null texts are empty ones; texts without words are one group. Equal ids are told apart by their texts; rows with a null id take part. An
     empty table gives an empty table."""
@@ -344,32 +346,66 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([np.unique(shingle_hashes(t.as_py() or b"", width)).tobytes() for t in b.column(3)], pa.binary())], names=["node", "root", "pieces", "hs"])
 
     held = chosen.join(members, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("node", "root", "pieces", "_t").mapInArrow(sets, "node long, root long, pieces int, hs binary").dropDuplicates(["node"])
-    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    dealt = scratch.write(held).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = dealt.select(F.xxhash64("root", F.least(own, "_other"), F.greatest(own, "_other")).alias("key"), "node", "hs", (F.col("pieces") == 1).alias("whole")).repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key")
+    held = scratch.write(held)
+    large = held.where("pieces > 1")
+
+    def like_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            like = []
+            for node, h, names, others in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4), strict=True):
+                own = np.frombuffer(h.as_py(), dtype=np.uint64)
+                found = []
+                for name, o in zip(names, others, strict=True):
+                    other = np.frombuffer(o.as_py(), dtype=np.uint64)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if name == node or both and both >= similarity * (len(own) + len(other) - both):
+                        found.append(name)
+                like.append(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(like, pa.list_(pa.int64()))], names=["node", "root", "like"])
+
+    total = nodes.count()
+    nth = F.row_number().over(Window.partitionBy("root").orderBy("node"))
+    leaders = large.withColumn("nth", nth).where(F.col("nth") <= LEADERS).groupBy("root").agg(F.sort_array(F.collect_list(F.struct("nth", "node", "hs"))).alias("x"), F.max("pieces").alias("p"))
+    leaders = scratch.write(leaders.select("root", F.transform("x", lambda x: x["node"]).alias("leaders"), F.transform("x", lambda x: x["hs"]).alias("sets"), (F.col("p") * SETS).cast("long").alias("n")))
+    liked = scratch.write(attached(large.select("root", "node", "hs"), leaders, "root", total).select("node", "root", "hs", "leaders", "sets").mapInArrow(like_leaders, "node long, root long, like array<long>"))
+    votes = liked.select("root", F.explode("like").alias("leader")).groupBy("root", "leader").count()
+    best = votes.groupBy("root").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    counted = liked.join(best, "root").select("root", "node", (~F.array_contains("like", F.col("leader"))).alias("rest"))
+    sizes = counted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count_if("rest") / SETS).cast("int").alias("some"), F.ceil(F.count(F.lit(1)) / SETS).cast("int").alias("all")).where("some > 0")
+    told = scratch.write(counted.select("node", "rest"))
+    sizes = scratch.write(sizes)
+    spread = attached(large.join(told, "node").select("root", "node", "hs", "rest"), sizes, "root", total)
+    piece = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    pieces = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
+    asking = spread.where("rest").withColumn("y", pieces("all")).select(F.xxhash64("root", piece("some"), "y").alias("key"), "node", "hs", F.lit(0).alias("side"))
+    asked = spread.withColumn("x", pieces("some")).select(F.xxhash64("root", "x", piece("all")).alias("key"), "node", "hs", F.lit(1).alias("side"))
+    whole = held.where("pieces = 1").select(F.xxhash64("root").alias("key"), "node", "hs", F.lit(2).alias("side"))
+    dealt = whole.unionByName(asking).unionByName(asked).repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "side")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes_of: list[int] = []
         hs: list[np.ndarray] = []
-        last = None
+        last, sides = None, [0, 0, 0]
 
         def done() -> pa.RecordBatch:
-            a, b = similar(hs, similarity) if len(hs) > 1 else (np.zeros(0, int), np.zeros(0, int))
+            a, b = similar(hs, similarity, None if sides[2] else sides[0]) if len(hs) > 1 else (np.zeros(0, int), np.zeros(0, int))
             n = np.array(nodes_of, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(n[a]), pa.array(n[b]), pa.array(np.full(len(a), whole))], names=["a", "b", "whole"])
+            return pa.RecordBatch.from_arrays([pa.array(n[a]), pa.array(n[b]), pa.array(np.full(len(a), sides[2] > 0))], names=["a", "b", "whole"])
 
-        whole = True
         for b in batches:
-            for key, node, h, one in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            for key, node, h, side in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 if key != last:
                     yield done()
-                    nodes_of, hs, last, whole = [], [], key, one
+                    nodes_of, hs, last, sides = [], [], key, [0, 0, 0]
                 if h.as_py():  # an empty set is like no other
                     nodes_of.append(node)
                     hs.append(np.frombuffer(h.as_py(), dtype=np.uint64))
+                    sides[side] += 1
         yield done()
 
-    verified = scratch.write(dealt.mapInArrow(verify, "a long, b long, whole boolean"))
+    verified = scratch.write(dealt.mapInArrow(verify, "a long, b long, whole boolean").where("a <> b"))
+    stars = liked.select(F.explode("like").alias("a"), F.col("node").alias("b")).where("a <> b").withColumn("whole", F.lit(False))
+    verified = verified.unionByName(stars)
     # a group in one piece has its stars; those of several pieces are put together
-    roots = verified.where("whole").select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(components(verified.where("not whole").select("a", "b")))
+    roots = verified.where("whole").select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(components(verified.where("not whole").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     return rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
