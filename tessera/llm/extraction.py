@@ -20,7 +20,7 @@ joined by a line feed. Line breaks (br) are white space. Drawings (svg) and what
 Scale: tasks merge the pages that they read into one wrapper a host, so that a host of any size sends one small tree from each
 task; those are merged by host. A node counts its different pages by the ``SKETCH`` least hashes of their markup. Pages are then joined with
 their host's wrapper, those of very common hosts without a shuffle, and are read a second time. No host's pages meet in one
-task. Of the children of a node, those of one tag that are on under a quarter of its pages each are one node, without their classes, once there are over ``KINDS``; so a wrapper is
+task. The wrappers of hosts that have a large share of all pages go to each task once, if they are of ``SHARED_BYTES`` together at most, and not with each page. Of the children of a node, those of one tag that are on under a quarter of its pages each are one node, without their classes, once there are over ``KINDS``; so a wrapper is
 bounded by what a page holds, however many classes its host has.
 
 Nulls: null html is empty; a page without markup is its text. Null urls, and urls without a host, share the empty host.
@@ -41,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Scratch, attached
+from tessera.llm._common import Scratch, attached, parts
 
 #: Different pages of a host that must share a text before it is template; least hashes that a node keeps to count its pages.
 TEMPLATE_PAGES, SKETCH = 3, 8
 #: Rare children of one tag that a wrapper tells apart by their classes; words of a menu's link, on average.
 KINDS, MENU_WORDS = 8, 3
+#: Of the wrappers that each task gets as a whole, together.
+SHARED_BYTES = 64 << 20
 #: Elements nested deeper than this are read as breaks between blocks in the one that holds them: the text is the same.
 DEEPEST = 200
 
@@ -562,18 +564,31 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """A row for each row: page_id, url, text, n_chars."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    of = Scratch(pages.sparkSession, "wrappers").write(wrappers(rows.select("host", "html")))
+    spark = pages.sparkSession
+    of = Scratch(spark, "wrappers").write(wrappers(rows.select("host", "html")))
     total = of.agg(F.sum("n")).first()[0] or 0
+    most = 4 * parts(spark)
+    # fewer than ``most`` hosts have more than one in ``most`` of all pages: their wrappers go to each task once, if they are few bytes, and with each row else
+    hot = of.where(F.col("n") * most > total)
+    few = (hot.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0) <= SHARED_BYTES
+    known = {r["host"]: r["wrapper"] for r in hot.select("host", "wrapper").collect()} if few else {}
+    shared = spark.sparkContext.broadcast(known)
+    schema = f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, Wrapper | None] = (None, None)
         for b in batches:
-            texts = []
-            for page, wrapper in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if wrapper != last[0]:
-                    last = (wrapper, Wrapper(json.loads(wrapper)))
-                texts.append(extract(page, last[1]))
+            texts: list[str] = [""] * b.num_rows
+            hosts, htmls, own = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)
+            for i in sorted(range(b.num_rows), key=lambda i: hosts[i]):  # each wrapper is read once a batch
+                if hosts[i] != last[0]:
+                    last = (hosts[i], Wrapper(json.loads(shared.value.get(hosts[i]) or own[i].as_py())))
+                texts[i] = extract(htmls[i], last[1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = attached(rows, of, "host", total).select("page_id", "url", "html", "wrapper")
-    return joined.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
+    if not few:
+        return attached(rows, of, "host", total).select("page_id", "url", "host", "html", "wrapper").mapInArrow(run, schema)
+    names = F.broadcast(hot.select(F.col("host").alias("_hot")))  # under ``most`` rows
+    there = rows.join(names, F.col("host") == F.col("_hot"), "left_semi").select("page_id", "url", "host", "html", F.lit(None).cast("string").alias("wrapper"))
+    rest = rows.join(names, F.col("host") == F.col("_hot"), "left_anti").join(of.where(F.col("n") * most <= total).select("host", "wrapper"), "host")
+    return there.unionByName(rest.select("page_id", "url", "host", "html", "wrapper")).mapInArrow(run, schema)
