@@ -70,3 +70,29 @@ def ordered(entries: DataFrame, by: str | None = None) -> DataFrame:
         place = F.array_position(F.array(*map(F.lit, COVERAGE)), F.col("coverage"))
         return entries.orderBy(F.when(place > 0, place).otherwise(len(COVERAGE) + 1), *name)
     raise ValueError(f"unknown order {by}")
+
+
+def previews(records: DataFrame, dataset: str = "dataset_id", order: str = "row_ordinal", *, most: int = 4, length: int = 220) -> DataFrame:
+    """dataset, kind, tiles, modality: of each dataset the places of its first ``most`` different images, or, without any, the first texts of as many records: a record's question, else its text, its first asset's text,
+    its first turn's, of ``length`` characters. Records with a source status give no text. The modality is that of the first asset that has one.
+
+    Columns that the records lack (question, text, assets, conversation, source_status) count as missing."""
+    none = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    kinds = dict(records.dtypes)
+    assets = F.posexplode("assets").alias("p", "a") if "assets" in records.columns else None
+    filled = lambda c: F.when(F.trim(c) != "", F.substring(F.trim(c), 1, length))
+    inner = lambda c, f: F.get(F.filter(F.transform(c, lambda x: filled(x[f])), lambda x: x.isNotNull()), F.lit(0))
+    text = F.coalesce(filled(none("question")), filled(none("text")), *([inner("assets", "text")] if "assets" in kinds and "text:" in kinds["assets"] else []), *([inner("conversation", "content")] if "conversation" in kinds else []))
+    place = lambda *by: F.row_number().over(Window.partitionBy(dataset).orderBy(*by))
+    texts = records.where(none("source_status").isNull()).select(dataset, order, text.alias("tile")).where("tile is not null").withColumn("n", place(order)).where(F.col("n") <= most)
+    listed = lambda df, name: df.groupBy(dataset).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "tile"))), lambda x: x["tile"]).alias(name))
+    out = records.select(dataset).distinct().join(listed(texts, "texts"), dataset, "left")
+    if assets is None:
+        return out.select(dataset, F.when(F.col("texts").isNotNull(), "text").alias("kind"), F.coalesce("texts", F.array().cast("array<string>")).alias("tiles"), F.when(F.col("texts").isNotNull(), "text").alias("modality"))
+    each = records.select(dataset, order, assets).select(dataset, order, "p", "a.id", "a.modality", "a.uri")
+    images = each.where("modality = 'image' and uri <> ''").groupBy(dataset, F.coalesce("id", F.lit("")).alias("id")).agg(F.min(F.struct(order, "p", "uri")).alias("x"))
+    images = images.select(dataset, "x.*").withColumn("n", place(order, "p")).where(F.col("n") <= most).withColumnRenamed("uri", "tile")
+    modality = each.where("modality <> ''").groupBy(dataset).agg(F.min_by("modality", F.struct(order, "p")).alias("modality"))
+    out = out.join(listed(images, "images"), dataset, "left").join(modality, dataset, "left")
+    kind = F.when(F.col("images").isNotNull(), "image").when(F.col("texts").isNotNull(), "text")
+    return out.select(dataset, kind.alias("kind"), F.coalesce("images", "texts", F.array().cast("array<string>")).alias("tiles"), F.coalesce("modality", F.when(kind == "text", "text")).alias("modality"))

@@ -169,6 +169,20 @@ def draw_row_groups(spark: SparkSession, path: str, count: int, seed: int, byte_
     return rows.join(named, (F.col("_name") == F.col("origin_file")) & (F.col("_at") == F.col("_index"))).drop("_name", "_at", "_index")
 
 
+def draw_filtered(spark: SparkSession, path: str, count: int, seed: int, byte_budget: int, condition: Column, *, max_candidates: int = 100_000) -> DataFrame:
+    """The first ``count`` rows, in the order in which ``draw_row_groups`` draws them, for which ``condition`` holds; refused if ``max_candidates`` draws and the budget don't give as many."""
+    asked = min(4 * count, max_candidates)
+    while True:
+        drawn = draw_row_groups(spark, path, asked, seed, byte_budget)
+        kept = drawn.where(condition)
+        found = kept.count()
+        if found >= count:
+            return kept.orderBy("nth").limit(count)
+        if asked >= max_candidates or drawn.count() < asked:
+            raise ValueError(f"{found} rows pass the filter within the bounds; {count} are asked for")
+        asked = min(4 * asked, max_candidates)
+
+
 def shards(names: list[str], count: int, seed: int) -> list[str]:
     """``count`` of the shard names, by hash."""
     return sorted(names, key=lambda n: hashlib.sha256(f"{seed}:{n}".encode()).hexdigest())[:count]

@@ -33,6 +33,21 @@ def problems(vectors: DataFrame, *, dim: int, unit: bool = False, nonzero: bool
     return bad.unionByName(twice)
 
 
+def fitted(selection: DataFrame, vectors: DataFrame, *, space: str, run: str, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(ord, id, vector of the selected records that have one, in the selection's order; ord, id of those that haven't). Vectors need the names of their space and run, one length and finite numbers; a selection without any, or with over ``most``, is refused."""
+    if not space or not run:
+        raise ValueError("vectors need the names of their space and of the run that made them")
+    own = vectors.select(F.col("id").alias("_id"), "vector")
+    both = selection.select("ord", "id").join(own, F.col("id") == F.col("_id"), "left")
+    good = F.coalesce(finite(F.col("vector")), F.lit(False))
+    got = both.agg(F.count("_id").alias("n"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi"), F.count_if(F.col("_id").isNotNull() & ~good).alias("odd")).first()
+    if not got["n"]:
+        raise ValueError("no selected record has a vector")
+    if got["n"] > most or got["odd"] or got["lo"] != got["hi"] or not 1 <= got["lo"] <= MAX_DIM:
+        raise ValueError("the vectors are too many, not finite, or not of one length")
+    return both.where("_id is not null").select("ord", "id", "vector").orderBy("ord"), both.where("_id is null").select("ord", "id")
+
+
 def similar(vectors: DataFrame, query: list[float] | None = None, record: object = None, *, k: int = 10, metric: str = "cosine", eligible: DataFrame | None = None) -> DataFrame:
     """id, distance of the k nearest to a vector or a record, which isn't in its own result; eligible ids are settled before the ranking.
 

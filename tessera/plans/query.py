@@ -119,3 +119,11 @@ def ids(snapshot: Snapshot, query: Query, most: int) -> DataFrame:
     if chosen.limit(most + 1).count() > most:
         raise ValueError(f"the selection has over {most} rows")
     return chosen
+
+
+def tool_search(records: DataFrame, term: str, approved: DataFrame | None = None) -> DataFrame:
+    """The records whose text or question has the term, whatever its case, of those whose ids are approved; an empty term finds all."""
+    rows = records if approved is None else records.join(approved.select("id").distinct(), "id", "left_semi")
+    if not term:
+        return rows
+    return rows.where(F.contains(F.lower(F.concat_ws("\n", F.coalesce("text", F.lit("")), F.coalesce("question", F.lit("")))), F.lit(term.lower())))

@@ -15,7 +15,7 @@ from tessera.operators import catalogue, density, joins, results, sampling, sele
 from tessera.plans import aggregate, query as plan
 from tessera.session import Tables
 from tessera.sources import arrow_shards as arrow
-from tessera.sources import arrays, corpus, digest, files, mapping, snapshot
+from tessera.sources import arrays, collection, corpus, digest, files, mapping, snapshot
 from tessera.sources.digest import numbered
 from tessera.streaming import incremental, resumable
 
@@ -964,3 +964,38 @@ def array_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays.write_bundle(rows, path)
     out = arrays.read_bundle(spark, path)
     return out.select("ord", "id", F.size("vector").cast("long").alias("dim"), F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+
+
+@register(r"""
+with t as (select source, doc_id, substr(regexp_replace(text, '^ +| +$', '', 'g'), 1, 220) as tile from documents where trim(text, ' ') <> ''), n as (select *, row_number() over (partition by source order by doc_id) as n from t)
+select s.source, case when count(tile) > 0 then 'text' end as kind, count(tile)::int as tiles, max(tile) filter (n = 1) as first, max(tile) filter (n = 4) as fourth from (select distinct source from documents) s left join n on n.source is not distinct from s.source and n.n <= 4 group by s.source
+""")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = catalogue.previews(_t(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id")
+    return out.select("source", "kind", F.size("tiles").alias("tiles"), F.get("tiles", F.lit(0)).alias("first"), F.get("tiles", F.lit(3)).alias("fourth"))
+
+
+@register("select doc_id as id, lang from documents where contains(lower(text), 'license') and doc_id in (select doc_id from labels where quality = 0 union select doc_id from documents where lang = 'en')")
+def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, labels = _t(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id").withColumn("question", F.lit(None).cast("string")), _t(spark, sf_dir, "labels")
+    approved = labels.where("quality = 0").select(F.col("doc_id").alias("id")).unionByName(d.where("lang = 'en'").select("id"))
+    return plan.tool_search(d, "LICENSE", approved).select("id", "lang")
+
+
+@register("select doc_id as id, row_number() over (order by quality, doc_id) - 1 as ord, round(embedding[1]::double, 6) as first from labels left join embeddings on vec_id = doc_id")
+def fitted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selection = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.row_number().over(Window.orderBy("quality", "doc_id")) - 1).cast("long").alias("ord"))
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    have, lack = vectors.fitted(selection, v, space="s", run="r")
+    return have.select("id", "ord", F.round(F.col("vector")[0], 6).alias("first")).unionByName(lack.select("id", "ord", F.lit(None).cast("double").alias("first")))
+
+
+@register("select c_custkey, c_name, n_name as nation, 'train:[' || c_custkey || ',\"' || c_mktsegment || '\"]' as identity, 'train' as split from customer join nation on c_nationkey = n_nationkey")
+def structured_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark, "source")
+    _t(spark, sf_dir, "customer").repartition(2).write.json(f"{tables.base}/customer")
+    nations = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    lookup = collection.Lookup(nations, "c_nationkey", "n_nationkey", "nation", unused=True)
+    entry = collection.Entry(f"{tables.base}/customer", "train", "jsonl", "c_custkey long, c_name string, c_nationkey int, c_mktsegment string", lookups=[lookup])
+    out = collection.read_collection(spark, [entry], identity_fields=["c_custkey", "c_mktsegment"])
+    return out.select("c_custkey", "c_name", F.col("nation.n_name").alias("nation"), "origin.identity", "origin.split")

@@ -31,9 +31,29 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str, record
 
 
 def read_csv(spark: SparkSession, path: str, dtypes: dict[str, str] | None = None, delimiter: str = ",") -> DataFrame:
-    """Texts by header; ``dtypes`` (number, boolean) are cast, and a value that can't be fails."""
+    """Texts by header; ``dtypes`` (number, boolean) are cast. A number column all of whose values are integers of 64 bits has integers, others have doubles. A value that can't be cast is refused, with its row (from 0) in the file.
+
+    With ``dtypes`` the file is read once for all checks."""
     rows = spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=True, encoding="UTF-8")
-    return rows.withColumns({c: typed(F.col(f"`{c}`"), d) for c, d in (dtypes or {}).items()})
+    if not dtypes:
+        return rows
+    own = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_nth"))  # a file is one task
+    text = lambda c: F.trim(F.col(f"`{c}`"))
+    value = lambda c: text(c).try_cast("double") if dtypes[c] == "number" else F.lower(text(c)).isin("true", "false")
+    bad = lambda c: (F.coalesce(text(c), F.lit("")) != "") & ((value(c).isNull() | F.isnan(value(c))) if dtypes[c] == "number" else ~value(c))
+    checked = [c for c, d in dtypes.items() if d in ("number", "boolean")]
+    if unknown := {d for d in dtypes.values()} - {"number", "boolean", "string"}:
+        raise ValueError(f"unknown dtypes {sorted(unknown)}")
+    first = [F.min(F.when(bad(c), F.struct("_file", "_nth", F.lit(i), F.col(f"`{c}`").alias("value")))).alias(f"b{i}") for i, c in enumerate(checked)]
+    whole = [F.coalesce(F.bool_and(F.when(F.coalesce(text(c), F.lit("")) != "", text(c).rlike(r"^[+-]?\d+$") & text(c).try_cast("long").isNotNull())), F.lit(False)).alias(f"i{i}") for i, c in enumerate(checked)]
+    start = own.groupBy("_file").agg(F.min("_nth").alias("_start"))
+    found = own.agg(*first, *whole).first()
+    if worst := min((found[f"b{i}"] for i in range(len(checked)) if found[f"b{i}"]), default=None):
+        at = worst["_nth"] - start.where(F.col("_file") == worst["_file"]).first()["_start"]
+        c = checked[worst[2]]
+        raise ValueError(f"row {at} of {worst['_file']}: column {c!r} is not a {dtypes[c]}: {worst['value']!r}")
+    kinds = {c: "long" if found[f"i{i}"] and dtypes[c] == "number" else None for i, c in enumerate(checked)}
+    return rows.withColumns({c: F.when(text(c) != "", text(c).cast("long")) if kinds.get(c) else typed(F.col(f"`{c}`"), d) for c, d in dtypes.items()})
 
 
 def typed(text: Column, dtype: str) -> Column:
@@ -86,6 +106,32 @@ def profile(rows: DataFrame) -> DataFrame:
     return x.select("column", "nonnull", "distinct", number.alias("numeric"), boolean.alias("boolean"), "average_length", media.alias("image_like"), role.alias("role"))
 
 
+def described(rows: DataFrame, *, id_column: str | None = None, most_distinct: int = 1000) -> DataFrame:
+    """column, dtype, missing, distinct (null over ``most_distinct``), sample, role: what a table is offered as. ``profile`` and, besides, the column that names the rows (refused if it doesn't tell them apart), the first column of
+    media and of text, and labels: categories that are neither.
+
+    The sample is the least value, the greatest one, and the one of least hash, 80 characters of each."""
+    if id_column is not None and id_column not in rows.columns:
+        raise ValueError(f"the table has no column named {id_column}")
+    found = profile(rows).withColumn("at", F.array_position(F.lit(rows.columns), F.col("column")))
+    texts = {c: F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", F.col(f"`{c}`").cast("string")) for c in rows.columns}
+    samples = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.array_distinct(F.array_compact(F.array(F.min(t), F.max(t), F.min_by(t, F.xxhash64(t))))).alias(f"s{i}") for i, t in enumerate(texts.values())])
+    each = samples.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.transform(f"s{i}", lambda x: F.substring(x, 1, 80)).alias("sample")) for i, c in enumerate(texts)])).alias("x")).select("rows", "x.*")
+    known = {r["column"]: r for r in found.join(each, "column").collect()}  # a row for each column
+    if id_column is not None and known[id_column]["distinct"] < known[id_column]["rows"]:
+        raise ValueError(f"the column {id_column} is not unique, so it cannot name rows")
+    first = lambda role: next((c for c in rows.columns if known[c]["role"] == role and c != id_column), None)
+    media, text = first("media"), first("text")
+    out = []
+    for c in rows.columns:
+        r = known[c]
+        dtype = "boolean" if r["boolean"] else "number" if r["numeric"] else "string"
+        label = dtype == "string" and r["role"] == "category" and c not in (id_column, media, text)
+        role = "id" if c == id_column else "media" if c == media else "text" if c == text else "label" if label else None
+        out.append((c, "category" if label else dtype, r["rows"] - r["nonnull"], r["distinct"] if r["distinct"] <= most_distinct else None, r["sample"], role))
+    return rows.sparkSession.createDataFrame(out, "column string, dtype string, missing long, distinct long, sample array<string>, role string")
+
+
 def named_groups(path: Column, pattern: str) -> dict[str, Column]:
     """The named groups of a pattern, as columns; null where the path doesn't match."""
     groups = re.compile(pattern).groupindex

@@ -40,8 +40,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def build(records: DataFrame, fields: dict[str, Field], path: str, *, snapshot_id: str, unit: str, expected_count: int | None = None, order: list[str] | None = None, max_record_bytes: int = 2_000_000) -> Snapshot:
-    """Writes a snapshot: refused as a whole if a record is invalid or the count isn't the expected one.
+def build(records: DataFrame, fields: dict[str, Field], path: str, *, snapshot_id: str, unit: str, expected_count: int | None = None, order: list[str] | None = None, max_record_bytes: int = 2_000_000, max_bytes: int | None = None) -> Snapshot:
+    """Writes a snapshot: refused as a whole if a record is invalid or the count isn't the expected one. ``max_bytes``: only the first records in order that are of so many bytes together.
 
     ``row_ordinal`` numbers the rows in the order given (else by id), and files are sorted by it."""
     spark = records.sparkSession
@@ -49,6 +49,8 @@ def build(records: DataFrame, fields: dict[str, Field], path: str, *, snapshot_i
     if bad:
         raise ValueError(f"invalid records: {bad}")
     by = order or ["id"]
+    if max_bytes is not None:
+        records = within_bytes(records, by[0], max_bytes)
     # numbers by range: sort within range partitions, and start each at the count of those before it
     parts = records.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     staging = f"{path}.staging"
