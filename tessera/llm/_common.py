@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables in the shared folder. A lost executor loses none of them; ``drop`` removes what is no longer read."""
+    """Written tables in the shared folder. A lost executor loses none of them; ``drop`` removes what is no longer read, ``close`` all of an operator's, and
+    ``close_all`` those of all operators, once their results are read."""
+
+    open: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.names: list[str] = []  # of tables in the catalogue
+        Scratch.open.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read again: its lineage is cut here."""
@@ -52,6 +58,7 @@ class Scratch:
         """As ``write``, dealt by a column over as many buckets as shuffles have tasks, so that grouping by it shuffles nothing; ``apart``: columns whose values have files of their own."""
         self.count += 1
         path, name = f"{self.base}/{self.count}", f"tessera_{uuid.uuid4().hex}"
+        self.names.append(name)
         df.write.bucketBy(parts(self.spark), by).partitionBy(*apart).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
         out = self.spark.table(name)
         out._scratch_path, out._scratch_table = path, name  # type: ignore[attr-defined]
@@ -64,6 +71,20 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def close(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self in Scratch.open:
+            Scratch.open.remove(self)
+
+    @classmethod
+    def close_all(cls) -> None:
+        for scratch in list(cls.open):
+            scratch.close()
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

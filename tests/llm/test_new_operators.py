@@ -227,3 +227,16 @@ def test_a_group_far_beyond_the_windows_is_counted_whole(spark, monkeypatch):
 def test_passes_grow_with_the_rows_only_by_their_logarithm():
     at = [projections.passes_for(n, 64, 0.95, 0.99) for n in (10**3, 10**5, 10**7, 10**10)]
     assert at == sorted(at) and at[0] >= 2 and at[-1] < 60
+
+
+def test_what_operators_wrote_is_removed(spark, tmp_path):
+    from tessera.llm._common import Scratch
+
+    scratch = Scratch(spark, "t")
+    written, dealt = scratch.write(spark.range(3)), scratch.write_dealt(spark.range(9), "id")
+    assert written.count() == 3 and dealt.count() == 9
+    names = scratch.names
+    Scratch.close_all()
+    assert not Scratch.open and not any(spark.catalog.tableExists(n) for n in names)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(scratch.base).count()
