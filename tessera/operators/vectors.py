@@ -136,29 +136,17 @@ def merge_clusters(labelled: DataFrame, clusters: int, linkage: str = "average")
 
 
 def _merged(centres: np.ndarray, sizes: np.ndarray, clusters: int, linkage: str) -> np.ndarray:
-    """The merged cluster of each small one, numbered by its first. The gaps to a merged pair follow from those to its parts, so that a merge costs one row."""
+    """The merged cluster of each small one, numbered by its first. Their matrix is that of at most 2,000 centroids."""
+    from tessera.operators.trees import Tree, _finish
+
     n = len(centres)
-    square = ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2) if n * n * centres.shape[1] <= 1 << 27 else np.stack([((centres - c) ** 2).sum(axis=1) for c in centres])
+    square = np.maximum((centres**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * centres @ centres.T, 0)
     gap = square * sizes[:, None] * sizes / (sizes[:, None] + sizes) if linkage == "ward" else np.sqrt(square)
-    np.fill_diagonal(gap, np.inf)
-    weight, parts, label = sizes.copy(), np.ones(n), np.arange(n)
-    for _ in range(n - clusters):
-        a, b = sorted(divmod(int(gap.argmin()), n))
-        x, y = gap[a].copy(), gap[b].copy()
-        if linkage == "ward":
-            w = weight
-            new = ((w + w[a]) * x + (w + w[b]) * y - w * gap[a, b]) / (w + w[a] + w[b])
-        elif linkage == "average":
-            new = (parts[a] * x + parts[b] * y) / (parts[a] + parts[b])
-        else:
-            new = {"complete": np.maximum, "single": np.minimum}[linkage](x, y)
-        new[[a, b]] = np.inf
-        gap[a], gap[:, a] = new, new
-        gap[b], gap[:, b] = np.inf, np.inf
-        weight[a] += weight[b]
-        parts[a] += parts[b]
-        label[label == b] = a
-    return np.unique(label, return_inverse=True)[1]
+    tree = Tree(n)
+    if linkage == "ward":
+        tree.sizes = sizes.copy()
+    _finish(np.minimum(gap, gap.T), tree, linkage)
+    return tree.cut(n, clusters)
 
 
 def cluster_summaries(labelled: DataFrame, exemplars: int = 5, *, metric: str = "euclidean") -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> None:
 class Tables:
     """Tables that an operator writes on its way, in the folder that ``spark.checkpoint.dir`` names; a lost executor loses none of them.
 
-    ``drop`` removes one that is no longer read, ``close`` all of them. On one machine without the setting they go to a folder that ends with the session."""
+    ``drop`` removes one that is no longer read, ``close`` all of them; ``close_all`` those of all operators, once their results are read. On one machine without the setting they go to a folder that ends with the session."""
+
+    open: ClassVar[list[Tables]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -51,6 +54,7 @@ class Tables:
             atexit.register(shutil.rmtree, base, ignore_errors=True)
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.base, self.count = spark, f"{base}/{name}-{uuid.uuid4().hex[:12]}", 0
+        Tables.open.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` as written and read again: its lineage ends here."""
@@ -71,3 +75,10 @@ class Tables:
 
     def close(self) -> None:
         self._remove(self.base)
+        if self in Tables.open:
+            Tables.open.remove(self)
+
+    @classmethod
+    def close_all(cls) -> None:
+        for tables in list(cls.open):
+            tables.close()
