@@ -18,7 +18,7 @@ holds more than a block or a bucket, and neither vocabulary nor pairs are ever r
 the driver and the tasks whole. Scoring goes over the same blocks, which get the classes and counts of their own tokens.
 
 Nulls: a null text is an empty one and has one token, the end. Rows with a null id have the crc32 of the empty text, and take
-part. Repeated rows count and are scored as often as they occur. An empty table gives an empty table; without training rows,
+part. Repeated rows count and are scored as often as they occur. Of classes that are as good the first is taken, of tokens that are as frequent the smaller one. A text of more than ``HELD_TOKENS`` tokens goes over several blocks. An empty table gives an empty table; without training rows,
 all tokens are unseen and the score is the base score.
 """
 

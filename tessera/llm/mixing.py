@@ -13,7 +13,7 @@ Scale: two shuffles of (id, source, size, key), none of texts. A source of any s
 sums of sources and ranges meet in one task. The key is of the id and the text, so that rows without an id, or of one id, are spread too.
 
 Nulls: a null text has no words; a null source is a source of its own; a null id has a key too. Repeated rows are rows of
-their own. Rows without words take nothing. An empty table gives an empty table.
+their own. Rows of equal keys stand by id, a null one last, then by size; sources that are capped at the same level go by code point. Only a text's length in words and its hash are kept. Rows without words take nothing. An empty table gives an empty table.
 """
 
 from __future__ import annotations

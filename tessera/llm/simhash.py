@@ -18,7 +18,7 @@ The number of comparisons grows with the square of the number of distinct finger
 
 Nulls: a null text is an empty one. Texts without words have the fingerprint 0, which links like any other. Rows with a null
 id get a fingerprint and the component of their fingerprint, and never name a component; a component that only holds null
-ids is null. Repeated rows have the same result. An empty table gives an empty table.
+ids is null. Repeated rows have the same result. Of equal ids none comes first, as all have one result. A text is held as a whole in one task, as its words' hashes. An empty table gives an empty table.
 """
 
 from __future__ import annotations

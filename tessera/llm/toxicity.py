@@ -10,7 +10,7 @@ whole texts without a shuffle. Because the softmax is linear in the mean, a word
 computes it once per distinct word of a batch.
 
 Nulls and empty texts: the text has no words, and its score is that of the bias alone. Rows with a null label, and ids
-without a label, don't train. Repeated ids train as often as they occur, and each row is scored. With no usable label of
+without a label, don't train. A text is held as a whole in one task. Repeated ids train as often as they occur, and each row is scored. With no usable label of
 either class, the score is the share of label 1 (0.0 with no labels).
 """
 
