@@ -231,11 +231,12 @@ def mentions(documents: DataFrame, id_column: str, text_column: str, names: str,
     """id, line, name, in_context: matches of the pattern ``names`` by line; in context if the line or a neighbour of it matches ``context``.
 
     Lines stay within their document's row: no window over lines, and no shuffle."""
-    lines = F.split(text_column, r"\n")
-    rows = documents.select(F.col(id_column).alias("id"), lines.alias("lines")).select("id", "lines", F.posexplode("lines").alias("at", "own"))
-    near = F.exists(F.slice("lines", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") == 0, 2).otherwise(3)), lambda x: x.rlike(context))
-    found = F.explode(F.regexp_extract_all("own", F.lit(names), F.lit(0)))
-    return rows.select("id", (F.col("at") + 1).alias("line"), near.alias("in_context"), found.alias("name")).select("id", "line", "name", "in_context")
+    rows = documents.select(F.col(id_column).alias("id"), F.split(text_column, r"\n").alias("lines"))
+    each = F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_extract_all(x, F.lit(names), F.lit(0)).alias("names")))
+    rows = rows.select("id", "lines", F.filter(each, lambda x: F.size(x["names"]) > 0).alias("found")).where(F.size("found") > 0)  # only lines with names leave their row
+    near = lambda i: F.exists(F.slice(F.col("lines"), F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), lambda x: x.rlike(context))
+    found = rows.select("id", F.explode(F.transform("found", lambda x: F.struct((x["i"] + 1).alias("line"), near(x["i"]).alias("in_context"), x["names"].alias("names")))).alias("x"))
+    return found.select("id", "x.line", "x.in_context", F.explode("x.names").alias("name")).select("id", "line", "name", "in_context")
 
 
 def group_mentions(found: DataFrame) -> DataFrame:
