@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessera import registry
 from tessera.functions import mentions, scalars, text
 from tessera.model import Field, Query, Snapshot
 from tessera.operators import catalogue, density, joins, results, sampling, selections, sets, subsets, trees, vectors
@@ -999,3 +1000,13 @@ def structured_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = collection.Entry(f"{tables.base}/customer", "train", "jsonl", "c_custkey long, c_name string, c_nationkey int, c_mktsegment string", lookups=[lookup])
     out = collection.read_collection(spark, [entry], identity_fields=["c_custkey", "c_mktsegment"])
     return out.select("c_custkey", "c_name", F.col("nation.n_name").alias("nation"), "origin.identity", "origin.split")
+
+
+@register("select n_regionkey, n_name as first, n_nationkey::varchar as second, upper(n_name) as kind, n_name as value from nation union all select n_regionkey, n_name, n_nationkey::varchar, 'key', n_nationkey::varchar from nation")
+def registry_converters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two converters by their names in the registry, one after the other."""
+    n = _t(spark, sf_dir, "nation")
+    pair = F.array("n_name", F.col("n_nationkey").cast("string"))
+    cells = F.map_from_arrays(F.array(F.upper("n_name"), F.lit("key")), F.transform(pair, lambda x: F.struct(x.alias("value"))))
+    named = registry.CONVERTERS.call("named_arrays", n.select("n_regionkey", pair.alias("pair"), cells.alias("cells")), "pair", names=["first", "second"])
+    return registry.CONVERTERS.call("keyed_rows", named, "cells", key_name="kind").select("n_regionkey", "first", "second", "kind", "value")

@@ -45,13 +45,14 @@ class Registry:
 
 
 def _filled() -> tuple[Registry, Registry, Registry]:
-    from tessera.operators import density, joins, results, sampling, sets, trees, vectors
-    from tessera.sources import files, mapping
+    from tessera.functions import mentions
+    from tessera.operators import catalogue, density, joins, results, sampling, sets, trees, vectors
+    from tessera.sources import arrays, arrow_shards, collection, corpus, digest, files, mapping
 
     sources, converters, processors = Registry("source"), Registry("converter"), Registry("processor")
-    for name, f in {"jsonl": files.read_jsonl, "csv": files.read_csv, "shards": files.read_shards}.items():
+    for name, f in {"jsonl": files.read_jsonl, "csv": files.read_csv, "json": files.read_json, "shards": files.read_shards, "arrow_shards": arrow_shards.read_arrow_shards, "parquet_shards": arrow_shards.read_parquet_shards, "media": files.media_table, "collection": collection.read_collection, "npy": arrays.read_npy, "mat": arrays.read_mat, "bundle": arrays.read_bundle}.items():
         sources.register(name)(f)
-    for name, f in {"keyed_rows": files.keyed_rows, "named_arrays": files.named_arrays, "records": files.to_records, "mapped": mapping.mapped, "grouped": joins.group_tables, "pivot_folds": joins.pivot_folds, "collapse_variants": joins.collapse_variants, "interleave": sampling.interleave, "asset_units": sets.asset_units}.items():
+    for name, f in {"keyed_rows": files.keyed_rows, "named_arrays": files.named_arrays, "records": files.to_records, "mapped": mapping.mapped, "grouped": joins.group_tables, "pivot_folds": joins.pivot_folds, "collapse_variants": joins.collapse_variants, "interleave": sampling.interleave, "asset_units": sets.asset_units, "references": files.follow_references, "described": files.described, "discovered": digest.discovered, "ris": corpus.ris_records, "mentions": mentions.framed_mentions, "component_batches": sets.component_batches, "previews": catalogue.previews}.items():
         converters.register(name)(f)
     for name, f in {"k_means": vectors.k_means, "neighbours": vectors.neighbours, "outlier_scores": vectors.outlier_scores, "density_clusters": vectors.density_clusters, "density_hierarchy": density.hierarchy, "hierarchical_clusters": trees.hierarchical_clusters, "cluster_summaries": vectors.cluster_summaries, "research_import": results.import_research, "detector_view": results.detector_view}.items():
         processors.register(name)(f)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -144,6 +145,43 @@ def read_arrow_shards(spark: SparkSession, shards: list[Shard], *, rows_per_task
     return spark.read.format("arrow_shards").option("plan", plan).option("fields", fields.serialize().to_pybytes().hex()).load()
 
 
+def _pinned(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        for r in pdf.itertuples():
+            digest = hashlib.sha256()
+            with _opened(r.path) as file:
+                while piece := file.read(PIECE):
+                    digest.update(piece)
+            if digest.hexdigest() != r.sha256:
+                raise ValueError(f"the shard {r.path} differs from its pin")
+            yield pd.DataFrame({"shard": [r.shard]})
+
+
+def read_parquet_shards(spark: SparkSession, shards: list[Shard]) -> DataFrame:
+    """As ``read_arrow_shards``, of Parquet files, which tasks split and prune as usual: a row's ordinal is its index in its file and the rows of the files before. Pins are checked by a task for each file, before any row is read."""
+    if not shards or any(len(s.sha256) != 64 for s in shards):
+        raise ValueError("shards need paths and SHA-256 pins")
+    table = spark.createDataFrame([(i, s.path, s.sha256) for i, s in enumerate(shards)], "shard int, path string, sha256 string")
+    table.repartition(len(shards), "shard").mapInPandas(_pinned, "shard int").count()
+    rows = spark.read.option("mergeSchema", True).parquet(*[s.path for s in shards])
+    if clash := {"origin", "ordinal"} & set(rows.columns):
+        raise ValueError(f"the shards have columns of their own named {sorted(clash)}")
+    plain = lambda p: "/" + p.split(":", 1)[1].lstrip("/") if p.startswith("file:") else p
+    qualified = {}
+    for i, s in enumerate(shards):
+        where = spark._jvm.org.apache.hadoop.fs.Path(s.path)
+        qualified[plain(where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString())] = i
+    file = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
+    counts = {r["file"]: r["count"] for r in rows.groupBy(file.alias("file")).count().collect()}  # a row for each file, from the footers
+    places, first = [], 0
+    for path, i in qualified.items():
+        places.append((path, i, shards[i].path, shards[i].sha256, shards[i].split, shards[i].group, first))
+        first += counts.get(path, 0)
+    names = spark.createDataFrame(places, "_file string, shard int, file string, sha256 string, split string, group string, first long")  # a row for each file
+    out = rows.select("*", file.alias("_at"), F.col("_metadata.row_index").alias("row")).join(F.broadcast(names), F.col("_at") == F.col("_file"))
+    return out.select(*[f"`{c}`" for c in rows.columns], F.struct("shard", "file", "row", "sha256", "split", "group").alias("origin"), (F.col("first") + F.col("row")).alias("ordinal"))
+
+
 def write_arrow_shards(rows: DataFrame, path: str, *, split: str | None = None) -> list[Shard]:
     """``rows`` as Arrow IPC files of the partitions, in their order, with their pins. ``path`` is a folder that driver and executors share; a task that runs again writes a file of its own."""
     where, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.model import Field, Snapshot
+from tessera.sources.digest import ordered_digest
 
 MAX_RECORD_BYTES = 16 << 20
 
@@ -86,8 +87,8 @@ def open_snapshot(spark: SparkSession, path: str, *, verify: bool = False) -> Sn
     return Snapshot(rows, fields, m["snapshot_id"], m["unit"], "complete", m["count"])
 
 
-def write_rows(rows: DataFrame, path: str, fmt: str) -> tuple[int, str]:
-    """Rows as jsonl, parquet or csv, and (count, digest) of what is read back."""
+def write_rows(rows: DataFrame, path: str, fmt: str, *, order: list[str] | None = None, pinned: tuple[int, str] | None = None) -> tuple[int, str]:
+    """Rows as jsonl, parquet or csv, and (count, digest) of what is read back: with ``order`` the ordered digest. What differs from ``pinned`` is refused, and stays unnamed by any manifest."""
     spark = rows.sparkSession
     if fmt == "jsonl":
         rows.write.option("ignoreNullFields", "false").json(path)
@@ -98,10 +99,12 @@ def write_rows(rows: DataFrame, path: str, fmt: str) -> tuple[int, str]:
     elif fmt == "csv":
         text = rows.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns])
         text.write.csv(path, header=True, quote='"', escape='"', emptyValue="")
-        back = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, schema=text.schema)
+        back = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, schema=text.schema).na.fill("")
     else:
         raise ValueError(f"unknown format {fmt}")
-    d = digest(back).first()
+    d = (ordered_digest(back, *order) if order else digest(back)).first()
+    if pinned and (d["count"], d["digest"]) != tuple(pinned):
+        raise ValueError(f"{d['count']} rows with the digest {d['digest']} were written; the recipe pins {pinned}")
     return d["count"], d["digest"]
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import sampling
-from tessera.sources import digest
-from tessera.sources.arrow_shards import Shard, read_arrow_shards
+from tessera.sources import digest, snapshot
+from tessera.sources.arrow_shards import Shard, read_arrow_shards, read_parquet_shards
 from tessera.streaming.resumable import ResumableRun
 
 
@@ -53,6 +53,17 @@ def test_digests_of_no_rows_and_of_equal_ones(spark):
         digest.ordered_digest(none)
 
 
+@pytest.mark.parametrize("fmt", ["jsonl", "parquet", "csv"])
+def test_written_rows_have_the_digest_of_what_is_read(spark, tmp_path, fmt):
+    rows = spark.createDataFrame([(i, None if i % 2 else f"t{i}") for i in range(50)], "k long, t string").repartition(4)
+    read = rows if fmt != "csv" else rows.select(F.col("k").cast("string").alias("k"), F.coalesce("t", F.lit("")).alias("t"))
+    want = tuple(digest.ordered_digest(read, "k").first())
+    assert snapshot.write_rows(rows, str(tmp_path / "a"), fmt, order=["k"]) == want
+    assert snapshot.write_rows(rows.repartition(2), str(tmp_path / "b"), fmt, order=["k"], pinned=want) == want
+    with pytest.raises(ValueError, match="pins"):
+        snapshot.write_rows(rows.where("k > 0"), str(tmp_path / "c"), fmt, order=["k"], pinned=want)
+
+
 def test_columns_are_discovered(spark):
     records = spark.createDataFrame([({"b": "1"},), ({"a": "2", "c": None},), ({},)], "record map<string, string>")
     assert [(r.a, r.b, r.c) for r in digest.discovered(records).collect()] == [(None, "1", None), ("2", None, None), (None, None, None)]
@@ -90,6 +101,24 @@ def test_arrow_shards(spark, tmp_path):
         read_arrow_shards(spark, [Shard(str(tmp_path / "1.arrow"), "")])
 
 
+def test_parquet_shards(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    tables = [pa.table({"a": [1, 2, 3]}), pa.table({"a": [4], "b": ["x"]}), pa.table({"b": ["y", None]})]
+    shards = []
+    for i, t in enumerate(tables):
+        pq.write_table(t, tmp_path / f"p {2 - i}.parquet", row_group_size=2)  # the order is the list's, not the names'
+        shards.append(Shard(str(tmp_path / f"p {2 - i}.parquet"), hashlib.sha256((tmp_path / f"p {2 - i}.parquet").read_bytes()).hexdigest(), "train" if i else None))
+    shards = [Shard(s.path.replace(" ", "_"), s.sha256, s.split) for s in shards]
+    for i in range(3):
+        (tmp_path / f"p {i}.parquet").rename(tmp_path / f"p_{i}.parquet")
+    got = sorted(read_parquet_shards(spark, shards).collect(), key=lambda r: r.ordinal)
+    assert [(r.ordinal, r.a, r.b, r.origin.shard, r.origin.row, r.origin.split) for r in got] == [(0, 1, None, 0, 0, None), (1, 2, None, 0, 1, None), (2, 3, None, 0, 2, None), (3, 4, "x", 1, 0, "train"), (4, None, "y", 2, 0, "train"), (5, None, None, 2, 1, "train")]
+    assert got[3].origin.file == shards[1].path and got[3].origin.sha256 == shards[1].sha256
+    with pytest.raises(Exception, match="differs from its pin"):
+        read_parquet_shards(spark, [Shard(shards[0].path, shards[1].sha256)])
+
+
 def test_a_stopped_run_goes_on(spark, tmp_path):
     items = tmp_path / "items"
     for i in range(5):  # items come again in later files
