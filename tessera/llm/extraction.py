@@ -63,12 +63,11 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising adsense spons
 #: Marks that stand however much text they hold; words that begin a class which says something of the whole page, not what it is.
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 caption dt legend summary th".split())
-STAYS_INSIDE = frozenset("header menu".split())
+STAYS_INSIDE, LISTS = frozenset("header menu".split()), frozenset("menu ol ul".split())
 STATES = frozenset("has with without no not is js".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -231,7 +230,7 @@ def _text(node: Node) -> str:
                 inner(c)
 
     inner(node)
-    return SPACE.sub(" ", "".join(out)).strip()
+    return " ".join("".join(out).split())
 
 
 # A wrapper: [sig, least hashes of its pages, optional, repeated, text (0: none, a number: that of the fixed text, -1: a slot), characters, children, is left out,
@@ -243,9 +242,10 @@ def skeleton(root: Node, page: str) -> list:
     pages = [zlib.crc32(page.encode("utf-8", "replace"))]
 
     def of(node: Node) -> list:
-        text = _text(node) or ("\n".join(_links(node)) if node.tag in ("ul", "ol", "div", "menu") and not node.inside and _is_menu(node) else "")
+        own = _text(node)
+        text = own or ("\n".join(_links(node)) if node.tag in LISTS and not node.inside and _is_menu(node) else "")
         children = [of(c) for c in blocks_of(node)] if not node.out else []
-        return [node.sig, pages, False, False, zlib.crc32(text.encode("utf-8", "replace")) + 1 if text else 0, len(_text(node)), fold(children), node.out, node.main, [node]]
+        return [node.sig, pages, False, False, zlib.crc32(text.encode("utf-8", "replace")) + 1 if text else 0, len(own), fold(children), node.out, node.main, [node]]
 
     return of(root)
 
@@ -454,7 +454,7 @@ def _links(node: Node) -> list[str]:
                     at.append(c)
             elif c.tag == "a" and at is None:
                 walk(c, one := [])
-                out.append(SPACE.sub(" ", "".join(one)).strip())
+                out.append(" ".join("".join(one).split()))
             else:
                 walk(c, at)
 
@@ -499,7 +499,7 @@ def extract(page: str, wrapper: Wrapper | None) -> str:
         keep = inside and id(part.get(id(node))) not in w.fixed
 
         def flush() -> None:
-            text = SPACE.sub(" ", "".join(buffer)).strip()
+            text = " ".join("".join(buffer).split())
             buffer.clear()
             if text and keep:
                 blocks.append(text)
