@@ -131,11 +131,13 @@ def crosstab(rows: DataFrame, left: str, right: str) -> DataFrame:
     return present.groupBy(F.col(left).alias("left_value"), F.col(right).alias("right_value")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def grouped_numeric(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """group_value, count, mean, median, min, max."""
+def grouped_numeric(rows: DataFrame, group: str, value: str, *, accuracy: int | None = None) -> DataFrame:
+    """group_value, count, mean, median, min, max.
+
+    The exact median holds a group's different values in one task; with ``accuracy`` it is a value whose rank is off by a share of 1 / accuracy at most, from sketches of a bounded size."""
     v = F.col(value).cast("double")
     present = rows.where(F.col(group).isNotNull() & v.isNotNull())
-    return present.groupBy(F.col(group).alias("group_value")).agg(F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return present.groupBy(F.col(group).alias("group_value")).agg(F.count(F.lit(1)).alias("count"), F.avg(v).alias("mean"), (F.percentile(v, 0.5) if accuracy is None else F.percentile_approx(v, 0.5, accuracy)).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
 def facet(rows: DataFrame, *columns: str) -> DataFrame:

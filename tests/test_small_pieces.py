@@ -85,3 +85,12 @@ def test_a_snapshot_within_bytes(spark, tmp_path):
     size = len('{"id":"r000","f_0":0.0}')
     s = snapshot.build(rows.repartition(4), {"source.n": Field("source.n", "number", "f_0")}, str(tmp_path / "s"), snapshot_id="s", unit="example", max_bytes=size * 10)
     assert sorted(r.id for r in s.records.collect()) == [f"r{i:03}" for i in range(10)] and s.count == 10
+
+
+def test_medians_from_sketches(spark):
+    from tessera.plans import aggregate
+
+    df = spark.range(9001).select((F.col("id") % 2).alias("g"), (F.col("id") * 1.0).alias("v"))
+    exact = {r.group_value: r for r in aggregate.grouped_numeric(df, "g", "v").collect()}
+    for r in aggregate.grouped_numeric(df, "g", "v", accuracy=500).collect():
+        assert abs(r.median - exact[r.group_value].median) <= 9001 / 500 + 2 and r["count"] == exact[r.group_value]["count"]
