@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from tessera.session import Tables
 
 BLOCK, PIVOTS, RINGS, MOST_BLOCKS = 4096, 64, 256, 16_384
-#: Rows that are compared with others at once; blocks on the right of a group, and numbers that they hold together, at most.
-STRIP, WIDE, HELD = 256, 8, 4 << 20
+#: Rows that are compared with others at once; blocks on either side of a group, and numbers that those on the right hold together, at most.
+STRIP, TALL, WIDE, HELD = 256, 2, 8, 4 << 20
 
 
 def stacked(column: pd.Series) -> np.ndarray:
@@ -66,18 +66,20 @@ class Partition:
         return out if apart_from is None else out.join(apart_from, ["i", "j"], "left_anti")
 
     def compared(self, left: DataFrame, right: DataFrame, pairs: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """What ``compare`` gives for strips of the rows of each block and those of the blocks that it is paired with, in groups; both sides have a column ``block``."""
+        """What ``compare`` gives for strips of the rows of each block and those of the blocks that it is paired with. Both sides have a column ``block``.
+
+        A few blocks on either side are one group, so that rows travel less often and fewer are handed on; two blocks that aren't paired may meet in one, where nothing is near."""
         names = [x.split()[0] for x in schema.split(", ")]
-        pairs = pairs.select("i", "j", F.floor(F.col("j") / self.wide).alias("g"))  # several blocks on the right are one group, which hands on fewer rows
-        here = left.join(pairs.select(F.col("i").alias("block"), "g").distinct(), "block").withColumnRenamed("block", "i")
-        there = right.join(pairs.withColumnRenamed("j", "block"), "block").drop("block")
+        pairs = pairs.select("i", "j", F.floor(F.col("i") / min(TALL, self.wide)).alias("gi"), F.floor(F.col("j") / self.wide).alias("gj"))
+        here = left.join(pairs.select(F.col("i").alias("block"), "gi", "gj").distinct(), "block")
+        there = right.join(pairs.select(F.col("j").alias("block"), "gi", "gj").distinct(), "block")
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             out = [compare(a.iloc[at : at + STRIP].reset_index(drop=True), b) for at in range(0, len(a), STRIP)] if len(b) else []
             return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
 
         here, there = here.toDF(*here.columns), there.toDF(*there.columns)
-        return here.groupBy("i", "g").cogroup(there.groupBy("i", "g")).applyInPandas(run, schema)
+        return here.groupBy("gi", "gj").cogroup(there.groupBy("gi", "gj")).applyInPandas(run, schema)
 
 
 def partition(vectors: DataFrame, tables: Tables, *, unit: bool = False) -> Partition:
@@ -148,6 +150,8 @@ def nearest(part: Partition, k: int, tables: Tables) -> DataFrame:
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
         gap, n = products(x, y), min(k, len(b))
         gap[ids[:, None] == others[None, :]] = np.inf
+        home = a["block"].to_numpy()[:, None] == b["block"].to_numpy()[None, :]
+        gap[home if "reach" in a else ~home] = np.inf  # rows of one block meet first, and once
         reach = a["reach"].to_numpy() + slack(x, y) if "reach" in a else np.full(len(a), np.inf)
         near = gap <= reach[:, None]
         crowded = np.flatnonzero(near.sum(axis=1) > 4 * n)  # the others have few candidates as it is
