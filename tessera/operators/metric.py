@@ -43,6 +43,23 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(((x[i : i + 65536] - y[i : i + 65536]) ** 2).sum(axis=1)) for i in range(0, len(x), 65536)] or [np.zeros(0)])
 
 
+def close(x: np.ndarray, y: np.ndarray, n: int, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y): pairs among which are the ``n`` nearest rows of y of each row of x, or all of those within its ``reach`` if that is fewer. A single-precision product finds them, with room for its rounding."""
+    scale = max(np.abs(x).max(), np.abs(y).max()) or 1.0  # so that squares neither vanish nor overflow
+    x, y = x / scale, y / scale
+    square = (x**2).sum(axis=1)
+    room = np.float32(4e-7 * (x.shape[1] + 8) * max(square.max(), (y**2).sum(axis=1).max()) + 1e-30)
+    ahead = np.column_stack([-2 * x, np.ones(len(x))]).astype(np.float32)
+    gap = ahead @ np.column_stack([y, (y**2).sum(axis=1)]).astype(np.float32).T  # squares of distances, less those of x
+    if reach is None:
+        return np.nonzero(gap <= np.partition(gap, n - 1, axis=1)[:, n - 1 : n] + room)
+    near = gap <= (np.where(np.isfinite(reach), reach / scale, 1e15) ** 2 - square).astype(np.float32)[:, None] + room
+    crowded = np.flatnonzero(np.count_nonzero(near, axis=1) > 8 * n)  # the others have few as it is
+    if len(crowded):
+        near[crowded] &= gap[crowded] <= np.partition(gap[crowded], n - 1, axis=1)[:, n - 1 : n] + room
+    return np.nonzero(near)
+
+
 class Partition:
     """``rows``: the given columns and ``block``; ``low`` and ``high``: a row for each block, a column for each pivot."""
 
@@ -145,27 +162,23 @@ def nearest(part: Partition, k: int, tables: Tables) -> DataFrame:
     kind = dict(part.rows.dtypes)["id"]
     schema = f"id {kind}, neighbour {kind}, distance double"
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """Of rows with a ``reach``, or of rows of one block, the k nearest."""
         x, y = stacked(a["v"]), stacked(b["v"])
+        row, column = close(x, y, min(k + 1, len(b)), a["reach"].to_numpy() if "reach" in a else None)
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        gap, n = products(x, y), min(k, len(b))
-        gap[ids[:, None] == others[None, :]] = np.inf
-        home = a["block"].to_numpy()[:, None] == b["block"].to_numpy()[None, :]
-        gap[home if "reach" in a else ~home] = np.inf  # rows of one block meet first, and once
-        reach = a["reach"].to_numpy() + slack(x, y) if "reach" in a else np.full(len(a), np.inf)
-        near = gap <= reach[:, None]
-        crowded = np.flatnonzero(near.sum(axis=1) > 4 * n)  # the others have few candidates as it is
-        if len(crowded):
-            limit = np.partition(gap[crowded], n - 1, axis=1)[:, n - 1] + slack(x, y)
-            near[crowded] &= gap[crowded] <= limit[:, None]
-        near &= np.isfinite(gap)
-        row, column = np.nonzero(near)
+        met = ids[row] == others[column]
+        if "reach" in a:  # rows of one block have met
+            met |= a["block"].to_numpy()[row] == b["block"].to_numpy()[column]
+        row, column = row[~met], column[~met]
         out = pd.DataFrame({"row": row, "id": ids[row], "neighbour": others[column], "distance": apart(x[row], y[column])}).sort_values(["row", "distance", "neighbour"])
         return out[out.groupby("row").cumcount() < k][["id", "neighbour", "distance"]]
 
-    own = part.rows.sparkSession.range(part.blocks).select(F.col("id").alias("i"), F.col("id").alias("j"))
+    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([least(pdf.iloc[at : at + STRIP].reset_index(drop=True), pdf) for at in range(0, len(pdf), STRIP)])
+
     rows = part.rows.select("id", "v", "block")
-    found = tables.write(part.compared(rows, rows, own, compare, schema))
+    found = tables.write(rows.groupBy("block").applyInPandas(at_home, schema))
     if part.blocks > 1:
         # no row's k nearest are further than the k-th in its own block
         bound = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach")).where(F.col("n") >= k).select("id", "reach")
@@ -173,6 +186,7 @@ def nearest(part: Partition, k: int, tables: Tables) -> DataFrame:
         reach = np.full(part.blocks, -np.inf)
         for r in asks.groupBy("block").agg(F.max("reach").alias("reach")).collect():
             reach[r["block"]] = r["reach"]
-        found = found.unionByName(part.compared(asks, rows, part.pairs(reach, apart_from=own), compare, schema))
+        own = part.rows.sparkSession.range(part.blocks).select(F.col("id").alias("i"), F.col("id").alias("j"))
+        found = found.unionByName(part.compared(asks, rows, part.pairs(reach, apart_from=own), least, schema))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")

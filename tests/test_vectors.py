@@ -208,3 +208,16 @@ def test_trees_of_odd_tables(spark):
             trees.hierarchical_clusters(table(spark, x), bad)
     rough = trees.hierarchical_clusters(table(spark, cloud(8, 200)), 3, exact_limit=100, micro_clusters=20).collect()
     assert len(rough) == 200 and all(r.two_stage for r in rough) and len({r.cluster for r in rough}) == 3
+
+
+def test_close_rows_are_found_whatever_their_scale():
+    rng = np.random.default_rng(9)
+    for scale, shift, dim in ((1e25, 0.0, 4), (1e-25, 0.0, 4), (1.0, 0.0, 5), (1e-6, 0.0, 64), (1e6, 0.0, 3), (1.0, 300.0, 700)):
+        x, y = (scale * rng.normal(size=(n, dim)) + shift for n in (40, 500))
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+        found = set(zip(*(c.tolist() for c in metric.close(x, y, 6, None))))
+        assert all((i, j) in found for i in range(40) for j in np.argsort(d[i])[:6])
+        reach = np.sort(d, axis=1)[:, 3]
+        reach[0] = np.inf
+        found = set(zip(*(c.tolist() for c in metric.close(x, y, 6, reach))))
+        assert all((i, j) in found for i in range(40) for j in np.argsort(d[i])[: 4 if i else 6])
