@@ -9,10 +9,11 @@ cluster for each cluster (``exact_limit`` at most); once ``SMALL`` clusters are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +22,18 @@ from tessera.operators.vectors import k_means, merge_clusters
 from tessera.session import Tables
 
 CHUNK, SMALL, LINKAGES = 1024, 2000, ("ward", "average", "complete", "single")
+BATCH_BYTES, BATCH = 16 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, numbers: int) -> Iterator[None]:
+    """Rows of so many numbers go to Python tasks in batches of about ``BATCH_BYTES``."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(max(BATCH_BYTES // (8 * max(numbers, 1)), 1)))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def joined(linkage: str, x: np.ndarray, y: np.ndarray, gap: np.ndarray | float, nx: np.ndarray | float, ny: np.ndarray | float, w: np.ndarray | float) -> np.ndarray:
@@ -172,15 +185,16 @@ def hierarchical_clusters(vectors: DataFrame, clusters: int, *, linkage: str = "
         micro = k_means(rows.withColumnRenamed("v", "vector"), min(max(micro_clusters, clusters), n), seed=seed)
         return merge_clusters(micro, clusters, linkage).withColumn("two_stage", F.lit(True))
     placed = tables.write(rows.select("id", "v", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("at")))  # of exact_limit rows at most
-    tree, matrix = Tree(n), _matrix(placed, linkage, tables)
-    while len(tree.sizes) > max(SMALL, 1):
-        near, gap = _nearest(matrix)
-        pairs = pairs_of(near, gap)
-        after = tables.write(_round(matrix, tree, linkage, pairs, gap))
-        tree.merge(pairs, gap)
-        tables.drop(matrix)
-        matrix = after
-    _finish(np.stack([np.asarray(r["gaps"]) for r in sorted(matrix.collect())]), tree, linkage)
+    with small_batches(rows.sparkSession, n):
+        tree, matrix = Tree(n), _matrix(placed, linkage, tables)
+        while len(tree.sizes) > max(SMALL, 1):
+            near, gap = _nearest(matrix)
+            pairs = pairs_of(near, gap)
+            after = tables.write(_round(matrix, tree, linkage, pairs, gap))
+            tree.merge(pairs, gap)
+            tables.drop(matrix)
+            matrix = after
+        _finish(np.stack([np.asarray(r["gaps"]) for r in sorted(matrix.collect())]), tree, linkage)
     of = tree.cut(n, clusters)
     names = rows.sparkSession.createDataFrame(pd.DataFrame({"at": np.arange(n), "cluster": of}), "at long, cluster int")
     return placed.join(names, "at").select("id", "cluster", F.lit(False).alias("two_stage"))
