@@ -258,3 +258,16 @@ def test_extraction_of_deep_trees():
     assert extraction.extract(page, wrapper_of([page])).split("\n") == ["First", "In the deep", "and deeper", "again", "bold", "Last"]
     assert extraction.extract("<nav>" * 3000 + "Menu", None) == ""
     assert extraction.extract("<b>" * 3000 + "Bold", None) == "Bold"
+
+
+def test_each_document_but_the_first_has_a_row_for_a_common_passage(spark):
+    import random
+
+    rng = random.Random(3)
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    passage, other = fresh(60), fresh(60)
+    docs = [[*fresh(20), *passage, *fresh(10)] for _ in range(25)] + [[*other, *fresh(9), *(passage if i == 0 else [])] for i in range(9)] + [fresh(90)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = passages.classed(passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).collect()
+    assert {r.doc_id for r in got if r.end - r.start >= 60} == set(range(1, 34)) and {r.class_id for r in got} == {0}
+    assert {r.doc_id for r in got if r.ref_doc_id == 0} == set(range(1, 26))
