@@ -89,17 +89,20 @@ def inferred_dtype(kind: T.DataType) -> str | None:
 
 
 def profile(rows: DataFrame) -> DataFrame:
-    """column, nonnull, distinct, numeric, boolean, average_length, image_like, role; one pass over all columns.
-
-    Roles: media if 90% look like image names; text at 40 characters on average; category if values repeat and are few."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(rows.columns):
-        t = F.trim(F.col(f"`{c}`").cast("string"))
-        has = t.isNotNull() & (t != "")
-        aggs += [F.count_if(has).alias(f"n{i}"), F.count_distinct(F.when(has, t)).alias(f"d{i}"), F.count_if(has & t.try_cast("double").isNotNull()).alias(f"f{i}"), F.count_if(has & F.lower(t).isin("true", "false")).alias(f"b{i}"), F.avg(F.when(has, F.length(t))).alias(f"l{i}"), F.count_if(has & t.rlike(IMAGES)).alias(f"m{i}")]
-    one = rows.agg(*aggs)
-    each = [F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(n) for k, n in zip("ndfblm", ("nonnull", "distinct", "_f", "_b", "average_length", "_m"), strict=True)]) for i, c in enumerate(rows.columns)]
-    x = one.select("rows", F.explode(F.array(*each)).alias("x")).select("rows", "x.*")
+    """column, nonnull, distinct, numeric, boolean, average_length, image_like, role.
+
+    Roles: media if 90% look like image names; text at 40 characters on average; category if values repeat and are few. Rows are dealt over the tasks first, whatever files they come from, so that no task counts the values of a whole
+    file; a value of a column is one row with its count from there on."""
+    spark = rows.sparkSession
+    texts = [F.trim(F.col(f"`{c}`").cast("string")) for c in rows.columns]
+    dealt = rows.select(*[t.alias(f"t{i}") for i, t in enumerate(texts)])
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*dealt.columns))
+    each = dealt.select(F.posexplode(F.array(*dealt.columns)).alias("at", "t")).groupBy("at", F.when(F.col("t") != "", F.col("t")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    has, n = F.col("t").isNotNull(), F.col("n")
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    x = each.groupBy("at").agg(F.sum("n").alias("rows"), total(has).alias("nonnull"), F.count("t").alias("distinct"), total(has & F.col("t").try_cast("double").isNotNull()).alias("_f"), total(has & F.lower("t").isin("true", "false")).alias("_b"), (F.sum(F.length("t") * n) / F.nullif(total(has), F.lit(0))).alias("average_length"), total(has & F.col("t").rlike(IMAGES)).alias("_m"))
+    names = spark.createDataFrame(list(enumerate(rows.columns)), "at int, column string")
+    x = names.join(x, "at", "left").na.fill(0, ["rows", "nonnull", "distinct", "_f", "_b", "_m"])  # of an empty table too
     number, boolean, media = (F.col("nonnull") > 0) & (F.col("_f") == F.col("nonnull")), (F.col("nonnull") > 0) & (F.col("_b") == F.col("nonnull")), (F.col("nonnull") > 0) & (F.col("_m") >= 0.9 * F.col("nonnull"))
     few = (F.col("distinct") > 0) & (F.col("distinct") < F.col("nonnull")) & (F.col("distinct") <= F.least(F.lit(50.0), F.greatest(F.lit(10.0), 0.2 * F.col("rows"))))
     role = F.when(media, "media").when(boolean, "boolean").when(number, "number").when(F.col("average_length") >= 40, "text").when(few, "category").otherwise("string")
