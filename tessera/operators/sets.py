@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,29 +64,64 @@ def asset_components(links: DataFrame, record: str, asset: str) -> DataFrame:
             return labels.select(F.col("r").alias(record), F.col("c").alias("component"))
 
 
-def component_batches(labelled: DataFrame, component: str, order: str, *, most: int = 16) -> DataFrame:
+def _ends(sizes: np.ndarray, most: int, ahead: np.ndarray) -> np.ndarray:
+    """For each place of ``sizes`` the one where the next batch begins, if one begins here; ``ahead``: the sizes that follow, ``most`` at most."""
+    upto = np.concatenate([[0], np.cumsum(np.concatenate([sizes, ahead]))])
+    at = np.arange(len(sizes))
+    return np.maximum(np.searchsorted(upto, upto[at] + most, side="right") - 1, at + 1)
+
+
+def component_batches(labelled: DataFrame, component: str, order: str, *, most: int = 16, piece: int = 65_536) -> DataFrame:
     """The rows with ``batch`` (from 0): components one after the other, in the order of their first rows, each batch as many as fit into ``most`` rows; a component is never split, and a larger one is a batch by itself.
 
-    Where a batch ends follows from where it begins, and at most ``most`` components are in one. So each place gets a pointer to the next batch's beginning, if one began there; the beginnings are
-    those that the pointers reach from the first place, which doubling them marks. Nothing passes through one task."""
-    tables = Tables(labelled.sparkSession, "batches")
+    Where a batch ends follows from where it begins, and at most ``most`` components are in one. So a piece of successive components is entered at one of its first ``most`` places, and for each of them
+    a task finds where it is left, and after how many batches. The driver follows these, ``most`` numbers a piece, and the pieces' batches are told by tasks again."""
+    spark, tables = labelled.sparkSession, Tables(labelled.sparkSession, "batches")
+    piece = max(piece, most)
     sizes = labelled.groupBy(component).agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("first"))
     at = tables.write(numbered(sizes, tables, "first", component, name="at").select(F.col(component).alias("_c"), "size", "at"))
-    ahead = at.select("at", "size", F.explode(F.sequence(F.greatest(F.col("at") - most, F.lit(0)), "at")).alias("begin"))
-    upto = F.sum("size").over(Window.partitionBy("begin").orderBy("at"))
-    fits = ahead.withColumn("upto", upto).where((F.col("upto") <= most) | (F.col("at") == F.col("begin")))
-    jumps = tables.write(fits.groupBy("begin").agg((F.max("at") + 1).alias("next")))
-    begins = tables.write(at.where("at = 0").select(F.col("at").alias("begin")))
-    while True:
-        reached = begins.join(jumps, "begin").select(F.col("next").alias("begin")).join(at.select(F.col("at").alias("begin")), "begin", "left_semi")
-        if not reached.join(begins, "begin", "left_anti").head(1):
-            break
-        begins = tables.write(begins.unionByName(reached).distinct())
-        jumps = tables.write(jumps.join(jumps.select(F.col("begin").alias("next"), F.col("next").alias("later")), "next").select("begin", F.col("later").alias("next")))
-    named = tables.write(numbered(begins, tables, "begin", name="batch"))
-    near = at.select("_c", "at", F.explode(F.sequence(F.greatest(F.col("at") - most, F.lit(0)), "at")).alias("begin")).join(named, "begin")
-    of = near.groupBy("_c").agg(F.max("batch").alias("batch"))
-    return labelled.join(of, F.col(component).eqNullSafe(F.col("_c"))).drop("_c")
+    # a piece also gets the first places of the next one, which its last batch may take in
+    own = at.select(F.floor(F.col("at") / piece).alias("piece"), "at", "size")
+    next_ones = own.where((F.col("at") % piece < most) & (F.col("piece") > 0)).withColumn("piece", F.col("piece") - 1)
+    pieces = own.unionByName(next_ones)
+
+    def steps(pdf: pd.DataFrame) -> tuple[int, int, np.ndarray]:
+        pdf = pdf.sort_values("at")
+        k = int(pdf["piece"].iloc[0])
+        n = int((pdf["at"] // piece == k).sum())
+        values = np.minimum(pdf["size"].to_numpy(), most + 1)
+        return k, n, _ends(values[:n], most, values[n:])
+
+    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, n, ends = steps(pdf)
+        out, count = np.arange(n + most), np.zeros(n + most, dtype=np.int64)  # where a batch that begins here leads to outside of the piece
+        for i in range(n - 1, -1, -1):
+            out[i], count[i] = out[ends[i]], count[ends[i]] + 1
+        m = min(most, n)
+        return pd.DataFrame({"piece": k, "entry": np.arange(m), "leave": out[:m] - n, "batches": count[:m]})
+
+    ways = {(r["piece"], r["entry"]): (r["leave"], r["batches"]) for r in pieces.groupBy("piece").applyInPandas(passed, "piece long, entry int, leave int, batches long").collect()}
+    starts, k, entry, batch = [], 0, 0, 0
+    while (k, entry) in ways:
+        starts.append((k, entry, batch))
+        entry, more = ways[k, entry]
+        k, batch = k + 1, batch + more
+    known = spark.createDataFrame(starts, "piece long, entry int, batch long")
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, n, ends = steps(pdf)
+        entry, batch = int(pdf["entry"].iloc[0]), int(pdf["batch"].iloc[0])
+        begins = []
+        while entry < n:
+            begins.append(entry)
+            entry = int(ends[entry])
+        return pd.DataFrame({"begin": k * piece + np.array(begins, dtype=np.int64), "batch": batch + np.arange(len(begins))})
+
+    named = tables.write(pieces.join(F.broadcast(known), "piece").groupBy("piece").applyInPandas(told, "begin long, batch long"))
+    # a place is of the last batch that begins at it or before it, fewer than ``most`` places away
+    reach = named.select("batch", F.col("begin"), F.explode(F.sequence(F.col("begin"), F.col("begin") + most - 1)).alias("at"))
+    of = at.hint("merge").join(reach.groupBy("at").agg(F.max("batch").alias("batch")), "at").select("_c", "batch")
+    return labelled.hint("merge").join(of, F.col(component).eqNullSafe(F.col("_c"))).drop("_c")
 
 
 def duplicate_files(files: DataFrame, path: str, digest: str) -> DataFrame:
