@@ -22,12 +22,20 @@ from tessera.session import Tables
 BLOCK, PIVOTS, RINGS, MOST_BLOCKS = 4096, 64, 256, 16_384
 #: Rows that are compared with others at once; blocks on either side of a group, and numbers that those on the right hold together, at most.
 STRIP, TALL, WIDE, HELD = 256, 2, 8, 4 << 20
+#: Distances that are held at once, unless 16 rows have more.
+CELLS = 2 << 20
 
 
 def stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def vectors_of(rows: pd.DataFrame) -> np.ndarray:
+    """The vectors of rows that are compared."""
+    known = rows.attrs.get("stacked")
+    return stacked(rows["v"]) if known is None else known
+
+
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of all rows of ``x`` from all of ``y``, by one matrix product: right but for rounding, see ``slack``."""
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
@@ -82,17 +90,33 @@ class Partition:
         out = spark.range(0, self.blocks, 1, tasks).mapInPandas(bounded, "i long, j long")
         return out if apart_from is None else out.join(apart_from, ["i", "j"], "left_anti")
 
-    def compared(self, left: DataFrame, right: DataFrame, pairs: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    def compared(self, left: DataFrame, right: DataFrame, pairs: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, *, few: bool = False) -> DataFrame:
         """What ``compare`` gives for strips of the rows of each block and those of the blocks that it is paired with. Both sides have a column ``block``.
 
-        A few blocks on either side are one group, so that rows travel less often and fewer are handed on; two blocks that aren't paired may meet in one, where nothing is near."""
+        A few blocks on either side are one group, so that rows travel less often and fewer are handed on; two blocks that aren't paired may meet in one, where nothing is near.
+        ``few``: the left side is a part of the rows; as many blocks of it are one group as together have a block's rows, so that the right side travels as often as the left one is large."""
         names = [x.split()[0] for x in schema.split(", ")]
-        pairs = pairs.select("i", "j", F.floor(F.col("i") / min(TALL, self.wide)).alias("gi"), F.floor(F.col("j") / self.wide).alias("gj"))
+        tall = min(TALL, self.wide)
+        if few:
+            group, held, of = 0, 0, []
+            for r in left.groupBy("block").count().orderBy("block").collect():  # a row for each block
+                if held and held + r["count"] > tall * BLOCK:
+                    group, held = group + 1, 0
+                held += r["count"]
+                of.append((r["block"], group))
+            pairs = pairs.join(F.broadcast(self.rows.sparkSession.createDataFrame(of, "i long, gi long")), "i")
+        else:
+            pairs = pairs.withColumn("gi", F.floor(F.col("i") / tall))
+        pairs = pairs.select("i", "j", "gi", F.floor(F.col("j") / self.wide).alias("gj"))
         here = left.join(pairs.select(F.col("i").alias("block"), "gi", "gj").distinct(), "block")
         there = right.join(pairs.select(F.col("j").alias("block"), "gi", "gj").distinct(), "block")
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = [compare(a.iloc[at : at + STRIP].reset_index(drop=True), b) for at in range(0, len(a), STRIP)] if len(b) else []
+            if not len(b):
+                return pd.DataFrame({n: [] for n in names})
+            b.attrs["stacked"] = stacked(b["v"])  # once for all strips
+            strip = max(min(STRIP, CELLS // len(b)), 16)
+            out = [compare(a.iloc[at : at + strip].reset_index(drop=True), b) for at in range(0, len(a), strip)]
             return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
 
         here, there = here.toDF(*here.columns), there.toDF(*there.columns)
@@ -164,7 +188,7 @@ def nearest(part: Partition, k: int, tables: Tables) -> DataFrame:
 
     def least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """Of rows with a ``reach``, or of rows of one block, the k nearest."""
-        x, y = stacked(a["v"]), stacked(b["v"])
+        x, y = stacked(a["v"]), vectors_of(b)
         row, column = close(x, y, min(k + 1, len(b)), a["reach"].to_numpy() if "reach" in a else None)
         ids, others = a["id"].to_numpy(), b["id"].to_numpy()
         met = ids[row] == others[column]

@@ -216,12 +216,28 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(x), np.concatenate(y)
 
 
+def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0 to n - 1 that the links a-b lead to, for each."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(new, hop := new[new]):
+            new = hop
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def density_clusters(vectors: DataFrame, min_points: int, radius: float, *, metric: str = "euclidean") -> DataFrame:
     """id, cluster (-1: noise): connected core points, at one level of the density hierarchy (``density.hierarchy`` has all of them).
 
     A core point has ``min_points`` rows (itself included) within the radius. Core points within it of each other are one cluster;
-    other points take the cluster of their nearest core point in reach. Equal vectors are one point of their number. All points in reach are
-    counted, by pairs of blocks that can hold some; such a pair hands on a spanning forest of its links, and each point's nearest core point."""
+    other points take the cluster of their nearest core point in reach. Equal vectors are one point of their number. A point that has as many
+    rows in reach in its own block is a core point; those of the others are counted in all blocks that can hold some. Core points of a block are linked, then those of successive blocks; the greatest cluster so far is never compared
+    with itself: each link that is left has an end outside of it. So the work beyond the blocks grows with the points that are neither crowded nor in the greatest cluster."""
     from tessera.operators.sets import asset_components
 
     tables = Tables(vectors.sparkSession, "density")
@@ -231,35 +247,75 @@ def density_clusters(vectors: DataFrame, min_points: int, radius: float, *, metr
     part = metric_space.partition(points.select("id", "v", "n"), tables, unit=metric == "cosine")
     points, kind = part.rows, dict(part.rows.dtypes)["id"]
     reach_of = np.full(part.blocks, within)
-    pairs, ahead = tables.write(part.pairs(reach_of)), part.pairs(reach_of, once=True)
+    pairs = tables.write(part.pairs(reach_of))
 
     def reach(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        distance = metric_space.products(metric_space.stacked(a["v"]), metric_space.stacked(b["v"]))
+        distance = metric_space.products(metric_space.stacked(a["v"]), metric_space.vectors_of(b))
         distance[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0
         return distance
 
+    def strips(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        pdf.attrs["stacked"] = metric_space.stacked(pdf["v"])
+        return [pdf.iloc[at : at + metric_space.STRIP].reset_index(drop=True) for at in range(0, len(pdf), metric_space.STRIP)]
+
     def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": a["id"], "n": (reach(a, b) <= within) @ b["n"].to_numpy()})
 
+    def counted_at_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([counted(a, pdf) for a in strips(pdf)])
+
+    def linked_at_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        at, ends = 0, []
+        for a in strips(pdf):
+            x, y = _forest(reach(a, pdf) <= within)
+            ends.append((x + at, y))
+            at += len(a)
+        i, j = (np.concatenate([e[side] for e in ends]) for side in (0, 1))
+        return pdf.assign(comp=pdf["id"].to_numpy()[_least_reached(len(pdf), i, j)])[["id", "block", "v", "comp"]]
+
     def linked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = _forest(reach(a, b) <= within)
-        return pd.DataFrame({"id": a["id"].to_numpy()[x], "neighbour": b["id"].to_numpy()[y]})
+        """Links between the clusters so far: a spanning forest."""
+        mine, i = np.unique(a["comp"].to_numpy(), return_inverse=True)
+        theirs, j = np.unique(b["comp"].to_numpy(), return_inverse=True)
+        row, column = np.nonzero(reach(a, b) <= within)
+        met = np.zeros((len(mine), len(theirs)), dtype=bool)
+        met[i[row], j[column]] = True
+        met &= mine[:, None] != theirs[None, :]
+        x, y = _forest(met)
+        return pd.DataFrame({"comp": mine[x], "other": theirs[y]})
+
+    def united(core: DataFrame, links: DataFrame) -> DataFrame:
+        """``core`` with the smallest of the clusters that links lead to."""
+        links = tables.write(links.where("comp <> other").select(F.least("comp", "other").alias("comp"), F.greatest("comp", "other").alias("other")).distinct())
+        if not links.head(1):
+            return core
+        pair = F.concat_ws("~", F.col("comp").cast("string"), F.col("other").cast("string")).alias("pair")
+        of = asset_components(links.select("comp", pair).unionByName(links.select(F.col("other").alias("comp"), pair)), "comp", "pair").withColumnRenamed("component", "_least")
+        return tables.write(core.join(of, "comp", "left").withColumn("comp", F.coalesce("_least", "comp")).drop("_least"))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id")  # the first of equal distances has the smallest id
-        distance = reach(a, b)
-        at = distance.argmin(axis=1)
-        out = pd.DataFrame({"id": a["id"], "neighbour": b["id"].to_numpy()[at], "distance": distance[np.arange(len(a)), at]})
+        distance, ids = reach(a, b), b["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")  # the first of equal distances has the smallest id
+        at = order[distance[:, order].argmin(axis=1)]
+        out = pd.DataFrame({"id": a["id"], "neighbour": ids[at], "distance": distance[np.arange(len(a)), at]})
         return out[out["distance"] <= within]
 
-    dense = tables.write(part.compared(points, points, pairs, counted, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id"))
-    core, edge = points.join(dense, "id", "left_semi"), points.join(dense, "id", "left_anti")
-    inner = part.compared(core, core, ahead, linked, f"id {kind}, neighbour {kind}")
-    pair = F.concat_ws("~", F.least("id", "neighbour").cast("string"), F.greatest("id", "neighbour").cast("string")).alias("pair")
-    links = inner.select("id", pair).unionByName(inner.select(F.col("neighbour").alias("id"), pair))
-    links = links.unionByName(dense.select("id", F.col("id").cast("string").alias("pair")))
-    of_core = asset_components(links, "id", "pair").withColumnRenamed("component", "cluster")
-    near = part.compared(edge, core, pairs, nearest, f"id {kind}, neighbour {kind}, distance double").groupBy("id").agg(F.min_by("neighbour", F.struct("distance", "neighbour")).alias("neighbour"))
+    home = points.groupBy("block").applyInPandas(counted_at_home, f"id {kind}, n long").where(F.col("n") >= min_points).select("id")
+    dense = tables.write(home)
+    asks = tables.write(points.join(dense, "id", "left_anti"))
+    if part.blocks > 1 and asks.head(1):
+        dense = tables.write(dense.unionByName(part.compared(asks, points, pairs, counted, f"id {kind}, n long", few=True).groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id")))
+    edge = tables.write(asks.join(dense, "id", "left_anti"))
+    core = tables.write(points.join(dense, "id", "left_semi").select("id", "v", "block").groupBy("block").applyInPandas(linked_at_home, f"id {kind}, block long, v array<double>, comp {kind}"))
+    if part.blocks > 1:
+        core = united(core, part.compared(core, core, pairs.where("j = i + 1"), linked, f"comp {kind}, other {kind}"))
+        greatest = core.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()
+        rest = tables.write(core.where(F.col("comp") != greatest["comp"])) if greatest else core
+        if rest.head(1):
+            core = united(core, part.compared(rest, core, pairs, linked, f"comp {kind}, other {kind}", few=True))
+    of_core = core.select("id", F.col("comp").alias("cluster"))
+    near = part.compared(edge, core, pairs, nearest, f"id {kind}, neighbour {kind}, distance double", few=True).groupBy("id").agg(F.min_by("neighbour", F.struct("distance", "neighbour")).alias("neighbour"))
     near = near.join(of_core.withColumnRenamed("id", "neighbour"), "neighbour").select("id", F.col("cluster").alias("near_cluster"))
     named = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id")).withColumnRenamed("id", "class")
     found = named.join(of_core.withColumnRenamed("id", "class"), "class", "left").join(near.withColumnRenamed("id", "class"), "class", "left").select(F.col("v").alias("_v"), F.coalesce("cluster", "near_cluster").alias("cluster"))
