@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from tessera.operators import metric as metric_space
 from tessera.session import Tables
 
-BAND, MORE = 500_000, 8
+BAND, MORE = 100_000, 8
 
 
 def _reaches(part: metric_space.Partition, min_samples: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +59,7 @@ def _searched(part: metric_space.Partition, points: DataFrame, labels: DataFrame
         reach[r["block"]] = r["b"]
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = metric_space.stacked(a["v"]), metric_space.stacked(b["v"])
+        x, y = metric_space.stacked(a["v"]), metric_space.vectors_of(b)
         ids, others, cores, theirs = a["id"].to_numpy(), b["id"].to_numpy(), a["core"].to_numpy(), b["core"].to_numpy()
         gap = np.maximum(np.maximum(metric_space.products(x, y), cores[:, None]), theirs[None, :])
         comp, to = a["comp"].to_numpy(), b["comp"].to_numpy()
