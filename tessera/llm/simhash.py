@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm._bytes import mixed
 from tessera.llm._common import Scratch, attached, parts
-from tessera.llm.components import components, local
+from tessera.llm.components import Forest, components, local
 
 #: Fingerprints of one anchor that are compared in one piece, at most.
 CHUNK = 4096
@@ -144,8 +144,9 @@ def links_of_sorted(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndar
 
 
 def _compared(placed: DataFrame, link: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(a, b): distinct links among the rows of each anchor. ``placed``: anchor, then the node's id and further columns, all long;
-    ``link`` gets sorted anchors and those columns, and returns positions."""
+    """(a, b): distinct links, a < b, that hold together what those among the rows of each anchor do. ``placed``: anchor, then the node's id and further columns,
+    all long; ``link`` gets sorted anchors and those columns, and returns positions. Two nodes meet at many anchors, and at each one may link to others: a task
+    hands on a spanning forest over the links of all its anchors, by smallest ids, so that tasks that see the same group hand on the same links."""
     names = placed.columns[1:]
     node = names[0]
     crowded = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CHUNK).withColumnRenamed("anchor", "_a")
@@ -157,18 +158,23 @@ def _compared(placed: DataFrame, link: Callable[..., tuple[np.ndarray, np.ndarra
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * (len(names) + 1)
+        forest = Forest()
 
-        def done(cols: list[np.ndarray]) -> pa.RecordBatch:
+        def done(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             a, b = link(cols[0], *(c.view(np.uint64) for c in cols[1:]))
-            return pa.RecordBatch.from_arrays([pa.array(cols[1][a]), pa.array(cols[1][b])], names=["a", "b"])
+            return forest.add(cols[1][a], cols[1][b])
+
+        def batch_of(links: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in links], names=["a", "b"])
 
         for batch in batches:
             held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on in the next batch
             if cut >= 1 << 15:
-                yield done([x[:cut] for x in held])
+                yield from map(batch_of, done([x[:cut] for x in held]))
                 held = [x[cut:] for x in held]
-        yield done(held)
+        yield from map(batch_of, done(held))
+        yield from map(batch_of, forest.rest())
 
     return placed.mapInArrow(compare, "a long, b long").distinct()
 
@@ -336,7 +342,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
 
     placed = nodes.select("node", *WIDE_COLUMNS, "first").mapInArrow(replicate, "anchor long, node long, most long, " + ", ".join(f"{c} long" for c in WIDE_COLUMNS))
     links = _compared(placed, lambda key, node, most, *words: wide_forest(key, most.view(np.int64), list(words)))
-    groups = scratch.write(components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    groups = scratch.write(components(links))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     counts = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SETS).cast("int").alias("pieces"))
     members = groups.join(counts, "root").join(nodes.select("node", F.col("of.doc_id").alias("_d"), F.col("of.th").alias("_th")), "node")
@@ -386,26 +392,38 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
         nodes_of: list[int] = []
         hs: list[np.ndarray] = []
         last, sides = None, [0, 0, 0]
+        forest = Forest()  # of pieces: each meets many others, and each time may link the same sets otherwise
+
+        def batch_of(a: np.ndarray, b: np.ndarray, whole: bool = False) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), whole))], names=["a", "b", "whole"])
 
-        def done() -> pa.RecordBatch:
-            a, b = similar(hs, similarity, None if sides[2] else sides[0]) if len(hs) > 1 else (np.zeros(0, int), np.zeros(0, int))
-            n = np.array(nodes_of, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(n[a]), pa.array(n[b]), pa.array(np.full(len(a), sides[2] > 0))], names=["a", "b", "whole"])
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(hs) > 1:
+                a, b = similar(hs, similarity, None if sides[2] else sides[0])
+                n = np.array(nodes_of, dtype=np.int64)
+                if sides[2]:
+                    yield batch_of(n[a], n[b], True)
+                else:
+                    for x, y in forest.add(n[a], n[b]):
+                        yield batch_of(x, y)
 
         for b in batches:
             for key, node, h, side in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 if key != last:
-                    yield done()
+                    yield from done()
                     nodes_of, hs, last, sides = [], [], key, [0, 0, 0]
                 if h.as_py():  # an empty set is like no other
                     nodes_of.append(node)
                     hs.append(np.frombuffer(h.as_py(), dtype=np.uint64))
                     sides[side] += 1
-        yield done()
+        yield from done()
+        for x, y in forest.rest():
+            yield batch_of(x, y)
 
     verified = scratch.write(dealt.mapInArrow(verify, "a long, b long, whole boolean").where("a <> b"))
-    stars = liked.select(F.explode("like").alias("a"), F.col("node").alias("b")).where("a <> b").withColumn("whole", F.lit(False))
+    # the leaders that a set is like are linked with the first of them, and so is the set: a link for each set, and few besides
+    stars = liked.where(F.size("like") > 0).select(F.col("like")[0].alias("a"), F.explode(F.array_union("like", F.array("node"))).alias("b")).where("a <> b").withColumn("whole", F.lit(False))
     verified = verified.unionByName(stars)
     # a group in one piece has its stars; those of several pieces are put together
-    roots = verified.where("whole").select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(components(verified.where("not whole").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    roots = verified.where("whole").select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(components(verified.where("not whole").select("a", "b")))
     return rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

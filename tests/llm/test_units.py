@@ -271,3 +271,23 @@ def test_each_document_but_the_first_has_a_row_for_a_common_passage(spark):
     got = passages.classed(passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).collect()
     assert {r.doc_id for r in got if r.end - r.start >= 60} == set(range(1, 34)) and {r.class_id for r in got} == {0}
     assert {r.doc_id for r in got if r.ref_doc_id == 0} == set(range(1, 26))
+
+
+def test_a_task_hands_on_a_forest():
+    """Whatever links a task finds again and again, it hands on those of a spanning forest, and holds a bounded number."""
+    rng = np.random.default_rng(4)
+    nodes = rng.integers(-(2**62), 2**62, 300)
+    pairs = [(x := rng.integers(0, 250, 2000), (x + 10 * rng.integers(1, 6, 2000)) % 250) for _ in range(20)]
+    want = components.local(300, np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]))
+    for most in (1 << 19, 4000, 100):
+        forest, out = components.Forest(most), []
+        for a, b in pairs:
+            out += list(forest.add(nodes[a], nodes[b]))
+            assert forest.held <= most + 2000
+        out += list(forest.rest())
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        place = {n: i for i, n in enumerate(nodes.tolist())}
+        got = components.local(300, np.array([place[n] for n in a.tolist()]), np.array([place[n] for n in b.tolist()]))
+        assert (got == want).all() and (a < b).all()
+        assert most == 100 or len(a) == 300 - len(set(want.tolist()))
+    assert [len(x) for x in next(components.Forest().rest())] == [0, 0]
