@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     s = toxicity.Settings()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    model = toxicity.train(docs, labels, ~held_out, s)
+    model = toxicity.train(docs, labels, ~held_out, s, in_task=True)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
     return toxicity.score(rows, model, score_col="score").where(F.col("score") < s.threshold).select("doc.*")
 

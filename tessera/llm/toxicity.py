@@ -5,7 +5,8 @@ found by a hash; a text's vector is the mean over its words (and ``pad`` zero ve
 trained jointly in numpy. A misspelling that training never saw shares most of its n-grams with words that it saw.
 
 The model is fitted on a bounded sample of the labelled rows (``max_rows``, ``max_bytes``), and it is itself of fixed size
-(``buckets`` x ``dim``), so the driver and each task hold the same whatever the corpus measures. Scoring is one pass over
+(``buckets`` x ``dim``), so each task holds the same whatever the corpus measures; with ``in_task`` one task draws, one fits, and the driver
+gets a number for each bucket. Scoring is one pass over
 whole texts without a shuffle. Because the softmax is linear in the mean, a word counts through one number; each task
 computes it once per distinct word of a batch.
 
@@ -80,6 +81,13 @@ class Model:
         self.s, self.bias = s, float(bias[1] - bias[0])
         self.gain = (table @ (out[:, 1] - out[:, 0])).astype(np.float32)  # what a bucket adds to the difference of the two logits
 
+    @classmethod
+    def of(cls, gain: np.ndarray, bias: float, s: Settings) -> Model:
+        """A model that was fitted elsewhere."""
+        m = cls.__new__(cls)
+        m.s, m.bias, m.gain = s, bias, gain
+        return m
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         docs = [words_of(t) for t in texts]
         known: dict[str, int] = {}
@@ -130,11 +138,11 @@ def fit(texts: list[str | None], labels: list[int], s: Settings, prior: float) -
     return Model(table, out, bias, s)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits the model on the labelled rows of ``docs`` for which ``usable`` (a condition on the id column) holds.
+def sample(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, float]:
+    """The rows that train, (_id, _t: text, _y: label, _c: times), and the share of label 1 among all labelled rows.
 
-    The driver gets ``max_rows`` rows and ``max_bytes`` of text at most, however often an id or a row repeats: rows are drawn by keys of
-    their own (id, text and place among equal ones), and those that would pass the bytes are passed over, not what comes after them."""
+    They are ``max_rows`` rows and ``max_bytes`` of text at most, however often an id or a row repeats: rows are drawn by keys of
+    their own (id, text and place among equal ones), and those that would pass the bytes are passed over, not what comes after them. A task draws them; the driver gets two counts."""
     lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
     own = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_n"), F.xxhash64(id_col, text_col).alias("_h"))
     # equal rows with an equal label are one with a number of times, so that a repeated row is one key
@@ -143,26 +151,57 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Sett
     lab = scratch.write(lab.select("_id", "_h", "_y", "_n", (F.col("_c") * F.col("_l")).alias("_c")))
     counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.sum("_c").alias("n")).collect()}
     total = sum(counts.values())
-    prior = counts.get(1, 0) / total if total else 0.0
-    keyed = lab.withColumn("_k", F.sha2(F.concat_ws(":", F.lit(s.seed), "_id", "_h"), 256))
-    first = lambda label: keyed.where(F.col("_y") == label).orderBy("_k", "_id", "_h").limit(s.max_rows).collect()  # noqa: E731  each task keeps max_rows at most; keys, no texts
-    drawn = {y: [(r["_k"], r["_id"], r["_h"], r["_n"], i) for r in first(y) for i in range(min(r["_c"], s.max_rows))][: s.max_rows] for y in (0, 1)}
+    keyed = lab.withColumn("_k", F.sha2(F.concat_ws(":", F.lit(s.seed), "_id", "_h"), 256)).select("_k", "_id", "_h", "_n", "_y", "_c")
+    first = lambda label: keyed.where(F.col("_y") == label).orderBy("_k", "_id", "_h").limit(s.max_rows)  # noqa: E731  each task keeps max_rows at most; keys, no texts
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[int, list[tuple]] = {0: [], 1: []}
+        for b in batches:
+            kind = b.schema.field(1).type
+            for *key, y, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                keys[y].append((*key, c))
+        drawn = {y: [(*k, i) for *k, c in sorted(keys[y]) for i in range(min(c, s.max_rows))][: s.max_rows] for y in (0, 1)}
+        rare = 1 if len(drawn[1]) <= len(drawn[0]) else 0
+        half = drawn[rare][: s.max_rows // 2]
+        some = sorted([(*k, rare) for k in half] + [(*k, 1 - rare) for k in drawn[1 - rare][: s.max_rows - len(half)]])
+        left, times = s.max_bytes, Counter()
+        for _, i, h, n, _, y in some:
+            if n <= left:
+                left -= n
+                times[i, h, y] += 1
+        if times:
+            i, h, y = zip(*times, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(i, kind), pa.array(h, pa.int64()), pa.array(y, pa.int32()), pa.array([*times.values()], pa.int32())], names=["_id", "_h", "_y", "_c"])
+
+    schema = T.StructType([T.StructField("_id", own.schema["_id"].dataType), T.StructField("_h", T.LongType()), T.StructField("_y", T.IntegerType()), T.StructField("_c", T.IntegerType())])
+    chosen = scratch.write(first(0).unionByName(first(1)).repartition(1).mapInArrow(draw, schema))
     scratch.drop(lab)
-    rare = 1 if len(drawn[1]) <= len(drawn[0]) else 0
-    half = drawn[rare][: s.max_rows // 2]
-    some = sorted([(*k, rare) for k in half] + [(*k, 1 - rare) for k in drawn[1 - rare][: s.max_rows - len(half)]])
-    left, times = s.max_bytes, Counter()
-    for _, i, h, n, _, y in some:
-        if n <= left:
-            left -= n
-            times[i, h, y] += 1
-    chosen = docs.sparkSession.createDataFrame([(i, h) for i, h, _ in times] or [], T.StructType([T.StructField("_id", own.schema["_id"].dataType), T.StructField("_h", T.LongType())])).distinct()
-    found = own.join(F.broadcast(chosen), ["_id", "_h"]).groupBy("_id", "_h").agg(F.min("_t").alias("_t")).collect()  # a row for each key of max_rows, max_bytes in all
-    text = {(r["_id"], r["_h"]): r["_t"] for r in found}
-    rows = sorted(((i, text[i, h] or "", y) for (i, h, y), n in times.items() for _ in range(n)))
+    found = own.join(F.broadcast(chosen), ["_id", "_h"]).groupBy("_id", "_h", "_y", "_c").agg(F.min("_t").alias("_t"))
+    return found.select("_id", "_t", "_y", "_c"), counts.get(1, 0) / total if total else 0.0
+
+
+def fit_rows(rows: list[tuple], s: Settings, prior: float) -> Model:
+    """``fit`` for rows of ``sample`` in any order."""
+    rows = sorted((i, t or "", y) for i, t, y, c in rows for _ in range(c))
     return fit([t for _, t, _ in rows], [y for _, _, y in rows], s, prior)
 
 
+def train(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settings(), *, in_task: bool = False, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits the model on the labelled rows of ``docs`` for which ``usable`` (a condition on the id column) holds, as ``sample`` draws them.
+
+    ``in_task``: a task holds the sample and fits, and the driver gets the model alone; otherwise the driver does."""
+    rows, prior = sample(docs, labels, usable, s, id_col=id_col, text_col=text_col, label_col=label_col)
+    if not in_task:
+        return fit_rows([tuple(r) for r in rows.collect()], s, prior)  # max_rows, and max_bytes in all
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = fit_rows([r for b in batches for r in zip(*(x.to_pylist() for x in b.columns), strict=True)], s, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([m.gain.tobytes()], pa.binary()), pa.array([m.bias])], names=["gain", "bias"])
+
+    fitted = rows.repartition(1).mapInArrow(run, "gain binary, bias double").collect()  # of fixed size
+    return Model.of(np.frombuffer(fitted[0]["gain"], dtype=np.float32), fitted[0]["bias"], s) if fitted else fit([], [], s, prior)
+
+
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a column ``score_col`` (double, 0 to 1) after its own; one pass, whole texts."""
     schema, at = docs.schema, docs.columns.index(text_col)

@@ -520,3 +520,20 @@ def test_the_toxicity_sample_is_bounded(spark, monkeypatch):
     assert seen[-1] == seen[-2]
     toxicity.train(d, labels.where("toxic = 0"), F.lit(True), s)
     assert set(seen[-1][1]) == {0} and seen[-1][2] == 0.0
+
+
+def test_the_driver_gets_no_texts_of_the_toxicity_sample(spark, monkeypatch):
+    """A task draws and fits; the model is the one that the driver would fit, and no row of the sample comes to the driver."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)) + (" awfulword" if i % 4 == 0 else "")) for i in range(120)] + [(7, None), (None, "no id")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)] + [(8, 0)], "doc_id long, toxic int")
+    s = toxicity.Settings(buckets=1 << 10, max_rows=60, max_bytes=4000)
+    here = toxicity.train(d, labels, F.lit(True), s)
+    got, collect = [], type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: got.append((self.columns, rows := collect(self))) or rows)
+    there = toxicity.train(d, labels, F.lit(True), s, in_task=True)
+    assert [(c, len(r)) for c, r in got] == [(["_y", "n"], 2), (["gain", "bias"], 1)]
+    assert np.allclose(there.gain, here.gain, atol=1e-6) and math.isclose(there.bias, here.bias, abs_tol=1e-9) and there.gain.any()
+    none = toxicity.train(d, labels.limit(0), F.lit(True), s, in_task=True)
+    assert none.bias == toxicity.train(d, labels.limit(0), F.lit(True), s).bias and not none.gain.any()
